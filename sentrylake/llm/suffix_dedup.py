@@ -226,16 +226,22 @@ def _texts(batches):
 
 
 def _contexts(length: int):
-    """The bytes of each wanted context, out of its text."""
+    """The bytes of each wanted context, out of its text; in small batches, as contexts overlap."""
 
     def run(batches):
+        names = ["key", "ctx", "twice", "n", "body"]
+        types = (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.binary())
         for b in batches:
-            data, offsets = utf8(b.column("text"))
-            whole = data.tobytes()
-            s, n = b.column("s").to_numpy(), b.column("n").to_numpy()
-            a = offsets[:-1] + s
-            body = pa.array([whole[x : x + k + length - 1] for x, k in zip(a.tolist(), n.tolist())], pa.binary())
-            yield pa.RecordBatch.from_arrays([b.column("key"), b.column("ctx"), b.column("twice"), b.column("n"), body], ["key", "ctx", "twice", "n", "body"])
+            out, size = [], 0
+            for text, places in zip(b.column("text"), b.column("places")):
+                whole = text.as_buffer().to_pybytes()
+                for x in places.as_py():
+                    out.append((x["key"], x["ctx"], x["twice"], x["n"], whole[x["s"] : x["s"] + x["n"] + length - 1]))
+                    size += len(out[-1][-1])
+                    if size > 4 << 20:
+                        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(types)], names)
+                        out, size = [], 0
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(types)], names)
 
     return run
 
@@ -337,17 +343,18 @@ def _merged(spans) -> list[tuple[int, int]]:
 
 def _cut(batches):
     """The output columns of each document, from its text and the spans to remove."""
-    for b in batches:
-        rows = []
-        for text, spans in zip(b.column("text").to_pylist(), b.column("spans").to_pylist()):
-            data = (text or "").encode("utf-8")
-            gone = _merged((x["a"], x["b"]) for x in spans or ())
-            edges = [0, *(e for g in gone for e in g), len(data)]
-            kept = b"".join(data[x:y] for x, y in zip(edges[::2], edges[1::2]))
-            rows.append((len(data), len(data) - len(kept), len(gone), hashlib.sha256(kept).hexdigest(), kept, [{"a": x, "b": y} for x, y in gone]))
-        types = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())])))
-        names = ["n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "removed"]
-        yield pa.RecordBatch.from_arrays([b.column("row"), *(pa.array([r[i] for r in rows], t) for i, t in enumerate(types))], ["row", *names])
+    types = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())])))
+    names = ["row", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "removed"]
+    for whole in batches:
+        for i in range(0, whole.num_rows, 512):
+            b, rows = whole.slice(i, 512), []
+            for text, spans in zip(b.column("text"), b.column("spans")):
+                data = text.as_buffer().to_pybytes() if text.is_valid else b""
+                gone = _merged((x["a"], x["b"]) for x in spans.as_py() or ())
+                edges = [0, *(e for g in gone for e in g), len(data)]
+                kept = b"".join(data[x:y] for x, y in zip(edges[::2], edges[1::2]))
+                rows.append((len(data), len(data) - len(kept), len(gone), hashlib.sha256(kept).hexdigest(), kept, [{"a": x, "b": y} for x, y in gone]))
+            yield pa.RecordBatch.from_arrays([b.column("row"), *(pa.array([r[k] for r in rows], t) for k, t in enumerate(types))], names)
 
 
 def _named(batches):
@@ -369,9 +376,10 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, key_
     occ = text.mapInArrow(_occurrences(length, gram), _OCC)
     pre = occ.mapInArrow(_combined, _OCC + ", c long").repartition("key").sortWithinPartitions("key", "ctx")
     ruled = stored(pre.mapInArrow(_ruled, "key long, ctx long, t1 long, t2 long, s long, n long, twice boolean, several boolean"), "ruled")
-    wanted = ruled.where("several")
+    # a text's wanted contexts are bounded by its length
+    wanted = ruled.where("several").groupBy("t1", "t2").agg(F.collect_list(F.struct("key", "ctx", "twice", "n", "s")).alias("places"))
     whole = text.mapInArrow(_texts, "t1 long, t2 long, text string")
-    bodies = whole.join(wanted, ["t1", "t2"]).select("key", "ctx", "twice", "n", "s", "text").mapInArrow(_contexts(length), "key long, ctx long, twice boolean, n long, body binary")
+    bodies = whole.join(wanted, ["t1", "t2"]).select("text", "places").mapInArrow(_contexts(length), "key long, ctx long, twice boolean, n long, body binary")
     marks = stored(bodies.repartition("key").sortWithinPartitions("key").mapInArrow(_sorted_marks(length, key_cap), "key long, ctx long, a long, b long, w long, twice boolean"), "marks")
     # the windows of keys over the cap: repeated if two contexts have one, or a context itself occurs twice
     loose = marks.where("w is not null").dropDuplicates(["key", "ctx", "a"])
