@@ -32,6 +32,15 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Lets Arrow batches of texts that go to Python hold at most 1000 rows and 16 MB, for the session: Spark's own
+    10000 rows of long texts, several times copied in a Python worker, are most of an executor's memory."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", 1000), ("spark.sql.execution.arrow.maxBytesPerBatch", 16 << 20)):
+        now = spark.conf.get(key).lower().rstrip("b")
+        if not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(key, most)
+
+
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string column and the int64 offsets of its rows; null is empty."""
     if isinstance(column, pa.ChunkedArray):

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bfd_packing, cost_packing, decontaminate, simhash_dedup, suffix_dedup, toxicity, warc
+from . import bfd_packing, cost_packing, decontaminate, quality_cnn, simhash_dedup, suffix_dedup, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +31,10 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(_table(spark, sf_dir, "pages"))
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_cnn.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -40,5 +44,5 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.selectExpr("row.doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op3_decontamination, op4_token_matrices, op5_packing, op7_warc, op9_toxicity, op10_suffix_array_dedup)}
+QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op3_decontamination, op4_token_matrices, op5_packing, op7_warc, op8_quality, op9_toxicity, op10_suffix_array_dedup)}
 ORACLES = {"op3_decontamination": decontaminate.ORACLE, "op7_warc": warc.ORACLE}

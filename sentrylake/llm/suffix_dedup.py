@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import stored, utf8
+from ._shared import small_batches, stored, utf8
 
 LENGTH, GRAM = 400, 32
 _SEGMENT = 1 << 20
@@ -371,6 +371,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, key_
     `length` lose nothing; repeated rows count as repeats of each other; an empty table gives no rows.
     Columns of docs pass through inside `row` whatever their names.
     """
+    small_batches(docs.sparkSession)
     schema = docs.schema
     text = docs.select(F.col("text").cast("string").alias("text"))
     occ = text.mapInArrow(_occurrences(length, gram), _OCC)
