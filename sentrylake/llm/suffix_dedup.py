@@ -374,7 +374,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, key_
     small_batches(docs.sparkSession)
     schema = docs.schema
     text = docs.select(F.col("text").cast("string").alias("text"))
-    occ = text.mapInArrow(_occurrences(length, gram), _OCC)
+    occ = stored(text.mapInArrow(_occurrences(length, gram), _OCC), "occurrences")
     pre = occ.mapInArrow(_combined, _OCC + ", c long").repartition("key").sortWithinPartitions("key", "ctx")
     ruled = stored(pre.mapInArrow(_ruled, "key long, ctx long, t1 long, t2 long, s long, n long, twice boolean, several boolean"), "ruled")
     # a text's wanted contexts are bounded by its length
