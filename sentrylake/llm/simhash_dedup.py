@@ -165,7 +165,8 @@ def near_duplicates(docs: DataFrame, size: int = 4, list_cap: int = 2048) -> Dat
     members = roots.join(reps, roots["node"] == reps["fp"]).select("fp", "root", "first")
     lowest = members.groupBy("root").agg(F.min("first").alias("component"))
     linked = members.join(lowest, "root").select(F.col("fp").alias("node"), "component")
-    named = reps.join(linked, reps["fp"] == linked["node"], "left").select("fp", F.coalesce("component", "first").alias("component_id"))
+    # stored, so that the exchange of the rows stands directly below the join and a very common fingerprint is split
+    named = stored(reps.join(linked, reps["fp"] == linked["node"], "left").select("fp", F.coalesce("component", "first").alias("component_id")), "named")
     return rows.join(named, "fp", "left").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
