@@ -147,7 +147,7 @@ def train(rows: list[tuple[str, int]], rounds: int = 8, batch: int = 32, rate: f
     m = {k: np.zeros_like(v) for k, v in net.p.items()}
     s = {k: np.zeros_like(v) for k, v in net.p.items()}
     step = 0
-    order = np.arange(len(y))
+    rounds = max(rounds, -(-600 * batch // len(y)))  # few rows are read more often
     total = rounds * -(-len(y) // batch)
     # the rarer class is shown so often that it makes a third of each round at least
     rare = np.flatnonzero(y == (y.mean() < 0.5))

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bfd_packing, cost_packing, decontaminate, quality_cnn, simhash_dedup, suffix_dedup, toxicity, warc
+from . import bfd_packing, cost_packing, decontaminate, permutation_index, quality_cnn, simhash_dedup, suffix_dedup, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +28,10 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cost_packing.pack(_table(spark, sf_dir, "documents"))
 
 
+def op6_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return permutation_index.neighbours(_table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0)
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(_table(spark, sf_dir, "pages"))
 
@@ -44,5 +49,5 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.selectExpr("row.doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op3_decontamination, op4_token_matrices, op5_packing, op7_warc, op8_quality, op9_toxicity, op10_suffix_array_dedup)}
+QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op3_decontamination, op4_token_matrices, op5_packing, op6_permutation_index, op7_warc, op8_quality, op9_toxicity, op10_suffix_array_dedup)}
 ORACLES = {"op3_decontamination": decontaminate.ORACLE, "op7_warc": warc.ORACLE}
