@@ -10,8 +10,10 @@ A string of LENGTH bytes is removed wherever it starts if it starts more than on
    occurs twice repeats all its windows.
 3. One text of each context goes to the suffix arrays wherever a key has several contexts: these are
    sorted together, and windows whose common prefix with a neighbour reaches LENGTH are repeated.
-   Keys with more than `key_cap` contexts, which would make one large array, are instead resolved by
-   counting their windows by hash, which groups and splits like any aggregation.
+   Keys with more than `key_cap` contexts, which would make one large array, are dealt anew: windows
+   that start within the same few bytes before the anchor share a core of almost LENGTH bytes, whose
+   hash is the new key. Parts of contexts that are now equal repeat all their windows; the rest is
+   sorted, or dealt again by a longer core, until the core is the window itself.
 4. The decisions are joined back to the occurrences by key and context, and to the texts.
 
 Texts are named by a 128-bit digest of their bytes throughout, so that repeated rows and missing or
@@ -31,6 +33,9 @@ from pyspark.sql import functions as F
 from ._shared import small_batches, stored, utf8
 
 LENGTH, GRAM = 400, 32
+LEADS = 1 << 20
+#: Widths of the parts into which the windows of a key over the cap are dealt, one after the other.
+CELLS = (32, 4, 1)
 _SEGMENT = 1 << 20
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
@@ -165,7 +170,8 @@ def _names(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 def _occurrences(length: int, gram: int):
-    """(t1, t2, key, ctx, s, n): occurrences; s is the first window's start in the text, n how many windows."""
+    """(t1, t2, key, ctx, s, n): occurrences; s is the first window's start in the text, n holds how many windows
+    there are (times LEADS) and how far before its anchor the first starts."""
 
     def run(batches):
         for b in batches:
@@ -191,7 +197,7 @@ def _occurrences(length: int, gram: int):
                 whole = raw.tobytes()
                 ctx = np.array([xxhash.xxh3_64_intdigest(whole[x : x + k + length - 1], int(p - x)) for x, k, p in zip(s.tolist(), count.tolist(), at.tolist())], np.uint64)
                 name = names[i + row]
-                cols = (name[:, 0], name[:, 1], h[at].view(np.int64), ctx.view(np.int64), s + a - offsets[i + row], count)
+                cols = (name[:, 0], name[:, 1], h[at].view(np.int64), ctx.view(np.int64), s + a - offsets[i + row], count * LEADS + (at - s))
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["t1", "t2", "key", "ctx", "s", "n"])
 
     return run
@@ -225,74 +231,113 @@ def _texts(batches):
         yield pa.RecordBatch.from_arrays([pa.array(names[one, 0]), pa.array(names[one, 1]), b.column(0).take(pa.array(one))], ["t1", "t2", "text"])
 
 
+_BODIES = pa.schema([("key", pa.int64()), ("ctx", pa.int64()), ("twice", pa.bool_()), ("n", pa.int64()), ("body", pa.binary()), ("okey", pa.int64()), ("octx", pa.int64()), ("off", pa.int64())])
+_BODIES_SQL = "key long, ctx long, twice boolean, n long, body binary, okey long, octx long, off long"
+
+
+def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(schema)], schema=schema)
+
+
 def _contexts(length: int):
     """The bytes of each wanted context, out of its text; in small batches, as contexts overlap."""
 
     def run(batches):
-        names = ["key", "ctx", "twice", "n", "body"]
-        types = (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.binary())
         for b in batches:
             out, size = [], 0
             for text, places in zip(b.column("text"), b.column("places")):
                 whole = text.as_buffer().to_pybytes()
                 for x in places.as_py():
-                    out.append((x["key"], x["ctx"], x["twice"], x["n"], whole[x["s"] : x["s"] + x["n"] + length - 1]))
-                    size += len(out[-1][-1])
+                    out.append((x["key"], x["ctx"], x["twice"], x["n"], whole[x["s"] : x["s"] + x["n"] // LEADS + length - 1], x["key"], x["ctx"], 0))
+                    size += len(out[-1][4])
                     if size > 4 << 20:
-                        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(types)], names)
+                        yield _batch(out, _BODIES)
                         out, size = [], 0
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(types)], names)
+            yield _batch(out, _BODIES)
 
     return run
 
 
-_MARKS = pa.schema([("key", pa.int64()), ("ctx", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("w", pa.int64()), ("twice", pa.bool_())])
+_MARKS = pa.schema([("a", pa.int64()), ("b", pa.int64()), *_BODIES])
+_MARKS_SQL = "a long, b long, " + _BODIES_SQL
 
 
-def _sorted_marks(length: int, key_cap: int, most: int = 2 << 20):
-    """Marked runs [a, b) of windows of each context, by suffix arrays over about `most` bytes of whole keys;
-    of keys over the cap, each window with its hash w."""
+def _dealt(row: tuple, cell: int, length: int) -> list[tuple]:
+    """A context in parts by cells of starts before its anchor, each under the hash of the cell's core."""
+    _, _, twice, packed, body, okey, octx, off = row
+    n, lead = packed // LEADS, packed % LEADS
+    out = []
+    # a start's place before the anchor falls from lead to lead - n + 1; cells are cut by it
+    x = 0
+    while x < n:
+        c = (lead - x) // cell
+        y = min(n, lead - c * cell + 1)
+        core = body[max(0, lead - c * cell) : lead - (c * cell + cell - 1) + length]
+        part = body[x : y + length - 1]
+        key = xxhash.xxh3_64_intdigest(core, c % (1 << 32)) >> 1
+        out.append((None, None, key, xxhash.xxh3_64_intdigest(part, x - lead & 0xFFFFFFFF) >> 1, twice, (y - x) * LEADS + lead - x, part, okey, octx, off + x))
+        x = y
+    return out
+
 
-    def flush(group: dict):
-        keys, ctxs, bodies, ns, twice = ([x[k] for x in group.values()] for k in range(5))
-        rows = []
-        for key, ctx, at in zip(keys, ctxs, repeated_places(bodies, ns, length, twice)):
+def _sorted_marks(length: int, key_cap: int, cell: int | None, most: int = 2 << 20):
+    """Of bodies sorted by key and context: marked runs [a, b) of the windows of each original context, found
+    by suffix arrays over about `most` bytes of whole keys; keys over the cap in parts, as new bodies."""
+
+    def mark(row, a, b):
+        return (row[7] + a, row[7] + b, None, None, None, None, None, row[5], row[6], None)
+
+    def flush(rows: list):
+        out = []
+        for row, at in zip(rows, repeated_places([r[4] for r in rows], [r[3] // LEADS for r in rows], length, [r[2] for r in rows])):
             if len(at):
                 cut = np.flatnonzero(np.diff(at) > 1)
-                rows += [(key, ctx, int(x), int(y) + 1, None, None) for x, y in zip(at[np.append(0, cut + 1)], at[np.append(cut, len(at) - 1)])]
-        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(_MARKS)], schema=_MARKS)
-
-    def windows(group: dict):
-        for key, ctx, body, n, twice in group.values():
-            w = np.array([xxhash.xxh3_64_intdigest(body[i : i + length]) for i in range(n)], np.uint64).view(np.int64)
-            at = np.arange(n)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, key)), pa.array(np.full(n, ctx)), pa.array(at), pa.array(at + 1), pa.array(w), pa.array(np.full(n, twice))], schema=_MARKS)
+                out += [mark(row, int(x), int(y) + 1) for x, y in zip(at[np.append(0, cut + 1)], at[np.append(cut, len(at) - 1)])]
+        return _batch(out, _MARKS)
 
     def run(batches):
-        done: dict = {}  # whole keys
-        size, now, key, over = 0, {}, None, False
+        done, size = [], 0  # whole keys
+        now, over = [], False  # the contexts of one key
+        out: list[tuple] = []
+
+        def closed():
+            nonlocal done, size, now, out
+            if over:
+                for r in now:
+                    out += _dealt(r, cell, length)
+            elif len(now) > 1:
+                done += now
+                size += sum(len(r[4]) for r in now)
+            elif now and now[0][2]:
+                out.append(mark(now[0], 0, now[0][3] // LEADS))
+            now = []
+
         for b in batches:
-            for k, c, t, n, body in zip(*(b.column(x).to_pylist() for x in ("key", "ctx", "twice", "n", "body"))):
-                if k != key:
-                    if over:
-                        yield from windows(now)
-                    else:
-                        done |= now
-                        size += sum(len(x[2]) for x in now.values())
-                    key, now, over = k, {}, False
-                    if size > most:
-                        yield flush(done)
-                        done, size = {}, 0
-                now[k, c] = (k, c, body, n, t)
-                if len(now) > key_cap:
-                    yield from windows(now)
-                    now, over = {}, True
-        if over:
-            yield from windows(now)
-        else:
-            done |= now
-        if done:
-            yield flush(done)
+            for row in zip(*(b.column(f.name).to_pylist() for f in _BODIES)):
+                if now and row[:2] == now[-1][:2]:
+                    if row[5:] == now[-1][5:]:
+                        continue  # a copy of the same text
+                    # the same part in another context: all its windows are repeated
+                    now[-1] = (*now[-1][:2], True, *now[-1][3:])
+                    out.append(mark(row, 0, row[3] // LEADS))
+                    continue
+                if now and row[0] != now[-1][0]:
+                    closed()
+                    over = False
+                now.append(row)
+                if len(now) > key_cap and cell:
+                    over, last = True, now.pop()
+                    closed()
+                    now = [last]
+                if size > most:
+                    yield flush(done)
+                    done, size = [], 0
+                if len(out) > 2000:
+                    yield _batch(out, _MARKS)
+                    out = []
+        closed()
+        yield flush(done)
+        yield _batch(out, _MARKS)
 
     return run
 
@@ -380,13 +425,15 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, key_
     # a text's wanted contexts are bounded by its length
     wanted = ruled.where("several").groupBy("t1", "t2").agg(F.collect_list(F.struct("key", "ctx", "twice", "n", "s")).alias("places"))
     whole = text.mapInArrow(_texts, "t1 long, t2 long, text string")
-    bodies = whole.join(wanted, ["t1", "t2"]).select("text", "places").mapInArrow(_contexts(length), "key long, ctx long, twice boolean, n long, body binary")
-    marks = stored(bodies.repartition("key").sortWithinPartitions("key").mapInArrow(_sorted_marks(length, key_cap), "key long, ctx long, a long, b long, w long, twice boolean"), "marks")
-    # the windows of keys over the cap: repeated if two contexts have one, or a context itself occurs twice
-    loose = marks.where("w is not null").dropDuplicates(["key", "ctx", "a"])
-    counts = loose.groupBy("key", "w").agg(F.count(F.lit(1)).alias("c"), F.max("twice").alias("any")).where("c > 1 or any").select("key", "w")
-    loose = loose.join(counts, ["key", "w"], "left_semi").select("key", "ctx", "a", "b")
-    rules = ruled.where("twice").select("key", "ctx", F.lit(0).cast("long").alias("a"), F.col("n").alias("b")).unionByName(marks.where("w is null").select("key", "ctx", "a", "b")).unionByName(loose)
+    bodies = whole.join(wanted, ["t1", "t2"]).select("text", "places").mapInArrow(_contexts(length), _BODIES_SQL)
+    rules = ruled.where("twice").select("key", "ctx", F.lit(0).cast("long").alias("a"), F.expr(f"n div {LEADS}").alias("b"))
+    for cell in (*CELLS, None):
+        met = bodies.repartition("key").sortWithinPartitions("key", "ctx", "okey", "octx", "off")
+        marks = stored(met.mapInArrow(_sorted_marks(length, key_cap, cell), _MARKS_SQL), "marks")
+        rules = rules.unionByName(marks.where("body is null").select(F.col("okey").alias("key"), F.col("octx").alias("ctx"), "a", "b"))
+        bodies = marks.where("body is not null").drop("a", "b")
+        if bodies.isEmpty():
+            break
     spans = occ.join(rules, ["key", "ctx"]).select("t1", "t2", F.struct((F.col("s") + F.col("a")).alias("a"), (F.col("s") + F.col("b") + (length - 1)).alias("b")).alias("x"))
     spans = stored(spans.groupBy("t1", "t2").agg(F.collect_set("x").alias("spans")), "spans")
     rows = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row")).select("row", F.col("row.text").cast("string").alias("text"))
