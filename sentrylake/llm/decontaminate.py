@@ -273,6 +273,13 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, broadcast_bytes: int =
     return _by_shuffle(docs, items)
 
 
+def keep_uncontaminated(docs: DataFrame, benchmark: DataFrame, broadcast_bytes: int = 32 << 20) -> DataFrame:
+    """docs without the contaminated rows. Rows are told apart by doc_id: rows that repeat an id, or have none,
+    go if one of them is contaminated."""
+    bad = decontaminate(docs, benchmark, broadcast_bytes).where("contaminated").select(F.col("doc_id").alias("_bad")).distinct()
+    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["_bad"]), "left_anti")
+
+
 def _by_shuffle(docs: DataFrame, items: DataFrame) -> DataFrame:
     from ._shared import stored
 

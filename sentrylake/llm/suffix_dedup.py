@@ -440,3 +440,19 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, key_
     kind = "row " + schema.simpleString()
     named = rows.mapInArrow(_named, kind + ", text string, t1 long, t2 long")
     return named.join(spans, ["t1", "t2"], "left").select("row", "text", "spans").mapInArrow(_cut, kind + ", n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, removed array<struct<a:long,b:long>>")
+
+
+def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, key_cap: int = 4096) -> DataFrame:
+    """docs with the repeated strings taken out of text, and n_chars, if there is one, counted again. A
+    character of which bytes were removed goes as a whole; texts that lose nothing, null among them, stay as
+    they are; a text that is all repeats becomes empty."""
+    found = remove_repeats(docs, length, gram, key_cap).select("row", "n_removed", "kept")
+
+    def run(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([x.decode("utf-8", "ignore") for x in b.column(2).to_pylist()], pa.string())], ["row", "n_removed", "kept"])
+
+    texts = found.mapInArrow(run, "row " + docs.schema.simpleString() + ", n_removed long, kept string")
+    changed = F.col("n_removed") > 0
+    new = {"text": F.when(changed, F.col("kept")).otherwise(F.col("row.text")), "n_chars": F.when(changed, F.length("kept")).otherwise(F.col("row.n_chars")).cast("long") if "n_chars" in docs.columns else None}
+    return texts.select(*(new[c].cast(docs.schema[c].dataType).alias(c) if c in ("text", "n_chars") else F.col("row").getField(c).alias(c) for c in docs.columns))
