@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from . import counts, functions, lists, merges, relations, streams  # noqa: F401
+from .analogues import ORACLES, QUERIES
+
+__all__ = ["QUERIES", "ORACLES"]
