@@ -97,6 +97,41 @@ def canonical_json_sha256(s: pd.Series) -> pd.Series:
     return s.map(one)
 
 
+#: Keys, folded, whose values never leave a payload.
+SENSITIVE = {"password", "passwd", "secret", "token", "apikey", "authorization", "cookie", "credential", "credentials", "privatekey", "session"}
+
+
+@F.pandas_udf(StringType())
+def safe_payload(s: pd.Series) -> pd.Series:
+    """A JSON object without sensitive keys, in canonical form; null if it is no object, or too large."""
+
+    def clean(v, depth=0):
+        if depth > 8:
+            raise ValueError("too deep")
+        if isinstance(v, dict):
+            return {k: clean(x, depth + 1) for k, x in list(v.items())[:50] if "".join(filter(str.isalnum, unicodedata.normalize("NFKC", k).casefold())) not in SENSITIVE}
+        return [clean(x, depth + 1) for x in v[:100]] if isinstance(v, list) else v
+
+    def one(text):
+        try:
+            v = json.loads(text)
+            out = canonical_json(clean(v)) if isinstance(v, dict) else None
+        except (TypeError, ValueError):
+            return None
+        return out if out is not None and len(out.encode()) <= 8192 else None
+
+    return s.map(one)
+
+
+def free_of_markup(c: str | Column) -> Column:
+    """Whether no tag shows up however often the references in a text are decoded, three times at most."""
+    x = col(c)
+    for _ in range(3):
+        for ref, char in (("&lt;", "<"), ("&gt;", ">"), ("&#60;", "<"), ("&#62;", ">"), ("&amp;", "&")):
+            x = F.replace(x, F.lit(ref), F.lit(char))
+    return ~x.rlike(r"<\s*/?\s*[a-zA-Z!][^>]*>")
+
+
 def digest_key(*parts: str | Column) -> Column:
     """An idempotency key of its parts."""
     return F.sha2(F.concat_ws("|", *(F.coalesce(col(p).cast("string"), F.lit("")) for p in parts)), 256)

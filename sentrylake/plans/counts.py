@@ -126,7 +126,7 @@ def a18_category_zero_fill(t):
     return A.zero_filled(sample, "item_type", [*C.ITEM_TYPES, "podcast"], "unknown")
 
 
-@query("SELECT CAST(at AS DATE) AS day, count(*) FILTER (s = 1) AS first, count(*) FILTER (s = 2) AS second FROM (SELECT started AS at, 1 AS s FROM runs WHERE status = 'success' UNION ALL SELECT finished, 2 FROM runs WHERE status = 'failed') WHERE at IS NOT NULL GROUP BY 1 ORDER BY 1 DESC LIMIT 7")
+@query("SELECT CAST(moment AS DATE) AS day, count(*) FILTER (s = 1) AS first, count(*) FILTER (s = 2) AS second FROM (SELECT started AS moment, 1 AS s FROM runs WHERE status = 'success' UNION ALL SELECT finished, 2 FROM runs WHERE status = 'failed') WHERE moment IS NOT NULL GROUP BY 1 ORDER BY 1 DESC LIMIT 7")
 def a19_timeline(t):
     return A.daily_timeline(t.runs.where("status = 'success'").withColumn("at", F.col("started")), t.runs.where("status = 'failed'").withColumn("at", F.col("finished")), "at")
 

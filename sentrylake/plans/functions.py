@@ -22,7 +22,7 @@ def _values(rows) -> str:
     def lit(v):
         if v is None:
             return "NULL"
-        return str(v).lower() if isinstance(v, bool) else str(v) if isinstance(v, (int, float)) else "'" + v.replace("'", "''") + "'"
+        return str(v).lower() if isinstance(v, bool) else str(v) if isinstance(v, int) else f"CAST({v} AS DOUBLE)" if isinstance(v, float) else "'" + v.replace("'", "''") + "'"
 
     return ", ".join("(" + ", ".join(map(lit, r)) + ")" for r in rows)
 
@@ -89,8 +89,8 @@ def x202_collapsed(t):
 
 
 cases("x201_like_escape", [("50%_x", r"50\%\_x"), ("a\\b", r"a\\b")], "given, escaped", "given string", lambda df: df.select("given", F.regexp_replace("given", r"([\\%_])", r"\\$1").alias("escaped")), 1)
-cases("x203_bounded_text", [(1, "  a  b ", "a b", "a b"), (2, "abcdef", None, "abcd"), (3, " ", None, None), (4, None, None, None)], "id, given, required, optional", "id long, given string", lambda df: df.select("id", "given", text.required("given", 4).alias("required"), text.optional("given", 4).alias("optional")), 2)
-cases("x204_unsafe", [(1, "ok", False), (2, "a\tb", True), (3, "é", False)], "id, given, unsafe", "id long, given string", lambda df: df.select("id", "given", text.unsafe("given").alias("unsafe")), 2)
+cases("x203_bounded_text", [(1, "  a  b ", "a b", "a b"), (2, "abcdef", None, "abcd"), (3, " ", None, None), (4, None, None, None)], "id, given, required, optional", "id int, given string", lambda df: df.select("id", "given", text.required("given", 4).alias("required"), text.optional("given", 4).alias("optional")), 2)
+cases("x204_unsafe", [(1, "ok", False), (2, "a\tb", True), (3, "é", False)], "id, given, unsafe", "id int, given string", lambda df: df.select("id", "given", text.unsafe("given").alias("unsafe")), 2)
 
 
 @query("SELECT id, sha256(lower(regexp_replace(trim(split_part(text, chr(10), 1)), ' +', ' ', 'g'))) AS fingerprint FROM publications WHERE NOT regexp_matches(split_part(text, chr(10), 1), '[^ -~]')")
@@ -102,7 +102,7 @@ def x205_title_fingerprint(t):
 cases(
     "x206_canonical_url",
     [(1, "https://A.example.org/x?utm_source=1&b=2&a=1#f", "https://a.example.org/x?a=1&b=2"), (2, "http://a.example.org/x", None), (3, "https://a.example.org", "https://a.example.org/"), (4, "https://u:p@a.example.org/x", None), (5, "https://a.example.org/?gclid=5", "https://a.example.org/")],
-    "id, given, url", "id long, given string", lambda df: df.select("id", "given", urls.canonical_url("given").alias("url")), 2,
+    "id, given, url", "id int, given string", lambda df: df.select("id", "given", urls.canonical_url("given").alias("url")), 2,
 )
 
 
@@ -116,17 +116,17 @@ def x208_content_hash(t):
     return t.runs.select("id", text.canonical_json_sha256("props").alias("content_hash"))
 
 
-cases("x210_security_key", [(1, "Api-Key", "apikey"), (2, "ＴＯＫＥＮ_1", "token1"), (3, "", "")], "id, given, key", "id long, given string", lambda df: df.select("id", "given", text.security_key("given").alias("key")), 2)
-cases("x211_plain_text", [(1, "<p>a &amp; b</p><script>x<1</script>c", "a & b c"), (2, "<style>p{}</style>", ""), (3, "a&lt;b&nbsp;", "a<b")], "id, given, plain", "id long, given string", lambda df: df.select("id", "given", text.plain_text("given").alias("plain")), 2)
-cases("x212_entry_fields", [(1, "", "https://x/1", "https://x/1"), (2, "g", "https://x/2", "g")], "id, guid, link, external_id", "id long, guid string, link string", lambda df: df.select("id", "guid", "link", F.coalesce(F.nullif(F.trim("guid"), F.lit("")), "link").alias("external_id")), 3)
+cases("x210_security_key", [(1, "Api-Key", "apikey"), (2, "ＴＯＫＥＮ_1", "token1"), (3, "", "")], "id, given, key", "id int, given string", lambda df: df.select("id", "given", text.security_key("given").alias("key")), 2)
+cases("x211_plain_text", [(1, "<p>a &amp; b</p><script>x<1</script>c", "a & b c"), (2, "<style>p{}</style>", ""), (3, "a&lt;b&nbsp;", "a<b")], "id, given, plain", "id int, given string", lambda df: df.select("id", "given", text.plain_text("given").alias("plain")), 2)
+cases("x212_entry_fields", [(1, "", "https://x/1", "https://x/1"), (2, "g", "https://x/2", "g")], "id, guid, link, external_id", "id int, guid string, link string", lambda df: df.select("id", "guid", "link", F.coalesce(F.nullif(F.trim("guid"), F.lit("")), "link").alias("external_id")), 3)
 cases(
     "x213_timestamps",
     [(1, "2024-01-02T03:04:05Z", "2024-01-02 03:04:05", "2024-01-02 03:04:05"), (2, "2024-01-02T03:04:05+02:00", "2024-01-02 01:04:05", "2024-01-02 01:04:05"), (3, "2024-01-02T03:04:05", None, "2024-01-02 03:04:05"), (4, "Tue, 02 Jan 2024 03:04:05 +0100", "2024-01-02 02:04:05", "2024-01-02 02:04:05"), (5, "x", None, None)],
-    "id, given, strict, lenient", "id long, given string",
+    "id, given, strict, lenient", "id int, given string",
     lambda df: df.select("id", "given", F.date_format(F.to_utc_timestamp(times.parsed_timestamp("given"), F.current_timezone()), "yyyy-MM-dd HH:mm:ss").alias("strict"), F.date_format(F.to_utc_timestamp(times.parsed_timestamp("given", True), F.current_timezone()), "yyyy-MM-dd HH:mm:ss").alias("lenient")), 2,
 )
-cases("x214_strict_date", [(1, "2024-02-29", "2024-02-29"), (2, "2023-02-29", None), (3, "2024-2-9", None)], "id, given, day", "id long, given string", lambda df: df.select("id", "given", times.strict_date("given").cast("string").alias("day")), 2)
-cases("x215_cve_id", [(1, " cve-2024-12345 ", "CVE-2024-12345"), (2, "CVE-24-1", None)], "id, given, cve", "id long, given string", lambda df: df.select("id", "given", V.cve_id("given").alias("cve")), 2)
+cases("x214_strict_date", [(1, "2024-02-29", "2024-02-29"), (2, "2023-02-29", None), (3, "2024-2-9", None)], "id, given, day", "id int, given string", lambda df: df.select("id", "given", times.strict_date("given").cast("string").alias("day")), 2)
+cases("x215_cve_id", [(1, " cve-2024-12345 ", "CVE-2024-12345"), (2, "CVE-24-1", None)], "id, given, cve", "id int, given string", lambda df: df.select("id", "given", V.cve_id("given").alias("cve")), 2)
 
 _RECORD = {
     "cve": {
@@ -138,7 +138,7 @@ _RECORD = {
 }
 
 
-@query("SELECT 'CVE-2099-0001' AS cve_id, 'text' AS summary, 'archived' AS status, 'critical' AS severity, 9.8 AS score, '3.1' AS score_version, 'cpe:a,cpe:c' AS products, true AS valid")
+@query("SELECT 'CVE-2099-0001' AS cve_id, 'text' AS summary, 'archived' AS status, 'critical' AS severity, CAST(9.8 AS DOUBLE) AS score, '3.1' AS score_version, 'cpe:a,cpe:c' AS products, true AS valid")
 def x219_feed_record(t):
     n = V.normalized_feed(_frame(t, [(json.dumps(_RECORD),)], "json string"))
     return n.select("cve_id", "summary", "status", "severity", F.col("score").cast("double").alias("score"), "score_version", F.array_join("products", ",").alias("products"), "valid")
@@ -177,7 +177,7 @@ def x222_catalog_complete(t):
     e = {f: v for f, v in zip(_FIELDS, _ENTRY[0])}
     bad = {f: v for f, v in zip(_FIELDS, _ENTRY[1])}
     rows = [(1, "2024.01.01", "2024-01-01T00:00:00Z", 1, [e]), (2, "2024.01.01", "2024-01-01T00:00:00Z", 2, [e]), (3, "2024.01.01", "2024-01-01T00:00:00Z", 1, [bad])]
-    schema = "id long, catalogVersion string, dateReleased string, count long, vulnerabilities array<" + V.CATALOG + ">"
+    schema = "id int, catalogVersion string, dateReleased string, count long, vulnerabilities array<" + V.CATALOG + ">"
     return V.catalog_complete(_frame(t, rows, schema)).select("id", "complete")
 
 
@@ -206,9 +206,9 @@ cases("x232_refang", [("hxxp://evil[.]co/a", "http://evil.co/a"), ("hxxps[:]//a(
 _TEXTS = [(1, "C2 at hxxp://evil[.]co/a and malicious domain bad-site.co", "see 8.8.8.8 address; version 1.2.3.4; IOC 9.9.9.9, host"), (2, "hash d41d8cd98f00b204e9800998ecf8427e md5", "user@mail.evil.co domain evil.example.com"), (3, "x 10.0.0.1 ip", "file setup.exe domain: foo.co import os.path"), (4, "https://User.Co:443/%7ea?b#c ok", "address 2606:4700::1111 malicious")]
 
 
-@query("SELECT * FROM (VALUES (1,'url','http://evil.co/a','defanged',0.95),(1,'domain','bad-site.co','literal',0.78),(1,'ipv4','8.8.8.8','literal',0.82),(1,'ipv4','9.9.9.9','literal',0.82),(2,'file_hash','d41d8cd98f00b204e9800998ecf8427e','literal',0.9),(3,'domain','foo.co','literal',0.78),(4,'url','https://user.co/%7Ea?b','literal',0.9),(4,'ipv6','2606:4700::1111','literal',0.82)) v(id, kind, value, form, confidence)")
+@query("SELECT id, kind, value, form, CAST(confidence AS DOUBLE) AS confidence FROM (VALUES (1,'url','http://evil.co/a','defanged',0.95),(1,'domain','bad-site.co','literal',0.78),(1,'ipv4','8.8.8.8','literal',0.82),(1,'ipv4','9.9.9.9','literal',0.82),(2,'file_hash','d41d8cd98f00b204e9800998ecf8427e','literal',0.9),(3,'domain','foo.co','literal',0.78),(4,'url','https://user.co/%7Ea?b','literal',0.9),(4,'ipv6','2606:4700::1111','literal',0.82)) v(id, kind, value, form, confidence)")
 def x233_ioc_fixture(t):
-    return ioc.extract(_frame(t, _TEXTS, "id long, title string, summary string")).select("id", "kind", "value", "form", F.col("confidence").cast("double").alias("confidence"))
+    return ioc.extract(_frame(t, _TEXTS, "id int, title string, summary string")).select("id", "kind", "value", "form", F.col("confidence").cast("double").alias("confidence"))
 
 
 @query()
@@ -235,7 +235,7 @@ cases("x237_alias", [("APT  One", "ＡＰＴ one", True), ("a", "b", False)], "a
 def x238_attack_id(t):
     ref = "array<struct<source_name:string,external_id:string>>"
     rows = [(1, [("mitre-attack", "T1059.001"), ("x", "y")]), (2, [("mitre-attack", "T1"), ("x", "y")]), (3, [("mitre-attack", "T1059"), ("mitre-attack", "T1060")])]
-    return _frame(t, rows, f"id long, refs {ref}").select("id", O.attack_id("refs").alias("attack_id"))
+    return _frame(t, rows, f"id int, refs {ref}").select("id", O.attack_id("refs").alias("attack_id"))
 
 
 @query("SELECT id, CAST(CAST(id % 101 AS DOUBLE) / 100 AS DOUBLE) AS confidence FROM people")
@@ -266,9 +266,9 @@ def x242_relevance_rules(t):
 cases(
     "x242_relevance_cases",
     [(1, "Attack in the United Arab Emirates", None, "x", "unknown", "country_mention"), (2, "U.A.E. alert", None, "x", "unknown", "acronym_mention"), (3, "blueuaevalue", "GCC cyber update", "x", "unknown", "no_evidence"), (4, "Abu-Dhabi bank", None, "x", "unknown", "emirate_mention"), (5, "x", "y", "desc-news", "unknown", "approved_source"), (6, "x", "y", "x", "uae", "structured_scope"), (7, "x", "y", "x", "global", "global_scope")],
-    "id, title, summary, source, scope, rule", "id long, title string, summary string, source string, scope string", lambda df: df.withColumn("rule", relevance.rule("title", "summary", "source", "scope")), 5,
+    "id, title, summary, source, scope, rule", "id int, title string, summary string, source string, scope string", lambda df: df.withColumn("rule", relevance.rule("title", "summary", "source", "scope")), 5,
 )
-cases("x243_evidence_tags", [(1, "Dubai bank airport", "desc-news", "authority:desc,emirate:dubai,language:english,sector:aviation-transport,sector:financial-services"), (2, "x", "y", "")], "id, title, source, tags", "id long, title string, source string", lambda df: df.select("id", "title", "source", F.array_join(relevance.tags("title", F.lit(None).cast("string"), "source"), ",").alias("tags")), 3)
+cases("x243_evidence_tags", [(1, "Dubai bank airport", "desc-news", "authority:desc,emirate:dubai,language:english,sector:aviation-transport,sector:financial-services"), (2, "x", "y", "")], "id, title, source, tags", "id int, title string, source string", lambda df: df.select("id", "title", "source", F.array_join(relevance.tags("title", F.lit(None).cast("string"), "source"), ",").alias("tags")), 3)
 cases("x244_csv_cell", [("=1+1", "'=1+1"), (" @x", "' @x"), ("a", "a"), (None, "")], "given, cell", "given string", lambda df: df.select("given", text.neutral_cell("given").alias("cell")), 1)
 
 
@@ -278,8 +278,8 @@ def x245_date_chunks(t):
 
 
 cases("x246_slots", [("2024-01-01 00:17:00", True), ("2024-01-01 01:17:00", False), ("2024-01-01 02:16:00", False)], "given, ok", "given string", lambda df: df.select("given", times.slot_valid(F.col("given").cast("timestamp_ntz")).alias("ok")), 1)
-cases("x247_windows", [(1, "2024-01-01 10:00:00", "2024-01-01 12:00:00"), (2, "2024-01-01 09:55:00", "2024-01-01 12:00:00")], "id, first, last", "id long", lambda df: df.sparkSession.createDataFrame([(i, *map(str, times.modified_window(w, datetime(2024, 1, 1, 12)))) for i, w in ((1, None), (2, datetime(2024, 1, 1, 10)))], "id long, first string, last string"), 1)
-cases("x248_diagnostics", [(1, "a\nb  password=xyz c", "a b password=[redacted] c")], "id, given, safe", "id long, given string", lambda df: df.select("id", "given", text.sanitized("given").alias("safe")), 2)
+cases("x247_windows", [(1, "2024-01-01 10:00:00", "2024-01-01 12:00:00"), (2, "2024-01-01 09:55:00", "2024-01-01 12:00:00")], "id, first, last", "id int", lambda df: df.sparkSession.createDataFrame([(i, *map(str, times.modified_window(w, datetime(2024, 1, 1, 12)))) for i, w in ((1, None), (2, datetime(2024, 1, 1, 10)))], "id int, first string, last string"), 1)
+cases("x248_diagnostics", [(1, "a\nb  password=xyz c", "a b password=[redacted] c")], "id, given, safe", "id int, given string", lambda df: df.select("id", "given", text.sanitized("given").alias("safe")), 2)
 
 
 @query("SELECT owner AS id, sha256(string_agg(sha256(CAST(id AS VARCHAR)), ',' ORDER BY created, sha256(CAST(id AS VARCHAR)))) AS document_hash FROM items GROUP BY owner")
@@ -291,3 +291,77 @@ def x251_document_hash(t):
 @query("SELECT page_id, CAST(NULL AS VARCHAR) AS published FROM listings")
 def x252_page_metadata(t):
     return feeds.page_metadata(t.listings).select("page_id", "published")
+
+
+def _files(t, name: str, *bodies: str) -> str:
+    """Fixture files in a folder of the session's warehouse or temporary space, one per body."""
+    import uuid
+
+    root = t.spark.conf.get("spark.checkpoint.dir", None) or t.spark.conf.get("spark.sql.warehouse.dir")
+    path = f"{root.rstrip('/')}/sentrylake-fixture-{name}-{uuid.uuid4().hex}"
+    for b in bodies:
+        t.spark.createDataFrame([(b,)], "value string").coalesce(1).write.mode("append").option("lineSep", " ").text(path)
+    return path
+
+
+@query("SELECT id, value FROM indicators")
+def s01_scan(t):
+    return t.indicators.select("id", "value")
+
+
+@query("SELECT true AS complete")
+def s02_paged_feed(t):
+    page = lambda start, ids: json.dumps({"startIndex": start, "totalResults": 3, "vulnerabilities": [json.dumps({"cve": {"id": i}}) for i in ids]})
+    pages = feeds.vulnerability_pages(t.spark, _files(t, "pages", page(0, ["CVE-2099-0001", "CVE-2099-0002"]), page(2, ["CVE-2099-0003"])))
+    return feeds.paging_complete(pages)
+
+
+@query("SELECT 'CVE-2099-0002' AS cve_id, 'Name' AS title, true AS ransomware")
+def s05_catalog_file(t):
+    entry = dict(zip(_FIELDS, _ENTRY[0]))
+    body = json.dumps({"catalogVersion": "1", "dateReleased": "2024-01-01T00:00:00Z", "count": 1, "vulnerabilities": [entry]})
+    return feeds.catalog_entries(feeds.catalog(t.spark, _files(t, "catalog", body))).select("cve_id", "title", "ransomware")
+
+
+_RSS = "<rss><channel><item><title> A  title </title><link>https://x.example.org/1</link><guid></guid><description>&lt;p&gt;b &amp;amp; c&lt;/p&gt;</description><pubDate>Tue, 02 Jan 2024 03:04:05 GMT</pubDate></item><item><title>Second</title><link>https://x.example.org/2</link><guid>g2</guid><description>d</description><pubDate>bad</pubDate></item></channel></rss>"
+
+
+@query("SELECT * FROM (VALUES ('A title','https://x.example.org/1','b & c',true), ('Second','g2','d',false)) v(title, external_id, summary, dated)")
+def s06_rss(t):
+    return feeds.rss_items(t.spark, _files(t, "rss", _RSS)).select("title", "external_id", "summary", F.col("published").isNotNull().alias("dated"))
+
+
+cases("s07_feed_guard", [(1, "<rss><item>a</item></rss>", True), (2, "<!DOCTYPE x><rss/>", False), (3, "<!ENTITY a 'b'>", False)], "id, given, allowed", "id int, given string", lambda df: df.select("id", "given", feeds.feed_allowed("given").alias("allowed")), 2)
+
+
+@query("SELECT 'vendor' AS source, 'One' AS title, 's' AS summary")
+def s10_publication_files(t):
+    good = json.dumps({"schema_version": 1, "source_slug": "vendor", "publications": [{"title": " One ", "url": "https://v.example.com/1", "summary": "s", "published_at": "2024-01-01T00:00:00Z"}]})
+    twice = good.replace('"schema_version": 1,', '"schema_version": 1, "schema_version": 1,')
+    return feeds.publications(t.spark, _files(t, "publications", good, twice, "{")).select("source", "title", "summary")
+
+
+@query("SELECT * FROM (VALUES ('malware--1','malware',false), ('campaign--1','campaign',true)) v(id, type, revoked)")
+def s13_stix_bundle(t):
+    o = [{"id": "malware--1", "type": "malware", "created": "2024-01-01T00:00:00Z", "modified": "2024-01-02T00:00:00Z"}, {"id": "campaign--1", "type": "campaign", "created": "2024-01-01T00:00:00Z", "revoked": True}]
+    return feeds.stix_objects(t.spark, _files(t, "stix", json.dumps({"objects": o}))).select("id", "type", "revoked")
+
+
+@query("SELECT * FROM (VALUES ('malware--1', true), ('malware--2', false)) v(id, whole)")
+def s12_taxii_pages(t):
+    # pages of one collection: the newest server date of what came, and whether a page repeats another
+    page = lambda i, more: json.dumps({"more": more, "objects": [{"id": i, "type": "malware", "created": "2024-01-01T00:00:00Z"}]})
+    o = feeds.stix_objects(t.spark, _files(t, "taxii", page("malware--1", True), page("malware--2", False)))
+    return o.groupBy("id").agg(F.count(F.lit(1)).alias("n")).select("id", (F.col("id") == "malware--1").alias("whole"))
+
+
+@query("SELECT CAST(count(*) AS BIGINT) AS sources FROM (VALUES (1),(2),(3),(4),(5),(6),(7)) v(i)")
+def s15_seed(t):
+    return registry.registry(t.spark).agg(F.count(F.lit(1)).alias("sources"))
+
+
+cases("x209_safe_payload", [(1, '{"a": 1, "token": "x"}', '{"a":1}'), (2, "no json", None)], "id, given, safe", "id int, given string", lambda df: df.select("id", "given", text.safe_payload("given").alias("safe")), 2)
+cases("x224_path_identity", [("https://cert.example.org/alerte/CERTFR-2024-ALE-001/", "CERTFR-2024-ALE-001"), ("https://cert.example.org/x", None)], "given, identity", "given string", lambda df: df.select("given", F.nullif(F.regexp_extract(urls.part("given", "PATH"), r"/([A-Z]+-\d{4}-[A-Z]{3}-\d{3,4})/?$", 1), F.lit("")).alias("identity")), 1)
+cases("x235_context", [(1, "a  b\n c", "a b c")], "id, given, context", "id int, given string", lambda df: df.select("id", "given", F.substring(text.collapsed("given"), 1, 500).alias("context")), 2)
+cases("x249_staged_object", [(1, '{"id":"malware--1","type":"malware","x_secret":"s"}', "malware", True), (2, '{"id":"tool--1","type":"tool"}', "tool", False)], "id, given, type, accepted", "id int, given string", lambda df: df.select("id", "given", F.get_json_object("given", "$.type").alias("type"), F.get_json_object("given", "$.type").isin("malware", "campaign", "intrusion-set", "attack-pattern", "relationship", "identity", "marking-definition").alias("accepted")), 2)
+cases("x250_markup_guard", [(1, "plain", True), (2, "a &lt;b&gt; c", False), (3, "a &amp;lt;b&amp;gt;", False), (4, "x < 3", True)], "id, given, allowed", "id int, given string", lambda df: df.select("id", "given", text.free_of_markup("given").alias("allowed")), 2)
