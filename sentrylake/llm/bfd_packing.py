@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .cost_packing import _blocks
+from ._shared import small_batches
 from .tokens import END, default_vocabulary
 
 _FIELDS = [("sequence_id", pa.int64()), ("n_tokens", pa.int32()), ("n_segments", pa.int32()), ("doc_ids", pa.list_(pa.int64())), ("starts", pa.list_(pa.int64())), ("cu_seqlens", pa.list_(pa.int32())), ("input_ids", pa.binary()), ("position_ids", pa.binary())]
@@ -89,6 +90,7 @@ def pack_matrices(docs: DataFrame, capacity: int = 2048, path: str | None = None
     empty text is that id alone; null doc_ids stay null; repeated rows are packed each for itself; other
     columns are ignored; an empty table gives no rows.
     """
+    small_batches(docs.sparkSession)
     path = path or default_vocabulary()
 
     def run(batches):

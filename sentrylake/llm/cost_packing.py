@@ -22,6 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._shared import small_batches
 from .tokens import default_vocabulary, encoder
 
 _NONE = (float("inf"), -1, 0)
@@ -118,6 +119,7 @@ def pack(docs: DataFrame, capacity: int = 1024, path: str | None = None, block_t
     rows. A document longer than a block is one block. Sequence ids hold the partition in the upper bits
     and are not consecutive.
     """
+    small_batches(docs.sparkSession)
     path = path or default_vocabulary()
 
     def run(batches):

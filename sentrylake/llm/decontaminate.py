@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import mixed, powers, slices, utf8
+from ._shared import mixed, powers, slices, small_batches, utf8
 
 WINDOW, GRAM = 10, 5
 
@@ -256,6 +256,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, broadcast_bytes: int =
     that repeat an id count once. Repeated rows of docs give repeated rows; other columns of either
     table are ignored; an empty benchmark leaves all documents clean.
     """
+    small_batches(docs.sparkSession)
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null and text is not null").distinct()

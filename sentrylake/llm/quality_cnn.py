@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._labels import fold, sample
-from ._shared import slices, utf8
+from ._shared import slices, small_batches, utf8
 
 SAMPLE, CROP = 4_000, 4096
 BLOCK, WIDTH, STRIDE, DIM, FILTERS, HIDDEN, REACH = 256, 9, 3, 7, 24, 16, 40
@@ -194,6 +194,7 @@ def probabilities(texts: pa.Array, net: Net, segment: int = 1 << 18) -> np.ndarr
 
 def score(docs: DataFrame, net: Net | None, constant: float = 0.0) -> DataFrame:
     """docs' doc_id and score, one row per row of docs."""
+    small_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(net.p if net else None)
 
     def run(batches):

@@ -280,7 +280,7 @@ def _dealt(row: tuple, cell: int, length: int) -> list[tuple]:
     return out
 
 
-def _sorted_marks(length: int, key_cap: int, cell: int | None, most: int = 2 << 20):
+def _sorted_marks(length: int, key_cap: int, cell: int | None, most: int = 1 << 20):
     """Of bodies sorted by key and context: marked runs [a, b) of the windows of each original context, found
     by suffix arrays over about `most` bytes of whole keys; keys over the cap in parts, as new bodies."""
 

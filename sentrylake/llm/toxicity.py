@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._labels import fold, sample
-from ._shared import mixed, slices, utf8
+from ._shared import mixed, slices, small_batches, utf8
 from .decontaminate import _POWERS, Words
 
 SAMPLE = 6_000
@@ -153,6 +153,7 @@ def probabilities(texts: pa.Array, weights: np.ndarray, bias: float) -> np.ndarr
 
 def score(docs: DataFrame, weights: np.ndarray, bias: float) -> DataFrame:
     """docs' doc_id and score, one row per row; null and empty texts get the score of no words."""
+    small_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(weights.astype(np.float32))
 
     def run(batches):
