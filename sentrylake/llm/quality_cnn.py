@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from ._labels import fold, sample
 from ._shared import slices, small_batches, utf8
 
-SAMPLE, CROP = 4_000, 4096
+SAMPLE, CROP = 2_500, 2048
 BLOCK, WIDTH, STRIDE, DIM, FILTERS, HIDDEN, REACH = 256, 9, 3, 7, 24, 16, 40
 _STEPS = BLOCK // STRIDE + 1  # places of a filter in a block; the last reaches into the next block
 
@@ -131,12 +131,14 @@ class Net:
         dcols = (d @ p["filters"].T).reshape(-1, WIDTH, DIM + 1)[:, :, :DIM]
         g["embed"] = np.zeros_like(p["embed"])
         for k in range(WIDTH):
-            np.add.at(g["embed"], raw[places[live] + k], dcols[:, k])
+            at = raw[places[live] + k]
+            for i in range(DIM):
+                g["embed"][:, i] += np.bincount(at, dcols[:, k, i], 256)
         g["embed"][0] = 0
         return g
 
 
-def train(rows: list[tuple[str, int]], rounds: int = 8, batch: int = 32, rate: float = 4e-3, seed: int = 0) -> tuple[Net | None, float]:
+def train(rows: list[tuple[str, int]], rounds: int = 6, batch: int = 32, rate: float = 4e-3, seed: int = 0) -> tuple[Net | None, float]:
     """(network, 0), or (None, log odds of the smoothed rate) where the rows have one class only."""
     y = np.array([r[1] > 0 for r in rows], np.float32)
     if not len(y) or y.min() == y.max():
