@@ -23,6 +23,8 @@ PATTERNS = {
     "file_hash": r"(?<![0-9a-fA-F])(?:[0-9a-fA-F]{128}|[0-9a-fA-F]{64}|[0-9a-fA-F]{40}|[0-9a-fA-F]{32})(?![0-9a-fA-F])",
     "domain": r"(?<![@\w-])(?:[A-Za-z0-9\u0080-\uffff](?:[A-Za-z0-9\u0080-\uffff-]{0,61}[A-Za-z0-9\u0080-\uffff])?(?:\.|\[\.\]|\(\.\))){1,}[A-Za-z0-9\u0080-\uffff](?:[A-Za-z0-9\u0080-\uffff-]{0,61}[A-Za-z0-9\u0080-\uffff])?(?![\w.-])",
 }
+#: What a text must hold for a pattern to be worth trying; plain prose holds none of it.
+TRIGGERS = {"url": r"//", "ipv4": r"[0-9](?:\.|\[\.\]|\(\.\))[0-9]", "ipv6": r"[0-9a-fA-F]{0,4}:[0-9a-fA-F]{0,4}:", "file_hash": r"[0-9a-fA-F]{32}", "domain": r"[A-Za-z0-9\u0080-\uffff](?:\.|\[\.\]|\(\.\))[A-Za-z0-9\u0080-\uffff]"}
 CAPS = {"url": 20, "ipv4": 25, "ipv6": 20, "file_hash": 20, "domain": 25}
 TOTAL, LONGEST, NEAR, SNIPPET = 100, 12_000, 120, 500
 WORDS = {
@@ -42,16 +44,18 @@ _KIND = "array<struct<rank:int,kind:string,field:string,at:int,raw:string>>"
 
 
 def _matcher():
-    found = [(i, k, re.compile(p)) for i, (k, p) in enumerate(PATTERNS.items())]
+    found = [(i, k, re.compile(TRIGGERS[k]), re.compile(p)) for i, (k, p) in enumerate(PATTERNS.items())]
     shield = re.compile(PROTECTED)
 
     @F.pandas_udf(_KIND)
     def matches(title: pd.Series, summary: pd.Series) -> pd.Series:
         def one(t, s):
             out = []
-            for rank, kind, pattern in found:
+            for rank, kind, trigger, pattern in found:
                 n = 0
                 for field, text in (("title", t or ""), ("summary", s or "")):
+                    if not trigger.search(text):
+                        continue
                     for m in pattern.finditer(text):
                         if n == CAPS[kind] or len(out) == TOTAL:
                             break
