@@ -15,10 +15,10 @@ from ..sources.sinks import metric_lines, record_lines, report_rows
 from .analogues import query
 
 
-@query("SELECT id, title, published FROM items WHERE status = 'active' AND item_type = 'vulnerability' AND published >= TIMESTAMP '1997-01-01' AND published < TIMESTAMP '1998-01-01' ORDER BY published DESC NULLS LAST, id DESC LIMIT 25 OFFSET 25")
+@query("SELECT id, title, published FROM items WHERE status = 'active' AND item_type = 'vulnerability' AND published >= TIMESTAMP '1997-01-01' AND published < TIMESTAMP '1998-01-01' ORDER BY published DESC NULLS LAST, id DESC LIMIT 25 OFFSET 5")
 def items_newest_page(t):
     df = C.of_type(C.active(t.items), "").where(C.in_year("published", 1997))
-    return L.page(df.select("id", "title", "published"), L.orders("newest_published"), 25, 25)
+    return L.page(df.select("id", "title", "published"), L.orders("newest_published"), 25, 5)
 
 
 @query("SELECT id, status FROM items WHERE status = 'active'")
