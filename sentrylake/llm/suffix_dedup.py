@@ -43,9 +43,10 @@ _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 # --- suffix arrays -------------------------------------------------------------------------------
 
 
-def two_stage_order(texts: list[bytes], starts: list[int], depth: int) -> list[tuple[int, int]]:
+def two_stage_order(texts: list[bytes], starts: list[int], depth: int, groups: list[int] | None = None) -> list[tuple[int, int]]:
     """(text, place) of the suffixes at places [0, starts[t]) of every text t, in the order of their first
-    `depth` bytes; equal ones are adjacent.
+    `depth` bytes; equal ones are adjacent. With groups (a number for each text, ascending) the order is that
+    of a suffix array for each group, one after the other; all are built in the same passes.
 
     Suffixes smaller than their successors are sorted directly. Each other suffix is larger than its
     successor and is induced from it: the buckets of first bytes are scanned in order, and what precedes a
@@ -64,63 +65,65 @@ def two_stage_order(texts: list[bytes], starts: list[int], depth: int) -> list[t
     turns = np.flatnonzero(turn)
     after = turns[np.searchsorted(turns, np.arange(n))]
     smaller = ~last[after] & (data[after] < data[np.minimum(after + 1, n - 1)])
-    direct, members, stop = [], np.zeros(n + 1, bool), []
+    members, stop = np.zeros(n + 1, bool), []
     small_at = np.flatnonzero(smaller)
+    first_small = np.searchsorted(small_at, base + np.maximum(starts, 0))
     for t, k in enumerate(starts):
         if k <= 0:
             continue
         # the chain of larger suffixes after the last wanted one ends at a directly sorted one or the text's end
-        i = int(np.searchsorted(small_at, base[t] + k))
+        i = int(first_small[t])
         top = int(small_at[i]) + 1 if i < len(small_at) and small_at[i] < ends[t] else int(ends[t])
         members[base[t] : top] = True
         if top == ends[t] and not smaller[top - 1]:
             stop.append(top - 1)
     whole, owner = data.tobytes(), np.repeat(np.arange(len(texts)), ends - base)
-    direct = np.flatnonzero(members[:n] & smaller).tolist()
-    limit = ends[owner]
-    direct.sort(key=lambda i: whole[i : min(i + depth, limit[i])])
+    direct = np.flatnonzero(members[:n] & smaller)
+    group = np.asarray(groups)[owner] if groups is not None else np.zeros(n, np.int64)
+    cuts = [0, *(np.flatnonzero(np.diff(group[direct])) + 1).tolist(), len(direct)]
+    limit = np.minimum(direct + depth, ends[owner[direct]]).tolist()
+    direct = direct.tolist()
+    words = [whole[i:j] for i, j in zip(direct, limit)]
     large: list[list[int]] = [[] for _ in range(256)]
     small: list[list[int]] = [[] for _ in range(256)]
-    for i in direct:
-        small[whole[i]].append(i)
-    follows = (members[:n] & ~smaller).tolist()  # larger suffixes that are wanted
-    first = set(base.tolist())
-
-    def induce(i: int) -> None:
-        if i not in first and follows[i - 1]:
-            large[whole[i - 1]].append(i - 1)
-
+    for x, y in zip(cuts[:-1], cuts[1:]):
+        for i in sorted(range(x, y), key=words.__getitem__):
+            small[words[i][0]].append(direct[i])
+    del words
+    # places that a larger, wanted suffix of the same text precedes
+    led = np.zeros(n, bool)
+    led[1:] = members[: n - 1] & ~smaller[: n - 1]
+    led[base[ends > base]] = False
+    led = led.tobytes()
     for i in stop:  # before the empty suffix
         large[whole[i]].append(i)
-    out = []
+    out: list[int] = []
     for c in range(256):
         for part in (large[c], small[c]):
             for i in part:  # a large part grows while it is scanned
-                out.append(i)
-                induce(i)
+                if led[i]:
+                    large[whole[i - 1]].append(i - 1)
+            out += part
     got = np.array(out, np.int64)
+    got = got[np.argsort(group[got], kind="stable")]
     t = owner[got]
     place = got - base[t]
     keep = place < np.asarray(starts)[t]
     return list(zip(t[keep].tolist(), place[keep].tolist()))
 
 
-def repeated_places(texts: list[bytes], starts: list[int], length: int, twice: list[bool]) -> list[np.ndarray]:
+def repeated_places(texts: list[bytes], starts: list[int], length: int, twice: list[bool], groups: list[int] | None = None) -> list[np.ndarray]:
     """For each text the places below starts[t] whose first `length` bytes start at another place too, or lie
-    in a text that itself occurs twice."""
-    order = two_stage_order(texts, starts, length)
-    marks = [np.full(max(k, 0), w) for k, w in zip(starts, twice)]
-    i = 0
-    while i < len(order):
-        t, p = order[i]
-        word, j = texts[t][p : p + length], i + 1
-        while j < len(order) and texts[order[j][0]][order[j][1] : order[j][1] + length] == word:  # common prefix of neighbours
-            j += 1
-        if j - i > 1:
-            for t, p in order[i:j]:
-                marks[t][p] = True
-        i = j
-    return [np.flatnonzero(m) for m in marks]
+    in a text that itself occurs twice. Equal strings are looked for within groups."""
+    order = two_stage_order(texts, starts, length, groups)
+    marks = [bytearray(b"\1" if w else b"\0") * max(k, 0) for k, w in zip(starts, twice)]
+    before, at = None, None
+    for t, p in order:
+        word = texts[t][p : p + length]
+        if word == before and (groups is None or groups[t] == groups[at[0]]):  # the neighbours' common prefix has `length` bytes
+            marks[at[0]][at[1]] = marks[t][p] = 1
+        before, at = word, (t, p)
+    return [np.flatnonzero(np.frombuffer(m, np.uint8)) for m in marks]
 
 
 # --- anchors -------------------------------------------------------------------------------------
@@ -206,19 +209,6 @@ def _occurrences(length: int, gram: int):
 _OCC = "t1 long, t2 long, key long, ctx long, s long, n long"
 
 
-def _combined(batches):
-    """Occurrences of a batch by key and context: how many, and one of them."""
-    for b in batches:
-        t1, t2, key, ctx, s, n = (c.to_numpy() for c in b.columns)
-        order = np.lexsort((ctx, key))
-        k, c = key[order], ctx[order]
-        new = np.ones(len(k), bool)
-        new[1:] = (k[1:] != k[:-1]) | (c[1:] != c[:-1])
-        first = np.flatnonzero(new)
-        one = order[first]
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (t1[one], t2[one], k[first], c[first], s[one], n[one], np.diff(np.append(first, len(k))))], ["t1", "t2", "key", "ctx", "s", "n", "c"])
-
-
 # --- the operator --------------------------------------------------------------------------------
 
 
@@ -239,8 +229,9 @@ def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(schema)], schema=schema)
 
 
-def _contexts(length: int):
-    """The bytes of each wanted context, out of its text; in small batches, as contexts overlap."""
+def _contexts(length: int, key_cap: int):
+    """The bytes of each wanted context, out of its text, dealt at once where its key is over the cap; in small
+    batches, as contexts overlap."""
 
     def run(batches):
         for b in batches:
@@ -248,8 +239,9 @@ def _contexts(length: int):
             for text, places in zip(b.column("text"), b.column("places")):
                 whole = text.as_buffer().to_pybytes()
                 for x in places.as_py():
-                    out.append((x["key"], x["ctx"], x["twice"], x["n"], whole[x["s"] : x["s"] + x["n"] // LEADS + length - 1], x["key"], x["ctx"], 0))
-                    size += len(out[-1][4])
+                    row = (x["key"], x["ctx"], x["twice"], x["n"], whole[x["s"] : x["s"] + x["n"] // LEADS + length - 1], x["key"], x["ctx"], 0)
+                    out += [row] if x["kinds"] <= key_cap else [r[2:] for r in _dealt(row, CELLS[0], length)]
+                    size += len(row[4])
                     if size > 4 << 20:
                         yield _batch(out, _BODIES)
                         out, size = [], 0
@@ -282,14 +274,15 @@ def _dealt(row: tuple, cell: int, length: int) -> list[tuple]:
 
 def _sorted_marks(length: int, key_cap: int, cell: int | None, most: int = 1 << 20):
     """Of bodies sorted by key and context: marked runs [a, b) of the windows of each original context, found
-    by suffix arrays over about `most` bytes of whole keys; keys over the cap in parts, as new bodies."""
+    by suffix arrays over about `most` bytes of whole keys; keys over the cap, which the first deal has left, in parts as new bodies."""
 
     def mark(row, a, b):
         return (row[7] + a, row[7] + b, None, None, None, None, None, row[5], row[6], None)
 
     def flush(rows: list):
         out = []
-        for row, at in zip(rows, repeated_places([r[4] for r in rows], [r[3] // LEADS for r in rows], length, [r[2] for r in rows])):
+        groups = np.cumsum([0, *(a[0] != b[0] for a, b in zip(rows, rows[1:]))]).tolist()
+        for row, at in zip(rows, repeated_places([r[4] for r in rows], [r[3] // LEADS for r in rows], length, [r[2] for r in rows], groups)):
             if len(at):
                 cut = np.flatnonzero(np.diff(at) > 1)
                 out += [mark(row, int(x), int(y) + 1) for x, y in zip(at[np.append(0, cut + 1)], at[np.append(cut, len(at) - 1)])]
@@ -342,40 +335,6 @@ def _sorted_marks(length: int, key_cap: int, cell: int | None, most: int = 1 <<
     return run
 
 
-def _ruled(batches):
-    """Of rows sorted by key and context: (key, ctx, t1, t2, s, n, twice, several) of keys that occur twice."""
-    held = None
-
-    def out(t):
-        key, ctx = t["key"].to_numpy(), t["ctx"].to_numpy()
-        new = np.ones(len(key), bool)
-        new[1:] = (key[1:] != key[:-1]) | (ctx[1:] != ctx[:-1])
-        first = np.flatnonzero(new)
-        count = np.add.reduceat(t["c"].to_numpy(), first)
-        key = key[first]
-        head = np.ones(len(key), bool)
-        head[1:] = key[1:] != key[:-1]
-        group = np.cumsum(head) - 1
-        kinds, total = np.bincount(group)[group], np.bincount(group, count)[group]
-        keep = total > 1
-        at = first[keep]
-        cols = [t[c].to_numpy()[at] for c in ("key", "ctx", "t1", "t2", "s", "n")] + [(count > 1)[keep], (kinds > 1)[keep]]
-        return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["key", "ctx", "t1", "t2", "s", "n", "twice", "several"])
-
-    for b in batches:
-        t = pa.Table.from_batches([b])
-        held = t if held is None else pa.concat_tables([held, t]).combine_chunks()
-        key = held["key"].to_numpy()
-        if not len(key):
-            continue
-        last = int(np.searchsorted(key, key[-1], "left"))
-        if last:
-            yield out(held.slice(0, last).combine_chunks())
-            held = held.slice(last)
-    if held is not None and held.num_rows:
-        yield out(held.combine_chunks())
-
-
 def _merged(spans) -> list[tuple[int, int]]:
     out: list[list[int]] = []
     for a, b in sorted(spans):
@@ -420,14 +379,17 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, key_
     schema = docs.schema
     text = docs.select(F.col("text").cast("string").alias("text"))
     occ = stored(text.mapInArrow(_occurrences(length, gram), _OCC), "occurrences")
-    pre = occ.mapInArrow(_combined, _OCC + ", c long").repartition("key").sortWithinPartitions("key", "ctx")
-    ruled = stored(pre.mapInArrow(_ruled, "key long, ctx long, t1 long, t2 long, s long, n long, twice boolean, several boolean"), "ruled")
+    # all counts are map-side aggregates, and the rules join is one that adaptive execution splits: no key's
+    # occurrences or contexts meet in one task
+    kinds = occ.groupBy("key", "ctx").agg(F.count(F.lit(1)).alias("c"), *(F.first(x).alias(x) for x in ("t1", "t2", "s", "n")))
+    totals = kinds.groupBy("key").agg(F.sum("c").alias("total"), F.count(F.lit(1)).alias("kinds")).where("total > 1").select("key", "kinds")
+    ruled = stored(kinds.join(totals, "key").select("key", "ctx", "t1", "t2", "s", "n", (F.col("c") > 1).alias("twice"), "kinds"), "ruled")
     # a text's wanted contexts are bounded by its length
-    wanted = ruled.where("several").groupBy("t1", "t2").agg(F.collect_list(F.struct("key", "ctx", "twice", "n", "s")).alias("places"))
+    wanted = ruled.where("kinds > 1").groupBy("t1", "t2").agg(F.collect_list(F.struct("key", "ctx", "twice", "n", "s", "kinds")).alias("places"))
     whole = text.mapInArrow(_texts, "t1 long, t2 long, text string")
-    bodies = whole.join(wanted, ["t1", "t2"]).select("text", "places").mapInArrow(_contexts(length), _BODIES_SQL)
+    bodies = whole.join(wanted, ["t1", "t2"]).select("text", "places").mapInArrow(_contexts(length, key_cap), _BODIES_SQL)
     rules = ruled.where("twice").select("key", "ctx", F.lit(0).cast("long").alias("a"), F.expr(f"n div {LEADS}").alias("b"))
-    for cell in (*CELLS, None):
+    for cell in (*CELLS[1:], None):
         met = bodies.repartition("key").sortWithinPartitions("key", "ctx", "okey", "octx", "off")
         marks = stored(met.mapInArrow(_sorted_marks(length, key_cap, cell), _MARKS_SQL), "marks")
         rules = rules.unionByName(marks.where("body is null").select(F.col("okey").alias("key"), F.col("octx").alias("ctx"), "a", "b"))
