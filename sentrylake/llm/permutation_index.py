@@ -7,10 +7,11 @@ ranks the shard's rows by footrule distance of the two orders (a missing pivot c
 `prefix`); the `share` of rows that come first are reranked by the exact inner product. The best `k` of
 each shard meet in the end.
 
-The pivots are chosen, far from each other, out of a sample of 8 rows for each; every row is indexed. Queries travel to the shards by a join
-on the shard number, so neither vectors nor queries pass through the driver. Work grows with queries
-times rows, at a small constant: vectors without structure leave no index anything to leave out, and
-the `share` is what keeps recall at 0.9 and more there.
+The pivots are chosen, far from each other, out of a sample of 8 rows for each; every row is indexed.
+Queries travel to every shard by the shard's number, so neither vectors nor queries pass through the
+driver. Work grows with queries times rows, at a small constant: vectors without structure leave no
+index anything to leave out, and the `share` is what keeps recall above 0.9 there (against brute
+force 0.95 on 2,000 such vectors, 0.98 and more on 10,000 and 50,000).
 """
 
 from __future__ import annotations
@@ -126,7 +127,7 @@ def valid(vectors: DataFrame) -> DataFrame:
     return rows.where(F.size("v") == (common["n"] if common else 0))
 
 
-def neighbours(vectors: DataFrame, is_query: Column, k: int = 20, pivots: int = 128, prefix: int = 32, share: float = 0.25, close: float = 0.6, least: int = 512, shard_rows: int = 8192) -> DataFrame:
+def neighbours(vectors: DataFrame, is_query: Column, k: int = 20, pivots: int = 128, prefix: int = 32, share: float = 0.35, close: float = 0.6, least: int = 512, shard_rows: int = 8192) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: of each query (a condition on `id`, the vec_id) the k nearest rows found but
     its own, nearest first, ties to the smaller vec_id; all others if there are fewer.
 

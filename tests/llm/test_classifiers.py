@@ -6,6 +6,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from sentrylake.llm import _labels
 from sentrylake.llm import quality_cnn as qc
 from sentrylake.llm import toxicity as tx
 
@@ -113,3 +114,14 @@ def test_gradients():
             down = loss()
             flat[i] = old
             assert (up - down) / (2 * step) == pytest.approx(g[name].reshape(-1)[i], rel=0.15, abs=2e-3)
+
+
+def test_sample_is_bounded(spark):
+    """Long texts give a stretch that lies within them; nulls and unlabelled rows are left out; repeated labels count once."""
+    long = "".join(chr(97 + i % 26) * (1 + i % 7) for i in range(300))
+    docs = spark.createDataFrame([(1, long), (2, "short"), (3, None), (4, "no label"), (None, "no id"), (5, "")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1, None), (1, 0, None), (2, 0, None), (3, 1, None), (5, 1, None), (None, 1, None)], "doc_id long, quality int, toxic int")
+    got = sorted(_labels.sample(docs, labels, "quality", F.lit(True), 10, stretch=50), key=lambda x: len(x[0]))
+    assert [(len(t), y) for t, y in got] == [(0, 1), (5, 0), (50, 1)] and got[2][0] in long
+    assert len(_labels.sample(docs, labels, "quality", F.lit(True), 2)) <= 2
+    assert _labels.sample(docs, labels, "toxic", F.lit(True), 10) == []
