@@ -104,7 +104,8 @@ def _telling(row: np.ndarray, feat: np.ndarray, y: np.ndarray, least_z: float) -
 
 
 def train(rows: list[tuple[str, int]], rounds: int = 200, swap_penalty: float = 1.0, decay: float = 1e-4, least_z: float = 3.5) -> tuple[np.ndarray, float]:
-    """(weights, bias). One class only, or no rows, gives the smoothed rate and no weights."""
+    """(weights, bias). One class only, no rows, or no feature that tells the classes apart, gives the smoothed
+    rate and no weights."""
     weights = np.zeros(1 << _BITS)
     y = np.array([r[1] > 0 for r in rows], float)
     rate = (y.sum() + 0.5) / (len(y) + 1)
@@ -115,6 +116,8 @@ def train(rows: list[tuple[str, int]], rounds: int = 200, swap_penalty: float =
     row, feat, value = _matrix(texts)
     ratio = _telling(row, feat, y, least_z)
     seen = ratio != 0
+    if not seen.any():
+        return weights, bias
     pairs = [(i, s) for i, t in enumerate(texts) if (s := swapped(t, i)) is not None]
     srow, sfeat, svalue = _matrix([s for _, s in pairs])
     origin = np.array([i for i, _ in pairs], np.int64)

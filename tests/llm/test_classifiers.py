@@ -125,3 +125,10 @@ def test_sample_is_bounded(spark):
     assert [(len(t), y) for t, y in got] == [(0, 1), (5, 0), (50, 1)] and got[2][0] in long
     assert len(_labels.sample(docs, labels, "quality", F.lit(True), 2)) <= 2
     assert _labels.sample(docs, labels, "toxic", F.lit(True), 10) == []
+
+
+def test_labels_that_texts_do_not_explain_reject_nothing():
+    r = random.Random(4)
+    rows = [(text(r, 20), int(i % 5 == 0)) for i in range(50)]
+    weights, bias = tx.train(rows)
+    assert not weights.any() and 0.1 < tx.probabilities(pa.array(["alpha", "", None]), weights, bias).max() < 0.3
