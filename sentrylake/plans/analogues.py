@@ -7,6 +7,7 @@ query does with them is DataFrame code here and separate SQL there."""
 from __future__ import annotations
 
 import re
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -96,6 +97,12 @@ class Tables:
         return self.spark.read.parquet(f"{self.folder}/{table}.parquet")
 
 
+def shared_folder(t: Tables, name: str) -> str:
+    """A new folder that the driver and all executors see."""
+    root = t.spark.conf.get("spark.checkpoint.dir", None) or t.spark.conf.get("spark.sql.warehouse.dir")
+    return f"{root.rstrip('/')}/sentrylake-{name}-{uuid.uuid4().hex}"
+
+
 def _with(sql: str) -> str:
     used = [n for n in TABLES if re.search(rf"\b{n}\b", sql)]
     parts = [f"{n} AS (SELECT {', '.join(TABLES[n][1])} FROM {TABLES[n][0]})" for n in used]

@@ -11,7 +11,7 @@ from ..functions import ioc, relevance, text, times, urls
 from ..functions import observables as O
 from ..functions import vulnerabilities as V
 from ..sources import feeds, registry
-from .analogues import query
+from .analogues import query, shared_folder
 
 
 def _frame(t, rows, schema):
@@ -48,9 +48,9 @@ def s17_catalog_bootstrap(t):
     return registry.bootstrap(registry.registry(t.spark), stored, {"vulnerability-feed": "https://old"})
 
 
-@query("SELECT id, text FROM terms WHERE NOT EXISTS (SELECT 1 FROM marks WHERE marks.id < 0)")
+@query("SELECT id, text FROM terms")
 def s16_load_if_empty(t):
-    return registry.load_if_empty([t.marks.where("id < 0")], t.terms).select("id", "text")
+    return registry.load_if_empty([t.marks.limit(0)], t.terms).select("id", "text")
 
 
 @query("SELECT page_id, CAST(0 AS INT) AS place, regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1) AS raw FROM listings")
@@ -83,9 +83,9 @@ def s04_score_batches(t):
     return feeds.score_batches(t.identifiers, "value").select("year", "part", F.size("keys").cast("long").alias("keys"), F.col("keys")[0].alias("first"))
 
 
-@query("SELECT id, md5(regexp_replace(trim(regexp_replace(text, '[\\s]+', ' ', 'g')), '^ | $', '', 'g')) AS collapsed FROM publications WHERE NOT regexp_matches(text, '[^ -~\\n]')")
+@query(r"SELECT id, md5(trim(regexp_replace(text, '[\t-\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+', ' ', 'g'))) AS collapsed FROM publications")
 def x202_collapsed(t):
-    return t.publications.where(~F.col("text").rlike("[^ -~\\n]")).select("id", F.md5(text.collapsed("text")).alias("collapsed"))
+    return t.publications.select("id", F.md5(text.collapsed("text")).alias("collapsed"))
 
 
 cases("x201_like_escape", [("50%_x", r"50\%\_x"), ("a\\b", r"a\\b")], "given, escaped", "given string", lambda df: df.select("given", F.regexp_replace("given", r"([\\%_])", r"\\$1").alias("escaped")), 1)
@@ -248,9 +248,9 @@ def x240_digest_keys(t):
     return t.runs.select("id", text.digest_key("source", "status", "attempt").alias("key"))
 
 
-@query("SELECT id, md5(trim(regexp_replace(lower(substring(text, 1, 8000)), '[^a-z0-9]+', ' ', 'g'))) AS words FROM publications WHERE NOT regexp_matches(text, '[^ -~\\n]')")
+@query("SELECT id, md5(trim(regexp_replace(lower(substring(text, 1, 8000)), '[^\\pL\\pN]+', ' ', 'g'))) AS words FROM publications")
 def x241_words_only(t):
-    return t.publications.where(~F.col("text").rlike("[^ -~\\n]")).select("id", F.md5(text.words_only("text")).alias("words"))
+    return t.publications.select("id", F.md5(text.words_only("text")).alias("words"))
 
 
 _RULES = """CASE WHEN source IN ('src3','src7') THEN 'approved_source' WHEN regexp_matches(w, '\\bthe is\\b') THEN 'country_mention' WHEN regexp_matches(w, '\\bthan the\\b') THEN 'acronym_mention' WHEN regexp_matches(w, '\\bidiot\\b') THEN 'emirate_mention' WHEN lang = 'de' THEN 'structured_scope' WHEN lang = 'global' THEN 'global_scope' ELSE 'no_evidence' END"""
@@ -294,11 +294,8 @@ def x252_page_metadata(t):
 
 
 def _files(t, name: str, *bodies: str) -> str:
-    """Fixture files in a folder of the session's warehouse or temporary space, one per body."""
-    import uuid
-
-    root = t.spark.conf.get("spark.checkpoint.dir", None) or t.spark.conf.get("spark.sql.warehouse.dir")
-    path = f"{root.rstrip('/')}/sentrylake-fixture-{name}-{uuid.uuid4().hex}"
+    """Fixture files, one per body."""
+    path = shared_folder(t, f"fixture-{name}")
     for b in bodies:
         t.spark.createDataFrame([(b,)], "value string").coalesce(1).write.mode("append").option("lineSep", " ").text(path)
     return path
@@ -341,6 +338,15 @@ def s10_publication_files(t):
     return feeds.publications(t.spark, _files(t, "publications", good, twice, "{")).select("source", "title", "summary")
 
 
+_AUTHORS = {"src3": "vendor-a", "src7": "vendor-b"}
+
+
+@query(r"""SELECT id, CASE source WHEN 'src3' THEN 'vendor-a' ELSE 'vendor-b' END AS vendor FROM publications WHERE source IN ('src3','src7')
+AND NOT regexp_matches(coalesce(replace(replace(replace(text, '&amp;', '&'), '&lt;', '<'), '&gt;', '>'), ''), '<\s*/?\s*[a-zA-Z!][^>]*>')""")
+def s11_vendor_entries(t):
+    return feeds.by_author(t.publications, "source", _AUTHORS, ["text"]).select("id", "vendor")
+
+
 @query("SELECT * FROM (VALUES ('malware--1','malware',false), ('campaign--1','campaign',true)) v(id, type, revoked)")
 def s13_stix_bundle(t):
     o = [{"id": "malware--1", "type": "malware", "created": "2024-01-01T00:00:00Z", "modified": "2024-01-02T00:00:00Z"}, {"id": "campaign--1", "type": "campaign", "created": "2024-01-01T00:00:00Z", "revoked": True}]
@@ -361,6 +367,15 @@ def s15_seed(t):
 
 
 cases("x209_safe_payload", [(1, '{"a": 1, "token": "x"}', '{"a":1}'), (2, "no json", None)], "id, given, safe", "id int, given string", lambda df: df.select("id", "given", text.safe_payload("given").alias("safe")), 2)
+
+
+@query("SELECT * FROM (VALUES (1, 'A b', 'https://x.example.org/1', 'c d'), (2, 't', 'g-2', NULL), (3, NULL, 'https://x.example.org/3', 'e')) v(id, title, external_id, summary)")
+def x223_rss_entry(t):
+    rows = [(1, " A  b ", "https://x.example.org/1 ", " ", "<p>c</p> d"), (2, "t", "https://x.example.org/2", "g-2", None), (3, "  ", "https://x.example.org/3", None, "e")]
+    raw = _frame(t, rows, "id int, title string, link string, guid string, description string").withColumn("pubDate", F.lit(None).cast("string"))
+    return feeds.normalized_entries(raw, "id").select("id", "title", "external_id", "summary")
+
+
 cases("x224_path_identity", [("https://cert.example.org/alerte/CERTFR-2024-ALE-001/", "CERTFR-2024-ALE-001"), ("https://cert.example.org/x", None)], "given, identity", "given string", lambda df: df.select("given", F.nullif(F.regexp_extract(urls.part("given", "PATH"), r"/([A-Z]+-\d{4}-[A-Z]{3}-\d{3,4})/?$", 1), F.lit("")).alias("identity")), 1)
 cases("x235_context", [(1, "a  b\n c", "a b c")], "id, given, context", "id int, given string", lambda df: df.select("id", "given", F.substring(text.collapsed("given"), 1, 500).alias("context")), 2)
 cases("x249_staged_object", [(1, '{"id":"malware--1","type":"malware","x_secret":"s"}', "malware", True), (2, '{"id":"tool--1","type":"tool"}', "tool", False)], "id, given, type, accepted", "id int, given string", lambda df: df.select("id", "given", F.get_json_object("given", "$.type").alias("type"), F.get_json_object("given", "$.type").isin("malware", "campaign", "intrusion-set", "attack-pattern", "relationship", "identity", "marking-definition").alias("accepted")), 2)

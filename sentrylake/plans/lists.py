@@ -181,9 +181,9 @@ def l02_newest_published(t):
     return L.page(t.items.select("id", "published"), L.orders("newest_published"), 60, 40)
 
 
-@query("SELECT id, published FROM items WHERE id < 200 ORDER BY published ASC NULLS LAST, id ASC LIMIT 60 OFFSET 140")
+@query("SELECT id, published FROM items ORDER BY published ASC NULLS LAST, id ASC LIMIT 60 OFFSET 140")
 def l03_oldest_published(t):
-    return L.page(t.items.where("id < 200").select("id", "published"), L.orders("oldest_published"), 60, 140)
+    return L.page(t.items.select("id", "published"), L.orders("oldest_published"), 60, 140)
 
 
 @query("SELECT id FROM items ORDER BY id LIMIT 100 OFFSET 10000")
@@ -227,18 +227,18 @@ def l10_next_cursor(t):
     return L.next_cursor(L.keyset(t.people.select("id"), "id", 1400, 150), "id").select(F.col("cursor").cast("long").alias("cursor"))
 
 
-@query("SELECT id, CASE WHEN relevance = 'unknown' THEN 0 WHEN scope = 'unknown' THEN 1 ELSE 2 END AS tier FROM items WHERE id % 40 = 0 ORDER BY 2, id LIMIT 220")
+@query("SELECT id, CASE WHEN relevance = 'unknown' THEN 0 WHEN scope = 'unknown' THEN 1 ELSE 2 END AS tier FROM items ORDER BY 2, id LIMIT 220")
 def l11_two_tier(t):
     tier = F.when(F.col("relevance") == "unknown", 0).when(F.col("scope") == "unknown", 1).otherwise(2)
-    return L.tiered(t.items.where("id % 40 = 0"), tier, [F.asc("id")], 220).select("id", "tier")
+    return L.tiered(t.items, tier, [F.asc("id")], 220).select("id", "tier")
 
 
-_PLAN = "SELECT * FROM (SELECT 'errors' AS category, CAST(run_id AS VARCHAR) AS id FROM errors WHERE event_type = 'error' ORDER BY 2 LIMIT 41) UNION ALL SELECT * FROM (SELECT 'people', CAST(id AS VARCHAR) FROM people WHERE id % 90 = 0 ORDER BY 2 LIMIT 41) UNION ALL SELECT * FROM (SELECT 'runs', CAST(id AS VARCHAR) FROM runs WHERE status = 'failed' ORDER BY 2 LIMIT 41)"
+_PLAN = "SELECT * FROM (SELECT 'errors' AS category, CAST(run_id AS VARCHAR) AS id FROM errors WHERE event_type = 'error' ORDER BY 2 LIMIT 41) UNION ALL SELECT * FROM (SELECT 'people', CAST(id AS VARCHAR) FROM people WHERE segment = 'BUILDING' ORDER BY 2 LIMIT 41) UNION ALL SELECT * FROM (SELECT 'runs', CAST(id AS VARCHAR) FROM runs WHERE status = 'failed' ORDER BY 2 LIMIT 41)"
 
 
 @query(f"WITH u AS ({_PLAN}), top AS (SELECT * FROM u ORDER BY category, id LIMIT 41) SELECT category, id, (SELECT count(*) FROM top) > 40 AS truncated FROM top ORDER BY category, id LIMIT 40")
 def l12_retention_plan(t):
-    parts = {"runs": (t.runs.where("status = 'failed'"), "id"), "errors": (t.errors.where("event_type = 'error'"), "run_id"), "people": (t.people.where("id % 90 = 0"), "id")}
+    parts = {"runs": (t.runs.where("status = 'failed'"), "id"), "errors": (t.errors.where("event_type = 'error'"), "run_id"), "people": (t.people.where("segment = 'BUILDING'"), "id")}
     return L.bounded_plan(parts, 40)
 
 

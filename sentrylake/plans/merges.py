@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from ..operators import sets as X
 from ..operators import upserts as U
-from .analogues import query
+from ..sources import sinks
+from .analogues import query, shared_folder
 
 
 @query("SELECT 'run' AS category, id FROM runs WHERE status = 'failed' UNION ALL SELECT 'item', id FROM items WHERE status = 'archived' UNION ALL SELECT 'turn', run FROM turns")
@@ -28,17 +29,17 @@ def x03_unanswered(t):
 _REC = "SELECT {k}, CASE WHEN e.id IS NULL THEN 'create' {p} WHEN d.id IS NULL THEN 'delete' WHEN e.v IS NOT DISTINCT FROM d.v THEN 'unchanged' ELSE 'update' END AS action FROM e FULL JOIN d ON e.id = d.id"
 
 
-@query("WITH e AS (SELECT id, kind AS v FROM indicators WHERE id % 3 <> 0), d AS (SELECT id, CASE WHEN id % 5 = 0 THEN 'NEW' ELSE kind END AS v FROM indicators WHERE id % 4 <> 0) " + _REC.format(k="coalesce(e.id, d.id) AS id", p=""))
+@query("WITH e AS (SELECT id, kind AS v FROM indicators WHERE status = 'active'), d AS (SELECT id, CASE WHEN id % 5 = 0 THEN 'NEW' ELSE kind END AS v FROM indicators WHERE NOT revoked) " + _REC.format(k="coalesce(e.id, d.id) AS id", p=""))
 def x04_reconciled(t):
-    e = t.indicators.where("id % 3 <> 0").select("id", F.col("kind").alias("v"))
-    d = t.indicators.where("id % 4 <> 0").select("id", F.when(F.col("id") % 5 == 0, "NEW").otherwise(F.col("kind")).alias("v"))
+    e = t.indicators.where("status = 'active'").select("id", F.col("kind").alias("v"))
+    d = t.indicators.where("not revoked").select("id", F.when(F.col("id") % 5 == 0, "NEW").otherwise(F.col("kind")).alias("v"))
     return X.reconciled(e, d, ["id"], "v")
 
 
-@query("WITH e AS (SELECT id, kind AS v, id % 10 = 1 AS manual FROM indicators WHERE id % 3 <> 0), d AS (SELECT id, CASE WHEN id % 5 = 0 THEN 'NEW' ELSE kind END AS v FROM indicators WHERE id % 4 <> 0) " + _REC.format(k="coalesce(e.id, d.id) AS id", p="WHEN e.manual THEN 'protected'"))
+@query("WITH e AS (SELECT id, kind AS v, id % 10 = 1 AS manual FROM indicators WHERE status = 'active'), d AS (SELECT id, CASE WHEN id % 5 = 0 THEN 'NEW' ELSE kind END AS v FROM indicators WHERE NOT revoked) " + _REC.format(k="coalesce(e.id, d.id) AS id", p="WHEN e.manual THEN 'protected'"))
 def x05_reconciled_protected(t):
-    e = t.indicators.where("id % 3 <> 0").select("id", F.col("kind").alias("v"))
-    d = t.indicators.where("id % 4 <> 0").select("id", F.when(F.col("id") % 5 == 0, "NEW").otherwise(F.col("kind")).alias("v"))
+    e = t.indicators.where("status = 'active'").select("id", F.col("kind").alias("v"))
+    d = t.indicators.where("not revoked").select("id", F.when(F.col("id") % 5 == 0, "NEW").otherwise(F.col("kind")).alias("v"))
     return X.reconciled(e, d, ["id"], "v", F.col("id") % 10 == 1)
 
 
@@ -68,11 +69,11 @@ def x09_ordered_unique(t):
     return df.select("id", F.array_join(X.ordered_unique("x"), ",").alias("x"))
 
 
-@query("""WITH q AS (SELECT DISTINCT id AS k FROM indicators WHERE id % 2 = 0), r AS (SELECT indicator_id AS k, count(DISTINCT flag) AS c, min(CASE WHEN source_id > 2 THEN 1 ELSE 0 END) AS ok FROM records WHERE item_id < 900 GROUP BY 1)
+@query("""WITH q AS (SELECT DISTINCT id AS k FROM indicators WHERE status = 'active'), r AS (SELECT indicator_id AS k, count(DISTINCT flag) AS c, min(CASE WHEN source_id > 2 THEN 1 ELSE 0 END) AS ok FROM records WHERE flag <> 'N' GROUP BY 1)
 SELECT coalesce(q.k, r.k) AS k, CASE WHEN r.k IS NULL THEN 'unchanged' WHEN q.k IS NULL THEN 'unknown' WHEN ok = 0 THEN 'invalid' WHEN c > 1 THEN 'conflict' ELSE 'matched' END AS outcome FROM q FULL JOIN r ON q.k = r.k""")
 def x10_matched_responses(t):
-    q = t.indicators.where("id % 2 = 0").select(F.col("id").alias("k"))
-    r = t.records.where("item_id < 900").select(F.col("indicator_id").alias("k"), "flag", "source_id")
+    q = t.indicators.where("status = 'active'").select(F.col("id").alias("k"))
+    r = t.records.where("flag <> 'N'").select(F.col("indicator_id").alias("k"), "flag", "source_id")
     return X.matched_responses(q, r, "k", "flag", F.col("source_id") > 2)
 
 
@@ -88,32 +89,43 @@ def u01_publication_upsert(t):
     return U.publication_outcomes(cur, inc).select("external_id", "outcome")
 
 
-@query("""WITH k AS (SELECT CASE WHEN id % 2 = 0 THEN 'url' ELSE 'title' END AS namespace, sha256(value) AS value, id AS item_id FROM indicators WHERE id < 40),
+@query("""WITH k AS (SELECT CASE WHEN id % 2 = 0 THEN 'url' ELSE 'title' END AS namespace, sha256(value) AS value, id AS item_id FROM indicators WHERE status = 'revoked'),
 n AS (SELECT p.id, sha256(n.value) AS h FROM indicators n JOIN people p ON p.id = n.id)
 SELECT n.id, CASE WHEN u.value IS NOT NULL THEN 'linked' WHEN x.value IS NOT NULL THEN 'review' ELSE 'new' END AS outcome, u.item_id FROM n
 LEFT JOIN (SELECT value, min(item_id) AS item_id FROM k WHERE namespace = 'url' GROUP BY 1) u ON u.value = n.h LEFT JOIN (SELECT DISTINCT value FROM k WHERE namespace = 'title') x ON x.value = n.h""")
 def u02_identity_resolution(t):
-    k = t.indicators.where("id < 40").select(F.when(F.col("id") % 2 == 0, "url").otherwise("title").alias("namespace"), F.sha2("value", 256).alias("value"), F.col("id").alias("item_id"))
+    k = t.indicators.where("status = 'revoked'").select(F.when(F.col("id") % 2 == 0, "url").otherwise("title").alias("namespace"), F.sha2("value", 256).alias("value"), F.col("id").alias("item_id"))
     n = t.indicators.join(t.people.select("id"), "id").select("id", F.sha2("value", 256).alias("url_hash"), F.sha2("value", 256).alias("title_hash"))
     return U.resolved_articles(n, k)
 
 
-_M = """WITH c AS (SELECT id, kind AS v, TIMESTAMP '2024-01-01' AS seen FROM indicators WHERE id % 3 <> 0), i AS (SELECT id, CASE WHEN id % 5 = 0 THEN 'NEW' ELSE kind END AS v, TIMESTAMP '2024-02-01' AS seen FROM indicators WHERE id % 4 <> 0)
+_M = """WITH c AS (SELECT id, kind AS v, TIMESTAMP '2024-01-01' AS seen FROM indicators WHERE status = 'active'), i AS (SELECT id, CASE WHEN id % 5 = 0 THEN 'NEW' ELSE kind END AS v, TIMESTAMP '2024-02-01' AS seen FROM indicators WHERE NOT revoked)
 SELECT coalesce(c.id, i.id) AS id, CASE WHEN i.id IS NULL OR (c.id IS NOT NULL AND c.v = i.v) THEN c.v ELSE i.v END AS v, coalesce(i.seen, c.seen) AS seen, CASE WHEN i.id IS NULL THEN 'absent' WHEN c.id IS NULL THEN 'created' WHEN c.v = i.v THEN 'unchanged' ELSE 'updated' END AS outcome FROM c FULL JOIN i ON c.id = i.id"""
 
 
+def _incoming(t):
+    return t.indicators.where("not revoked").select("id", F.when(F.col("id") % 5 == 0, "NEW").otherwise(F.col("kind")).alias("v"), F.expr("timestamp_ntz'2024-02-01 00:00:00'").alias("seen"))
+
+
 @query(_M)
 def u03_vulnerability_upsert(t):
-    c = t.indicators.where("id % 3 <> 0").select("id", F.col("kind").alias("v"), F.expr("timestamp_ntz'2024-01-01 00:00:00'").alias("seen"))
-    i = t.indicators.where("id % 4 <> 0").select("id", F.when(F.col("id") % 5 == 0, "NEW").otherwise(F.col("kind")).alias("v"), F.expr("timestamp_ntz'2024-02-01 00:00:00'").alias("seen"))
-    return U.merged(c, i, ["id"], ["v"], "seen")
+    c = t.indicators.where("status = 'active'").select("id", F.col("kind").alias("v"), F.expr("timestamp_ntz'2024-01-01 00:00:00'").alias("seen"))
+    return U.merged(c, _incoming(t), ["id"], ["v"], "seen")
+
+
+@query(f"SELECT id, v, seen FROM ({_M})")
+def k04_upsert_sink(t):
+    root = shared_folder(t, "state")
+    sinks.write_state(t.indicators.where("status = 'active'").select("id", F.col("kind").alias("v"), F.expr("timestamp_ntz'2024-01-01 00:00:00'").alias("seen")), root, 1)
+    sinks.write_state(U.merged(sinks.read_state(t.spark, root), _incoming(t), ["id"], ["v"], "seen").drop("outcome"), root, 2)
+    return sinks.read_state(t.spark, root)
 
 
-@query("""WITH s AS (SELECT item_id AS id, max(seen) AS d, count(*) AS score FROM records GROUP BY 1), i AS (SELECT id, item_type, CASE WHEN id % 3 = 0 THEN NULL ELSE published END AS d, 1 AS score FROM items WHERE id % 8 <> 0)
+@query("""WITH s AS (SELECT item_id AS id, max(seen) AS d, count(*) AS score FROM records GROUP BY 1), i AS (SELECT id, item_type, CASE WHEN id % 3 = 0 THEN NULL ELSE published END AS d, 1 AS score FROM items WHERE status = 'active')
 SELECT s.id, CASE WHEN s.d > TIMESTAMP '2001-01-01' THEN 'rejected' WHEN i.id IS NULL OR i.item_type <> 'vulnerability' THEN 'skipped' WHEN i.d > s.d THEN 'stale' WHEN i.score = s.score AND i.d = s.d THEN 'unchanged' ELSE 'updated' END AS outcome FROM s LEFT JOIN i ON s.id = i.id""")
 def u04_score_enrichment(t):
     s = t.records.groupBy(F.col("item_id").alias("id")).agg(F.max("seen").alias("score_date"), F.count(F.lit(1)).alias("score"))
-    i = t.items.where("id % 8 <> 0").select("id", "item_type", F.when(F.col("id") % 3 != 0, F.col("published")).alias("score_date"), F.lit(1).cast("long").alias("score"))
+    i = t.items.where("status = 'active'").select("id", "item_type", F.when(F.col("id") % 3 != 0, F.col("published")).alias("score_date"), F.lit(1).cast("long").alias("score"))
     return U.enriched_scores(i, s, F.expr("timestamp_ntz'2001-01-01 00:00:00'")).select("id", "outcome")
 
 
@@ -142,31 +154,31 @@ def u08_extraction_eligibility(t):
     return t.items.select("id", F.when(F.col("status") != "active", "not_active").when(~F.col("item_type").isin("advisory", "report"), "wrong_type").otherwise("eligible").alias("eligibility"), F.coalesce("published", "collected").alias("observed"))
 
 
-@query("""WITH s AS (SELECT owner AS id, max(created) AS m, arg_max(id, (created, id)) AS p, arg_max(id % 5 = 0, (created, id)) AS r FROM items WHERE id % 2 = 0 GROUP BY 1), n AS (SELECT owner AS id, created AS modified, id AS payload FROM items WHERE id % 2 = 1 OR id % 6 = 0)
+@query("""WITH s AS (SELECT owner AS id, max(created) AS m, arg_max(id, (created, id)) AS p, arg_max(id % 5 = 0, (created, id)) AS r FROM items WHERE status = 'archived' GROUP BY 1), n AS (SELECT owner AS id, created AS modified, id AS payload FROM items WHERE status = 'active' OR kev_status = 'listed')
 SELECT n.id, n.modified, CASE WHEN s.id IS NULL THEN 'created' WHEN modified < m THEN 'stale' WHEN modified = m AND payload = p THEN 'unchanged' WHEN modified = m OR r THEN 'conflict' ELSE 'updated' END AS outcome FROM n LEFT JOIN s ON n.id = s.id""")
 def u09_versioned_import(t):
-    one = t.items.where("id % 2 = 0").groupBy(F.col("owner").alias("k")).agg(F.max_by(F.struct("created", "id"), F.struct("created", "id")).alias("x"))
+    one = t.items.where("status = 'archived'").groupBy(F.col("owner").alias("k")).agg(F.max_by(F.struct("created", "id"), F.struct("created", "id")).alias("x"))
     s = one.select(F.col("k").alias("id"), F.col("x.created").alias("modified"), F.col("x.id").alias("payload"), (F.col("x.id") % 5 == 0).alias("revoked"))
-    n = t.items.where("id % 2 = 1 or id % 6 = 0").select(F.col("owner").alias("id"), F.col("created").alias("modified"), F.col("id").alias("payload"))
+    n = t.items.where("status = 'active' or kev_status = 'listed'").select(F.col("owner").alias("id"), F.col("created").alias("modified"), F.col("id").alias("payload"))
     return U.version_outcomes(s, n)
 
 
 _TYPES = "CASE id % 4 WHEN 0 THEN 'intrusion-set' WHEN 1 THEN 'malware' WHEN 2 THEN 'attack-pattern' ELSE 'campaign' END"
 
 
-@query(f"""WITH n AS (SELECT id, {_TYPES} AS type FROM indicators WHERE id % 10 <> 0), e AS (SELECT indicator_id AS source, source_id AS target, CASE WHEN flag = 'R' THEN 'attributed-to' ELSE 'uses' END AS kind FROM records WHERE item_id < 2000)
+@query(f"""WITH n AS (SELECT id, {_TYPES} AS type FROM indicators WHERE status = 'active'), e AS (SELECT indicator_id AS source, source_id AS target, CASE WHEN flag = 'R' THEN 'attributed-to' ELSE 'uses' END AS kind FROM records)
 SELECT e.source, e.kind, e.target, CASE WHEN a.id IS NULL OR b.id IS NULL THEN 'missing_end' WHEN source = target THEN 'self_edge' WHEN (a.type, kind, b.type) IN (('intrusion-set','uses','malware'),('intrusion-set','uses','attack-pattern'),('campaign','uses','malware'),('campaign','uses','attack-pattern'),('malware','uses','attack-pattern'),('campaign','attributed-to','intrusion-set')) THEN 'accepted' ELSE 'not_approved' END AS outcome
 FROM e LEFT JOIN n a ON e.source = a.id LEFT JOIN n b ON e.target = b.id""")
 def u10_checked_edges(t):
-    n = t.indicators.where("id % 10 <> 0").select("id", F.expr(_TYPES).alias("type"))
-    e = t.records.where("item_id < 2000").select(F.col("indicator_id").alias("source"), F.when(F.col("flag") == "R", "attributed-to").otherwise("uses").alias("kind"), F.col("source_id").alias("target"))
+    n = t.indicators.where("status = 'active'").select("id", F.expr(_TYPES).alias("type"))
+    e = t.records.select(F.col("indicator_id").alias("source"), F.when(F.col("flag") == "R", "attributed-to").otherwise("uses").alias("kind"), F.col("source_id").alias("target"))
     return U.checked_edges(e, n)
 
 
-@query("SELECT item_id AS id, indicator_id AS ref FROM records WHERE item_id < 500 AND indicator_id NOT IN (SELECT id FROM indicators WHERE status = 'active') AND indicator_id NOT IN (SELECT id FROM people WHERE id % 2 = 0)")
+@query("SELECT item_id AS id, indicator_id AS ref FROM records WHERE indicator_id NOT IN (SELECT id FROM indicators WHERE status = 'active') AND indicator_id NOT IN (SELECT id FROM people WHERE segment = 'BUILDING')")
 def u11_dangling(t):
-    refs = t.records.where("item_id < 500").select(F.col("item_id").alias("id"), F.col("indicator_id").alias("ref"))
-    return U.dangling(refs, t.indicators.where("status = 'active'"), t.people.where("id % 2 = 0")).select("id", "ref")
+    refs = t.records.select(F.col("item_id").alias("id"), F.col("indicator_id").alias("ref"))
+    return U.dangling(refs, t.indicators.where("status = 'active'"), t.people.where("segment = 'BUILDING'")).select("id", "ref")
 
 
 @query("SELECT id, CASE WHEN id % 4 = 0 THEN 'protected' ELSE 'would_update' END AS outcome FROM items")
@@ -176,13 +188,13 @@ def u12_classifier_apply(t):
     return t.items.select("id", applied(F.when(F.col("id") % 4 == 0, "manual").otherwise("automatic"), True).alias("outcome"))
 
 
-_CAS = """WITH s AS (SELECT id, id % 5 + 1 AS version, kind AS v FROM indicators WHERE id % 3 <> 0), u AS (SELECT id, CASE WHEN id % 7 = 0 THEN NULL ELSE 2 END AS expected_version, CASE WHEN id % 2 = 0 THEN kind ELSE 'NEW' END AS v FROM indicators),
+_CAS = """WITH s AS (SELECT id, id % 5 + 1 AS version, kind AS v FROM indicators WHERE status = 'active'), u AS (SELECT id, CASE WHEN id % 7 = 0 THEN NULL ELSE 2 END AS expected_version, CASE WHEN id % 2 = 0 THEN kind ELSE 'NEW' END AS v FROM indicators),
 j AS (SELECT u.id, s.version AS old, s.v AS ov, u.v AS nv, CASE WHEN s.id IS NULL AND expected_version IS NULL THEN 'created' WHEN s.id IS NULL OR expected_version IS NULL OR s.version <> expected_version THEN 'conflict' WHEN s.v = u.v THEN 'unchanged' ELSE 'updated' END AS outcome FROM u LEFT JOIN s ON u.id = s.id)
 SELECT id, CASE outcome WHEN 'created' THEN 1 WHEN 'updated' THEN old + 1 ELSE old END AS version, CASE WHEN outcome IN ('created','updated') THEN nv ELSE ov END AS v, outcome FROM j"""
 
 
 def _cas(t):
-    s = t.indicators.where("id % 3 <> 0").select("id", (F.col("id") % 5 + 1).alias("version"), F.col("kind").alias("v"))
+    s = t.indicators.where("status = 'active'").select("id", (F.col("id") % 5 + 1).alias("version"), F.col("kind").alias("v"))
     u = t.indicators.select("id", F.when(F.col("id") % 7 != 0, 2).alias("expected_version"), F.when(F.col("id") % 2 == 0, F.col("kind")).otherwise("NEW").alias("v"))
     return U.compared_and_set(s, u, ["id"], "v").withColumn("version", F.col("version").cast("long"))
 
@@ -202,11 +214,11 @@ def u14_folded_state(t):
     return U.folded(t.turns, "run", "state", "sequence")
 
 
-_INS = "WITH e AS (SELECT id, kind FROM indicators WHERE id % 2 = 0), i AS (SELECT id, CASE WHEN id % 6 = 0 THEN 'OTHER' ELSE kind END AS kind FROM indicators) SELECT i.id, i.kind, CASE WHEN e.id IS NULL THEN 'inserted' WHEN e.kind = i.kind THEN 'reused' ELSE 'conflict' END AS outcome FROM i LEFT JOIN e ON i.id = e.id"
+_INS = "WITH e AS (SELECT id, kind FROM indicators WHERE status = 'active'), i AS (SELECT id, CASE WHEN id % 6 = 0 THEN 'OTHER' ELSE kind END AS kind FROM indicators) SELECT i.id, i.kind, CASE WHEN e.id IS NULL THEN 'inserted' WHEN e.kind = i.kind THEN 'reused' ELSE 'conflict' END AS outcome FROM i LEFT JOIN e ON i.id = e.id"
 
 
 def _ins(t):
-    return U.inserted(t.indicators.where("id % 2 = 0").select("id", "kind"), t.indicators.select("id", F.when(F.col("id") % 6 == 0, "OTHER").otherwise(F.col("kind")).alias("kind")), "id", ["kind"])
+    return U.inserted(t.indicators.where("status = 'active'").select("id", "kind"), t.indicators.select("id", F.when(F.col("id") % 6 == 0, "OTHER").otherwise(F.col("kind")).alias("kind")), "id", ["kind"])
 
 
 @query(_INS)
@@ -233,13 +245,13 @@ def u18_protected_plan(t):
     return plan.select("id", F.array_join("reasons", ",").alias("reasons"))
 
 
-@query("WITH k AS (SELECT DISTINCT sha256(concat_ws('|', CAST(source AS VARCHAR), status)) AS key FROM runs WHERE id % 2 = 1) SELECT DISTINCT key FROM k WHERE key NOT IN (SELECT sha256(concat_ws('|', CAST(source AS VARCHAR), status)) FROM runs WHERE id % 2 = 0)")
+@query("WITH k AS (SELECT DISTINCT sha256(concat_ws('|', CAST(source AS VARCHAR), status)) AS key FROM runs WHERE attempt >= 2) SELECT DISTINCT key FROM k WHERE key NOT IN (SELECT sha256(concat_ws('|', CAST(source AS VARCHAR), status)) FROM runs WHERE attempt < 2)")
 def u19_audit_append(t):
     from ..functions.text import digest_key
     from ..operators.joins import lacking
 
-    keyed = t.runs.select("id", digest_key("source", "status").alias("key"))
-    return lacking(keyed.where("id % 2 = 1").select("key").distinct(), "key", keyed.where("id % 2 = 0"), "key")
+    keyed = t.runs.select("attempt", digest_key("source", "status").alias("key"))
+    return lacking(keyed.where("attempt >= 2").select("key").distinct(), "key", keyed.where("attempt < 2"), "key")
 
 
 @query("SELECT p.id, CASE WHEN r.id IS NOT NULL THEN 'conflict' ELSE 'acquired' END AS outcome FROM people p LEFT JOIN (SELECT DISTINCT source AS id FROM runs WHERE status = 'running') r ON p.id = r.id")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..streaming import progress as G
 from ..streaming import throttle as T
-from .analogues import query
+from .analogues import query, shared_folder
 
 
 @query("SELECT id, started FROM runs WHERE started >= TIMESTAMP '2024-01-20 12:00:00' - INTERVAL 5 MINUTE")
@@ -21,11 +21,22 @@ def t02_resumed_cursor(t):
     return t.people.select("id", G.resumed(token, h).alias("place"))
 
 
-@query("SELECT source, CASE WHEN count(*) FILTER (status NOT IN ('success','no_change')) = 0 THEN TIMESTAMP '2024-02-01' ELSE TIMESTAMP '2024-01-01' END AS watermark FROM runs WHERE id % 37 = 0 GROUP BY source")
+@query("SELECT source, cycle, CASE WHEN count(*) FILTER (status NOT IN ('success','no_change')) = 0 THEN TIMESTAMP '2024-02-01' ELSE TIMESTAMP '2024-01-01' END AS watermark FROM runs GROUP BY source, cycle")
 def t03_next_watermark(t):
     good = F.bool_and(F.col("status").isin("success", "no_change"))
     slot, previous = F.expr("timestamp_ntz'2024-02-01 00:00:00'"), F.expr("timestamp_ntz'2024-01-01 00:00:00'")
-    return t.runs.where("id % 37 = 0").groupBy("source").agg(good.alias("good")).select("source", F.when(F.col("good"), F.greatest(slot, previous)).otherwise(previous).alias("watermark"))
+    return t.runs.groupBy("source", "cycle").agg(good.alias("good")).select("source", "cycle", F.when(F.col("good"), F.greatest(slot, previous)).otherwise(previous).alias("watermark"))
+
+
+@query("SELECT id, status FROM runs")
+def t03_exactly_once(t):
+    # two batches, each tried again after it was written
+    root = shared_folder(t, "once")
+    write = G.once(lambda df, n: df.write.mode("append").parquet(f"{root}/data"), f"{root}/log")
+    for number, part in enumerate((t.runs.where("attempt < 2"), t.runs.where("attempt >= 2"))):
+        for _ in range(2):
+            write(part.select("id", "status"), number)
+    return t.spark.read.schema("id long, status string").parquet(f"{root}/data")
 
 
 @query("SELECT source, count(DISTINCT text) AS versions, count(*) AS n FROM publications GROUP BY source")

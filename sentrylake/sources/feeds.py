@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from ..functions import vulnerabilities as V
-from ..functions.text import plain_text, required
+from ..functions.text import free_of_markup, plain_text, required
 from ..functions.times import parsed_timestamp
 
 PAGE = "struct<startIndex:long,totalResults:long,vulnerabilities:array<string>>"
@@ -59,11 +59,26 @@ def catalog_entries(catalogs: DataFrame) -> DataFrame:
     return e.select(*V.normalized_catalog_entry("e"))
 
 
+def normalized_entries(raw: DataFrame, *also: str) -> DataFrame:
+    """Of raw(title, link, guid, description, pubDate): title (null where it is blank or too long), link, external id
+    (guid, else link), text summary, publication time; and the raw columns `also`."""
+    return raw.select(*also, required("title", 500).alias("title"), F.trim("link").alias("link"), F.coalesce(F.nullif(F.trim("guid"), F.lit("")), F.trim("link")).alias("external_id"), plain_text("description").alias("summary"), parsed_timestamp("pubDate").alias("published"))
+
+
 def rss_items(spark: SparkSession, path: str) -> DataFrame:
-    """Entries of RSS files: title, link, external id (guid, else link), text summary, publication time."""
+    """The normalised entries of RSS files."""
     schema = "title string, link string, guid string, description string, pubDate string"
-    raw = spark.read.format("xml").option("rowTag", "item").schema(schema).load(path)
-    return raw.select(required("title", 500).alias("title"), F.trim("link").alias("link"), F.coalesce(F.nullif(F.trim("guid"), F.lit("")), F.trim("link")).alias("external_id"), plain_text("description").alias("summary"), parsed_timestamp("pubDate").alias("published"))
+    return normalized_entries(spark.read.format("xml").option("rowTag", "item").schema(schema).load(path))
+
+
+def by_author(entries: DataFrame, author: str, sources: dict[str, str], texts: list[str]) -> DataFrame:
+    """Entries of a feed that several sources share, with the source of their author as `vendor`; entries of other
+    authors, and those whose texts hold markup however often it is decoded, are left out."""
+    vendor = F.try_element_at(F.create_map(*(F.lit(x) for pair in sources.items() for x in pair)), F.col(author))
+    out = entries.withColumn("vendor", vendor).where(F.col("vendor").isNotNull())
+    for c in texts:
+        out = out.where(free_of_markup(F.coalesce(F.col(c), F.lit(""))))
+    return out
 
 
 def feed_allowed(c: str, nodes: int = 25_000, entries: int = 100):

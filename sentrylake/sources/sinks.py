@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import neutral_cell
@@ -34,3 +34,16 @@ def metric_lines(metrics: DataFrame, prefix: str) -> DataFrame:
     name = F.concat(F.lit(prefix + "_"), F.col("name"))
     lines = F.array(F.concat(F.lit("# HELP "), name, F.lit(" "), F.initcap(F.replace("name", F.lit("_"), F.lit(" ")))), F.concat(F.lit("# TYPE "), name, F.lit(" gauge")), F.concat(name, F.lit(" "), F.col("value").cast("string")))
     return metrics.select("name", F.posexplode(lines).alias("place", "line"))
+
+
+def write_state(state: DataFrame, root: str, version: int) -> None:
+    """A table's next state beside its older ones. Writing a version twice is an error, so that of two writers who
+    started from the same state one fails; a job that fails leaves the older state current."""
+    state.write.mode("error").parquet(f"{root.rstrip('/')}/version={version}")
+
+
+def read_state(spark: SparkSession, root: str) -> DataFrame:
+    """The newest state; the version is a partition, of which only the newest one's files are read."""
+    states = spark.read.parquet(root)
+    newest = states.agg(F.max("version")).first()[0]
+    return states.where(F.col("version") == newest).drop("version")

@@ -96,3 +96,22 @@ def test_empty_inputs(spark):
     assert U.merged(none, none, ["id"], ["v"], "seen").count() == 0
     assert W.first_in_group(none, ["v"], ["id"], 3).count() == 0
     assert L.keyset(none, "id", 0, 5).count() == 0
+
+
+def test_versioned_state(spark, tmp_path):
+    from sentrylake.sources import sinks
+
+    root = f"{tmp_path}/state"
+    sinks.write_state(spark.createDataFrame([(1, "a")], "id int, v string"), root, 9)
+    sinks.write_state(spark.createDataFrame([(1, "b"), (2, None)], "id int, v string"), root, 10)
+    assert sorted(map(tuple, sinks.read_state(spark, root).collect())) == [(1, "b"), (2, None)]
+    with pytest.raises(Exception, match="PATH_ALREADY_EXISTS"):
+        sinks.write_state(spark.createDataFrame([(3, "c")], "id int, v string"), root, 10)
+
+
+def test_shared_feed_by_author(spark):
+    from sentrylake.sources import feeds
+
+    rows = [(1, "x", "plain"), (2, "y", "a &amp;lt;b&amp;gt;"), (3, "z", "plain"), (4, None, "plain"), (5, "y", None)]
+    got = feeds.by_author(spark.createDataFrame(rows, "id int, author string, title string"), "author", {"x": "one", "y": "two"}, ["title"])
+    assert sorted((r.id, r.vendor) for r in got.collect()) == [(1, "one"), (5, "two")]
