@@ -67,11 +67,19 @@ def _matcher():
 
     @F.pandas_udf("array<struct<field:string,a:int,b:int>>")
     def shields(title: pd.Series, summary: pd.Series) -> pd.Series:
-        return pd.Series([[{"field": f, "a": m.start(), "b": m.end()} for f, text in (("title", t or ""), ("summary", s or "")) for m in shield.finditer(text)] for t, s in zip(title, summary)])
+        # without one of the two there is no match, and looking for one takes long
+        spans = lambda f, text: [{"field": f, "a": m.start(), "b": m.end()} for m in shield.finditer(text)] if "@" in text or "//" in text else []
+        return pd.Series([spans("title", t or "") + spans("summary", s or "") for t, s in zip(title, summary)])
 
     return matches, shields
 
 
+def _with(df: DataFrame, **columns) -> DataFrame:
+    """df with columns that later filters refer to as they are. Filters on plain projections are pushed below them,
+    each time with a copy of the expression; copies within copies took seconds to plan."""
+    return df.select("*", F.inline(F.array(F.struct(*(c.alias(name) for name, c in columns.items())))))
+
+
 def extract(df: DataFrame, key: str = "id", title: str = "title", summary: str = "summary") -> DataFrame:
     """(key, kind, value, algorithm, identity, form, confidence, field, at, context): the observables of each text, each
     once with its best evidence. Texts of more than LONGEST characters, or with control characters, give none."""
@@ -83,23 +91,23 @@ def extract(df: DataFrame, key: str = "id", title: str = "title", summary: str =
     url = F.col("kind") == "url"
     # closing punctuation is not part of a match
     raw = F.when(url, F.regexp_replace(F.regexp_replace("raw", r"[.,;!?)}]+$", ""), r"(?<!//\[[0-9a-f:.]{0,45})\]+$", "")).otherwise(F.regexp_replace("raw", r"[.,;!?)\]}]+$", ""))
-    c = c.withColumn("raw", raw).where(F.length("raw") > 0).withColumn("end", F.col("at") + F.length("raw"))
+    c = _with(c, cut=raw).drop("raw").withColumnRenamed("cut", "raw").where(F.length("raw") > 0).withColumn("end", F.col("at") + F.length("raw"))
     c = c.withColumn("before", F.substr(text, F.greatest(F.col("at") - NEAR, F.lit(0)) + 1, F.least(F.col("at"), F.lit(NEAR)))).withColumn("near", F.concat_ws(" ", "before", F.substr(text, F.col("end") + 1, F.lit(NEAR))))
     c = c.withColumn("context", F.substring(F.trim(F.regexp_replace(F.substr(text, F.greatest(F.col("at") - NEAR, F.lit(0)) + 1, F.least(F.col("at"), F.lit(NEAR)) + F.length("raw") + NEAR), r"(?U)\s+", " ")), 1, SNIPPET))
-    c = c.withColumn("plain", O.refanged("raw")).withColumn("form", F.when((F.col("kind") != "file_hash") & O.defanged("raw"), "defanged").otherwise("literal"))
+    c = _with(c, plain=O.refanged("raw"), form=F.when((F.col("kind") != "file_hash") & O.defanged("raw"), "defanged").otherwise("literal"))
     c = c.drop("title", "summary")
     is_ = lambda k: F.col("kind") == k
     value = F.when(url, O.url("plain")).when(is_("ipv4"), O.ipv4("plain")).when(is_("ipv6"), O.ipv6("plain")).when(is_("file_hash"), O.file_hash("plain")).when(is_("domain"), O.domain("plain"))
-    c = c.withColumn("value", value).where(F.col("value").isNotNull())
+    c = _with(c, value=value).where(F.col("value").isNotNull())
     host = F.when(url, F.regexp_extract("value", r"^https?://(\[[^\]]*\]|[^/:?#]*)", 1)).otherwise(F.col("value"))
-    c = c.withColumn("host", F.regexp_replace(host, r"[\[\]]", "")).withColumn("address", F.coalesce(O.ipv4("host"), O.ipv6("host")))
+    c = _with(_with(c, host=F.regexp_replace(host, r"[\[\]]", "")), address=F.coalesce(O.ipv4("host"), O.ipv6("host")))
     literal = F.col("form") == "literal"
     sized = O.hash_algorithm("value")
     labelled = F.lit(False)
     for name in O.HASH_LENGTHS:
         labelled = labelled | ((sized == name) & F.col("near").rlike(rf"(?i)\b{name[:3]}-?{name[3:]}\b" if name != "md5" else r"(?i)\bmd5\b"))
     public = F.col("address").isNull() | O.global_address("address")
-    c = c.withColumn("labelled", labelled)
+    c = _with(c, labelled=labelled)
     ok = (
         F.when(url, ~F.col("host").rlike(RESERVED) & public)
         .when(is_("file_hash"), ~F.col("value").rlike(r"^(.)\1*$") & F.col("near").rlike(WORDS["file_hash"]))

@@ -55,3 +55,29 @@ def test_semi_joins(spark, name):
 
 def test_dashboard_reads_once(spark):
     assert plan(spark, "a02_a05_dashboard").count("Scan parquet") == 2  # in the tree and in its details
+
+
+def test_indicators_of_whole_texts(spark):
+    """Addresses and hashes against a plain search; whatever is public comes out once for each text."""
+    import ipaddress
+    import re
+
+    from sentrylake.plans import registry
+
+    folder = "/root/testdata/sf0.01"
+    got = {(r.id, r.kind, r.value) for r in registry.QUERIES["x233_ioc_extract"](spark, folder).collect()}
+    want = set()
+    for r in spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text").collect():
+        text = (r.text or "").replace("\n", " ").replace("\t", " ")
+        text = re.sub(r"\b([0-9]{1,3}(?:\.[0-9]{1,3}){3})\b", r"IP address \1", text).replace('token = "', 'hash "')
+        title = text.split(". ", 1)[0]
+        if len(title) + len(text) > 12_000 or re.search(r"[\x00-\x1f\x7f-\x9f]", text):
+            continue
+        for x in set(re.findall(r"(?<![\w.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![\w.])", text)):
+            try:
+                if ipaddress.ip_address(x).is_global and not ipaddress.ip_address(x).is_multicast:
+                    want.add((r.doc_id, "ipv4", x))
+            except ValueError:
+                pass
+        want |= {(r.doc_id, "file_hash", x) for x in set(re.findall(r'(?<=hash ")[0-9a-f]{40}(?=")', text))}
+    assert want and {g for g in got if g[1] in ("ipv4", "file_hash")} == want
