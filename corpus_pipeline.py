@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sentrylake.llm import cost_packing, decontaminate, simhash_dedup, suffix_dedup, toxicity
+from sentrylake.llm import cost_packing, decontaminate, near_copies, suffix_dedup, toxicity
 from sentrylake.llm._shared import stored
 
 
@@ -14,8 +14,9 @@ def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def simhash_dedup_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document of the smallest id stays."""
-    return simhash_dedup.keep_one(docs)
+    """Of each group of near duplicates (Jaccard similarity of 5-word shingles at least 0.8; candidates by a wide
+    SimHash, whose recall is in the README) the document of the smallest id stays."""
+    return near_copies.keep_one(docs)
 
 
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
