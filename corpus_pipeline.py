@@ -20,8 +20,8 @@ def simhash_dedup_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Strings of 400 bytes and more that occur more than once go out of the texts."""
-    return suffix_dedup.without_repeats(docs)
+    """Passages of over 50 words, and strings of 400 bytes and more, that occur more than once go out of the texts."""
+    return suffix_dedup.without_repeats(docs, words=suffix_dedup.WORDS)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

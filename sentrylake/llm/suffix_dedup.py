@@ -16,6 +16,10 @@ A string of LENGTH bytes is removed wherever it starts if it starts more than on
    sorted, or dealt again by a longer core, until the core is the window itself.
 4. The decisions are joined back to the occurrences by key and context, and to the texts.
 
+Repeated passages can be found by words as well: the text is then read as one code of CODE bytes for each word (what
+stands between ASCII white space), so that WORDS consecutive words are a string of WORDS * CODE bytes, whatever their
+length. Spans of codes become the bytes from the first word's start to the last word's end.
+
 Texts are named by a 128-bit digest of their bytes throughout, so that repeated rows and missing or
 repeated ids are harmless, and a recomputed task gives the same names.
 """
@@ -37,6 +41,8 @@ LEADS = 1 << 20
 #: Widths of the parts into which the windows of a key over the cap are dealt, one after the other.
 CELLS = (32, 4, 1)
 _SEGMENT = 1 << 20
+#: Passages of over 50 words; bytes of a word's code.
+WORDS, CODE = 51, 4
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -126,6 +132,29 @@ def repeated_places(texts: list[bytes], starts: list[int], length: int, twice: l
     return [np.flatnonzero(np.frombuffer(m, np.uint8)) for m in marks]
 
 
+# --- words ---------------------------------------------------------------------------------------
+
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+
+
+def word_edges(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the words."""
+    word = np.concatenate([[False], ~_SPACE[data], [False]])
+    turns = np.flatnonzero(word[1:] != word[:-1])
+    return turns[::2], turns[1::2]
+
+
+def _coded(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The rows' words as codes, and the offsets of the rows' codes."""
+    codes, sizes = [], [0]
+    for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
+        words = data[a:b].tobytes().split()
+        codes.append(np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words)).astype("<u4"))
+        sizes.append(len(words) * CODE)
+    return np.concatenate(codes).view(np.uint8) if codes else np.zeros(0, np.uint8), np.cumsum(sizes)
+
+
 # --- anchors -------------------------------------------------------------------------------------
 
 
@@ -172,7 +201,7 @@ def _names(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.frombuffer(digests, np.int64).reshape(-1, 2)
 
 
-def _occurrences(length: int, gram: int):
+def _occurrences(length: int, gram: int, words: bool = False):
     """(t1, t2, key, ctx, s, n): occurrences; s is the first window's start in the text, n holds how many windows
     there are (times LEADS) and how far before its anchor the first starts."""
 
@@ -180,6 +209,8 @@ def _occurrences(length: int, gram: int):
         for b in batches:
             data, offsets = utf8(b.column(0))
             names = _names(data, offsets)
+            if words:
+                data, offsets = _coded(data, offsets)
             for i, j, a, z, stop in _parts(offsets, length):
                 if z - a < length:
                     continue
@@ -229,7 +260,7 @@ def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(schema)], schema=schema)
 
 
-def _contexts(length: int, key_cap: int):
+def _contexts(length: int, key_cap: int, words: bool = False):
     """The bytes of each wanted context, out of its text, dealt at once where its key is over the cap; in small
     batches, as contexts overlap."""
 
@@ -238,6 +269,8 @@ def _contexts(length: int, key_cap: int):
             out, size = [], 0
             for text, places in zip(b.column("text"), b.column("places")):
                 whole = text.as_buffer().to_pybytes()
+                if words:
+                    whole = _coded(np.frombuffer(whole, np.uint8), np.array([0, len(whole)]))[0].tobytes()
                 for x in places.as_py():
                     row = (x["key"], x["ctx"], x["twice"], x["n"], whole[x["s"] : x["s"] + x["n"] // LEADS + length - 1], x["key"], x["ctx"], 0)
                     out += [row] if x["kinds"] <= key_cap else [r[2:] for r in _dealt(row, CELLS[0], length)]
@@ -347,6 +380,14 @@ def _merged(spans) -> list[tuple[int, int]]:
 
 def _cut(batches):
     """The output columns of each document, from its text and the spans to remove."""
+    def in_bytes(data, spans):
+        yield from ((x["a"], x["b"]) for x in spans if not x["words"])
+        # a code that is covered in part is a chance match of some of its bytes
+        coded = _merged((-(-x["a"] // CODE), x["b"] // CODE) for x in spans if x["words"])
+        if coded:
+            starts, ends = word_edges(np.frombuffer(data, np.uint8))
+            yield from ((int(starts[a]), int(ends[b - 1])) for a, b in coded)
+
     types = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())])))
     names = ["row", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "removed"]
     for whole in batches:
@@ -354,7 +395,7 @@ def _cut(batches):
             b, rows = whole.slice(i, 512), []
             for text, spans in zip(b.column("text"), b.column("spans")):
                 data = text.as_buffer().to_pybytes() if text.is_valid else b""
-                gone = _merged((x["a"], x["b"]) for x in spans.as_py() or ())
+                gone = _merged(in_bytes(data, spans.as_py() or ()))
                 edges = [0, *(e for g in gone for e in g), len(data)]
                 kept = b"".join(data[x:y] for x, y in zip(edges[::2], edges[1::2]))
                 rows.append((len(data), len(data) - len(kept), len(gone), hashlib.sha256(kept).hexdigest(), kept, [{"a": x, "b": y} for x, y in gone]))
@@ -367,18 +408,9 @@ def _named(batches):
         yield pa.RecordBatch.from_arrays([*b.columns, pa.array(names[:, 0]), pa.array(names[:, 1])], [*b.schema.names, "t1", "t2"])
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, key_cap: int = 4096) -> DataFrame:
-    """One row per row of docs: row (its columns, as a struct), n_bytes, n_removed, n_spans, kept_sha256,
-    kept (remaining bytes) and removed (maximal runs [a, b) of removed bytes).
-
-    Matches lie within one text and are judged on the input. A null text is empty; texts shorter than
-    `length` lose nothing; repeated rows count as repeats of each other; an empty table gives no rows.
-    Columns of docs pass through inside `row` whatever their names.
-    """
-    small_batches(docs.sparkSession)
-    schema = docs.schema
-    text = docs.select(F.col("text").cast("string").alias("text"))
-    occ = stored(text.mapInArrow(_occurrences(length, gram), _OCC), "occurrences")
+def _spans(text: DataFrame, length: int, gram: int, key_cap: int, words: bool) -> DataFrame:
+    """(t1, t2, x): repeated spans of the texts, in bytes of the text or of its codes."""
+    occ = stored(text.mapInArrow(_occurrences(length, gram, words), _OCC), "occurrences")
     # all counts are map-side aggregates, and the rules join is one that adaptive execution splits: no key's
     # occurrences or contexts meet in one task
     kinds = occ.groupBy("key", "ctx").agg(F.count(F.lit(1)).alias("c"), *(F.first(x).alias(x) for x in ("t1", "t2", "s", "n")))
@@ -387,7 +419,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, key_
     # a text's wanted contexts are bounded by its length
     wanted = ruled.where("kinds > 1").groupBy("t1", "t2").agg(F.collect_list(F.struct("key", "ctx", "twice", "n", "s", "kinds")).alias("places"))
     whole = text.mapInArrow(_texts, "t1 long, t2 long, text string")
-    bodies = whole.join(wanted, ["t1", "t2"]).select("text", "places").mapInArrow(_contexts(length, key_cap), _BODIES_SQL)
+    bodies = whole.join(wanted, ["t1", "t2"]).select("text", "places").mapInArrow(_contexts(length, key_cap, words), _BODIES_SQL)
     rules = ruled.where("twice").select("key", "ctx", F.lit(0).cast("long").alias("a"), F.expr(f"n div {LEADS}").alias("b"))
     for cell in (*CELLS[1:], None):
         met = bodies.repartition("key").sortWithinPartitions("key", "ctx", "okey", "octx", "off")
@@ -396,7 +428,24 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, key_
         bodies = marks.where("body is not null").drop("a", "b")
         if bodies.isEmpty():
             break
-    spans = occ.join(rules, ["key", "ctx"]).select("t1", "t2", F.struct((F.col("s") + F.col("a")).alias("a"), (F.col("s") + F.col("b") + (length - 1)).alias("b")).alias("x"))
+    return occ.join(rules, ["key", "ctx"]).select("t1", "t2", F.struct((F.col("s") + F.col("a")).alias("a"), (F.col("s") + F.col("b") + (length - 1)).alias("b"), F.lit(words).alias("words")).alias("x"))
+
+
+def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, key_cap: int = 4096, words: int | None = None) -> DataFrame:
+    """One row per row of docs: row (its columns, as a struct), n_bytes, n_removed, n_spans, kept_sha256,
+    kept (remaining bytes) and removed (maximal runs [a, b) of removed bytes).
+
+    Matches lie within one text and are judged on the input. A null text is empty; texts shorter than
+    `length` lose nothing; repeated rows count as repeats of each other; an empty table gives no rows.
+    With `words`, every string of that many consecutive words that repeats goes too, whatever its length in bytes.
+    Columns of docs pass through inside `row` whatever their names.
+    """
+    small_batches(docs.sparkSession)
+    schema = docs.schema
+    text = docs.select(F.col("text").cast("string").alias("text"))
+    spans = _spans(text, length, gram, key_cap, False)
+    if words:
+        spans = spans.unionByName(_spans(text, words * CODE, gram, key_cap, True))
     spans = stored(spans.groupBy("t1", "t2").agg(F.collect_set("x").alias("spans")), "spans")
     rows = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row")).select("row", F.col("row.text").cast("string").alias("text"))
     kind = "row " + schema.simpleString()
@@ -404,11 +453,11 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, key_
     return named.join(spans, ["t1", "t2"], "left").select("row", "text", "spans").mapInArrow(_cut, kind + ", n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, removed array<struct<a:long,b:long>>")
 
 
-def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, key_cap: int = 4096) -> DataFrame:
+def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, key_cap: int = 4096, words: int | None = None) -> DataFrame:
     """docs with the repeated strings taken out of text, and n_chars, if there is one, counted again. A
     character of which bytes were removed goes as a whole; texts that lose nothing, null among them, stay as
     they are; a text that is all repeats becomes empty."""
-    found = remove_repeats(docs, length, gram, key_cap).select("row", "n_removed", "kept")
+    found = remove_repeats(docs, length, gram, key_cap, words).select("row", "n_removed", "kept")
 
     def run(batches):
         for b in batches:
