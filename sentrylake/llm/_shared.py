@@ -8,6 +8,7 @@ import uuid
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -32,6 +33,22 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """(row, rid): the rows of docs as structs, each with a number of its own that is stored."""
+    return stored(docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row")).withColumn("rid", F.monotonically_increasing_id()), "rows")
+
+
+def without(rows: DataFrame, gone: DataFrame, columns: list[str]) -> DataFrame:
+    """The columns of rows(row, rid) whose number is not in gone(rid)."""
+    return rows.join(gone, "rid", "left_anti").select(*(F.col("row").getField(c).alias(c) for c in columns))
+
+
+def all_but_first(groups: DataFrame) -> DataFrame:
+    """(rid) of groups(rid, id, root): all rows of each root but that of least id (nulls last), then rid."""
+    first = groups.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "rid")).alias("first")).select("root", F.col("first.rid").alias("best"))
+    return groups.join(first, "root").where("rid <> best").select("rid")
+
+
 def small_batches(spark: SparkSession) -> None:
     """Lets Arrow batches of texts that go to Python hold at most 1000 rows and 16 MB, for the session: Spark's own
     10000 rows of long texts, several times copied in a Python worker, are most of an executor's memory."""

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import mixed, powers, slices, small_batches, utf8
+from ._shared import keyed, mixed, powers, slices, small_batches, utf8, without
 
 WINDOW, GRAM = 10, 5
 
@@ -275,10 +275,10 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, broadcast_bytes: int =
 
 
 def keep_uncontaminated(docs: DataFrame, benchmark: DataFrame, broadcast_bytes: int = 32 << 20) -> DataFrame:
-    """docs without the contaminated rows. Rows are told apart by doc_id: rows that repeat an id, or have none,
-    go if one of them is contaminated."""
-    bad = decontaminate(docs, benchmark, broadcast_bytes).where("contaminated").select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["_bad"]), "left_anti")
+    """docs without the contaminated rows. Rows are told apart by numbers of their own, so ids may repeat or be missing."""
+    rows = keyed(docs)
+    found = decontaminate(rows.select(F.col("rid").alias("doc_id"), F.col("row.text").alias("text")), benchmark, broadcast_bytes)
+    return without(rows, found.where("contaminated").select(F.col("doc_id").alias("rid")), docs.columns)
 
 
 def _by_shuffle(docs: DataFrame, items: DataFrame) -> DataFrame:

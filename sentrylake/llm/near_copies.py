@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._components import connected_components
-from ._shared import mixed, small_batches, stored
+from ._shared import all_but_first, mixed, small_batches, stored, without
 
 SIZE, SIMILARITY = 5, 0.8
 GROUPS = 20
@@ -252,8 +252,9 @@ def near_copies(rows: DataFrame, size: int = SIZE, similarity: float = SIMILARIT
 
 
 def keep_one(docs: DataFrame, size: int = SIZE, similarity: float = SIMILARITY, list_cap: int = 256) -> DataFrame:
-    """docs without the rows whose group of near copies has a smaller doc_id; of rows that repeat a doc_id, and
-    of rows without an id in one group, all stay. Texts of equal words are copies, wordless ones too."""
+    """docs with one row of each group of near copies: that of least doc_id (nulls last), of equal ids any one. Rows
+    are told apart by numbers of their own, so ids may repeat or be missing. Texts of equal words are copies,
+    wordless ones too."""
     small_batches(docs.sparkSession)
     row = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row")).select("row", F.col("row.text").cast("string").alias("text"))
     prints = row.mapInArrow(_prints(size), "row " + docs.schema.simpleString() + ", node long, fp binary")
@@ -261,7 +262,4 @@ def keep_one(docs: DataFrame, size: int = SIZE, similarity: float = SIMILARITY,
     roots = near_copies(rows.select("node", "fp", "rid", F.col("row.text").cast("string").alias("text")), size, similarity, list_cap)
     ids = rows.select("rid", F.col("row.doc_id").cast("long").alias("id"), "node")
     groups = stored(ids.join(roots, "node", "left").select("rid", "id", F.coalesce("root", "node").alias("root")), "groups")
-    best = groups.groupBy("root").agg(F.min("id").alias("best"))
-    gone = groups.join(best, "root").where("id <> best").select("id").distinct()
-    left = rows.join(gone, F.col("row.doc_id").cast("long") == gone["id"], "left_anti")
-    return left.select(*(F.col("row").getField(c).alias(c) for c in docs.columns))
+    return without(rows, all_but_first(groups), docs.columns)

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._components import connected_components
-from ._shared import small_batches, stored
+from ._shared import all_but_first, keyed, small_batches, stored, without
 
 CHOICES = list(combinations(range(8), 4))
 _MOST = 4
@@ -172,7 +172,10 @@ def near_duplicates(docs: DataFrame, size: int = 4, list_cap: int = 2048) -> Dat
 
 
 def keep_one(docs: DataFrame, size: int = 4, list_cap: int = 2048) -> DataFrame:
-    """docs without the rows whose near-duplicate group has a smaller doc_id; of rows that repeat a
-    doc_id, and of rows without an id in one group, all stay."""
-    found = near_duplicates(docs, size, list_cap).where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(found, docs["doc_id"] == found["_gone"], "left_anti")
+    """docs with one row of each near-duplicate group: that of least doc_id (nulls last), of equal ids any one. Rows
+    are told apart by numbers of their own, so ids may repeat or be missing."""
+    rows = keyed(docs)
+    found = near_duplicates(rows.select(F.col("rid").alias("doc_id"), F.col("row.text").alias("text")), size, list_cap)
+    named = found.select(F.col("doc_id").alias("rid"), F.col("component_id").alias("root"))
+    groups = stored(named.join(rows.select("rid", F.col("row.doc_id").cast("long").alias("id")), "rid").select("rid", "id", "root"), "groups")
+    return without(rows, all_but_first(groups), docs.columns)
