@@ -21,7 +21,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-_OUT = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
+from ._shared import stored
+
+_OUT = pa.schema([("query", pa.int64()), ("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
 
 
 def _rows(column: pa.Array, dim: int) -> np.ndarray:
@@ -94,7 +96,7 @@ def _search(pivots_held, prefix: int, share: float, close: float, least: int, k:
             return Shard(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]), pivots, prefix, close) if parts else None
 
         for b in batches:
-            no, kind, ids = b.column("shard").to_numpy(), b.column("kind").to_numpy(), b.column("id").to_numpy()
+            no, kind, ids, keys = (b.column(c).to_numpy() for c in ("shard", "kind", "id", "query"))
             cut = np.flatnonzero((np.diff(no) != 0) | (np.diff(kind) != 0)) + 1
             for i, j in zip(np.append(0, cut), np.append(cut, len(no))):
                 if i == j:
@@ -111,8 +113,8 @@ def _search(pivots_held, prefix: int, share: float, close: float, least: int, k:
                 if shard is None:
                     continue
                 n = max(least, int(np.ceil(share * len(shard.ids))))
-                out = [(q, *shard.best(q, v, o, n, k)) for q, v, o in zip(ids[i:j], x, orders(x, pivots, prefix))]
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat([o[0] for o in out], [len(o[1]) for o in out]).astype(np.int64)), pa.array(np.concatenate([o[1] for o in out])), pa.array(np.concatenate([o[2] for o in out]))], schema=_OUT)
+                out = [(q, *shard.best(q, v, o, n, k), key) for q, v, o, key in zip(ids[i:j], x, orders(x, pivots, prefix), keys[i:j])]
+                yield pa.RecordBatch.from_arrays([*(pa.array(np.repeat([o[f] for o in out], [len(o[1]) for o in out]).astype(np.int64)) for f in (3, 0)), pa.array(np.concatenate([o[1] for o in out])), pa.array(np.concatenate([o[2] for o in out]))], schema=_OUT)
 
     return run
 
@@ -131,7 +133,8 @@ def neighbours(vectors: DataFrame, is_query: Column, k: int = 20, pivots: int =
     """query_id, rank (from 1), vec_id, score: of each query (a condition on `id`, the vec_id) the k nearest rows found but
     its own, nearest first, ties to the smaller vec_id; all others if there are fewer.
 
-    Rows that take no part: see `valid`. Rows with the query's id are its own; of other rows that repeat an id
+    Rows that take no part: see `valid`. Each query row has a ranking of its own: where rows of queries repeat an id,
+    query_id and rank repeat, one ranking for each row. Rows with the query's id are its own; of other rows that repeat an id
     each is found for itself. Other columns are ignored; no queries or no vectors give no rows.
     """
     spark = vectors.sparkSession
@@ -143,9 +146,11 @@ def neighbours(vectors: DataFrame, is_query: Column, k: int = 20, pivots: int =
     chosen = spread(np.array([r.v for r in sampled], np.float64), pivots)
     held = spark.sparkContext.broadcast(chosen)
     shards = max(1, -(-n // shard_rows))
-    base = rows.select(F.pmod(F.xxhash64("id"), F.lit(shards)).cast("long").alias("shard"), F.lit(0).alias("kind"), "id", "v")
-    queries = rows.where(is_query).select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))).alias("shard"), F.lit(1).alias("kind"), "id", "v")
+    base = rows.select(F.pmod(F.xxhash64("id"), F.lit(shards)).cast("long").alias("shard"), F.lit(0).alias("kind"), "id", "v", F.lit(0).cast("long").alias("query"))
+    # stored, so that a row has one number in all shards
+    asked = stored(rows.where(is_query).withColumn("query", F.monotonically_increasing_id()), "queries")
+    queries = asked.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))).alias("shard"), F.lit(1).alias("kind"), "id", "v", "query")
     met = base.unionByName(queries).repartition("shard").sortWithinPartitions("shard", "kind")
-    found = met.mapInArrow(_search(held, min(prefix, len(chosen)), share, close, least, k), "query_id long, vec_id long, score double")
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    found = met.mapInArrow(_search(held, min(prefix, len(chosen)), share, close, least, k), "query long, query_id long, vec_id long, score double")
+    best = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
