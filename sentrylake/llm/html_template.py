@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import html as _html
 import re
+from collections import Counter
 
 import pyarrow as pa
 import xxhash
@@ -79,8 +80,21 @@ def _events(page: str):
     Tags have a name ('/p' for an end) and no text; breaks tells that a tag ends a block."""
     stack: list[tuple[str, str, str]] = []  # name, kind, path
 
+    kinds: Counter = Counter()  # of the open elements
+    names: Counter = Counter()
+
     def state(text=None, name="", breaks=False, path=None):
-        return (path if path is not None else stack[-1][2] if stack else "", name, text, any(k == "main" for _, k, _ in stack), any(k == "other" for _, k, _ in stack), breaks)
+        return (path if path is not None else stack[-1][2] if stack else "", name, text, kinds["main"] > 0, kinds["other"] > 0, breaks)
+
+    def push(name, kind, path):
+        stack.append((name, kind, path))
+        names[name] += 1
+        kinds[kind] += 1
+
+    def pop():
+        name, kind, _ = stack.pop()
+        names[name] -= 1
+        kinds[kind] -= 1
 
     at, n = 0, len(page)
     for m in iter(lambda: _TAG.search(page, at), None):
@@ -91,11 +105,11 @@ def _events(page: str):
             continue
         name, block = m[2].lower(), m[2].lower() not in _INLINE
         if m[1]:
-            if any(s[0] == name for s in stack):
+            if names[name]:
                 while stack[-1][0] != name:
-                    stack.pop()
+                    pop()
                 path = stack[-1][2]
-                stack.pop()
+                pop()
             else:
                 path = stack[-1][2] if stack else ""
             yield state(name="/" + name, breaks=block, path=path)
@@ -103,19 +117,20 @@ def _events(page: str):
         # an open paragraph ends with the next block; list items and cells end with their like
         if stack and block:
             top = stack[-1][0]
-            while stack and stack[-1][0] in _INLINE and any(s[0] == "p" for s in stack) and name in ("p", "div", "ul", "ol", "table", "h1", "h2", "h3", "h4", "h5", "h6", "section", "article", "footer", "blockquote", "pre"):
-                stack.pop()
+            while stack and stack[-1][0] in _INLINE and names["p"] and name in ("p", "div", "ul", "ol", "table", "h1", "h2", "h3", "h4", "h5", "h6", "section", "article", "footer", "blockquote", "pre"):
+                pop()
             top = stack[-1][0] if stack else ""
             if top in _CLOSES and (_CLOSES[top] is None or name in _CLOSES[top]):
-                stack.pop()
+                pop()
         words = ".".join(sorted(v.strip("\"'").lower() for k, v in _NAMES.findall(m[3]) if k.lower() == "class"))
-        path = (stack[-1][2] if stack else "") + "/" + name + ("." + words if words else "")
+        # beyond some length a path goes on from its digest, so that depth costs nothing
+        above = stack[-1][2] if stack else ""
+        path = (above if len(above) < 4096 else xxhash.xxh3_128_hexdigest(above.encode("utf-8", "surrogatepass"))) + "/" + name + ("." + words if words else "")
         if name in _VOID or m[3].endswith("/"):
             yield state(name=name, breaks=block, path=path)
             continue
         kind = "other" if name in _RAW else _kind(name, m[3])
-        if len(stack) < 200:
-            stack.append((name, kind, path))
+        push(name, kind, path)
         yield state(name=name, breaks=block, path=path)
         if name in _RAW:
             end = re.compile(rf"</{re.escape(name)}(?=[\s/>]|\Z)", re.I).search(page, at)
