@@ -150,7 +150,7 @@ def _counts(batches):
     """(host, token, tag, lo, hi, pages): of a batch's pages, each token's part of its occurrence vector's hash."""
     for b in batches:
         found: dict = {}
-        for url, page in zip(b.column("url").to_pylist(), b.column("html").to_pylist()):
+        for url, page, weight in zip(b.column("url").to_pylist(), b.column("html").to_pylist(), b.column("weight").to_pylist()):
             page = page or ""
             where, key, counts = host(url), xxhash.xxh3_64_intdigest(page), {}
             for path, name, text, main, _, _ in _events(page):
@@ -162,18 +162,27 @@ def _counts(batches):
             for t, (c, tag) in counts.items():
                 h = xxhash.xxh3_64_intdigest(f"{key}:{c}")
                 lo, hi, pages, _ = found.get((where, t), (0, 0, 0, tag))
-                found[where, t] = (lo + (h & 0xFFFFFFFF), hi + (h >> 32), pages + 1, tag)
+                found[where, t] = (lo + (h & 0xFFFFFFFF), hi + (h >> 32), pages + weight, tag)
         rows = [(w, t, tag, lo, hi, pages) for (w, t), (lo, hi, pages, tag) in found.items()]
-        types = (pa.string(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64())
+        types = (pa.string(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64())
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], ["host", "token", "tag", "lo", "hi", "pages"])
 
 
+def hosts():
+    """`host` as a column."""
+    return F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^\s*(?:[a-zA-Z][\w+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1))
+
+
 def templates(pages: DataFrame) -> DataFrame:
-    """(host, fixed): the text tokens of the valid classes of each host that has any."""
-    counts = pages.select("url", "html").mapInArrow(_counts, "host string, token long, tag boolean, lo long, hi long, pages long")
+    """(host, fixed): the text tokens of the valid classes of each host that has any, over the host's different pages.
+    Pages without a host are of no common site and have no template."""
+    # copies of a page are one page: each of c copies on a host counts as 1 / c
+    named = pages.select(hosts().alias("host"), F.md5(F.coalesce("html", F.lit(""))).alias("digest"), "url", "html").where("host <> ''")
+    copies = stored(named.groupBy("host", "digest").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "copies")
+    counts = named.join(copies, ["host", "digest"], "left").select("url", "html", (1 / F.coalesce("c", F.lit(1))).alias("weight")).mapInArrow(_counts, "host string, token long, tag boolean, lo long, hi long, pages double")
     tokens = stored(counts.groupBy("host", "token").agg(F.max("tag").alias("tag"), F.sum("lo").alias("lo"), F.sum("hi").alias("hi"), F.sum("pages").alias("pages")), "tokens")
-    size = tokens.where("token = 0").select("host", F.col("pages").alias("of")).where(f"of >= {LEAST_PAGES}")
-    often = tokens.where("token <> 0").join(size, "host").where(f"pages >= {LEAST_PAGES} and pages >= {MOST_SHARE} * of")
+    size = tokens.where("token = 0").select("host", F.col("pages").alias("of")).where(f"of > {LEAST_PAGES} - 1e-6")
+    often = tokens.where("token <> 0").join(size, "host").where(f"pages > {LEAST_PAGES} - 1e-6 and pages > {MOST_SHARE} * of - 1e-6")
     # a valid class has several tokens with one vector, and a tag that holds its text
     classes = often.groupBy("host", "lo", "hi").agg(F.max("tag").alias("has_tag"), F.count(F.lit(1)).alias("n"), F.collect_list(F.when(~F.col("tag"), F.col("token"))).alias("fixed"))
     valid = classes.where("has_tag and n > 1 and size(fixed) > 0")
@@ -211,13 +220,12 @@ def main_text(page: str, fixed: frozenset | set = frozenset()) -> str:
 def extract(pages: DataFrame) -> DataFrame:
     """One row per row of pages: page_id, url, text, n_chars.
 
-    Null html is empty and gives an empty text; a null or hostless url shares the host ''. Repeated rows give
+    Null html is empty and gives an empty text; pages with a null or hostless url have no template. Repeated rows give
     repeated rows; other columns are ignored; an empty table gives no rows.
     """
     small_batches(pages.sparkSession)
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     fixed = stored(templates(pages), "templates")
-    where = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^\s*(?:[a-zA-Z][\w+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1))
 
     def run(batches):
         for b in batches:
@@ -229,5 +237,5 @@ def extract(pages: DataFrame) -> DataFrame:
                 out.append(main_text(page or "", cache[name]))
             yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(out, pa.string()), pa.array([len(t) for t in out], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
-    met = pages.withColumn("host", where).join(fixed, "host", "left").select("page_id", "url", "html", "host", "fixed")
+    met = pages.withColumn("host", hosts()).join(fixed, "host", "left").select("page_id", "url", "html", "host", "fixed")
     return met.mapInArrow(run, "page_id long, url string, text string, n_chars long")
