@@ -3,15 +3,15 @@
 Tokens of a page are its tags and its whole text nodes, told apart by the path of open elements. Over
 the pages of a host, tokens with the same occurrence vector (the same count on every page) form a
 class. A class is valid if it occurs on at least LEAST_PAGES pages and on most pages of the host, and
-has several tokens, one of them a tag; by its path it nests in the class of the nearest enclosing
-element. The valid classes are the host's template; the text left in its slots is the page's own.
+has several tokens, one of them a tag. Classes are not ordered, nested or given slots; the text tokens of the
+valid ones are the host's fixed text. It is left out only where a page has no article or main element with text.
 
 An occurrence vector is never gathered: each page adds a mixed hash of itself and the count, so equal
 sums are equal vectors, and a host of any size is a plain aggregation. What a host's template keeps is
 bounded by what most of its pages contain.
 
-Of the slots, those of an article or main element are the text if the page has one with text;
-otherwise all slots outside the elements that hold no article (menus, headers, footers, sidebars,
+The text of an article or main element is the page's text if it has one with text (by tag and role lists: the
+tag path); otherwise all text outside the elements that hold no article (menus, headers, footers, sidebars,
 notices, adverts, forms, comments; by element name, role, class or id). Fixed text of the template is
 left out, but never within an article or main element, where equal paragraphs are copied articles.
 """
