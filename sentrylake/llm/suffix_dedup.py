@@ -6,19 +6,22 @@ A string of LENGTH bytes is removed wherever it starts if it starts more than on
    in it (the leftmost of equals). Equal windows have equal anchors at the same place. Consecutive
    windows of one anchor are one occurrence, with the anchor's hash as key and the hash of all bytes
    that its windows cover as context.
-2. Occurrences are counted by key and context. A key that occurs once repeats nothing; a context that
-   occurs twice repeats all its windows.
-3. One text of each context goes to the suffix arrays wherever a key has several contexts: these are
-   sorted together, and windows whose common prefix with a neighbour reaches LENGTH are repeated.
-   Keys with more than `key_cap` contexts, which would make one large array, are dealt anew: windows
-   that start within the same few bytes before the anchor share a core of almost LENGTH bytes, whose
-   hash is the new key. Parts of contexts that are now equal repeat all their windows; the rest is
-   sorted, or dealt again by a longer core, until the core is the window itself.
-4. The decisions are joined back to the occurrences by key and context, and to the texts.
+2. Occurrences are counted by key and context, before any text is sent. A key that occurs once repeats
+   nothing; a context that occurs twice repeats all its windows.
+3. A key with more than `key_cap` contexts, which would make one large array, is dealt anew: windows that
+   start within the same few bytes before the anchor share a core of almost LENGTH bytes, whose hash is
+   the new key of that part of the context. Parts are counted as occurrences are, so that a passage of
+   many documents becomes counts and no group of rows; keys still over the cap are dealt by a longer
+   core, until the core is the window itself, whose key has one context only.
+4. One text of each context goes to the suffix arrays wherever a key has several contexts, `key_cap` at
+   most: these are sorted together, the common prefixes of neighbours are computed, and windows whose
+   common prefix reaches LENGTH are repeated.
+5. The decisions are joined back to the occurrences by key and context, and to the texts.
 
 Repeated passages can be found by words as well: the text is then read as one code of CODE bytes for each word (what
-stands between ASCII white space), so that WORDS consecutive words are a string of WORDS * CODE bytes, whatever their
-length. Spans of codes become the bytes from the first word's start to the last word's end.
+stands between ASCII white space), and all the above counts in codes instead of bytes, so that WORDS consecutive words
+are a string of WORDS codes, whatever their length. Spans of codes become the bytes from the first word's start to the
+last word's end.
 
 Texts are named by a 128-bit digest of their bytes throughout, so that repeated rows and missing or
 repeated ids are harmless, and a recomputed task gives the same names.
@@ -27,6 +30,7 @@ repeated ids are harmless, and a recomputed task gives the same names.
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -38,32 +42,35 @@ from ._shared import small_batches, stored, utf8
 
 LENGTH, GRAM = 400, 32
 LEADS = 1 << 20
+#: Contexts of one suffix array at most.
+KEY_CAP = 512
 #: Widths of the parts into which the windows of a key over the cap are dealt, one after the other.
 CELLS = (32, 4, 1)
 _SEGMENT = 1 << 20
-#: Passages of over 50 words; bytes of a word's code.
-WORDS, CODE = 51, 4
+#: Passages of over 50 words; bytes of a word's code; the codes of an anchor.
+WORDS, CODE, WORD_GRAM = 51, 4, 8
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
 # --- suffix arrays -------------------------------------------------------------------------------
 
 
-def two_stage_order(texts: list[bytes], starts: list[int], depth: int, groups: list[int] | None = None) -> list[tuple[int, int]]:
-    """(text, place) of the suffixes at places [0, starts[t]) of every text t, in the order of their first
-    `depth` bytes; equal ones are adjacent. With groups (a number for each text, ascending) the order is that
-    of a suffix array for each group, one after the other; all are built in the same passes.
+def two_stage_order(texts: list[bytes], starts: list[int], depth: int, groups: list[int] | None = None, unit: int = 1) -> np.ndarray:
+    """(text, place) rows of the suffixes at places [0, starts[t]) of every text t, in the order of their first
+    `depth` symbols; equal ones are adjacent. A symbol is `unit` bytes. With groups (a number for each text,
+    ascending) the order is that of a suffix array for each group, one after the other; all are built in the same passes.
 
     Suffixes smaller than their successors are sorted directly. Each other suffix is larger than its
-    successor and is induced from it: the buckets of first bytes are scanned in order, and what precedes a
+    successor and is induced from it: the buckets of first symbols are scanned in order, and what precedes a
     suffix goes to the end of the larger kind's part of its own bucket. A text's end is the smallest suffix.
     """
-    data = np.frombuffer(b"".join(texts), np.uint8)
-    ends = np.cumsum([len(t) for t in texts])
-    base = ends - [len(t) for t in texts]
+    whole = b"".join(texts)
+    symbols, data = np.unique(np.frombuffer(whole, ">u4" if unit == 4 else np.uint8), return_inverse=True)
+    ends = np.cumsum([len(t) // unit for t in texts])
+    base = ends - [len(t) // unit for t in texts]
     n = len(data)
     if not n:
-        return []
+        return np.zeros((0, 2), np.int64)
     last = np.zeros(n, bool)
     last[ends[ends > base] - 1] = True
     turn = last.copy()
@@ -83,18 +90,19 @@ def two_stage_order(texts: list[bytes], starts: list[int], depth: int, groups: l
         members[base[t] : top] = True
         if top == ends[t] and not smaller[top - 1]:
             stop.append(top - 1)
-    whole, owner = data.tobytes(), np.repeat(np.arange(len(texts)), ends - base)
+    owner = np.repeat(np.arange(len(texts)), ends - base)
     direct = np.flatnonzero(members[:n] & smaller)
     group = np.asarray(groups)[owner] if groups is not None else np.zeros(n, np.int64)
     cuts = [0, *(np.flatnonzero(np.diff(group[direct])) + 1).tolist(), len(direct)]
     limit = np.minimum(direct + depth, ends[owner[direct]]).tolist()
     direct = direct.tolist()
-    words = [whole[i:j] for i, j in zip(direct, limit)]
-    large: list[list[int]] = [[] for _ in range(256)]
-    small: list[list[int]] = [[] for _ in range(256)]
+    words = [whole[unit * i : unit * j] for i, j in zip(direct, limit)]
+    first = data.tolist()
+    large: list[list[int]] = [[] for _ in symbols]
+    small: list[list[int]] = [[] for _ in symbols]
     for x, y in zip(cuts[:-1], cuts[1:]):
         for i in sorted(range(x, y), key=words.__getitem__):
-            small[words[i][0]].append(direct[i])
+            small[first[direct[i]]].append(direct[i])
     del words
     # places that a larger, wanted suffix of the same text precedes
     led = np.zeros(n, bool)
@@ -102,34 +110,55 @@ def two_stage_order(texts: list[bytes], starts: list[int], depth: int, groups: l
     led[base[ends > base]] = False
     led = led.tobytes()
     for i in stop:  # before the empty suffix
-        large[whole[i]].append(i)
+        large[first[i]].append(i)
     out: list[int] = []
-    for c in range(256):
+    for c in range(len(symbols)):
         for part in (large[c], small[c]):
             for i in part:  # a large part grows while it is scanned
                 if led[i]:
-                    large[whole[i - 1]].append(i - 1)
+                    large[first[i - 1]].append(i - 1)
             out += part
     got = np.array(out, np.int64)
     got = got[np.argsort(group[got], kind="stable")]
     t = owner[got]
     place = got - base[t]
     keep = place < np.asarray(starts)[t]
-    return list(zip(t[keep].tolist(), place[keep].tolist()))
+    return np.stack([t[keep], place[keep]], axis=1)
+
+
+def common_prefixes(whole: bytes, a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
+    """The length of the common prefix of whole[a[i]:] and whole[b[i]:], `most` at most; both reach that far."""
+    data = np.frombuffer(whole + bytes(8), np.uint8)
+    eight = np.ndarray((len(whole) + 1,), "<u8", data, strides=(1,))  # the eight bytes from each place on
+    out, live = np.full(len(a), most, np.int64), np.arange(len(a))
+    for x in range(0, most, 8):
+        differ = eight[a[live] + x] ^ eight[b[live] + x]
+        at = np.flatnonzero(differ)
+        # the lowest set bit lies in the first byte that differs
+        bit = np.bitwise_count((differ[at] & (~differ[at] + np.uint64(1))) - np.uint64(1))
+        out[live[at]] = np.minimum(most, x + bit.astype(np.int64) // 8)
+        live = live[differ == 0]
+        if not len(live):
+            break
+    return out
 
 
-def repeated_places(texts: list[bytes], starts: list[int], length: int, twice: list[bool], groups: list[int] | None = None) -> list[np.ndarray]:
-    """For each text the places below starts[t] whose first `length` bytes start at another place too, or lie
-    in a text that itself occurs twice. Equal strings are looked for within groups."""
-    order = two_stage_order(texts, starts, length, groups)
-    marks = [bytearray(b"\1" if w else b"\0") * max(k, 0) for k, w in zip(starts, twice)]
-    before, at = None, None
-    for t, p in order:
-        word = texts[t][p : p + length]
-        if word == before and (groups is None or groups[t] == groups[at[0]]):  # the neighbours' common prefix has `length` bytes
-            marks[at[0]][at[1]] = marks[t][p] = 1
-        before, at = word, (t, p)
-    return [np.flatnonzero(np.frombuffer(m, np.uint8)) for m in marks]
+def repeated_places(texts: list[bytes], starts: list[int], length: int, groups: list[int] | None = None, unit: int = 1) -> list[np.ndarray]:
+    """For each text the places below starts[t] whose first `length` symbols start at another place too; each such
+    place has that many. Equal strings are looked for within groups."""
+    order = two_stage_order(texts, starts, length, groups, unit)
+    base = np.concatenate([[0], np.cumsum([max(k, 0) for k in starts])])
+    mark = np.zeros(int(base[-1]), bool)
+    if len(order) > 1:
+        t, place = order[:, 0], order[:, 1]
+        begin = np.concatenate([[0], np.cumsum([len(x) for x in texts])])[t] + unit * place
+        prefix = common_prefixes(b"".join(texts), begin[:-1], begin[1:], unit * length)
+        near = prefix >= unit * length
+        if groups is not None:
+            near &= np.asarray(groups)[t[:-1]] == np.asarray(groups)[t[1:]]
+        at = base[t] + place
+        mark[at[:-1][near]] = mark[at[1:][near]] = True
+    return [np.flatnonzero(mark[x:y]) for x, y in zip(base[:-1], base[1:])]
 
 
 # --- words ---------------------------------------------------------------------------------------
@@ -147,12 +176,12 @@ def word_edges(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _coded(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The rows' words as codes, and the offsets of the rows' codes."""
-    codes, sizes = [], [0]
+    codes, sizes = [np.zeros(0, "<u4")], [0]
     for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
         words = data[a:b].tobytes().split()
         codes.append(np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words)).astype("<u4"))
-        sizes.append(len(words) * CODE)
-    return np.concatenate(codes).view(np.uint8) if codes else np.zeros(0, np.uint8), np.cumsum(sizes)
+        sizes.append(len(words))
+    return np.concatenate(codes), np.cumsum(sizes)
 
 
 # --- anchors -------------------------------------------------------------------------------------
@@ -202,8 +231,9 @@ def _names(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 def _occurrences(length: int, gram: int, words: bool = False):
-    """(t1, t2, key, ctx, s, n): occurrences; s is the first window's start in the text, n holds how many windows
-    there are (times LEADS) and how far before its anchor the first starts."""
+    """(t1, t2, key, ctx, s, n): occurrences, in bytes or codes; s is the first window's start in the text, n holds
+    how many windows there are (times LEADS) and how far before its anchor the first starts."""
+    unit = CODE if words else 1
 
     def run(batches):
         for b in batches:
@@ -229,7 +259,7 @@ def _occurrences(length: int, gram: int, words: bool = False):
                 count = np.diff(np.append(first, len(start)))
                 s, at, row = start[first], at[first], row[first]
                 whole = raw.tobytes()
-                ctx = np.array([xxhash.xxh3_64_intdigest(whole[x : x + k + length - 1], int(p - x)) for x, k, p in zip(s.tolist(), count.tolist(), at.tolist())], np.uint64)
+                ctx = np.array([xxhash.xxh3_64_intdigest(whole[unit * x : unit * (x + k + length - 1)], int(p - x)) for x, k, p in zip(s.tolist(), count.tolist(), at.tolist())], np.uint64)
                 name = names[i + row]
                 cols = (name[:, 0], name[:, 1], h[at].view(np.int64), ctx.view(np.int64), s + a - offsets[i + row], count * LEADS + (at - s))
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["t1", "t2", "key", "ctx", "s", "n"])
@@ -252,29 +282,48 @@ def _texts(batches):
         yield pa.RecordBatch.from_arrays([pa.array(names[one, 0]), pa.array(names[one, 1]), b.column(0).take(pa.array(one))], ["t1", "t2", "text"])
 
 
-_BODIES = pa.schema([("key", pa.int64()), ("ctx", pa.int64()), ("twice", pa.bool_()), ("n", pa.int64()), ("body", pa.binary()), ("okey", pa.int64()), ("octx", pa.int64()), ("off", pa.int64())])
-_BODIES_SQL = "key long, ctx long, twice boolean, n long, body binary, okey long, octx long, off long"
+#: A context or a part of one (key, ctx), whose windows are those from `off` on of the context (okey, octx).
+_PART = ("key", "ctx", "okey", "octx", "off", "t1", "t2", "s", "n")
+_PARTS = pa.schema([(c, pa.int64()) for c in _PART])
+_BODIES = pa.schema([*((c, pa.int64()) for c in ("key", "okey", "octx", "off", "n")), ("body", pa.binary())])
+_MARKS = pa.schema([(c, pa.int64()) for c in ("key", "ctx", "a", "b")])
+
+
+def _sql(schema: pa.Schema) -> str:
+    return ", ".join(f"{f.name} {'binary' if pa.types.is_binary(f.type) else 'long'}" for f in schema)
 
 
 def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(schema)], schema=schema)
 
 
-def _contexts(length: int, key_cap: int, words: bool = False):
-    """The bytes of each wanted context, out of its text, dealt at once where its key is over the cap; in small
-    batches, as contexts overlap."""
+def _each(words: bool):
+    """(bytes of a text or of its codes, its wanted places) of a batch's rows."""
+
+    def run(b):
+        for text, places in zip(b.column("text"), b.column("places")):
+            whole = text.as_buffer().to_pybytes()
+            if words:
+                whole = _coded(np.frombuffer(whole, np.uint8), np.array([0, len(whole)]))[0].tobytes()
+            yield whole, places.as_py()
+
+    return run
+
+
+def _bodies(length: int, words: bool):
+    """The bytes of each wanted context, out of its text, in small batches, as contexts overlap. Codes are written
+    with their highest byte first, so that their bytes have their order."""
+    unit, each = CODE if words else 1, _each(words)
 
     def run(batches):
         for b in batches:
             out, size = [], 0
-            for text, places in zip(b.column("text"), b.column("places")):
-                whole = text.as_buffer().to_pybytes()
+            for whole, places in each(b):
                 if words:
-                    whole = _coded(np.frombuffer(whole, np.uint8), np.array([0, len(whole)]))[0].tobytes()
-                for x in places.as_py():
-                    row = (x["key"], x["ctx"], x["twice"], x["n"], whole[x["s"] : x["s"] + x["n"] // LEADS + length - 1], x["key"], x["ctx"], 0)
-                    out += [row] if x["kinds"] <= key_cap else [r[2:] for r in _dealt(row, CELLS[0], length)]
-                    size += len(row[4])
+                    whole = np.frombuffer(whole, "<u4").astype(">u4").tobytes()
+                for x in places:
+                    out.append((x["key"], x["okey"], x["octx"], x["off"], x["n"], whole[unit * x["s"] : unit * (x["s"] + x["n"] // LEADS + length - 1)]))
+                    size += len(out[-1][-1])
                     if size > 4 << 20:
                         yield _batch(out, _BODIES)
                         out, size = [], 0
@@ -283,87 +332,66 @@ def _contexts(length: int, key_cap: int, words: bool = False):
     return run
 
 
-_MARKS = pa.schema([("a", pa.int64()), ("b", pa.int64()), *_BODIES])
-_MARKS_SQL = "a long, b long, " + _BODIES_SQL
-
-
-def _dealt(row: tuple, cell: int, length: int) -> list[tuple]:
-    """A context in parts by cells of starts before its anchor, each under the hash of the cell's core."""
-    _, _, twice, packed, body, okey, octx, off = row
-    n, lead = packed // LEADS, packed % LEADS
+def dealt(x: dict, whole: bytes, cell: int, length: int, unit: int = 1) -> list[tuple]:
+    """A context x of a text in parts, as _PART, by cells of starts before its anchor: each under the hash of its
+    cell's core, the bytes that all windows of the cell have in common."""
+    n, lead = x["n"] // LEADS, x["n"] % LEADS
+    body = whole[unit * x["s"] : unit * (x["s"] + n + length - 1)]
     out = []
+    at = 0
     # a start's place before the anchor falls from lead to lead - n + 1; cells are cut by it
-    x = 0
-    while x < n:
-        c = (lead - x) // cell
-        y = min(n, lead - c * cell + 1)
-        core = body[max(0, lead - c * cell) : lead - (c * cell + cell - 1) + length]
-        part = body[x : y + length - 1]
+    while at < n:
+        c = (lead - at) // cell
+        to = min(n, lead - c * cell + 1)
+        core = body[unit * max(0, lead - c * cell) : unit * (lead - (c * cell + cell - 1) + length)]
+        part = body[unit * at : unit * (to + length - 1)]
         key = xxhash.xxh3_64_intdigest(core, c % (1 << 32)) >> 1
-        out.append((None, None, key, xxhash.xxh3_64_intdigest(part, x - lead & 0xFFFFFFFF) >> 1, twice, (y - x) * LEADS + lead - x, part, okey, octx, off + x))
-        x = y
+        ctx = xxhash.xxh3_64_intdigest(part, at - lead & 0xFFFFFFFF) >> 1
+        out.append((key, ctx, x["okey"], x["octx"], x["off"] + at, x["t1"], x["t2"], x["s"] + at, (to - at) * LEADS + lead - at))
+        at = to
     return out
 
 
-def _sorted_marks(length: int, key_cap: int, cell: int | None, most: int = 1 << 20):
-    """Of bodies sorted by key and context: marked runs [a, b) of the windows of each original context, found
-    by suffix arrays over about `most` bytes of whole keys; keys over the cap, which the first deal has left, in parts as new bodies."""
+def _deal(length: int, words: bool, cell: int):
+    unit, each = CODE if words else 1, _each(words)
 
-    def mark(row, a, b):
-        return (row[7] + a, row[7] + b, None, None, None, None, None, row[5], row[6], None)
+    def run(batches):
+        for b in batches:
+            out = []
+            for whole, places in each(b):
+                for x in places:
+                    out += dealt(x, whole, cell, length, unit)
+                    if len(out) > 10_000:
+                        yield _batch(out, _PARTS)
+                        out = []
+            yield _batch(out, _PARTS)
+
+    return run
+
+
+def _sorted_marks(length: int, words: bool, most: int = 1 << 20):
+    """Of bodies in the order of their keys: runs [a, b) of repeated windows of each original context, found by suffix
+    arrays over about `most` bytes of whole keys."""
 
     def flush(rows: list):
         out = []
         groups = np.cumsum([0, *(a[0] != b[0] for a, b in zip(rows, rows[1:]))]).tolist()
-        for row, at in zip(rows, repeated_places([r[4] for r in rows], [r[3] // LEADS for r in rows], length, [r[2] for r in rows], groups)):
+        for row, at in zip(rows, repeated_places([r[5] for r in rows], [r[4] // LEADS for r in rows], length, groups, CODE if words else 1)):
             if len(at):
                 cut = np.flatnonzero(np.diff(at) > 1)
-                out += [mark(row, int(x), int(y) + 1) for x, y in zip(at[np.append(0, cut + 1)], at[np.append(cut, len(at) - 1)])]
+                out += [(row[1], row[2], row[3] + int(x), row[3] + int(y) + 1) for x, y in zip(at[np.append(0, cut + 1)], at[np.append(cut, len(at) - 1)])]
         return _batch(out, _MARKS)
 
     def run(batches):
-        done, size = [], 0  # whole keys
-        now, over = [], False  # the contexts of one key
-        out: list[tuple] = []
-
-        def closed():
-            nonlocal done, size, now, out
-            if over:
-                for r in now:
-                    out += _dealt(r, cell, length)
-            elif len(now) > 1:
-                done += now
-                size += sum(len(r[4]) for r in now)
-            elif now and now[0][2]:
-                out.append(mark(now[0], 0, now[0][3] // LEADS))
-            now = []
-
+        rows, size = [], 0
         for b in batches:
             for row in zip(*(b.column(f.name).to_pylist() for f in _BODIES)):
-                if now and row[:2] == now[-1][:2]:
-                    if row[5:] == now[-1][5:]:
-                        continue  # a copy of the same text
-                    # the same part in another context: all its windows are repeated
-                    now[-1] = (*now[-1][:2], True, *now[-1][3:])
-                    out.append(mark(row, 0, row[3] // LEADS))
-                    continue
-                if now and row[0] != now[-1][0]:
-                    closed()
-                    over = False
-                now.append(row)
-                if len(now) > key_cap and cell:
-                    over, last = True, now.pop()
-                    closed()
-                    now = [last]
-                if size > most:
-                    yield flush(done)
-                    done, size = [], 0
-                if len(out) > 2000:
-                    yield _batch(out, _MARKS)
-                    out = []
-        closed()
-        yield flush(done)
-        yield _batch(out, _MARKS)
+                if size > most and row[0] != rows[-1][0]:
+                    yield flush(rows)
+                    rows, size = [], 0
+                rows.append(row)
+                size += len(row[5])
+        yield flush(rows)
 
     return run
 
@@ -382,8 +410,7 @@ def _cut(batches):
     """The output columns of each document, from its text and the spans to remove."""
     def in_bytes(data, spans):
         yield from ((x["a"], x["b"]) for x in spans if not x["words"])
-        # a code that is covered in part is a chance match of some of its bytes
-        coded = _merged((-(-x["a"] // CODE), x["b"] // CODE) for x in spans if x["words"])
+        coded = _merged((x["a"], x["b"]) for x in spans if x["words"])
         if coded:
             starts, ends = word_edges(np.frombuffer(data, np.uint8))
             yield from ((int(starts[a]), int(ends[b - 1])) for a, b in coded)
@@ -408,30 +435,44 @@ def _named(batches):
         yield pa.RecordBatch.from_arrays([*b.columns, pa.array(names[:, 0]), pa.array(names[:, 1])], [*b.schema.names, "t1", "t2"])
 
 
+def _ruled(parts: DataFrame) -> DataFrame:
+    """One row for each key and context of a key that occurs more than once: how often the context occurs (c), how
+    many contexts the key has (kinds), and one of its places. All counts are map-side aggregates, and the join is one
+    that adaptive execution splits: no key's occurrences or contexts meet in one task."""
+    kinds = parts.groupBy("key", "ctx").agg(F.count(F.lit(1)).alias("c"), *(F.first(x).alias(x) for x in _PART[2:]))
+    totals = kinds.groupBy("key").agg(F.sum("c").alias("total"), F.count(F.lit(1)).alias("kinds")).where("total > 1").select("key", "kinds")
+    return stored(kinds.join(totals, "key").select(*_PART, "c", "kinds"), "ruled")
+
+
 def _spans(text: DataFrame, length: int, gram: int, key_cap: int, words: bool) -> DataFrame:
-    """(t1, t2, x): repeated spans of the texts, in bytes of the text or of its codes."""
+    """(t1, t2, x): repeated spans of the texts, in bytes of the text or in words."""
     occ = stored(text.mapInArrow(_occurrences(length, gram, words), _OCC), "occurrences")
-    # all counts are map-side aggregates, and the rules join is one that adaptive execution splits: no key's
-    # occurrences or contexts meet in one task
-    kinds = occ.groupBy("key", "ctx").agg(F.count(F.lit(1)).alias("c"), *(F.first(x).alias(x) for x in ("t1", "t2", "s", "n")))
-    totals = kinds.groupBy("key").agg(F.sum("c").alias("total"), F.count(F.lit(1)).alias("kinds")).where("total > 1").select("key", "kinds")
-    ruled = stored(kinds.join(totals, "key").select("key", "ctx", "t1", "t2", "s", "n", (F.col("c") > 1).alias("twice"), "kinds"), "ruled")
-    # a text's wanted contexts are bounded by its length
-    wanted = ruled.where("kinds > 1").groupBy("t1", "t2").agg(F.collect_list(F.struct("key", "ctx", "twice", "n", "s", "kinds")).alias("places"))
     whole = text.mapInArrow(_texts, "t1 long, t2 long, text string")
-    bodies = whole.join(wanted, ["t1", "t2"]).select("text", "places").mapInArrow(_contexts(length, key_cap, words), _BODIES_SQL)
-    rules = ruled.where("twice").select("key", "ctx", F.lit(0).cast("long").alias("a"), F.expr(f"n div {LEADS}").alias("b"))
-    for cell in (*CELLS[1:], None):
-        met = bodies.repartition("key").sortWithinPartitions("key", "ctx", "okey", "octx", "off")
-        marks = stored(met.mapInArrow(_sorted_marks(length, key_cap, cell), _MARKS_SQL), "marks")
-        rules = rules.unionByName(marks.where("body is null").select(F.col("okey").alias("key"), F.col("octx").alias("ctx"), "a", "b"))
-        bodies = marks.where("body is not null").drop("a", "b")
-        if bodies.isEmpty():
-            break
-    return occ.join(rules, ["key", "ctx"]).select("t1", "t2", F.struct((F.col("s") + F.col("a")).alias("a"), (F.col("s") + F.col("b") + (length - 1)).alias("b"), F.lit(words).alias("words")).alias("x"))
-
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, key_cap: int = 4096, words: int | None = None) -> DataFrame:
+    def with_texts(places):
+        # a text's wanted places are bounded by its length
+        wanted = places.groupBy("t1", "t2").agg(F.collect_list(F.struct(*_PART)).alias("places"))
+        return whole.join(wanted, ["t1", "t2"]).select("text", "places")
+
+    ruled = _ruled(occ.select("key", "ctx", F.col("key").alias("okey"), F.col("ctx").alias("octx"), F.lit(0).cast("long").alias("off"), "t1", "t2", "s", "n"))
+    rules = [ruled.where("c > 1").select("key", "ctx", F.lit(0).cast("long").alias("a"), F.expr(f"n div {LEADS}").alias("b"))]
+    sortable = [ruled.where(f"kinds between 2 and {key_cap}")]
+    for cell in CELLS:
+        over = ruled.where(f"kinds > {key_cap}")
+        if over.isEmpty():
+            break
+        parts = stored(with_texts(over).mapInArrow(_deal(length, words, cell), _sql(_PARTS)), "parts")
+        ruled = _ruled(parts)
+        rules.append(parts.join(ruled.where("c > 1").select("key", "ctx"), ["key", "ctx"]).select(F.col("okey").alias("key"), F.col("octx").alias("ctx"), F.col("off").alias("a"), F.expr(f"off + n div {LEADS}").alias("b")))
+        sortable.append(ruled.where(f"kinds between 2 and {key_cap}"))
+    bodies = with_texts(reduce(DataFrame.unionByName, sortable)).mapInArrow(_bodies(length, words), _sql(_BODIES))
+    met = bodies.repartition("key").sortWithinPartitions("key")
+    rules.append(met.mapInArrow(_sorted_marks(length, words), _sql(_MARKS)))
+    marked = occ.join(reduce(DataFrame.unionByName, rules), ["key", "ctx"])
+    return marked.select("t1", "t2", F.struct((F.col("s") + F.col("a")).alias("a"), (F.col("s") + F.col("b") + (length - 1)).alias("b"), F.lit(words).alias("words")).alias("x"))
+
+
+def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, key_cap: int = KEY_CAP, words: int | None = None) -> DataFrame:
     """One row per row of docs: row (its columns, as a struct), n_bytes, n_removed, n_spans, kept_sha256,
     kept (remaining bytes) and removed (maximal runs [a, b) of removed bytes).
 
@@ -445,7 +486,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, key_
     text = docs.select(F.col("text").cast("string").alias("text"))
     spans = _spans(text, length, gram, key_cap, False)
     if words:
-        spans = spans.unionByName(_spans(text, words * CODE, gram, key_cap, True))
+        spans = spans.unionByName(_spans(text, words, 1 << min(WORD_GRAM, words).bit_length() - 1, key_cap, True))
     spans = stored(spans.groupBy("t1", "t2").agg(F.collect_set("x").alias("spans")), "spans")
     rows = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row")).select("row", F.col("row.text").cast("string").alias("text"))
     kind = "row " + schema.simpleString()
@@ -453,7 +494,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, key_
     return named.join(spans, ["t1", "t2"], "left").select("row", "text", "spans").mapInArrow(_cut, kind + ", n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, removed array<struct<a:long,b:long>>")
 
 
-def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, key_cap: int = 4096, words: int | None = None) -> DataFrame:
+def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, key_cap: int = KEY_CAP, words: int | None = None) -> DataFrame:
     """docs with the repeated strings taken out of text, and n_chars, if there is one, counted again. A
     character of which bytes were removed goes as a whole; texts that lose nothing, null among them, stay as
     they are; a text that is all repeats becomes empty."""

@@ -2,6 +2,7 @@ import hashlib
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from sentrylake.llm import suffix_dedup as sd
@@ -70,3 +71,45 @@ def test_long_text_in_segments(spark, monkeypatch):
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert sd.remove_repeats(docs).count() == 0
+
+
+def test_common_prefixes():
+    r = random.Random(8)
+    whole = bytes(r.choices(b"ab", k=400))
+    a, b = (np.array([r.randrange(300) for _ in range(200)]) for _ in range(2))
+    want = [next((k for k in range(40) if whole[x + k] != whole[y + k]), 40) for x, y in zip(a.tolist(), b.tolist())]
+    assert sd.common_prefixes(whole, a, b, 40).tolist() == want
+
+
+@pytest.mark.parametrize("n", [150, 600])
+def test_a_passage_of_many_documents_stays_counts(spark, monkeypatch, n):
+    """However many documents share a passage, no key has more than a bounded number of bodies, and no sort more than the cap."""
+    r = random.Random(6)
+    passage = "".join(r.choices("abcdefgh ", k=150))
+    texts = ["".join(r.choices("abcdefgh ", k=r.randint(80, 160))) + passage + "".join(r.choices("abcdefgh ", k=100)) for _ in range(n)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    most = spark.sparkContext.accumulator(0)
+    real = sd._sorted_marks
+
+    def counting(*args):
+        run = real(*args)
+
+        def counted(batches):
+            keys = Counter()
+
+            def seen():
+                for b in batches:
+                    keys.update(b.column("key").to_pylist())
+                    yield b
+
+            yield from run(seen())
+            if keys:
+                most.add(max(keys.values()))
+
+        return counted
+
+    monkeypatch.setattr(sd, "_sorted_marks", counting)
+    out = sd.remove_repeats(docs, length=60, gram=16, key_cap=40).selectExpr("row.doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()
+    want = brute(texts, 60)
+    assert all(tuple(x)[1:] == want[x.doc_id] for x in out) and len(out) == n
+    assert most.value <= 40 * 8  # a sum over the tasks of each one's largest key
