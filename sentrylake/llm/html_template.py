@@ -1,19 +1,25 @@
 """Main text of web pages by template deduction from equivalence classes.
 
-Tokens of a page are its tags and its whole text nodes, told apart by the path of open elements. Over
-the pages of a host, tokens with the same occurrence vector (the same count on every page) form a
-class. A class is valid if it occurs on at least LEAST_PAGES pages and on most pages of the host, and
-has several tokens, one of them a tag. Classes are not ordered, nested or given slots; the text tokens of the
-valid ones are the host's fixed text. It is left out only where a page has no article or main element with text.
+Tokens of a page are its tags and its whole text nodes, told apart by the path of open elements. Over the
+different pages of a host, tokens with the same occurrence vector (the same count on every page) form a class.
+A class is valid if it occurs on at least LEAST_PAGES pages and on most pages of the host, has several tokens,
+one of them a tag, and if those of its elements that occur once a page stand in one order and each within the
+same enclosing element on every page. The valid classes, nested into each other by these enclosing elements, are
+the host's template; its text tokens are fixed text, and what stands between its tags are its slots.
 
 An occurrence vector is never gathered: each page adds a mixed hash of itself and the count, so equal
-sums are equal vectors, and a host of any size is a plain aggregation. What a host's template keeps is
-bounded by what most of its pages contain.
-
-The text of an article or main element is the page's text if it has one with text (by tag and role lists: the
-tag path); otherwise all text outside the elements that hold no article (menus, headers, footers, sidebars,
-notices, adverts, forms, comments; by element name, role, class or id). Fixed text of the template is
-left out, but never within an article or main element, where equal paragraphs are copied articles.
+sums are equal vectors, and a host of any size is a plain aggregation; so are order, nesting and the words
+in each element's slots. What a host's template keeps is bounded by what most of its pages contain.
+
+The template's element whose slots hold the article is found from the outside in: an element is entered if it has
+more than half of the words in the slots of the one around it and nothing but sections beside it, and an article
+or main element that has a tenth of them in any case. The slots of the element that this ends at are the page's
+text, without fixed text of the template. Names of elements, roles and classes only weigh: words in what is named a
+menu, header, footer, sidebar, notice, advert, form or comment count a quarter, and such parts of the slots are left out.
+
+A page without that element, one of a host with fewer pages or without a template, and one without a host get the text
+of their article or main elements or, if there is none, all text outside what is named as above (the tag path).
+Fixed text is never left out of an article or main element, where equal paragraphs are copied articles.
 """
 
 from __future__ import annotations
@@ -39,7 +45,7 @@ _RAW = {"script", "style", "textarea", "title", "noscript", "iframe", "template"
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 _INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "br", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "label", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"}
 _MAIN = {"article", "main"}
-_OTHER = {"nav", "header", "footer", "aside", "form", "head", "menu", "dialog", "button", "select", "svg", "object", "canvas"}
+_OTHER = {"nav", "header", "footer", "aside", "head", "menu", "dialog", "button", "select", "svg", "object", "canvas"}
 _OTHER_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "menu", "menubar", "dialog", "alert", "alertdialog"}
 #: Words in a class or id that say that an element holds no article.
 _OTHER_WORDS = {
@@ -52,6 +58,10 @@ _OTHER_WORDS = {
 #: An open element of the first kind ends where one of the second begins.
 _CLOSES = {"p": None, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option"}}
 _WORDS = re.compile(r"[a-z]+|[^a-z\W_]+")
+#: What the first word of a class or id says of an article element that is a reader's.
+_READERS = {"comment", "comments", "reply", "replies", "respond", "disqus"}
+#: Elements that are parts of a text, not sections of a page.
+_TEXTUAL = {"h1", "h2", "h3", "h4", "h5", "h6", "p", "pre", "blockquote", "ul", "ol", "dl", "table", "figure"}
 
 
 def host(url: str | None) -> str:
@@ -61,12 +71,14 @@ def host(url: str | None) -> str:
 
 
 def _kind(name: str, attributes: str) -> str:
-    """'main', 'other' or ''."""
-    kind = "main" if name in _MAIN else "other" if name in _OTHER else ""
+    """'main', 'other', 'form' or ''."""
+    kind = "main" if name in _MAIN else "other" if name in _OTHER else "form" if name == "form" else ""
     for key, value in _NAMES.findall(attributes):
         value = value.strip("\"'").lower()
         if key.lower() == "role":
             kind = "main" if value in ("main", "article") else "other" if value in _OTHER_ROLES else kind
+        elif name in _MAIN and any(w and w[0] in _READERS for w in map(_WORDS.findall, value.split())):
+            kind = "other"
         elif name not in ("html", "body") and kind != "main":
             camel = re.sub(r"([a-z])([A-Z])", r"\1-\2", value)
             if _OTHER_WORDS & set(_WORDS.findall(camel)):
@@ -74,25 +86,34 @@ def _kind(name: str, attributes: str) -> str:
     return kind
 
 
-def _events(page: str):
-    """(path, name, text, in main, in other, breaks) of tags and text nodes in page order.
+def _events(page: str, known: frozenset | set | dict = frozenset()):
+    """(path, name, text, in main, in other, breaks, owner) of tags and text nodes in page order.
 
-    Tags have a name ('/p' for an end) and no text; breaks tells that a tag ends a block."""
-    stack: list[tuple[str, str, str]] = []  # name, kind, path
+    Tags have a name ('/p' for an end) and no text; breaks tells that a tag ends a block; owner is the innermost open
+    element whose token is known (0 if none); for a known element's own start it is that around it. Within a known
+    element only what is named other inside of it counts as such, and a form around an article or main element does
+    not count for it, as some sites put all of a page into one."""
+    stack: list[tuple[str, str, str, int, int, int]] = []  # name, kind, path, owner, other elements and forms around it
 
     kinds: Counter = Counter()  # of the open elements
     names: Counter = Counter()
 
-    def state(text=None, name="", breaks=False, path=None):
-        return (path if path is not None else stack[-1][2] if stack else "", name, text, kinds["main"] > 0, kinds["other"] > 0, breaks)
+    def state(text=None, name="", breaks=False, path=None, owner=None):
+        _, _, here, own, around, forms = stack[-1] if stack else ("", "", "", 0, 0, 0)
+        return (path if path is not None else here, name, text, kinds["main"] > 0, kinds["other"] > around or kinds["form"] > forms, breaks, own if owner is None else owner)
 
     def push(name, kind, path):
-        stack.append((name, kind, path))
+        owner, around, forms = stack[-1][3:] if stack else (0, 0, 0)
         names[name] += 1
         kinds[kind] += 1
+        if known and (token := _token(path, name, None)) in known:
+            owner, around, forms = token, kinds["other"], kinds["form"]
+        elif kind == "main" and kinds["main"] == 1:
+            forms = kinds["form"]
+        stack.append((name, kind, path, owner, around, forms))
 
     def pop():
-        name, kind, _ = stack.pop()
+        name, kind, *_ = stack.pop()
         names[name] -= 1
         kinds[kind] -= 1
 
@@ -130,8 +151,9 @@ def _events(page: str):
             yield state(name=name, breaks=block, path=path)
             continue
         kind = "other" if name in _RAW else _kind(name, m[3])
+        around = stack[-1][3] if stack else 0
         push(name, kind, path)
-        yield state(name=name, breaks=block, path=path)
+        yield state(name=name, breaks=block, path=path, owner=around)
         if name in _RAW:
             end = re.compile(rf"</{re.escape(name)}(?=[\s/>]|\Z)", re.I).search(page, at)
             at = end.start() if end else n
@@ -147,25 +169,93 @@ def _token(path: str, name: str, text: str | None) -> int:
 
 
 def _counts(batches):
-    """(host, token, tag, lo, hi, pages): of a batch's pages, each token's part of its occurrence vector's hash."""
+    """(host, token, kind, once, lo, hi, pages): of a batch's pages, each token's part of its occurrence vector's hash;
+    kind is 0 of a text, 1 of a start, 2 of an end."""
     for b in batches:
         found: dict = {}
         for url, page, weight in zip(b.column("url").to_pylist(), b.column("html").to_pylist(), b.column("weight").to_pylist()):
             page = page or ""
             where, key, counts = host(url), xxhash.xxh3_64_intdigest(page), {}
-            for path, name, text, main, _, _ in _events(page):
+            for path, name, text, main, *_ in _events(page):
                 if text is not None and (main or not text.strip()):
                     continue
                 t = _token(path, name, text)
-                counts[t] = (counts.get(t, (0,))[0] + 1, text is None)
-            counts[0] = (1, True)  # the page itself
-            for t, (c, tag) in counts.items():
+                counts[t] = (counts.get(t, (0,))[0] + 1, 0 if text is not None else 2 if name[:1] == "/" else 1)
+            counts[0] = (1, 0)  # the page itself
+            for t, (c, kind) in counts.items():
                 h = xxhash.xxh3_64_intdigest(f"{key}:{c}")
-                lo, hi, pages, _ = found.get((where, t), (0, 0, 0, tag))
-                found[where, t] = (lo + (h & 0xFFFFFFFF), hi + (h >> 32), pages + weight, tag)
-        rows = [(w, t, tag, lo, hi, pages) for (w, t), (lo, hi, pages, tag) in found.items()]
-        types = (pa.string(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64())
-        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], ["host", "token", "tag", "lo", "hi", "pages"])
+                lo, hi, pages, once, _ = found.get((where, t), (0, 0, 0, True, kind))
+                found[where, t] = (lo + (h & 0xFFFFFFFF), hi + (h >> 32), pages + weight, once and c == 1, kind)
+        rows = [(w, t, kind, once, lo, hi, pages) for (w, t), (lo, hi, pages, once, kind) in found.items()]
+        types = (pa.string(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64())
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], ["host", "token", "kind", "once", "lo", "hi", "pages"])
+
+
+def _shapes(batches):
+    """(host, token, name, main, parent, place, words): of a batch's pages, the elements of the template: the element
+    around each, its place among those of its class, and the weight of the words in its own slots; several rows where
+    pages differ."""
+    for b in batches:
+        found: dict = {}
+        for where, page, weight, known, fixed in zip(b.column("host").to_pylist(), b.column("html").to_pylist(), b.column("weight").to_pylist(), b.column("elements").to_pylist(), b.column("fixed").to_pylist()):
+            known, fixed, met, rows = {x["token"]: x["class"] for x in known}, set(fixed or ()), Counter(), {0: ["", False, 0, 0, 0]}
+            for path, name, text, main, other, _, owner in _events(page or "", known):
+                if text is not None:
+                    inside = path.rpartition("/")[2].partition(".")[0]
+                    if inside not in _RAW and (main or _token(path, name, text) not in fixed):
+                        rows[owner][4] += len(text.split()) * (1 if other else 4)
+                elif name[:1] != "/" and (token := _token(path, name, None)) in known:
+                    rows[token] = [name, main, owner, met[known[token]], 0]
+                    met[known[token]] += 1
+            for token, (name, main, owner, place, words) in rows.items():
+                key = (where, token, name, main, owner, place)
+                found[key] = found.get(key, 0) + words * weight
+        rows = [(*k, float(v)) for k, v in found.items()]
+        types = (pa.string(), pa.int64(), pa.string(), pa.bool_(), pa.int64(), pa.int64(), pa.float64())
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], ["host", "token", "name", "main", "parent", "place", "words"])
+
+
+def container(elements: list) -> int:
+    """The element whose slots hold the article, of one host's elements(token, name, main, parent, valid, words); 0 if
+    it is the whole page. Elements that are not valid hand their words on to those around them."""
+    by = {e["token"]: e for e in elements}
+
+    def holder(t):
+        seen = set()
+        while t in by and not by[t]["valid"] and t not in seen:
+            seen.add(t)
+            t = by[t]["parent"]
+        return t if t in by else 0
+
+    own: Counter = Counter()
+    children: dict[int, list] = {}
+    for t, e in by.items():
+        own[holder(t)] += e["words"]
+        if t and e["valid"]:
+            children.setdefault(holder(e["parent"]), []).append(t)
+    order, at = [0], 0
+    while at < len(order):
+        order += children.get(order[at], [])
+        at += 1
+    total = Counter(own)
+    for t in reversed(order[1:]):
+        total[holder(by[t]["parent"])] += total[t]
+    node = 0
+    while True:
+        below = sorted((c for c in children.get(node, ()) if total[c] > 0), key=lambda c: (-total[c], c))
+        mains = [c for c in below if by[c]["main"] and 10 * total[c] >= total[node]]
+        if mains and not (node in by and by[node]["main"]):
+            node = mains[0]
+        elif below and 2 * total[below[0]] > total[node] and 20 * own[node] <= total[node] and not any(by[c]["name"] in _TEXTUAL for c in below):
+            node = below[0]
+        else:
+            return node
+
+
+def _containers(batches):
+    for b in batches:
+        found = [container(x) for x in b.column("elements").to_pylist()]
+        yield pa.RecordBatch.from_arrays([b.column("host"), b.column("fixed"), pa.array(found, pa.int64())], ["host", "fixed", "container"])
 
 
 def hosts():
@@ -174,38 +264,51 @@ def hosts():
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """(host, fixed): the text tokens of the valid classes of each host that has any, over the host's different pages.
-    Pages without a host are of no common site and have no template."""
+    """(host, fixed, container): of each host that has a template, over its different pages, the text tokens and the
+    element of the article. Pages without a host are of no common site and have no template."""
     # copies of a page are one page: each of c copies on a host counts as 1 / c
     named = pages.select(hosts().alias("host"), F.md5(F.coalesce("html", F.lit(""))).alias("digest"), "url", "html").where("host <> ''")
     copies = stored(named.groupBy("host", "digest").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "copies")
-    counts = named.join(copies, ["host", "digest"], "left").select("url", "html", (1 / F.coalesce("c", F.lit(1))).alias("weight")).mapInArrow(_counts, "host string, token long, tag boolean, lo long, hi long, pages double")
-    tokens = stored(counts.groupBy("host", "token").agg(F.max("tag").alias("tag"), F.sum("lo").alias("lo"), F.sum("hi").alias("hi"), F.sum("pages").alias("pages")), "tokens")
+    weighed = named.join(copies, ["host", "digest"], "left").select("host", "url", "html", (1 / F.coalesce("c", F.lit(1))).alias("weight"))
+    counts = weighed.select("url", "html", "weight").mapInArrow(_counts, "host string, token long, kind long, once boolean, lo long, hi long, pages double")
+    tokens = stored(counts.groupBy("host", "token").agg(F.max("kind").alias("kind"), F.min("once").alias("once"), F.sum("lo").alias("lo"), F.sum("hi").alias("hi"), F.sum("pages").alias("pages")), "tokens")
     size = tokens.where("token = 0").select("host", F.col("pages").alias("of")).where(f"of > {LEAST_PAGES} - 1e-6")
     often = tokens.where("token <> 0").join(size, "host").where(f"pages > {LEAST_PAGES} - 1e-6 and pages > {MOST_SHARE} * of - 1e-6")
     # a valid class has several tokens with one vector, and a tag that holds its text
-    classes = often.groupBy("host", "lo", "hi").agg(F.max("tag").alias("has_tag"), F.count(F.lit(1)).alias("n"), F.collect_list(F.when(~F.col("tag"), F.col("token"))).alias("fixed"))
-    valid = classes.where("has_tag and n > 1 and size(fixed) > 0")
-    return valid.groupBy("host").agg(F.flatten(F.collect_list("fixed")).alias("fixed"))
-
-
-def main_text(page: str, fixed: frozenset | set = frozenset()) -> str:
-    """The page's blocks, joined by newlines."""
-    main: list[str] = []
-    other: list[str] = []
+    element = F.struct("token", F.col("lo").alias("class"))
+    classes = often.groupBy("host", "lo", "hi").agg(F.max("kind").alias("kind"), F.count(F.lit(1)).alias("n"), F.collect_list(F.when((F.col("kind") == 1) & F.col("once"), element)).alias("elements"), F.collect_list(F.when(F.col("kind") == 0, F.col("token"))).alias("fixed"))
+    valid = classes.where("kind > 0 and n > 1")
+    known = stored(valid.groupBy("host").agg(F.flatten(F.collect_list("elements")).alias("elements"), F.flatten(F.collect_list("fixed")).alias("fixed")), "classes")
+    shapes = weighed.join(known, "host").select("host", "html", "weight", "elements", "fixed").mapInArrow(_shapes, "host string, token long, name string, main boolean, parent long, place long, words double")
+    # an element that stands elsewhere on some page, in its class or among the others, is not of the template
+    found = shapes.groupBy("host", "token").agg(
+        F.first("name").alias("name"),
+        F.max("main").alias("main"),
+        F.min("parent").alias("parent"),
+        ((F.min("parent") == F.max("parent")) & (F.min("place") == F.max("place"))).alias("valid"),
+        F.sum("words").alias("words"),
+    )
+    tree = found.groupBy("host").agg(F.collect_list(F.struct("token", "name", "main", "parent", "valid", "words")).alias("elements"))
+    return tree.join(known.select("host", "fixed"), "host").select("host", "elements", "fixed").mapInArrow(_containers, "host string, fixed array<long>, container long")
+
+
+def main_text(page: str, fixed: frozenset | set = frozenset(), element: int = 0) -> str:
+    """The page's blocks, joined by newlines; `element` is the token of the template's element that holds the article."""
+    blocks: dict[str, list[str]] = {"slot": [], "main": [], "other": []}
     now: list[str] = []
-    in_main = False
+    kind = "other"
 
     def end():
         block = " ".join("".join(now).split())
         if block:
-            (main if in_main else other).append(block)
+            blocks[kind].append(block)
         now.clear()
 
-    for path, name, text, inside, skip, breaks in _events(page):
-        if breaks or inside != in_main:
+    for path, name, text, inside, skip, breaks, owner in _events(page, {element} if element else frozenset()):
+        here = "slot" if owner else "main" if inside else "other"
+        if breaks or here != kind:
             end()
-            in_main = inside
+            kind = here
         if text is None:
             if name == "br":
                 now.append(" ")
@@ -214,7 +317,7 @@ def main_text(page: str, fixed: frozenset | set = frozenset()) -> str:
             continue
         now.append(_html.unescape(text))
     end()
-    return "\n".join(main or other)
+    return "\n".join(blocks["slot"] or blocks["main"] or blocks["other"])
 
 
 def extract(pages: DataFrame) -> DataFrame:
@@ -231,11 +334,11 @@ def extract(pages: DataFrame) -> DataFrame:
         for b in batches:
             cache: dict = {}
             out = []
-            for name, page, tokens in zip(b.column("host").to_pylist(), b.column("html").to_pylist(), b.column("fixed")):
+            for name, page, tokens, element in zip(b.column("host").to_pylist(), b.column("html").to_pylist(), b.column("fixed"), b.column("container").to_pylist()):
                 if name not in cache:
                     cache[name] = set(tokens.as_py() or ())
-                out.append(main_text(page or "", cache[name]))
+                out.append(main_text(page or "", cache[name], element or 0))
             yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(out, pa.string()), pa.array([len(t) for t in out], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
-    met = pages.withColumn("host", hosts()).join(fixed, "host", "left").select("page_id", "url", "html", "host", "fixed")
+    met = pages.withColumn("host", hosts()).join(fixed, "host", "left").select("page_id", "url", "html", "host", "fixed", "container")
     return met.mapInArrow(run, "page_id long, url string, text string, n_chars long")
