@@ -6,7 +6,8 @@ from sentrylake.llm import permutation_index as pi
 
 
 def brute(rows, k, every):
-    ok = [(i, np.array(v, float)) for i, v in rows if i is not None and v is not None and len(v) == 8 and all(x is not None and np.isfinite(x) for x in v) and any(v)]
+    ok = [(i, np.array(v, float)) for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v) and any(v)]
+    ok = [(i, np.pad(v, (0, 8 - len(v)))) for i, v in ok]
     out = {}
     for q, v in ok:
         if q % every == 0:
@@ -67,11 +68,31 @@ def test_recall(spark, clustered):
 
 def test_footrule_falls_with_shared_pivots():
     r = np.random.default_rng(2)
-    x, p = r.standard_normal((200, 6)), r.standard_normal((20, 6))
-    shard = pi.Shard(np.arange(200), x, p, 7, 2.0)
-    order = pi.orders(x, p, 7)
+    x, p = r.standard_normal((200, 6)), r.standard_normal((20, 7))
+    square = float((x * x).sum(1).max())
+    shard = pi.Shard(np.arange(200), x, p, square, 7, 2.0)
+    order = pi.orders(pi.lifted(x, square), p, 7)
     place = np.full((200, 20), 7)
     np.put_along_axis(place, order, np.arange(7)[None], axis=1)
     for q in (0, 17):
         foot = np.abs(place - place[q]).sum(1)
         assert set(shard.candidates(order[q], 30)) == set(np.lexsort((np.arange(200), foot))[:30])
+
+
+@pytest.mark.parametrize("sigma", [0.0, 0.6, 1.0])
+def test_recall_at_any_norms_with_defaults(spark, sigma):
+    """At least 0.9 of the largest inner products, for norms that are alike and for norms that differ a hundredfold."""
+    r = np.random.default_rng(7)
+    x = r.standard_normal((10_000, 32))
+    x *= (np.exp(sigma * r.standard_normal(len(x))) / np.linalg.norm(x, axis=1))[:, None]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>").repartition(4)
+    got = {}
+    for row in pi.neighbours(df, F.col("id") % 20 == 0).collect():
+        got.setdefault(row.query_id, set()).add(row.vec_id)
+    assert len(got) == 500
+    hits = 0
+    for q, found in got.items():
+        s = x @ x[q]
+        s[q] = -np.inf
+        hits += len(found & set(np.argsort(-s)[:20].tolist()))
+    assert hits / (20 * len(got)) >= 0.9
