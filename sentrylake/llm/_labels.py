@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-#: Characters of a labelled text that a classifier is trained on.
-STRETCH = 1 << 15
+#: Bytes of the labelled texts that a classifier is trained on, in all.
+SAMPLE_BYTES = 48 << 20
 
 
 def fold(folds: int) -> Column:
@@ -15,17 +15,15 @@ def fold(folds: int) -> Column:
     return F.crc32(F.col("doc_id").cast("long").cast("string").cast("binary")) % folds
 
 
-def sample(docs: DataFrame, labels: DataFrame, label: str, train: Column, most: int, stretch: int = STRETCH) -> list[tuple[str, int]]:
-    """At most `most` pairs of text and label of rows that `train` admits, in an order given by a hash of
-    the id and then the text. Of a text of more than `stretch` characters a stretch of that length is
-    taken, at a place given by a hash of the id, so that the driver holds at most `most` times `stretch`
-    characters. Rows whose id, label or text is null are left out; an id labelled twice takes its larger
-    label."""
+def sample(docs: DataFrame, labels: DataFrame, label: str, train: Column, most: int, most_bytes: int = SAMPLE_BYTES) -> list[tuple[str, int]]:
+    """At most `most` pairs of whole text and label of rows that `train` admits, in an order given by a hash of the id
+    and then the text, as far as they have `most_bytes` bytes together; these two bound what the driver holds. Rows
+    whose id, label or text is null are left out; an id labelled twice takes its larger label."""
     marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).where("doc_id is not null and y is not null")
     marks = marks.where(train).groupBy("doc_id").agg(F.max("y").alias("y"))
     marks = marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)  # bounds the side that is sent to all
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text is not null")
-    place = F.pmod(F.xxhash64("doc_id"), F.greatest(F.lit(1), F.length("text") - stretch + 1)).cast("int") + 1
-    texts = texts.withColumn("text", F.when(F.length("text") > stretch, F.substring("text", place, F.lit(stretch))).otherwise(F.col("text")))
-    found = texts.join(F.broadcast(marks), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(most)
+    order = [F.xxhash64("doc_id"), F.col("doc_id"), F.col("text")]
+    found = texts.join(F.broadcast(marks), "doc_id").orderBy(*order).limit(most)
+    found = found.withColumn("sum", F.sum(F.octet_length("text").cast("long")).over(Window.orderBy(*order))).where(F.col("sum") <= most_bytes)
     return [(r.text, r.y) for r in found.select("text", "y").collect()]

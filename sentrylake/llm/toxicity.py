@@ -1,9 +1,10 @@
 """A toxicity classifier with counterfactual regularisation.
 
-A logistic model over hashed words and word beginnings. For every labelled text that names a group of
-people, the group terms are swapped for others of the same kind, and the squared change of the score
+A logistic model over hashed words and word beginnings. In every sentence of a labelled text that names a group of
+people, the group terms are swapped for others of the same kind, and the squared change of the sentence's score
 that the swap causes is penalised; a text therefore cannot owe its score to the group it mentions,
-and neutral mentions are not taken for abuse.
+and neutral mentions are not taken for abuse. `counterfactuals` gives the pairs that the penalty sees; terms of other
+languages or kinds can be handed in.
 
 Training uses at most SAMPLE labelled texts; scoring reads each whole text once, without a shuffle.
 """
@@ -42,15 +43,26 @@ IDENTITY = [
     ["mujeres", "hombres", "niñas", "niños"],
     ["musulmanes", "cristianos", "judíos", "ateos"],
 ]
-_OTHERS = {t: [o for o in group if o != t] for group in IDENTITY for t in group}
-_TERM = re.compile(r"(?<!\w)(" + "|".join(sorted(_OTHERS, key=len, reverse=True)) + r")(?!\w)", re.I)
-
-
-def swapped(text: str, seed: int = 0) -> str | None:
-    """The text with each group term replaced by another of its kind; None if it has none."""
-    pick = random.Random(seed)
-    out, n = _TERM.subn(lambda m: pick.choice(_OTHERS[m[0].lower()]), text)
-    return out if n else None
+_SENTENCE = re.compile(r"[^.!?\n]+[.!?]*")
+
+
+def counterfactuals(texts: list[str], terms: list[list[str]] = IDENTITY) -> list[tuple[str, str]]:
+    """(sentence, the same with each group term replaced by another of its kind) of each sentence that has a term; the
+    choice follows from the sentence, so equal sentences have equal swaps."""
+    others = {t: [o for o in group if o != t] for group in terms for t in group if len(group) > 1}
+    if not others:
+        return []
+    term = re.compile(r"(?<!\w)(" + "|".join(map(re.escape, sorted(others, key=len, reverse=True))) + r")(?!\w)", re.I)
+    out = []
+    for t in texts:
+        if not term.search(t):
+            continue
+        for sentence in _SENTENCE.findall(t):
+            pick = random.Random(sentence)
+            swapped, n = term.subn(lambda m: pick.choice(others.get(m[0].lower(), [m[0]])), sentence)
+            if n:
+                out.append((sentence, swapped))
+    return out
 
 
 def _hashes(words: Words) -> np.ndarray:
@@ -103,7 +115,7 @@ def _telling(row: np.ndarray, feat: np.ndarray, y: np.ndarray, least_z: float) -
     return np.where(np.abs(ratio) >= least_z * error, ratio, 0.0)
 
 
-def train(rows: list[tuple[str, int]], rounds: int = 200, swap_penalty: float = 1.0, decay: float = 1e-4, least_z: float = 3.5) -> tuple[np.ndarray, float]:
+def train(rows: list[tuple[str, int]], rounds: int = 200, swap_penalty: float = 1.0, decay: float = 1e-4, least_z: float = 3.5, terms: list[list[str]] = IDENTITY) -> tuple[np.ndarray, float]:
     """(weights, bias). One class only, no rows, or no feature that tells the classes apart, gives the smoothed
     rate and no weights."""
     weights = np.zeros(1 << _BITS)
@@ -118,9 +130,10 @@ def train(rows: list[tuple[str, int]], rounds: int = 200, swap_penalty: float =
     seen = ratio != 0
     if not seen.any():
         return weights, bias
-    pairs = [(i, s) for i, t in enumerate(texts) if (s := swapped(t, i)) is not None]
-    srow, sfeat, svalue = _matrix([s for _, s in pairs])
-    origin = np.array([i for i, _ in pairs], np.int64)
+    pairs = counterfactuals(texts, terms)
+    # of each sentence its features less those of its counterpart: the change of the score is linear in them
+    (arow, afeat, avalue), (brow, bfeat, bvalue) = (_matrix([p[k] for p in pairs]) for k in (0, 1))
+    srow, sfeat, svalue = np.append(arow, brow), np.append(afeat, bfeat), np.append(avalue, -bvalue)
     keep, skeep = seen[feat], seen[sfeat]
     row, feat, value, srow, sfeat, svalue = row[keep], feat[keep], value[keep], srow[skeep], sfeat[skeep], svalue[skeep]
     value, svalue = value * ratio[feat], svalue * ratio[sfeat]
@@ -133,12 +146,9 @@ def train(rows: list[tuple[str, int]], rounds: int = 200, swap_penalty: float =
         z = np.bincount(row, w[feat] * value, len(y)) + bias
         g = (1 / (1 + np.exp(-z)) - y) * balance
         grad = np.bincount(feat, g[row] * value, len(ids)) + decay * w
-        if len(origin):
-            change = z[origin] - np.bincount(srow, w[sfeat] * svalue, len(origin)) - bias
-            pull = 2 * swap_penalty * change / len(origin)
-            full = np.zeros(len(y))
-            np.add.at(full, origin, pull)
-            grad += np.bincount(feat, full[row] * value, len(ids)) - np.bincount(sfeat, pull[srow] * svalue, len(ids))
+        if len(pairs):
+            change = np.bincount(srow, w[sfeat] * svalue, len(pairs))
+            grad += np.bincount(sfeat, (2 * swap_penalty / len(pairs) * change)[srow] * svalue, len(ids))
         sum2 += grad**2
         bias2 += g.sum() ** 2
         w -= 0.5 * grad / np.sqrt(sum2)

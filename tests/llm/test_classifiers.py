@@ -67,13 +67,23 @@ def test_labels_of_the_held_out_fold_are_not_read(spark):
     assert key(tx.classify(docs, labels)) == key(tx.classify(docs, flipped))
 
 
+def test_counterfactuals_are_of_sentences():
+    pairs = tx.counterfactuals(["No group here. Some Women sing! Men\nand boys", "nothing"])
+    assert [a.strip() for a, _ in pairs] == ["Some Women sing!", "Men", "and boys"]
+    assert all(a != b and a.split()[:-1] == b.split()[:-1] or "sing" in a for a, b in pairs)
+    assert pairs == tx.counterfactuals(["No group here. Some Women sing! Men\nand boys"])
+    assert tx.counterfactuals(["Die Winzer und die Fischer."], [["winzer", "fischer"]]) == [("Die Winzer und die Fischer.", "Die fischer und die winzer.")]
+    assert tx.counterfactuals(["men"], []) == [] == tx.counterfactuals([])
+    assert len(tx.counterfactuals([t for _, t, *_ in labelled()])) > 100  # what the penalty sees in these tests
+
+
 def test_swaps_do_not_change_scores():
     """Groups that only toxic texts mention here must not make a neutral mention toxic."""
     rows = [(t, y) for _, t, y, _ in labelled()]
     plain, bias0 = tx.train(rows, swap_penalty=0.0)
     fair, bias1 = tx.train(rows, swap_penalty=20.0)
     neutral = ["alpha beta women gamma delta", "the muslims of omega and sigma", "a black kappa on zeta"]
-    gap = lambda w, b: np.abs(tx.probabilities(pa.array(neutral), w, b) - tx.probabilities(pa.array([tx.swapped(t, 1) for t in neutral]), w, b)).max()
+    gap = lambda w, b: np.abs(tx.probabilities(pa.array(neutral), w, b) - tx.probabilities(pa.array([b for _, b in tx.counterfactuals(neutral)]), w, b)).max()
     assert gap(fair, bias1) < gap(plain, bias0) / 2 or gap(plain, bias0) < 0.02
     assert (tx.probabilities(pa.array(neutral), fair, bias1) < 0.5).all()
 
@@ -117,16 +127,33 @@ def test_gradients():
 
 
 def test_sample_is_bounded(spark):
-    """Long texts give a stretch that lies within them; nulls and unlabelled rows are left out; repeated labels count once."""
+    """Texts are whole; nulls and unlabelled rows are left out; repeated labels count once; rows and bytes are bounded."""
     long = "".join(chr(97 + i % 26) * (1 + i % 7) for i in range(300))
     docs = spark.createDataFrame([(1, long), (2, "short"), (3, None), (4, "no label"), (None, "no id"), (5, "")], "doc_id long, text string")
     labels = spark.createDataFrame([(1, 1, None), (1, 0, None), (2, 0, None), (3, 1, None), (5, 1, None), (None, 1, None)], "doc_id long, quality int, toxic int")
-    got = sorted(_labels.sample(docs, labels, "quality", F.lit(True), 10, stretch=50), key=lambda x: len(x[0]))
-    assert [(len(t), y) for t, y in got] == [(0, 1), (5, 0), (50, 1)] and got[2][0] in long
+    got = sorted(_labels.sample(docs, labels, "quality", F.lit(True), 10), key=lambda x: len(x[0]))
+    assert got == [("", 1), ("short", 0), (long, 1)]
     assert len(_labels.sample(docs, labels, "quality", F.lit(True), 2)) <= 2
+    assert all(len(t) < 50 for t, _ in _labels.sample(docs, labels, "quality", F.lit(True), 10, most_bytes=50))
     assert _labels.sample(docs, labels, "toxic", F.lit(True), 10) == []
 
 
+def test_training_reads_whole_texts(monkeypatch):
+    """What tells the classes apart stands at the end of long texts, of which pieces are taken, and of short ones."""
+    monkeypatch.setattr(qc, "LONG", 3000)
+    monkeypatch.setattr(qc, "PIECE", 1024)
+    r = random.Random(5)
+    rows = [(text(r, 900 if i % 3 == 0 else 60) + (" ##%% $$## %%$$ ##$$" if i % 2 else ""), 1 - i % 2) for i in range(240)]
+    net, _ = qc.train(rows)
+    p = qc.probabilities(pa.array([t for t, _ in rows]), net)
+    assert np.mean((p >= 0.5) == np.array([y == 1 for _, y in rows])) >= 0.95
+    data = np.frombuffer(rows[0][0].encode(), np.uint8)
+    pieces = net.pieces(data)
+    whole = net.forward(data, np.array([0, len(data)]))
+    some = net.forward(np.concatenate(pieces), np.cumsum([0, *map(len, pieces)]), np.array([0]))
+    assert len(pieces) <= qc.HIDDEN and np.abs(whole - some).max() < 1e-4 + 0.2 * np.abs(whole).max()
+
+
 def test_labels_that_texts_do_not_explain_reject_nothing():
     r = random.Random(4)
     rows = [(text(r, 20), int(i % 5 == 0)) for i in range(50)]
