@@ -142,7 +142,9 @@ def links(fps: DataFrame, list_cap: int = 2048) -> DataFrame:
     """(u, v): links between the distinct fingerprints fps(fp); they give the components of all links."""
     # 16 bytes of shuffle for each of 70 posts; one list holds a fingerprint once, so even a group of
     # copies of a third of the corpus adds at most 1/210 of the posts to one list
-    posts = fps.select("fp").mapInArrow(_post, "key long, fp long").repartition("key").sortWithinPartitions("key")
+    # posted in as many tasks as a shuffle has: 70 times as many rows come out
+    wide = fps.select("fp").repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
+    posts = wide.mapInArrow(_post, "key long, fp long").repartition("key").sortWithinPartitions("key")
     found = stored(posts.mapInArrow(_tally(list_cap), "u long, v long"), "simhash")
     dense = found.where("v is null").select(F.col("u").alias("fp")).distinct()
     mids = dense.mapInArrow(_midpoints, "mid long, fp long")

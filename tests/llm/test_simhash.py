@@ -87,8 +87,9 @@ def test_links_of_random_neighbours(spark, cap):
 
 def test_long_chain_of_links(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(300)] + [(1000, 1001), (5, 5), (None, 3)], "u long, v long").repartition(7)
-    got = {r.node: r.root for r in connected_components(links).collect()}
-    assert got == {**{i: 0 for i in range(301)}, 1000: 1000, 1001: 1000}
+    for one_task in (1 << 20, 0):
+        got = {r.node: r.root for r in connected_components(links, one_task=one_task).collect()}
+        assert got == {**{i: 0 for i in range(301)}, 1000: 1000, 1001: 1000}
 
 
 def test_keep_one_and_empty(spark):
