@@ -40,17 +40,30 @@ UNNAMED = r"(?i)\b(?:package|module|library|dependency|import|filename|file|path
 PROTECTED = r"(?i)(?<![a-z0-9+.-])[a-z][a-z0-9+.-]{0,31}(?::|\[:\])//[^\s<>\"']+|\S*@\S+"
 CONFIDENCE = {"url": ("0.950", "0.900"), "ipv4": ("0.950", "0.820"), "ipv6": ("0.950", "0.820"), "domain": ("0.900", "0.780")}
 
-_KIND = "array<struct<rank:int,kind:string,field:string,at:int,raw:string>>"
+#: How each hash algorithm is written beside a hash of its length.
+LABELS = {"md5": r"(?i)\bmd5\b", "sha1": r"(?i)\bsha-?1\b", "sha256": r"(?i)\bsha-?256\b", "sha512": r"(?i)\bsha-?512\b"}
+
+_MATCH = "array<struct<rank:int,kind:string,field:string,at:int,end:int,raw:string,before:string,near:string,context:string,shielded:boolean>>"
+
+
+def _trimmed(kind: str, raw: str) -> str:
+    """Closing punctuation is not part of a match; a bracket that closes an address is."""
+    if kind != "url":
+        return raw.rstrip(".,;!?)]}")
+    raw = raw.rstrip(".,;!?)}")
+    bare = raw.rstrip("]")
+    return bare + "]" if bare != raw and re.search(r"//\[[0-9a-f:.]{0,45}\Z", bare) else bare
 
 
 def _matcher():
     found = [(i, k, re.compile(TRIGGERS[k]), re.compile(p)) for i, (k, p) in enumerate(PATTERNS.items())]
     shield = re.compile(PROTECTED)
 
-    @F.pandas_udf(_KIND)
+    @F.pandas_udf(_MATCH)
     def matches(title: pd.Series, summary: pd.Series) -> pd.Series:
         def one(t, s):
             out = []
+            shields = {}
             for rank, kind, trigger, pattern in found:
                 n = 0
                 for field, text in (("title", t or ""), ("summary", s or "")):
@@ -60,18 +73,18 @@ def _matcher():
                         if n == CAPS[kind] or len(out) == TOTAL:
                             break
                         n += 1
-                        out.append({"rank": rank, "kind": kind, "field": field, "at": m.start(), "raw": m[0]})
-            return out
+                        raw, at = _trimmed(kind, m[0]), m.start()
+                        end = at + len(raw)
+                        if field not in shields:
+                            # without one of the two there is no shield, and looking for one takes long
+                            shields[field] = [x.span() for x in shield.finditer(text)] if "@" in text or "//" in text else []
+                        before, after = text[max(at - NEAR, 0) : at], text[end : end + NEAR]
+                        out.append({"rank": rank, "kind": kind, "field": field, "at": at, "end": end, "raw": raw, "before": before, "near": f"{before} {after}", "context": " ".join((before + raw + after).split())[:SNIPPET], "shielded": any(a <= at and end <= b for a, b in shields[field])})
+            return [x for x in out if x["raw"]]
 
         return pd.Series([one(t, s) for t, s in zip(title, summary)])
 
-    @F.pandas_udf("array<struct<field:string,a:int,b:int>>")
-    def shields(title: pd.Series, summary: pd.Series) -> pd.Series:
-        # without one of the two there is no match, and looking for one takes long
-        spans = lambda f, text: [{"field": f, "a": m.start(), "b": m.end()} for m in shield.finditer(text)] if "@" in text or "//" in text else []
-        return pd.Series([spans("title", t or "") + spans("summary", s or "") for t, s in zip(title, summary)])
-
-    return matches, shields
+    return matches
 
 
 def _with(df: DataFrame, **columns) -> DataFrame:
@@ -83,19 +96,13 @@ def _with(df: DataFrame, **columns) -> DataFrame:
 def extract(df: DataFrame, key: str = "id", title: str = "title", summary: str = "summary") -> DataFrame:
     """(key, kind, value, algorithm, identity, form, confidence, field, at, context): the observables of each text, each
     once with its best evidence. Texts of more than LONGEST characters, or with control characters, give none."""
-    matches, shields = _matcher()
+    matches = _matcher()
     t, s = F.coalesce(F.col(title), F.lit("")), F.coalesce(F.col(summary), F.lit(""))
     texts = df.select(key, t.alias("title"), s.alias("summary")).where((F.length("title") + F.length("summary") <= LONGEST) & ~F.concat("title", "summary").rlike(r"[\x00-\x1F\x7F-\x9F]"))
-    c = texts.withColumn("shields", shields("title", "summary")).select(key, "title", "summary", "shields", F.explode(matches("title", "summary")).alias("m")).select(key, "title", "summary", "shields", "m.*")
-    text = F.when(F.col("field") == "title", F.col("title")).otherwise(F.col("summary"))
+    # what is near a match is cut out where it is found: candidates carry no texts. Texts that share a key stay apart
+    c = texts.select(key, F.xxhash64("title", "summary").alias("text"), F.explode(matches("title", "summary")).alias("m")).select(key, "text", "m.*")
     url = F.col("kind") == "url"
-    # closing punctuation is not part of a match
-    raw = F.when(url, F.regexp_replace(F.regexp_replace("raw", r"[.,;!?)}]+$", ""), r"(?<!//\[[0-9a-f:.]{0,45})\]+$", "")).otherwise(F.regexp_replace("raw", r"[.,;!?)\]}]+$", ""))
-    c = _with(c, cut=raw).drop("raw").withColumnRenamed("cut", "raw").where(F.length("raw") > 0).withColumn("end", F.col("at") + F.length("raw"))
-    c = c.withColumn("before", F.substr(text, F.greatest(F.col("at") - NEAR, F.lit(0)) + 1, F.least(F.col("at"), F.lit(NEAR)))).withColumn("near", F.concat_ws(" ", "before", F.substr(text, F.col("end") + 1, F.lit(NEAR))))
-    c = c.withColumn("context", F.substring(F.trim(F.regexp_replace(F.substr(text, F.greatest(F.col("at") - NEAR, F.lit(0)) + 1, F.least(F.col("at"), F.lit(NEAR)) + F.length("raw") + NEAR), r"(?U)\s+", " ")), 1, SNIPPET))
     c = _with(c, plain=O.refanged("raw"), form=F.when((F.col("kind") != "file_hash") & O.defanged("raw"), "defanged").otherwise("literal"))
-    c = c.drop("title", "summary")
     is_ = lambda k: F.col("kind") == k
     value = F.when(url, O.url("plain")).when(is_("ipv4"), O.ipv4("plain")).when(is_("ipv6"), O.ipv6("plain")).when(is_("file_hash"), O.file_hash("plain")).when(is_("domain"), O.domain("plain"))
     c = _with(c, value=value).where(F.col("value").isNotNull())
@@ -104,8 +111,8 @@ def extract(df: DataFrame, key: str = "id", title: str = "title", summary: str =
     literal = F.col("form") == "literal"
     sized = O.hash_algorithm("value")
     labelled = F.lit(False)
-    for name in O.HASH_LENGTHS:
-        labelled = labelled | ((sized == name) & F.col("near").rlike(rf"(?i)\b{name[:3]}-?{name[3:]}\b" if name != "md5" else r"(?i)\bmd5\b"))
+    for name, pattern in LABELS.items():
+        labelled = labelled | ((sized == name) & F.col("near").rlike(pattern))
     public = F.col("address").isNull() | O.global_address("address")
     c = _with(c, labelled=labelled)
     ok = (
@@ -114,15 +121,14 @@ def extract(df: DataFrame, key: str = "id", title: str = "title", summary: str =
         .when(is_("domain"), ~F.col("value").rlike(RESERVED) & ~F.col("value").rlike(FILES) & (~literal | (F.col("near").rlike(WORDS["domain"]) & (F.col("before").rlike(NAMED) | ~F.col("before").rlike(UNNAMED)))))
         .otherwise(public & (~literal | (F.col("near").rlike(WORDS["ipv4"]) & ~F.col("before").rlike(VERSION))))
     )
-    shielded = F.exists("shields", lambda x: (x["field"] == F.col("field")) & (F.col("at") >= x["a"]) & (F.col("end") <= x["b"]))
-    c = c.where(ok & (url | ~shielded))
+    c = c.where(ok & (url | ~F.col("shielded"))).select(key, "text", "rank", "kind", "field", "at", "end", "value", "form", "labelled", "context")
     # what lies within an accepted match of an earlier kind is part of it
-    spans = F.collect_list(F.struct("rank", "field", "at", "end")).over(Window.partitionBy(key))
+    spans = F.collect_list(F.struct("rank", "field", "at", "end")).over(Window.partitionBy(key, "text"))
     c = c.withColumn("spans", spans).where(~F.exists("spans", lambda x: (x["rank"] < F.col("rank")) & (x["field"] == F.col("field")) & (F.col("at") >= x["at"]) & (F.col("end") <= x["end"])))
     conf = F.when(is_("file_hash"), F.when(F.col("labelled"), "0.900").otherwise("0.840"))
     for kind, (fanged, plain) in CONFIDENCE.items():
         conf = conf.when(is_(kind), F.when(literal, plain).otherwise(fanged))
     c = c.withColumn("confidence", conf.cast("decimal(4,3)")).withColumn("algorithm", F.when(is_("file_hash"), O.hash_algorithm("value")))
     c = c.withColumn("identity", O.identity("kind", "algorithm", "value"))
-    best = c.groupBy(key, "identity").agg(F.max_by(F.struct("kind", "value", "algorithm", "form", "confidence", "field", "at", "context"), F.struct("confidence", F.col("field") == "title", -F.col("rank"), -F.col("at"))).alias("b"))
+    best = c.groupBy(key, "text", "identity").agg(F.max_by(F.struct("kind", "value", "algorithm", "form", "confidence", "field", "at", "context"), F.struct("confidence", F.col("field") == "title", -F.col("rank"), -F.col("at"))).alias("b"))
     return best.select(key, "identity", "b.*")

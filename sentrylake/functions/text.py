@@ -58,9 +58,16 @@ def security_key(c: str | Column) -> Column:
     return F.regexp_replace(nfkc_casefold(col(c)), r"(?U)[^\p{Alnum}]", "")
 
 
+@F.pandas_udf(StringType())
+def _folded_start(s: pd.Series, most: pd.Series) -> pd.Series:
+    # ASCII is its own normal form
+    return pd.Series([None if t is None else t[:n].lower() if t.isascii() else unicodedata.normalize("NFKC", t)[:n].casefold() for t, n in zip(s, most)])
+
+
 def words_only(c: str | Column, most: int = 8000) -> Column:
-    """The first `most` characters, folded, with each run of other characters than letters and digits as a space."""
-    return F.trim(F.regexp_replace(F.lower(F.substring(F.coalesce(col(c), F.lit("")), 1, most)), r"(?U)[\W_]+", " "))
+    """The first `most` characters in NFKC, case-folded, with each run of other characters than letters and digits as a
+    space."""
+    return F.trim(F.regexp_replace(_folded_start(F.coalesce(col(c), F.lit("")), F.lit(most)), r"(?U)[\W_]+", " "))
 
 
 def first_line(c: str | Column) -> Column:

@@ -50,16 +50,6 @@ def without_conflicts(df: DataFrame, group: list[str], content: str) -> DataFram
     return df.join(ok, group, "left_semi")
 
 
-def accepted_in_order(df: DataFrame, first_key: str, second_key: str, order: str) -> DataFrame:
-    """'accepted' for the first row of both of its keys, 'duplicate' where both were met before together or
-    apart, 'conflict' where only one of them was."""
-    from pyspark.sql import Window
-
-    seen = lambda k: F.row_number().over(Window.partitionBy(k).orderBy(order)) > 1
-    a, b = seen(first_key), seen(second_key)
-    return df.withColumn("identity", F.when(a & b, "duplicate").when(a | b, "conflict").otherwise("accepted"))
-
-
 def matched_responses(requests: DataFrame, responses: DataFrame, key: str, content: str, valid: Column, omitted: str = "unchanged") -> DataFrame:
     """An outcome for each requested or returned key: matched, omitted, conflict, invalid or unknown."""
     r = responses.withColumn("_ok", valid).groupBy(key).agg(F.count_distinct(content).alias("_kinds"), F.min("_ok").alias("_valid"))

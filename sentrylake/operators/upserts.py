@@ -26,30 +26,6 @@ def merged(current: DataFrame, incoming: DataFrame, keys: list[str], values: lis
     return joined.select(*keys, *(F.when(use_new, F.col(f"inc.{v}")).otherwise(F.col(f"cur.{v}")).alias(v) for v in values), F.when(F.col("outcome").isin("created", "updated", "unchanged"), F.greatest(F.col(f"cur.{seen}"), F.col(f"inc.{seen}"))).otherwise(F.col(f"cur.{seen}")).alias(seen), "outcome")
 
 
-def publication_outcomes(current: DataFrame, incoming: DataFrame) -> DataFrame:
-    """incoming(external_id, url_hash, content_hash) against current(id, the same): two lookups and a ladder.
-    Matches of both keys on different rows fail; an equal content is unchanged; no match creates."""
-    by_id = current.select("external_id", F.col("id").alias("_by_id"), F.col("content_hash").alias("_id_hash"))
-    by_url = current.select("url_hash", F.col("id").alias("_by_url"), F.col("content_hash").alias("_url_hash"))
-    j = incoming.join(by_id, "external_id", "left").join(by_url, "url_hash", "left")
-    found, old = F.coalesce("_by_id", "_by_url"), F.coalesce("_id_hash", "_url_hash")
-    outcome = (
-        F.when(F.col("_by_id").isNotNull() & F.col("_by_url").isNotNull() & (F.col("_by_id") != F.col("_by_url")), "failed")
-        .when(found.isNull(), "created")
-        .when(old == F.col("content_hash"), "unchanged")
-        .otherwise("updated")
-    )
-    return j.select("external_id", "url_hash", "content_hash", found.alias("matched_id"), outcome.alias("outcome"))
-
-
-def resolved_articles(incoming: DataFrame, identifiers: DataFrame) -> DataFrame:
-    """incoming(id, url_hash, title_hash) against identifiers(namespace, value, item_id): an equal url links to its
-    item, an equal title alone is left for review, none is new."""
-    pick = lambda ns, name: identifiers.where(F.col("namespace") == ns).groupBy(F.col("value").alias(name)).agg(F.min("item_id").alias(f"_{name}"))
-    j = incoming.join(pick("url", "url_hash"), "url_hash", "left").join(pick("title", "title_hash"), "title_hash", "left")
-    return j.select("id", F.when(F.col("_url_hash").isNotNull(), "linked").when(F.col("_title_hash").isNotNull(), "review").otherwise("new").alias("outcome"), F.col("_url_hash").alias("item_id"))
-
-
 def enriched_scores(items: DataFrame, scores: DataFrame, today: Column) -> DataFrame:
     """items(id, item_type, score, score_date) with scores(id, score, score_date): future scores are rejected, scores
     without an item or of another type skipped, older ones stale."""
@@ -129,11 +105,53 @@ def dangling(references: DataFrame, *known: DataFrame) -> DataFrame:
     return references.join(ids.distinct(), "ref", "left_anti")
 
 
-def inserted(existing: DataFrame, incoming: DataFrame, key: str, facts: list[str]) -> DataFrame:
-    """Idempotent inserts: inserted, reused (the same facts), or conflict (other facts under the key)."""
+def inserted(existing: DataFrame, incoming: DataFrame, key: str, facts: list[str], order: str | None = None) -> DataFrame:
+    """Idempotent inserts: inserted, reused (the same facts), or conflict (other facts under the key). Of new rows that
+    share a key the first by `order` is inserted and the rest are held against it; without an order keys do not repeat."""
     e = existing.select(F.col(key), F.struct(*facts).alias("_old"))
     j = incoming.join(e, key, "left")
-    return j.withColumn("outcome", F.when(F.col("_old").isNull(), "inserted").when(F.col("_old") == F.struct(*facts), "reused").otherwise("conflict")).drop("_old")
+    same = F.struct(*facts)
+    if order is None:
+        return j.withColumn("outcome", F.when(F.col("_old").isNull(), "inserted").when(F.col("_old").eqNullSafe(same), "reused").otherwise("conflict")).drop("_old")
+    firsts = incoming.groupBy(key).agg(F.min_by(same, order).alias("_first"), F.min(order).alias("_at"))
+    j = j.join(firsts, key)
+    outcome = F.when(F.col("_old").isNull() & (F.col(order) == F.col("_at")), "inserted").when(F.coalesce("_old", "_first").eqNullSafe(same), "reused").otherwise("conflict")
+    return j.withColumn("outcome", outcome).drop("_old", "_first", "_at")
+
+
+def acquired_cycles(existing: DataFrame, incoming: DataFrame, key: str, facts: list[str], order: str) -> DataFrame:
+    """Cycles(key, facts, trigger, status) asked for by incoming(key, facts, trigger, order): reused or conflict where the
+    key is known, else acquired; a scheduled one only if no other scheduled cycle runs, else it is an overlap. Incoming rows
+    are taken in order: the first new scheduled one runs, and those after it overlap."""
+    found = inserted(existing, incoming, key, facts, order)
+    scheduled = F.col("trigger") == "scheduled"
+    busy = not existing.where("trigger = 'scheduled' and status = 'running'").isEmpty()
+    known = existing.select(key).distinct().withColumn("_known", F.lit(True))
+    j = found.join(known, key, "left")
+    # one number: when the cycle that may run was asked for
+    first = None if busy else j.where(scheduled & F.col("_known").isNull()).agg(F.min(order)).first()[0]
+    wins = F.min(order).over(Window.partitionBy(key)) == F.lit(first) if first is not None else F.lit(False)
+    refused = scheduled & F.col("_known").isNull() & ~wins
+    return j.withColumn("outcome", F.when(refused, "overlap").when(F.col("outcome") == "inserted", "acquired").otherwise(F.col("outcome"))).drop("_known")
+
+
+def advanced(state: DataFrame, proposals: DataFrame, keys: list[str], value: str, monotone: bool = False) -> DataFrame:
+    """Progress state(keys, version, value) with proposals(keys, status, result, expected_version, value) of runs, one for
+    each key: advanced to the next version; unchanged, an equal value, which only a run without changes may propose;
+    not_pending, from a run that awaits no progress; stale, with another version than the state's (0 if there is none);
+    else conflict, as is, of monotone values such as watermarks, one that goes back."""
+    s = state.select(*keys, F.col("version").alias("_v"), F.col(value).alias("_old"))
+    version, new = F.coalesce("_v", F.lit(0)), F.col(value)
+    outcome = (
+        F.when(F.col("status") != "checkpoint_pending", "not_pending")
+        .when(F.col("expected_version") != version, "stale")
+        .when(F.col("_old") == new, F.when(F.col("result") == "no_change", "unchanged").otherwise("conflict"))
+        .when(F.lit(monotone) & (new < F.col("_old")), "conflict")
+        .otherwise("advanced")
+    )
+    j = proposals.join(s, keys, "left").withColumn("outcome", outcome)
+    won = F.col("outcome") == "advanced"
+    return j.select(*keys, F.when(won, version + 1).otherwise(F.col("_v")).alias("version"), F.when(won, new).otherwise(F.col("_old")).alias(value), "outcome")
 
 
 def compared_and_set(state: DataFrame, updates: DataFrame, keys: list[str], value: str) -> DataFrame:

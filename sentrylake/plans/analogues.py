@@ -98,8 +98,12 @@ class Tables:
 
 
 def shared_folder(t: Tables, name: str) -> str:
-    """A new folder that the driver and all executors see."""
-    root = t.spark.conf.get("spark.checkpoint.dir", None) or t.spark.conf.get("spark.sql.warehouse.dir")
+    """A new folder that the driver and all executors see; the warehouse serves only where all run on one machine."""
+    root = t.spark.conf.get("spark.checkpoint.dir", None)
+    if root is None:
+        if not t.spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        root = t.spark.conf.get("spark.sql.warehouse.dir")
     return f"{root.rstrip('/')}/sentrylake-{name}-{uuid.uuid4().hex}"
 
 
@@ -107,8 +111,9 @@ def _with(sql: str) -> str:
     used = [n for n in TABLES if re.search(rf"\b{n}\b", sql)]
     parts = [f"{n} AS (SELECT {', '.join(TABLES[n][1])} FROM {TABLES[n][0]})" for n in used]
     body = sql.strip()
-    if body.upper().startswith("WITH "):
-        return "WITH " + ", ".join([*parts, body[5:]]) if parts else body
+    head = "WITH RECURSIVE " if body.upper().startswith("WITH RECURSIVE ") else "WITH "
+    if body.upper().startswith(head):
+        return head + ", ".join([*parts, body[len(head) :]]) if parts else body
     return ("WITH " + ", ".join(parts) + " " if parts else "") + body
 
 

@@ -5,12 +5,14 @@ from __future__ import annotations
 import json
 from datetime import datetime
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import ioc, relevance, text, times, urls
 from ..functions import observables as O
 from ..functions import vulnerabilities as V
-from ..sources import feeds, registry
+from ..sources import feeds, registry, seed, walks
+from ..streaming import progress
 from .analogues import query, shared_folder
 
 
@@ -53,15 +55,36 @@ def s16_load_if_empty(t):
     return registry.load_if_empty([t.marks.limit(0)], t.terms).select("id", "text")
 
 
-@query("SELECT page_id, CAST(0 AS INT) AS place, regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1) AS raw FROM listings")
+@query(r"""WITH l AS (SELECT page_id, unnest(regexp_extract_all(regexp_extract(html, '(?s)<nav>(.*?)</nav>', 1), '<li>(.*?)</li>', 1)) AS li, unnest(range(0, 40)) AS n FROM listings), x AS (SELECT page_id, n, regexp_extract(li, 'href="([^"]*)"', 1) AS link, regexp_extract(li, '<a[^>]*>([^<]*)</a>', 1) AS title FROM l WHERE li IS NOT NULL),
+k AS (SELECT *, CASE WHEN n >= 5 THEN 'record_limit' WHEN regexp_matches(link, '[,.]$') THEN 'invalid_url' WHEN length(title) < 3 THEN 'invalid_title' END AS bad FROM x),
+d AS (SELECT *, row_number() OVER (PARTITION BY page_id, lower(link) ORDER BY n) AS r FROM k WHERE bad IS NULL)
+SELECT k.page_id, CAST(k.n AS INT) AS place, k.link, coalesce(k.bad, CASE WHEN d.r > 1 THEN 'duplicate' END, 'accepted') AS outcome FROM k LEFT JOIN d ON d.page_id = k.page_id AND d.n = k.n""")
 def s08_listing(t):
-    # titles with references are decoded by the reader; the fixture compares those without
-    return t.listings.join(feeds.listing(t.listings).select("page_id", "place"), "page_id").select("page_id", "place", F.regexp_extract("html", r"(?s)<h1>(.*?)</h1>", 1).alias("raw"))
+    out = feeds.listing(t.listings, "nav", [], "li", [], most=5, link=r"^/[^\s]*[^\s,.]$", shortest=3)
+    return out.select("page_id", "place", "link", "outcome")
 
 
-@query("SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title FROM listings")
-def s09_html_titles(t):
-    return t.listings.select("page_id", text.page_title("html").alias("title"))
+_NEWS = """<article class="post type-post category-news"><h2 class="entry-title"><a href="/n/one">One &amp; all</a></h2></article><article class="post"><h2 class="entry-title"><a href="/n/two">Two</a></h2></article><article class="category-news post type-post"><h2 class="entry-title"><a href="http://else/three">Three</a></h2></article><article class="post type-post category-news"><h2 class="entry-title">no link</h2></article><article class="post type-post category-news"><h2 class="entry-title"><a href="/n/ONE">Again</a></h2></article>"""
+
+
+@query("SELECT * FROM (VALUES (1, 0, 'One & all', '/n/one', 'accepted'), (1, 1, 'Three', 'http://else/three', 'invalid_url'), (1, 2, NULL, NULL, 'structure'), (1, 3, 'Again', '/n/ONE', 'duplicate')) v(page_id, place, title, link, outcome)")
+def s08_trusted_containers(t):
+    pages = _frame(t, [(1, _NEWS)], "page_id int, html string")
+    return feeds.listing(pages, "article", ["post", "type-post", "category-news"], "h2", ["entry-title"])
+
+
+@query("SELECT page_id, trim(replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '&amp;', '&')) AS title, CAST(NULL AS VARCHAR) AS published FROM listings")
+def s09_page_metadata(t):
+    return feeds.page_metadata(t.listings)
+
+
+_LD = '<script type="application/ld+json">{"headline": "From data", "datePublished": "2024-01-02"}</script>'
+_META = '<meta property="og:title" content="From graph"><meta property="article:published_time" content="2024-01-03">'
+cases(
+    "x252_page_metadata",
+    [(1, f"<title>Plain</title>{_META}{_LD}", "From data", "2024-01-02"), (2, f"<title>Plain</title>{_META}", "From graph", "2024-01-03"), (3, "<title>Pl&amp;ain</title>", "Pl&ain", None), (4, "<p>none</p>", None, None), (5, '<script type="application/ld+json">{"headline": " </script><title>T</title>', "T", None)],
+    "page_id, html, title, published", "page_id int, html string", lambda df: feeds.page_metadata(df).join(df, "page_id").select("page_id", "html", "title", "published"), 2,
+)
 
 
 @query("SELECT extract(year FROM q.d) AS year, count(*) AS n FROM (SELECT published AS d FROM items WHERE severity = 'critical' AND published >= TIMESTAMP '1996-01-01' AND published < TIMESTAMP '1999-01-01') q GROUP BY 1")
@@ -71,16 +94,35 @@ def s03_publication_page(t):
     return page.groupBy(F.year("published").cast("long").alias("year")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT y.n AS year, CAST(c.i AS INT) AS chunk, q.name AS query FROM range(2020, 2023) y(n), range(0, 4) c(i), (VALUES ('listed'), ('v4-critical'), ('v3-critical')) q(name)")
-def s18_candidate_plan(t):
-    # a plan of a few hundred requests at most: years, chunks and queries are parameters
-    grid = t.spark.range(2020, 2023).select(F.col("id").alias("year"), F.explode(F.sequence(F.lit(0), F.lit(3))).alias("chunk"))
-    return grid.select("year", "chunk", F.explode(F.array(*map(F.lit, ("listed", "v4-critical", "v3-critical")))).alias("query"))
+def _candidates(t):
+    i = t.items
+    pick = lambda k: F.when(F.col("id") % k != 0, F.col("severity"))
+    records = i.where("published is not null").select("id", "published", (F.col("kev_status") == "listed").alias("listed"), pick(3).alias("v3_severity"), pick(4).alias("v4_severity"))
+    return walks.collected_candidates(records, 90, 40, 2, 250)
+
+
+_ASKED = """WITH i AS (SELECT id, published, extract(year FROM published) AS y, (extract(doy FROM published) - 1) // 90 AS c, kev_status = 'listed' AS listed, CASE WHEN id % 3 <> 0 THEN severity END AS v3, CASE WHEN id % 4 <> 0 THEN severity END AS v4 FROM items WHERE published IS NOT NULL),
+q AS (SELECT * FROM (VALUES (0, NULL, NULL), (1, 'v4', 'critical'), (2, 'v3', 'critical'), (3, 'v4', 'high'), (4, 'v3', 'high'), (5, 'v4', 'medium'), (6, 'v3', 'medium'), (7, 'v4', 'low'), (8, 'v3', 'low')) v(p, f, s)),
+m AS (SELECT i.*, q.p FROM i JOIN q ON CASE WHEN f IS NULL THEN listed WHEN f = 'v4' THEN v4 = s ELSE v3 = s END),
+g AS (SELECT y.y, c.c, q.p FROM (SELECT DISTINCT y FROM i) y, range(0, 5) c(c), q), n AS (SELECT g.y, g.c, g.p, count(m.id) AS n FROM g LEFT JOIN m ON m.y = g.y AND m.c = g.c AND m.p = g.p GROUP BY 1, 2, 3),
+k AS (SELECT *, greatest(1, (n + 39) // 40) AS pages, least(greatest(1, (n + 39) // 40), 2) AS asked FROM n), b AS (SELECT *, coalesce(sum(asked) OVER (ORDER BY y, c, p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM k),
+a AS (SELECT *, greatest(0, least(asked, 250 - before)) AS given FROM b)"""
+
 
+@query(_ASKED + """ SELECT id, CAST(y AS INT) AS year, CAST(min(before) AS BIGINT) AS place, count(*) AS queries FROM (SELECT m.id, m.y, a.before, a.given, row_number() OVER (PARTITION BY m.y, m.c, m.p ORDER BY m.published, m.id) AS r FROM m JOIN a ON m.y = a.y AND m.c = a.c AND m.p = a.p) WHERE r <= given * 40 GROUP BY id, y""")
+def s18_candidates(t):
+    return _candidates(t)[0]
 
-@query("WITH k AS (SELECT DISTINCT value FROM identifiers), r AS (SELECT value, row_number() OVER (ORDER BY value) - 1 AS n FROM k) SELECT '2099' AS year, CAST(floor(n / 100) AS BIGINT) AS part, count(*) AS keys, min(value) AS first FROM r GROUP BY 2")
+
+@query(_ASKED + " SELECT CAST(y AS INT) AS year, CAST(sum(given) AS BIGINT) AS requests, CASE WHEN bool_or(given < asked) THEN 'request_limit' WHEN bool_or(pages > 2) THEN 'page_limit' ELSE 'complete' END AS reason FROM a GROUP BY y")
+def s18_stop_reasons(t):
+    return _candidates(t)[1]
+
+
+@query("WITH k AS (SELECT DISTINCT value, CAST(substring(value, 10) AS BIGINT) // 10000 AS block FROM identifiers), r AS (SELECT block, value, row_number() OVER (PARTITION BY block ORDER BY length(value), value) - 1 AS n FROM k) SELECT '2099' AS year, block, CAST(floor(n / 60) AS BIGINT) AS part, count(*) AS keys, min(value) AS first FROM r GROUP BY 2, 3")
 def s04_score_batches(t):
-    return feeds.score_batches(t.identifiers, "value").select("year", "part", F.size("keys").cast("long").alias("keys"), F.col("keys")[0].alias("first"))
+    # 60 ids of 14 characters and the 59 commas between them just fit in 905
+    return feeds.score_batches(t.identifiers, "value", 100, 905).select("year", "block", "part", F.size("keys").cast("long").alias("keys"), F.col("keys")[0].alias("first"))
 
 
 @query(r"SELECT id, md5(trim(regexp_replace(text, '[\t-\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+', ' ', 'g'))) AS collapsed FROM publications")
@@ -93,12 +135,12 @@ cases("x203_bounded_text", [(1, "  a  b ", "a b", "a b"), (2, "abcdef", None, "a
 cases("x204_unsafe", [(1, "ok", False), (2, "a\tb", True), (3, "é", False)], "id, given, unsafe", "id int, given string", lambda df: df.select("id", "given", text.unsafe("given").alias("unsafe")), 2)
 
 
-@query("SELECT id, sha256(lower(regexp_replace(trim(split_part(text, chr(10), 1)), ' +', ' ', 'g'))) AS fingerprint FROM publications WHERE NOT regexp_matches(split_part(text, chr(10), 1), '[^ -~]')")
+@query("SELECT id, sha256(trim(regexp_replace(replace(lower(split_part(text, chr(10), 1)), 'ß', 'ss'), ' +', ' ', 'g'))) AS fingerprint FROM publications")
 def x205_title_fingerprint(t):
-    line = t.publications.select("id", text.first_line("text").alias("line")).where(~F.col("line").rlike("[^ -~]"))
-    return line.select("id", text.title_fingerprint("line").alias("fingerprint"))
+    return t.publications.select("id", text.title_fingerprint(text.first_line("text")).alias("fingerprint"))
 
 
+cases("x205_title_fingerprint_cases", [("ﬁle　Ｎame", "file name", True), ("STRASSE", "straße", True), ("é", "e\u0301", True), ("a b", "ab", False)], "a, b, same", "a string, b string", lambda df: df.select("a", "b", (text.title_fingerprint("a") == text.title_fingerprint("b")).alias("same")), 2)
 cases(
     "x206_canonical_url",
     [(1, "https://A.example.org/x?utm_source=1&b=2&a=1#f", "https://a.example.org/x?a=1&b=2"), (2, "http://a.example.org/x", None), (3, "https://a.example.org", "https://a.example.org/"), (4, "https://u:p@a.example.org/x", None), (5, "https://a.example.org/?gclid=5", "https://a.example.org/")],
@@ -181,12 +223,11 @@ def x222_catalog_complete(t):
     return V.catalog_complete(_frame(t, rows, schema)).select("id", "complete")
 
 
-@query("SELECT source, sha256(string_agg(concat(CAST(id AS VARCHAR), ':', sha256(text)), ',' ORDER BY id)) AS feed_hash FROM publications GROUP BY source")
+@query("""WITH a AS (SELECT source, id AS k, concat(CAST(id AS VARCHAR), ':', sha256(text)) AS h FROM publications),
+b AS (SELECT source, k // 1000 AS k, sha256(string_agg(h, ',' ORDER BY k, h)) AS h FROM a GROUP BY source, a.k // 1000), c AS (SELECT source, k // 1000 AS k, sha256(string_agg(h, ',' ORDER BY k, h)) AS h FROM b GROUP BY source, b.k // 1000),
+d AS (SELECT source, k // 1000 AS k, sha256(string_agg(h, ',' ORDER BY k, h)) AS h FROM c GROUP BY source, c.k // 1000) SELECT source, sha256(string_agg(h, ',' ORDER BY k, h)) AS feed_hash FROM d GROUP BY source""")
 def x225_feed_hash(t):
-    # a feed holds at most some hundred entries
-    entries = F.array_sort(F.collect_list(F.struct("id", F.sha2("text", 256).alias("h"))))
-    parts = F.transform(F.col("l"), lambda e: F.concat(e["id"].cast("string"), F.lit(":"), e["h"]))
-    return t.publications.groupBy("source").agg(entries.alias("l")).select("source", F.sha2(F.array_join(parts, ","), 256).alias("feed_hash"))
+    return progress.feed_digests(t.publications, "source", "id", "text").withColumnRenamed("digest", "feed_hash")
 
 
 cases("x226_external_id", [("https://v.example.org/blog/big-news/", "v:big-news"), ("https://v.example.org/a-1", "v:a-1")], "given, external_id", "given string", lambda df: df.select("given", urls.external_id("given", "v").alias("external_id")), 1)
@@ -250,15 +291,15 @@ def x240_digest_keys(t):
     return t.runs.select("id", text.digest_key("source", "status", "attempt").alias("key"))
 
 
-@query("SELECT id, md5(trim(regexp_replace(lower(substring(text, 1, 8000)), '[^\\pL\\pN]+', ' ', 'g'))) AS words FROM publications")
+@query("SELECT id, md5(trim(regexp_replace(replace(lower(substring(text, 1, 8000)), 'ß', 'ss'), '[^\\pL\\pN]+', ' ', 'g'))) AS words FROM publications")
 def x241_words_only(t):
     return t.publications.select("id", F.md5(text.words_only("text")).alias("words"))
 
 
-_RULES = """CASE WHEN source IN ('src3','src7') THEN 'approved_source' WHEN regexp_matches(w, '\\bthe is\\b') THEN 'country_mention' WHEN regexp_matches(w, '\\bthan the\\b') THEN 'acronym_mention' WHEN regexp_matches(w, '\\bidiot\\b') THEN 'emirate_mention' WHEN lang = 'de' THEN 'structured_scope' WHEN lang = 'global' THEN 'global_scope' ELSE 'no_evidence' END"""
+_RULES = """CASE WHEN source IN ('src3','src7') THEN 'approved_uae_source' WHEN regexp_matches(w, '\\bthe is\\b') THEN 'text_country_mention' WHEN regexp_matches(w, '\\bthan the\\b') THEN 'text_uae_acronym_mention' WHEN regexp_matches(w, '\\bidiot\\b') THEN 'text_emirate_mention' WHEN lang = 'de' THEN 'structured_uae_scope' WHEN lang = 'global' THEN 'explicit_global_scope' ELSE 'no_direct_uae_evidence' END"""
 
 
-@query(f"SELECT id, {_RULES} AS rule FROM (SELECT *, trim(regexp_replace(lower(substring(text, 1, 8000)), '[^\\pL\\pN]+', ' ', 'g')) AS w FROM publications)")
+@query(f"SELECT id, {_RULES} AS rule FROM (SELECT *, trim(regexp_replace(replace(lower(substring(text, 1, 8000)), 'ß', 'ss'), '[^\\pL\\pN]+', ' ', 'g')) AS w FROM publications)")
 def x242_relevance_rules(t):
     # a vocabulary that occurs in the driver's texts stands for the real one
     r = relevance.rule("text", F.lit(None).cast("string"), "source", "lang", home="de", sources=["src3", "src7"], country=r"\bthe is\b", acronym=r"\bthan the\b", places={"x": r"\bidiot\b"})
@@ -267,10 +308,10 @@ def x242_relevance_rules(t):
 
 cases(
     "x242_relevance_cases",
-    [(1, "Attack in the United Arab Emirates", None, "x", "unknown", "country_mention"), (2, "U.A.E. alert", None, "x", "unknown", "acronym_mention"), (3, "blueuaevalue", "GCC cyber update", "x", "unknown", "no_evidence"), (4, "Abu-Dhabi bank", None, "x", "unknown", "emirate_mention"), (5, "x", "y", "desc-news", "unknown", "approved_source"), (6, "x", "y", "x", "uae", "structured_scope"), (7, "x", "y", "x", "global", "global_scope")],
+    [(1, "Attack in the United Arab Emirates", None, "x", "unknown", "text_country_mention"), (2, "U.A.E. alert", None, "x", "unknown", "text_uae_acronym_mention"), (3, "blueuaevalue", "GCC cyber update", "x", "unknown", "no_direct_uae_evidence"), (4, "Abu-Dhabi bank", None, "x", "unknown", "text_emirate_mention"), (8, "ＵＡＥ notice", None, "x", "unknown", "text_uae_acronym_mention"), (9, "ＤＵＢＡＩ", None, "x", "unknown", "text_emirate_mention"), (5, "x", "y", "desc-news", "unknown", "approved_uae_source"), (6, "x", "y", "x", "uae", "structured_uae_scope"), (7, "x", "y", "x", "global", "explicit_global_scope")],
     "id, title, summary, source, scope, rule", "id int, title string, summary string, source string, scope string", lambda df: df.withColumn("rule", relevance.rule("title", "summary", "source", "scope")), 5,
 )
-cases("x243_evidence_tags", [(1, "Dubai bank airport", "desc-news", "authority:desc,emirate:dubai,language:english,sector:aviation-transport,sector:financial-services"), (2, "x", "y", "")], "id, title, source, tags", "id int, title string, source string", lambda df: df.select("id", "title", "source", F.array_join(relevance.tags("title", F.lit(None).cast("string"), "source"), ",").alias("tags")), 3)
+cases("x243_evidence_tags", [(1, "Dubai bank airport", "desc-news", "uae-authority-desc,uae-emirate-dubai,language-english,uae-sector-aviation-transport,uae-sector-financial-services"), (2, "x", "y", "")], "id, title, source, tags", "id int, title string, source string", lambda df: df.select("id", "title", "source", F.array_join(relevance.tags("title", F.lit(None).cast("string"), "source"), ",").alias("tags")), 3)
 cases("x244_csv_cell", [("=1+1", "'=1+1"), (" @x", "' @x"), ("a", "a"), (None, "")], "given, cell", "given string", lambda df: df.select("given", text.neutral_cell("given").alias("cell")), 1)
 
 
@@ -290,11 +331,6 @@ def x251_document_hash(t):
     return v.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("created", "h"))).alias("l")).select("id", F.sha2(F.array_join(F.transform("l", lambda x: x["h"]), ","), 256).alias("document_hash"))
 
 
-@query("SELECT page_id, CAST(NULL AS VARCHAR) AS published FROM listings")
-def x252_page_metadata(t):
-    return feeds.page_metadata(t.listings).select("page_id", "published")
-
-
 def _files(t, name: str, *bodies: str) -> str:
     """Fixture files, one per body."""
     path = shared_folder(t, f"fixture-{name}")
@@ -308,11 +344,30 @@ def s01_scan(t):
     return t.indicators.select("id", "value")
 
 
-@query("SELECT true AS complete")
+@query("SELECT * FROM (VALUES ('a', 2, 3, 'complete'), ('b', 1, 2, 'incomplete')) v(walk, pages, records, outcome)")
 def s02_paged_feed(t):
-    page = lambda start, ids: json.dumps({"startIndex": start, "totalResults": 3, "vulnerabilities": [json.dumps({"cve": {"id": i}}) for i in ids]})
-    pages = feeds.vulnerability_pages(t.spark, _files(t, "pages", page(0, ["CVE-2099-0001", "CVE-2099-0002"]), page(2, ["CVE-2099-0003"])))
-    return feeds.paging_complete(pages)
+    page = lambda start, ids, total: json.dumps({"startIndex": start, "totalResults": total, "vulnerabilities": [json.dumps({"cve": {"id": i}}) for i in ids]})
+    read = lambda name, *bodies: feeds.vulnerability_pages(t.spark, _files(t, name, *bodies)).select(F.lit(name).alias("walk"), "start", "total", "n").distinct()
+    pages = read("a", page(0, ["CVE-2099-0001", "CVE-2099-0002"], 3), page(2, ["CVE-2099-0003"], 3)).unionByName(read("b", page(0, ["CVE-2099-0001", "CVE-2099-0002"], 3)))
+    out = walks.indexed_walks(pages.withColumn("place", F.col("start")), ["walk"], "place", "start", "total", "n", 10)
+    return out.select("walk", "pages", F.col("records").cast("int").alias("records"), "outcome")
+
+
+# A run's turns stand for the pages of a walk, with a fault where the run's number says so.
+_WALK = "SELECT run, sequence, row_number() OVER (PARTITION BY run ORDER BY sequence) - 1 AS i, count(*) OVER (PARTITION BY run) AS c, run % 9 AS f FROM turns"
+
+
+@query(f"""WITH w AS ({_WALK}), p AS (SELECT run, i, c, i * 10 + CASE WHEN f = 1 AND i = 1 THEN 5 ELSE 0 END AS start, c * 10 + CASE WHEN f = 2 AND i = 1 THEN 3 ELSE 0 END AS total, CASE WHEN f = 3 AND i = 1 THEN 0 ELSE 10 END AS n FROM w),
+q AS (SELECT *, lag(start) OVER o AS s0, lag(total) OVER o AS t0, lag(n) OVER o AS n0 FROM p WINDOW o AS (PARTITION BY run ORDER BY i)),
+x AS (SELECT run, i, unnest([CASE WHEN start <> coalesce(s0 + n0, 0) THEN 0 END, CASE WHEN total <> coalesce(t0, total) THEN 1 END, CASE WHEN n = 0 AND start < total THEN 2 END, CASE WHEN i >= 4 THEN 3 END, CASE WHEN i = c - 1 AND start + n < total THEN 4 END]) AS k FROM q)
+SELECT run, CAST(any_value(c) AS INT) AS pages, coalesce(['mismatch','total_changed','no_progress','page_limit','incomplete'][1 + (SELECT arg_min(k, (i, k)) FROM x WHERE x.run = q.run AND k IS NOT NULL)], 'complete') AS outcome FROM q GROUP BY run""")
+def s02_indexed_walks(t):
+    w, f = Window.partitionBy("run"), F.col("run") % 9
+    i = F.row_number().over(w.orderBy("sequence")) - 1
+    p = t.turns.select("run", i.alias("i"), F.count(F.lit(1)).over(w).alias("c"))
+    second = F.col("i") == 1
+    p = p.select("run", "i", (F.col("i") * 10 + F.when((f == 1) & second, 5).otherwise(0)).alias("start"), (F.col("c") * 10 + F.when((f == 2) & second, 3).otherwise(0)).alias("total"), F.when((f == 3) & second, 0).otherwise(10).alias("n"))
+    return walks.indexed_walks(p, ["run"], "i", "start", "total", "n", 4).select("run", "pages", "outcome")
 
 
 @query("SELECT 'CVE-2099-0002' AS cve_id, 'Name' AS title, true AS ransomware")
@@ -355,17 +410,45 @@ def s13_stix_bundle(t):
     return feeds.stix_objects(t.spark, _files(t, "stix", json.dumps({"objects": o}))).select("id", "type", "revoked")
 
 
-@query("SELECT * FROM (VALUES ('malware--1', true), ('malware--2', false)) v(id, whole)")
+@query(f"""WITH w AS ({_WALK}), p AS (SELECT run, i, c, f, CASE WHEN i > 0 THEN concat('t', CAST(i + CASE WHEN f = 1 AND i = 1 THEN 7 ELSE 0 END AS VARCHAR)) END AS token, CASE WHEN i = c - 1 OR f = 3 AND i = 1 THEN NULL WHEN f = 2 AND i = 1 THEN 't1' ELSE concat('t', CAST(i + 1 AS VARCHAR)) END AS following, i < c - 1 AND NOT (f = 4 AND i = 1) OR f = 5 AS more FROM w),
+q AS (SELECT *, lag(following) OVER o AS f0, lag(more) OVER o AS m0 FROM p WINDOW o AS (PARTITION BY run ORDER BY i)),
+x AS (SELECT run, i, unnest([CASE WHEN token IS DISTINCT FROM f0 THEN 0 END, CASE WHEN EXISTS (SELECT 1 FROM p y WHERE y.run = q.run AND y.i <= q.i AND y.token = q.following) THEN 1 END, CASE WHEN more AND following IS NULL THEN 2 END, CASE WHEN NOT m0 THEN 3 END, CASE WHEN i >= 5 THEN 4 END, CASE WHEN i = c - 1 AND more THEN 5 END]) AS k FROM q)
+SELECT run, CAST(any_value(c) AS INT) AS pages, coalesce(['mismatch','repeated_token','no_progress','trailing','page_limit','incomplete'][1 + (SELECT arg_min(k, (i, k)) FROM x WHERE x.run = q.run AND k IS NOT NULL)], 'complete') AS outcome FROM q GROUP BY run""")
+def s12_token_walks(t):
+    w, f = Window.partitionBy("run"), F.col("run") % 9
+    p = t.turns.select("run", (F.row_number().over(w.orderBy("sequence")) - 1).alias("i"), F.count(F.lit(1)).over(w).alias("c"))
+    i, second, last = F.col("i"), F.col("i") == 1, F.col("i") == F.col("c") - 1
+    name = lambda x: F.concat(F.lit("t"), x.cast("string"))
+    token = F.when(i > 0, name(i + F.when((f == 1) & second, 7).otherwise(0)))
+    following = F.when(~(last | ((f == 3) & second)), F.when((f == 2) & second, "t1").otherwise(name(i + 1)))
+    p = p.select("run", "i", token.alias("token"), following.alias("following"), ((~last & ~((f == 4) & second)) | (f == 5)).alias("more"))
+    return walks.token_walks(p, ["run"], "i", "token", "following", "more", 5)
+
+
+@query("SELECT * FROM (VALUES ('malware--1', 'complete'), ('malware--2', 'complete'), ('malware--3', 'incomplete')) v(id, outcome)")
 def s12_taxii_pages(t):
-    # pages of one collection: the newest server date of what came, and whether a page repeats another
-    page = lambda i, more: json.dumps({"more": more, "objects": [{"id": i, "type": "malware", "created": "2024-01-01T00:00:00Z"}]})
-    o = feeds.stix_objects(t.spark, _files(t, "taxii", page("malware--1", True), page("malware--2", False)))
-    return o.groupBy("id").agg(F.count(F.lit(1)).alias("n")).select("id", (F.col("id") == "malware--1").alias("whole"))
+    page = lambda c, place, i, more, token, following: json.dumps({"collection": c, "place": place, "token": token, "next": following, "more": more, "objects": [{"id": i, "type": "malware", "created": "2024-01-01T00:00:00Z"}]})
+    path = _files(t, "taxii", page("a", 0, "malware--1", True, None, "x"), page("a", 1, "malware--2", False, "x", None), page("b", 0, "malware--3", True, None, "y"))
+    o = feeds.stix_objects(t.spark, path, "collection")
+    ends = walks.token_walks(feeds.envelopes(t.spark, path), ["collection"], "place", "token", "following", "more", 10)
+    return o.join(ends, "collection").select("id", "outcome")
 
 
-@query("SELECT CAST(count(*) AS BIGINT) AS sources FROM (VALUES (1),(2),(3),(4),(5),(6),(7)) v(i)")
+@query("SELECT * FROM (VALUES ('advisory', 2), ('guide', 1), ('news', 1), ('official_alert', 1), ('report', 1), ('vulnerability', 4)) v(item_type, items)")
 def s15_seed(t):
-    return registry.registry(t.spark).agg(F.count(F.lit(1)).alias("sources"))
+    sources, items = seed.dataset(t.spark)
+    if not seed.problems(sources, items).isEmpty():
+        raise RuntimeError("the seed set does not hold")
+    return items.groupBy("item_type").agg(F.count(F.lit(1)).cast("int").alias("items"))
+
+
+@query("""WITH i AS (SELECT CAST(id AS VARCHAR) AS key, item_type, severity, CASE WHEN id % 40 = 0 THEN 'no-such' ELSE 'seed-feed' END AS source, CASE WHEN id % 30 = 0 THEN 'http://x.example.org/1' ELSE 'https://x.example.org/1' END AS url, title, published FROM items)
+SELECT key, problem FROM (SELECT key, unnest([CASE WHEN source = 'no-such' THEN 'undefined_source' END, CASE WHEN url NOT LIKE 'https://%' THEN 'invalid_url' END, CASE WHEN published IS NULL THEN 'no_publication_time' END, CASE WHEN item_type = 'vulnerability' AND severity IS NULL THEN 'invalid_severity' END]) AS problem FROM i) WHERE problem IS NOT NULL""")
+def s15_seed_validation(t):
+    sources, _ = seed.dataset(t.spark)
+    i = F.col("id")
+    items = t.items.select(i.cast("string").alias("key"), "item_type", "title", F.when(i % 30 == 0, "http://x.example.org/1").otherwise("https://x.example.org/1").alias("url"), F.when(i % 40 == 0, "no-such").otherwise("seed-feed").alias("source"), F.col("published"), "severity")
+    return seed.problems(sources, items)
 
 
 cases("x209_safe_payload", [(1, '{"a": 1, "token": "x"}', '{"a":1}'), (2, "no json", None)], "id, given, safe", "id int, given string", lambda df: df.select("id", "given", text.safe_payload("given").alias("safe")), 2)

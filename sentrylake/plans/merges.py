@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import ordered as B
 from ..operators import sets as X
 from ..operators import upserts as U
 from ..sources import sinks
@@ -58,9 +59,14 @@ def x07_without_conflicts(t):
     return X.without_conflicts(d, ["h"], "source").select("id", "h")
 
 
-@query("SELECT id, CASE WHEN a > 1 AND b > 1 THEN 'duplicate' WHEN a > 1 OR b > 1 THEN 'conflict' ELSE 'accepted' END AS identity FROM (SELECT id, row_number() OVER (PARTITION BY source ORDER BY id) AS a, row_number() OVER (PARTITION BY cycle ORDER BY id) AS b FROM runs)")
+# Batches of 100 rows in the order of their ids; the SQL reads them row by row, with what was accepted in a list.
+@query("""WITH RECURSIVE r AS (SELECT id, id // 100 AS b, row_number() OVER (PARTITION BY id // 100 ORDER BY id) AS n, source % 40 AS e, (source * 7 + attempt) % 45 AS u, status AS c FROM runs),
+f AS (SELECT b, n, id, [{'e': e, 'u': u, 'c': c}] AS acc, 'accepted' AS identity FROM r WHERE n = 1
+UNION ALL SELECT b, n, id, CASE WHEN x = 'accepted' THEN list_append(acc, {'e': e, 'u': u, 'c': c}) ELSE acc END, x FROM (SELECT r.*, f.acc, CASE WHEN len(list_filter(f.acc, lambda a: a.e = r.e OR a.u = r.u)) = 0 THEN 'accepted' WHEN list_contains(f.acc, {'e': r.e, 'u': r.u, 'c': r.c}) THEN 'duplicate' ELSE 'conflict' END AS x FROM f JOIN r ON r.b = f.b AND r.n = f.n + 1))
+SELECT id, identity FROM f""")
 def x08_accepted_in_order(t):
-    return X.accepted_in_order(t.runs.select("id", "source", "cycle"), "source", "cycle", "id").select("id", "identity")
+    r = t.runs.select("id", F.expr("id div 100").alias("b"), (F.col("source") % 40).alias("e"), ((F.col("source") * 7 + F.col("attempt")) % 45).alias("u"), "status")
+    return B.accepted_in_order(r, "b", "id", "e", "u", "status").select(F.col("place").alias("id"), "identity")
 
 
 @query("SELECT * FROM (VALUES (1, 'b,a,c')) v(id, x)")
@@ -77,26 +83,40 @@ def x10_matched_responses(t):
     return X.matched_responses(q, r, "k", "flag", F.col("source_id") > 2)
 
 
-@query("""WITH c AS (SELECT CAST(id AS VARCHAR) AS external_id, concat('u', CAST(id % 1000 AS VARCHAR), '-', CAST(id AS VARCHAR)) AS url_hash, kind AS content_hash, id FROM indicators),
-n AS (SELECT CAST(id AS VARCHAR) AS external_id, CASE WHEN id % 10 = 0 THEN concat('u', CAST((id + 1) % 1000 AS VARCHAR), '-', CAST(id + 1 AS VARCHAR)) ELSE concat('u', CAST(id % 1000 AS VARCHAR), '-', CAST(id AS VARCHAR)) END AS url_hash, CASE WHEN id % 3 = 0 THEN 'X' ELSE 'PROMO' END AS content_hash FROM people)
-SELECT n.external_id, CASE WHEN a.id IS NOT NULL AND b.id IS NOT NULL AND a.id <> b.id THEN 'failed' WHEN coalesce(a.id, b.id) IS NULL THEN 'created' WHEN coalesce(a.content_hash, b.content_hash) = n.content_hash THEN 'unchanged' ELSE 'updated' END AS outcome
-FROM n LEFT JOIN c a ON n.external_id = a.external_id LEFT JOIN c b ON n.url_hash = b.url_hash""")
-def u01_publication_upsert(t):
-    url = lambda i: F.concat(F.lit("u"), (i % 1000).cast("string"), F.lit("-"), i.cast("string"))
-    i = F.col("id")
-    cur = t.indicators.select(i.cast("string").alias("external_id"), url(i).alias("url_hash"), F.col("kind").alias("content_hash"), "id")
-    inc = t.people.select(i.cast("string").alias("external_id"), F.when(i % 10 == 0, url(i + 1)).otherwise(url(i)).alias("url_hash"), F.when(i % 3 == 0, "X").otherwise("PROMO").alias("content_hash"))
-    return U.publication_outcomes(cur, inc).select("external_id", "outcome")
+_FEED = "SELECT id, id // 100 AS b, row_number() OVER (PARTITION BY id // 100 ORDER BY id) AS n, concat('e', CAST(id // 100 * 100 + id % 37 % 30 AS VARCHAR)) AS e, concat('u', CAST(id // 100 * 100 + id % 37 * 5 % 31 AS VARCHAR)) AS u, segment AS c FROM people"
+
 
+def _feed(t):
+    b, k = F.expr("id div 100"), F.col("id") % 37
+    name = lambda p, x: F.concat(F.lit(p), (b * 100 + x).cast("string"))
+    return t.people.select(b.alias("batch"), F.col("id").alias("place"), name("e", k % 30).alias("external_id"), name("u", k * 5 % 31).alias("url_hash"), F.col("segment").alias("content_hash"))
 
-@query("""WITH k AS (SELECT CASE WHEN id % 2 = 0 THEN 'url' ELSE 'title' END AS namespace, sha256(value) AS value, id AS item_id FROM indicators WHERE status = 'revoked'),
-n AS (SELECT p.id, sha256(n.value) AS h FROM indicators n JOIN people p ON p.id = n.id)
-SELECT n.id, CASE WHEN u.value IS NOT NULL THEN 'linked' WHEN x.value IS NOT NULL THEN 'review' ELSE 'new' END AS outcome, u.item_id FROM n
-LEFT JOIN (SELECT value, min(item_id) AS item_id FROM k WHERE namespace = 'url' GROUP BY 1) u ON u.value = n.h LEFT JOIN (SELECT DISTINCT value FROM k WHERE namespace = 'title') x ON x.value = n.h""")
+
+@query(f"""WITH RECURSIVE r AS ({_FEED}), c AS (SELECT CAST(id AS VARCHAR) AS id, concat('e', CAST(id AS VARCHAR)) AS e, concat('u', CAST(id AS VARCHAR)) AS u, kind AS c FROM indicators WHERE id % 4 < 3),
+z AS (SELECT r.b, list_distinct(list({{'id': c.id, 'e': c.e, 'u': c.u, 'c': c.c}})) AS recs FROM r JOIN c ON c.e = r.e OR c.u = r.u GROUP BY r.b),
+f AS (SELECT DISTINCT r.b, CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS id, coalesce(z.recs, []) AS recs, 0 AS made, CAST(NULL AS VARCHAR) AS record, CAST(NULL AS VARCHAR) AS outcome FROM r LEFT JOIN z ON r.b = z.b
+UNION ALL SELECT b, n, id, CASE WHEN x IN ('failed', 'unchanged') THEN recs ELSE list_append(list_filter(recs, lambda y: y.id <> k), {{'id': k, 'e': e, 'u': u, 'c': c}}) END, CASE WHEN x = 'created' THEN made + 1 ELSE made END, k, x
+FROM (SELECT b, n, id, e, u, c, recs, made, CASE WHEN ra.id IS NOT NULL AND rb.id IS NOT NULL AND ra.id <> rb.id THEN 'failed' WHEN ra.id IS NULL AND rb.id IS NULL THEN 'created' WHEN coalesce(ra.c, rb.c) = c THEN 'unchanged' ELSE 'updated' END AS x, coalesce(ra.id, rb.id, concat('new:', CAST(made + 1 AS VARCHAR))) AS k
+FROM (SELECT r.*, f.recs, f.made, list_filter(f.recs, lambda y: y.e = r.e)[1] AS ra, list_filter(f.recs, lambda y: y.u = r.u)[1] AS rb FROM f JOIN r ON r.b = f.b AND r.n = f.n + 1)))
+SELECT id, record, outcome FROM f WHERE n > 0""")
+def u01_publication_upsert(t):
+    name = lambda p: F.concat(F.lit(p), F.col("id").cast("string"))
+    cur = t.indicators.where("id % 4 < 3").select("id", name("e").alias("external_id"), name("u").alias("url_hash"), F.col("kind").alias("content_hash"))
+    return B.publication_outcomes(cur, _feed(t)).select(F.col("place").alias("id"), "record", "outcome")
+
+
+@query(f"""WITH RECURSIVE r AS ({_FEED}), k AS (SELECT CASE WHEN id % 2 = 0 THEN 'u' ELSE 'e' END AS ns, concat(CASE WHEN id % 2 = 0 THEN 'u' ELSE 'e' END, CAST(id AS VARCHAR)) AS v, CAST(id - id % 4 AS VARCHAR) AS item FROM indicators WHERE id % 5 < 3),
+z AS (SELECT r.b, list_distinct(list({{'ns': k.ns, 'v': k.v, 'i': k.item}})) AS known FROM r JOIN k ON k.v = r.e OR k.v = r.u GROUP BY r.b),
+f AS (SELECT DISTINCT r.b, CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS id, coalesce(z.known, []) AS known, 0 AS made, CAST(NULL AS VARCHAR) AS item, CAST(NULL AS VARCHAR) AS outcome FROM r LEFT JOIN z ON r.b = z.b
+UNION ALL SELECT b, n, id, CASE WHEN i IS NULL THEN known ELSE list_concat(list_filter(known, lambda y: y.v <> u AND y.v <> e), [{{'ns': 'u', 'v': u, 'i': i}}, {{'ns': 'e', 'v': e, 'i': i}}]) END, CASE WHEN x = 'new' THEN made + 1 ELSE made END, i, x
+FROM (SELECT *, CASE x WHEN 'linked' THEN ku WHEN 'new' THEN concat('new:', CAST(made + 1 AS VARCHAR)) END AS i FROM (SELECT *, CASE WHEN ku <> ke THEN 'conflict' WHEN ku IS NOT NULL THEN 'linked' WHEN ke IS NOT NULL THEN 'review' ELSE 'new' END AS x
+FROM (SELECT r.*, f.known, f.made, list_filter(f.known, lambda y: y.v = r.u)[1].i AS ku, list_filter(f.known, lambda y: y.v = r.e)[1].i AS ke FROM f JOIN r ON r.b = f.b AND r.n = f.n + 1))))
+SELECT id, item AS item_id, outcome FROM f WHERE n > 0""")
 def u02_identity_resolution(t):
-    k = t.indicators.where("status = 'revoked'").select(F.when(F.col("id") % 2 == 0, "url").otherwise("title").alias("namespace"), F.sha2("value", 256).alias("value"), F.col("id").alias("item_id"))
-    n = t.indicators.join(t.people.select("id"), "id").select("id", F.sha2("value", 256).alias("url_hash"), F.sha2("value", 256).alias("title_hash"))
-    return U.resolved_articles(n, k)
+    even = F.col("id") % 2 == 0
+    k = t.indicators.where("id % 5 < 3").select(F.when(even, "url").otherwise("title").alias("namespace"), F.concat(F.when(even, "u").otherwise("e"), F.col("id").cast("string")).alias("value"), (F.col("id") - F.col("id") % 4).alias("item_id"))
+    n = _feed(t).select("batch", "place", "url_hash", F.col("external_id").alias("title_hash"))
+    return B.resolved_articles(n, k).select(F.col("place").alias("id"), "item_id", "outcome")
 
 
 _M = """WITH c AS (SELECT id, kind AS v, TIMESTAMP '2024-01-01' AS seen FROM indicators WHERE status = 'active'), i AS (SELECT id, CASE WHEN id % 5 = 0 THEN 'NEW' ELSE kind END AS v, TIMESTAMP '2024-02-01' AS seen FROM indicators WHERE NOT revoked)
@@ -199,9 +219,32 @@ def _cas(t):
     return U.compared_and_set(s, u, ["id"], "v").withColumn("version", F.col("version").cast("long"))
 
 
-@query(_CAS)
-def u13_checkpoint_cas(t):
-    return _cas(t)
+_ADVANCE = """WITH s AS (SELECT id, id % 5 + 1 AS version, id % 50 AS v FROM indicators WHERE status = 'active'), p AS (SELECT id, CASE WHEN id % 11 = 0 THEN 'running' ELSE 'checkpoint_pending' END AS status, CASE WHEN id % 3 = 0 THEN 'no_change' ELSE 'success' END AS result, CASE WHEN id % 13 = 0 THEN 9 ELSE coalesce((SELECT version FROM s WHERE s.id = i.id), 0) END AS expected, CASE WHEN id % 2 = 0 THEN id % 50 WHEN id % 7 = 0 THEN id % 50 - 1 ELSE id % 50 + 1 END AS v FROM indicators i),
+j AS (SELECT p.id, s.version AS old, s.v AS ov, p.v AS nv, CASE WHEN status <> 'checkpoint_pending' THEN 'not_pending' WHEN expected <> coalesce(s.version, 0) THEN 'stale' WHEN s.v = p.v AND result = 'no_change' THEN 'unchanged' WHEN s.v = p.v {back} THEN 'conflict' ELSE 'advanced' END AS outcome FROM p LEFT JOIN s ON p.id = s.id)
+SELECT id, CASE WHEN outcome = 'advanced' THEN coalesce(old, 0) + 1 ELSE old END AS version, CASE WHEN outcome = 'advanced' THEN nv ELSE ov END AS v, outcome FROM j"""
+
+
+def _advance(t, monotone):
+    i = F.col("id")
+    s = t.indicators.where("status = 'active'").select("id", (i % 5 + 1).alias("version"), (i % 50).alias("v"))
+    p = t.indicators.join(s.select("id", "version"), "id", "left").select(
+        "id",
+        F.when(i % 11 == 0, "running").otherwise("checkpoint_pending").alias("status"),
+        F.when(i % 3 == 0, "no_change").otherwise("success").alias("result"),
+        F.when(i % 13 == 0, 9).otherwise(F.coalesce("version", F.lit(0))).alias("expected_version"),
+        F.when(i % 2 == 0, i % 50).when(i % 7 == 0, i % 50 - 1).otherwise(i % 50 + 1).alias("v"),
+    )
+    return U.advanced(s, p, ["id"], "v", monotone).withColumn("version", F.col("version").cast("long"))
+
+
+@query(_ADVANCE.format(back=""))
+def u13_checkpoints(t):
+    return _advance(t, False)
+
+
+@query(_ADVANCE.format(back="OR p.v < s.v"))
+def u13_watermarks(t):
+    return _advance(t, True)
 
 
 @query(_CAS)
@@ -209,26 +252,47 @@ def u17_rate_limit_cas(t):
     return _cas(t)
 
 
+_STATUS = "CASE WHEN sequence = (SELECT min(sequence) FROM turns) THEN 'running' ELSE CASE length(text) % 7 WHEN 0 THEN 'success' WHEN 1 THEN 'failed' WHEN 2 THEN 'no_change' WHEN 3 THEN 'running' ELSE 'checkpoint_pending' END END"
+
+
+@query(f"""WITH RECURSIVE r AS (SELECT run, sequence, row_number() OVER (PARTITION BY run ORDER BY sequence) AS n, {_STATUS} AS x FROM turns),
+f AS (SELECT run, CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS sequence, false AS legal, CAST(NULL AS VARCHAR) AS state FROM (SELECT DISTINCT run FROM r)
+UNION ALL SELECT run, n, sequence, ok, CASE WHEN ok THEN x ELSE state END FROM (SELECT r.*, f.state, CASE WHEN f.state IS NULL THEN x = 'running' WHEN f.state = 'running' THEN x IN ('checkpoint_pending','success','no_change','partial','failed','cancelled') WHEN f.state = 'checkpoint_pending' THEN x IN ('success','no_change','failed','cancelled') ELSE false END AS ok FROM f JOIN r ON r.run = f.run AND r.n = f.n + 1))
+SELECT CAST(run AS VARCHAR) AS run, sequence, legal, state FROM f WHERE n > 0""")
+def u14_run_states(t):
+    length = F.length("text") % 7
+    first = t.turns.agg(F.min("sequence")).first()[0]
+    x = F.when(F.col("sequence") == first, "running").when(length == 0, "success").when(length == 1, "failed").when(length == 2, "no_change").when(length == 3, "running").otherwise("checkpoint_pending")
+    return B.run_states(t.turns.withColumn("status", x), "run", "sequence", "status")
+
+
 @query("SELECT run, arg_max(state, sequence) AS state, count(*) AS events FROM turns GROUP BY run")
 def u14_folded_state(t):
     return U.folded(t.turns, "run", "state", "sequence")
 
 
-_INS = "WITH e AS (SELECT id, kind FROM indicators WHERE status = 'active'), i AS (SELECT id, CASE WHEN id % 6 = 0 THEN 'OTHER' ELSE kind END AS kind FROM indicators) SELECT i.id, i.kind, CASE WHEN e.id IS NULL THEN 'inserted' WHEN e.kind = i.kind THEN 'reused' ELSE 'conflict' END AS outcome FROM i LEFT JOIN e ON i.id = e.id"
-
-
-def _ins(t):
-    return U.inserted(t.indicators.where("status = 'active'").select("id", "kind"), t.indicators.select("id", F.when(F.col("id") % 6 == 0, "OTHER").otherwise(F.col("kind")).alias("kind")), "id", ["kind"])
+_CYCLE = "concat('k', CAST({id} % 900 AS VARCHAR)) AS key, CASE WHEN {id} % 900 % 2 = 0 THEN 'scheduled' ELSE 'manual' END AS trigger, {n} AS expected"
 
 
-@query(_INS)
+@query(f"""WITH e AS (SELECT {_CYCLE.format(id="id", n="id % 900 % 3")}, CASE WHEN id = 301 THEN 'running' ELSE 'success' END AS status FROM people WHERE id BETWEEN 200 AND 400), i AS (SELECT id, {_CYCLE.format(id="id", n="CASE WHEN id % 7 = 0 THEN 9 ELSE id % 900 % 3 END")} FROM runs),
+f AS (SELECT key, min(id) AS born, arg_min(expected, id) AS n FROM i GROUP BY key), w AS (SELECT min(born) AS born FROM f JOIN (SELECT DISTINCT key, trigger FROM i) g USING (key) WHERE trigger = 'scheduled' AND key NOT IN (SELECT key FROM e))
+SELECT i.id, CASE WHEN e.key IS NULL AND i.trigger = 'scheduled' AND (f.born <> w.born OR (SELECT count(*) FROM e WHERE trigger = 'scheduled' AND status = 'running') > 0) THEN 'overlap' WHEN e.key IS NULL AND i.id = f.born THEN 'acquired' WHEN coalesce(e.expected, f.n) = i.expected THEN 'reused' ELSE 'conflict' END AS outcome
+FROM i JOIN f USING (key) CROSS JOIN w LEFT JOIN e ON e.key = i.key""")
 def u15_cycle_acquire(t):
-    return _ins(t)
+    k = F.col("id") % 900
+    cycle = [F.concat(F.lit("k"), k.cast("string")).alias("key"), F.when(k % 2 == 0, "scheduled").otherwise("manual").alias("trigger")]
+    e = t.people.where("id between 200 and 400").select(*cycle, (k % 3).alias("expected"), F.when(F.col("id") == 301, "running").otherwise("success").alias("status"))
+    i = t.runs.select("id", *cycle, F.when(F.col("id") % 7 == 0, 9).otherwise(k % 3).alias("expected"))
+    return U.acquired_cycles(e, i, "key", ["trigger", "expected"], "id").select("id", "outcome")
 
 
-@query(_INS)
+@query("WITH e AS (SELECT id AS key, kind FROM indicators WHERE status = 'active'), i AS (SELECT item_id AS born, indicator_id AS key, CASE WHEN flag = 'R' THEN 'OTHER' ELSE k.kind END AS kind FROM records JOIN indicators k ON k.id = indicator_id WHERE is_primary), f AS (SELECT key, min(born) AS born, arg_min(kind, born) AS kind FROM (SELECT DISTINCT * FROM i) GROUP BY key) SELECT i.born, i.key, CASE WHEN e.key IS NULL AND i.born = f.born THEN 'inserted' WHEN coalesce(e.kind, f.kind) = i.kind THEN 'reused' ELSE 'conflict' END AS outcome FROM i JOIN f ON f.key = i.key LEFT JOIN e ON e.key = i.key")
 def u21_seed_writer(t):
-    return _ins(t)
+    e = t.indicators.where("status = 'active'").select(F.col("id").alias("key"), "kind")
+    kinds = t.indicators.select(F.col("id").alias("key"), "kind")
+    r = t.records.where("is_primary").select(F.col("item_id").alias("born"), F.col("indicator_id").alias("key"), "flag").join(kinds, "key")
+    i = r.select("born", "key", F.when(F.col("flag") == "R", "OTHER").otherwise(F.col("kind")).alias("kind"))
+    return U.inserted(e, i, "key", ["kind"], "born").select("born", "key", "outcome")
 
 
 @query("SELECT id, attempt FROM runs WHERE status IN ('failed','partial') AND attempt < 3 AND id IN (SELECT run_id FROM errors WHERE retryable)")

@@ -39,9 +39,25 @@ def t03_exactly_once(t):
     return t.spark.read.schema("id long, status string").parquet(f"{root}/data")
 
 
-@query("SELECT source, count(DISTINCT text) AS versions, count(*) AS n FROM publications GROUP BY source")
-def t04_content_versions(t):
-    return t.publications.groupBy("source").agg(F.count_distinct(F.md5("text")).alias("versions"), F.count(F.lit(1)).alias("n"))
+@query("SELECT source, CASE WHEN source IN ('src3', 'src7') OR count(*) FILTER (n_chars < 20) > 0 THEN 'process' ELSE 'no_change' END AS outcome FROM publications GROUP BY source")
+def t04_no_change(t):
+    # what was stored is the state before two sources changed one text each
+    now = G.feed_digests(t.publications, "source", "id", "text")
+    first = t.publications.groupBy("source").agg(F.min("id").alias("id")).where("source in ('src3', 'src7')").withColumn("old", F.lit(True))
+    before = t.publications.join(F.broadcast(first), ["source", "id"], "left").withColumn("text", F.when(F.col("old"), "before").otherwise(F.col("text")))
+    rejected = t.publications.groupBy("source").agg(F.count_if(F.col("n_chars") < 20).alias("rejected"))
+    return G.feed_changes(now.join(rejected, "source"), G.feed_digests(before, "source", "id", "text"))
+
+
+@query("SELECT id, source FROM publications WHERE source IN ('src3', 'src7')")
+def t04_short_circuit(t):
+    root = shared_folder(t, "changed")
+    changes = t.publications.select("source").distinct().withColumn("outcome", F.when(F.col("source").isin("src3", "src7"), "process").otherwise("no_change"))
+    entries = t.publications.select("id", "source")
+    G.write_changed(entries, changes, "source", root)
+    if G.write_changed(entries, changes.where("outcome = 'no_change'"), "source", root):
+        raise RuntimeError("sources without a change were written")
+    return t.spark.read.schema(entries.schema).parquet(root)
 
 
 @query("SELECT id, (SELECT count(*) FROM runs b WHERE b.source = a.source AND b.started <= a.started AND b.started > a.started - INTERVAL 12 HOUR) AS recent FROM runs a")
@@ -49,15 +65,20 @@ def t05_sliding_limit(t):
     return T.recent(t.runs.select("id", "source", "started"), ["source"], "started", 12 * 3600, "id").select("id", "recent")
 
 
-@query()
+@query("""WITH RECURSIVE e AS (SELECT CAST(source AS VARCHAR) AS key, started AS born FROM runs WHERE status = 'failed'),
+w AS (SELECT key, min(born) AS begun FROM e GROUP BY key UNION ALL SELECT key, begun FROM (SELECT w.key, (SELECT min(born) FROM e WHERE e.key = w.key AND e.born >= w.begun + INTERVAL 1 DAY) AS begun FROM w) WHERE begun IS NOT NULL),
+p AS (SELECT key, born, row_number() OVER (PARTITION BY key, begun ORDER BY born) AS failures FROM (SELECT e.key, e.born, max(w.begun) AS begun FROM (SELECT key, born, row_number() OVER () AS i FROM e) e JOIN w ON w.key = e.key AND w.begun <= e.born GROUP BY e.key, e.born, e.i))
+SELECT key, born AS failed, failures, EXISTS (SELECT 1 FROM p q WHERE q.key = p.key AND q.failures >= 3 AND (q.born, q.failures) <= (p.born, p.failures) AND p.born < q.born + INTERVAL 1 HOUR) AS blocked FROM p""")
 def t06_failure_windows(t):
     f = t.runs.where("status = 'failed'")
-    return T.failure_batch(f, "source", "started", 86_400, 3, 3600).select("key", "at", "failures", "blocked")
+    return T.failure_batch(f, "source", "started", 86_400, 3, 3600).select("key", F.to_timestamp_ntz(F.date_format("at", "yyyy-MM-dd HH:mm:ss.SSSSSS")).alias("failed"), "failures", "blocked")
 
 
-@query("SELECT id, hour(started) % 2 = 0 AS even FROM runs")
-def t07_slots(t):
-    return t.runs.select("id", (F.hour("started") % 2 == 0).alias("even"))
+@query("SELECT id, CASE WHEN hour(started) % 2 = 0 AND id % 3 > 0 THEN date_trunc('hour', started) + INTERVAL 17 MINUTE END AS slot, least(source * 5, 300) AS delay FROM runs")
+def t07_schedule(t):
+    minute = F.when(F.col("id") % 3 > 0, F.expr("interval 17 minutes")).otherwise(F.expr("interval 16 minutes"))
+    at = F.date_trunc("hour", "started").cast("timestamp_ntz") + minute
+    return G.schedule(t.runs.select("id", "source", at.alias("at")), "at", "source").select("id", "slot", "delay")
 
 
 @query("SELECT * FROM (VALUES (1, true, 30), (2, true, 60), (3, true, NULL), (1, false, NULL)) v(attempt, transient, delay)")

@@ -13,6 +13,7 @@ from pyspark.sql.types import StringType
 from ..functions import vulnerabilities as V
 from ..functions.text import free_of_markup, plain_text, required
 from ..functions.times import parsed_timestamp
+from ..operators.ordered import in_order
 
 PAGE = "struct<startIndex:long,totalResults:long,vulnerabilities:array<string>>"
 
@@ -24,11 +25,6 @@ def vulnerability_pages(spark: SparkSession, path: str) -> DataFrame:
     return pages.select(n.alias("p")).select(F.col("p.startIndex").alias("start"), F.col("p.totalResults").alias("total"), F.size("p.vulnerabilities").alias("n"), F.explode("p.vulnerabilities").alias("json"))
 
 
-def paging_complete(pages: DataFrame) -> DataFrame:
-    """One row: whether pages(start, total, n) agree on the total and cover it without gap or repeat."""
-    return pages.select("start", "total", "n").distinct().agg(((F.min("total") == F.max("total")) & (F.sum("n") == F.max("total")) & (F.min("start") == 0) & (F.max(F.col("start") + F.col("n")) == F.max("total"))).alias("complete"))
-
-
 def publication_page(feed: DataFrame, first, end, severity: str | None = None, listed: DataFrame | None = None) -> DataFrame:
     """Normalised feed rows published in [first, end), of one severity, or only those that a catalog lists."""
     out = feed.where((F.col("published") >= F.lit(first)) & (F.col("published") < F.lit(end)))
@@ -37,15 +33,33 @@ def publication_page(feed: DataFrame, first, end, severity: str | None = None, l
     return out if listed is None else out.join(listed.select("cve_id").distinct(), "cve_id", "left_semi")
 
 
+def _batches(most: int, longest: int):
+    def fresh():
+        state = {"part": -1, "n": most, "length": 0}
+
+        def step(row):
+            added = len(row["k"]) + (state["n"] > 0)
+            if state["n"] >= most or state["length"] + added > longest:
+                state.update(part=state["part"] + 1, n=0, length=0)
+                added = len(row["k"])
+            state["n"] += 1
+            state["length"] += added
+            return {"year": row["year"], "block": row["block"], "k": row["k"], "part": state["part"]}
+
+        return step
+
+    return fresh
+
+
 def score_batches(df: DataFrame, key: str, most: int = 100, longest: int = 2000) -> DataFrame:
-    """(year, part, keys): distinct valid ids in order, in batches of at most `most` ids whose query text is at most
-    `longest` characters. Batches start anew with each year and are numbered by a window, not filled one after another;
-    an id with its separator takes as many characters as the longest of its year."""
-    ids = df.select(V.cve_id(key).alias("k")).where("k is not null").distinct().withColumn("year", F.substring("k", 5, 4))
-    widest = ids.groupBy("year").agg(F.max(F.length("k") + 1).alias("w"))
-    size = F.greatest(F.lit(1), F.least(F.lit(most), F.floor(F.lit(longest) / F.col("w"))))
-    at = F.row_number().over(Window.partitionBy("year").orderBy("k")) - 1
-    return ids.join(widest, "year").withColumn("part", F.floor(at / size)).groupBy("year", "part").agg(F.sort_array(F.collect_list("k")).alias("keys"))
+    """(year, block, part, keys): distinct valid ids in order of their numbers, filled one after another into batches of at
+    most `most` ids whose query text, with a separator between two ids, is at most `longest` characters. Filling starts anew
+    with each block of 10,000 numbers of a year, so that blocks are filled side by side and a task's part is bounded."""
+    ids = df.select(V.cve_id(key).alias("k")).where("k is not null").distinct().withColumn("year", F.substring("k", 5, 4)).withColumn("number", F.expr("try_cast(substring(k, 10) as decimal(38, 0))"))
+    ids = ids.withColumn("block", F.floor(F.col("number") / 10_000).cast("long")).withColumn("lot", F.concat_ws("/", "year", "block"))
+    place = F.concat(F.lpad(F.length("k").cast("string"), 3, "0"), "k")
+    parts = in_order(ids.select("lot", "year", "block", "k", place.alias("place")), "lot", "place", _batches(most, longest), "year string, block long, k string, part long")
+    return parts.groupBy("year", "block", "part").agg(F.transform(F.array_sort(F.collect_list(F.struct(F.length("k").alias("n"), "k"))), lambda x: x["k"]).alias("keys"))
 
 
 def catalog(spark: SparkSession, path: str) -> DataFrame:
@@ -114,24 +128,59 @@ def publications(spark: SparkSession, path: str, most_bytes: int = 1 << 20, most
     return rows.select(F.col("b.source_slug").alias("source"), F.explode("b.publications").alias("p")).select("source", required("p.title", 500).alias("title"), F.col("p.url").alias("url"), F.trim("p.summary").alias("summary"), parsed_timestamp("p.published_at").alias("published"))
 
 
-def stix_objects(spark: SparkSession, path: str) -> DataFrame:
-    """Objects of bundles and envelopes: id, type, modified, created, creator, revoked, and the whole as JSON."""
-    docs = spark.read.text(path, wholetext=True)
-    obj = docs.select(F.explode(F.from_json(F.get_json_object("value", "$.objects"), "array<string>")).alias("payload"))
-    g = lambda p: F.get_json_object("payload", f"$.{p}")
-    return obj.select(g("id").alias("id"), g("type").alias("type"), parsed_timestamp(F.coalesce(g("modified"), g("created"))).alias("modified"), parsed_timestamp(g("created")).alias("created"), g("created_by_ref").alias("creator"), F.coalesce(g("revoked").cast("boolean"), F.lit(False)).alias("revoked"), "payload")
+def envelopes(spark: SparkSession, path: str) -> DataFrame:
+    """(collection, place, token, following, more): how the collector came by each envelope file, for `walks.token_walks`."""
+    head = F.from_json("value", "collection string, place long, token string, next string, more boolean")
+    return spark.read.text(path, wholetext=True).select(head.alias("h")).select("h.collection", "h.place", "h.token", F.col("h.next").alias("following"), F.coalesce("h.more", F.lit(False)).alias("more"))
 
 
-def listing(pages: DataFrame, most: int = 50) -> DataFrame:
-    """(page_id, place, title, link): the articles that a listing page shows, at most 50 of a page."""
-    blocks = F.regexp_extract_all("html", F.lit(r"(?is)<(?:article|section)\b[^>]*>(.*?)</(?:article|section)>"), 1)
-    rows = pages.select("page_id", F.posexplode(F.slice(blocks, 1, most)).alias("place", "block"))
-    return rows.select("page_id", "place", plain_text(F.regexp_extract("block", r"(?is)<h[1-4][^>]*>(.*?)</h[1-4]>", 1)).alias("title"), F.nullif(F.regexp_extract("block", r"(?i)<a\b[^>]*\bhref=[\"']([^\"']+)", 1), F.lit("")).alias("link")).where(F.length("title") > 0)
+def stix_objects(spark: SparkSession, path: str, *fields: str) -> DataFrame:
+    """Objects of bundles and envelopes: id, type, modified, created, creator, revoked, and the whole as JSON; and `fields`
+    of the file that they stand in."""
+    docs = spark.read.text(path, wholetext=True)
+    obj = docs.select(*(F.get_json_object("value", f"$.{f}").alias(f) for f in fields), F.explode(F.from_json(F.get_json_object("value", "$.objects"), "array<string>")).alias("payload"))
+    g = lambda p: F.get_json_object("payload", f"$.{p}")
+    return obj.select(*fields, g("id").alias("id"), g("type").alias("type"), parsed_timestamp(F.coalesce(g("modified"), g("created"))).alias("modified"), parsed_timestamp(g("created")).alias("created"), g("created_by_ref").alias("creator"), F.coalesce(g("revoked").cast("boolean"), F.lit(False)).alias("revoked"), "payload")
+
+
+def _element(tag: str, classes: list[str]) -> str:
+    """A pattern of the tag with all of the classes, in any order, and what is in it up to its end; of nested ones the outermost
+    start with the innermost end."""
+    want = "".join(rf"(?=[^>]*\bclass=[\"'][^\"'>]*(?<![\w-]){c}(?![\w-]))" for c in classes)
+    return rf"(?is)<{tag}\b{want}[^>]*>(.*?)</{tag}>"
+
+
+def listing(pages: DataFrame, container: str, classes: list[str], heading: str, heading_classes: list[str], most: int = 50, link: str = r"^/[^\s]+$", shortest: int = 1) -> DataFrame:
+    """(page_id, place, title, link, outcome) of the entries in a listing page's trusted containers: elements with all of the
+    classes. Each holds one heading with one link; a container without is itself what the headings of are listed.
+
+    accepted; structure (no heading, or not one link in it); invalid_url (the link is not of the site's form);
+    invalid_title; duplicate (of an accepted link of the page, in any case); record_limit (beyond the first `most`)."""
+    blocks = F.regexp_extract_all("html", F.lit(_element(container, classes)), 1)
+    if not classes:  # one container with all headings
+        blocks = F.flatten(F.transform(blocks, lambda b: F.regexp_extract_all(b, F.lit(_element(heading, heading_classes)), 0)))
+    rows = pages.select("page_id", F.posexplode(blocks).alias("place", "block"))
+    headings = F.regexp_extract_all("block", F.lit(_element(heading, heading_classes)), 1)
+    rows = rows.withColumn("headings", headings).withColumn("head", F.when(F.size("headings") == 1, F.get("headings", F.lit(0))))
+    anchors = F.regexp_extract_all("head", F.lit(r"(?is)<a\b[^>]*>.*?</a>"), 0)
+    rows = rows.withColumn("anchor", F.when(F.size(anchors) == 1, F.get(anchors, F.lit(0))))
+    rows = rows.select("page_id", "place", F.when(F.col("anchor").isNotNull(), plain_text("anchor")).alias("title"), F.when(F.col("anchor").isNotNull(), F.regexp_extract("anchor", r"(?i)<a\b[^>]*\bhref=[\"']([^\"']*)", 1)).alias("link"))
+    bad = (
+        F.when(F.col("place") >= most, "record_limit")
+        .when(F.col("link").isNull(), "structure")
+        .when(~F.col("link").rlike(link), "invalid_url")
+        .when((F.length("title") < shortest) | (F.length("title") > 500), "invalid_title")
+    )
+    rows = rows.withColumn("bad", bad)
+    # a page lists a bounded number of entries
+    first = F.min(F.when(F.col("bad").isNull(), F.col("place"))).over(Window.partitionBy("page_id", F.lower("link")))
+    return rows.select("page_id", "place", "title", "link", F.coalesce("bad", F.when(first < F.col("place"), "duplicate"), F.lit("accepted")).alias("outcome"))
 
 
 def page_metadata(pages: DataFrame) -> DataFrame:
     """(page_id, title, published): from JSON-LD, else Open Graph and meta tags, else the title element."""
     ld = F.regexp_extract("html", r"(?is)<script[^>]*application/ld\+json[^>]*>(.*?)</script>", 1)
     meta = lambda name: F.nullif(F.regexp_extract("html", rf"(?is)<meta[^>]*(?:property|name)=[\"']{name}[\"'][^>]*content=[\"']([^\"']*)", 1), F.lit(""))
-    title = F.coalesce(F.get_json_object(ld, "$.headline"), meta("og:title"), F.nullif(F.regexp_extract("html", r"(?is)<title[^>]*>(.*?)</title>", 1), F.lit("")))
+    title = F.nullif(F.regexp_extract("html", r"(?is)<title[^>]*>(.*?)</title>", 1), F.lit(""))
+    title = F.coalesce(F.get_json_object(ld, "$.headline"), meta("og:title"), title)
     return pages.select("page_id", plain_text(title).alias("title"), F.coalesce(F.get_json_object(ld, "$.datePublished"), meta("article:published_time")).alias("published"))

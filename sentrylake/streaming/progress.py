@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.times import slot_valid
+
 
 def since(df: DataFrame, modified: str, watermark: Column, overlap: str = "5 minutes") -> DataFrame:
     """Rows changed since a little before the watermark; what comes twice is absorbed by content."""
@@ -60,6 +62,39 @@ def once(write: Callable[[DataFrame, int], None], log: str) -> Callable[[DataFra
     return run
 
 
+def feed_digests(entries: DataFrame, source: str, key: str, content: str, run: int = 1000) -> DataFrame:
+    """(source, digest) of entries with whole-number keys: a tree of SHA-256 over 'key:hash' of runs of keys, then of runs
+    of run digests, and so on, each in order, so that no source's entries meet in one row."""
+    level = entries.select(F.col(source).alias("source"), F.col(key).cast("long").alias("k"), F.concat(F.col(key).cast("string"), F.lit(":"), F.sha2(F.col(content), 256)).alias("h"))
+    for _ in range(3):
+        parts = level.groupBy("source", F.floor(F.col("k") / run).alias("at")).agg(F.array_sort(F.collect_list(F.struct("k", "h"))).alias("l"))
+        level = parts.select("source", F.col("at").alias("k"), F.sha2(F.array_join(F.transform("l", lambda e: e["h"]), ","), 256).alias("h"))
+    rest = level.groupBy("source").agg(F.array_sort(F.collect_list(F.struct("k", "h"))).alias("l"))
+    return rest.select("source", F.sha2(F.array_join(F.transform("l", lambda e: e["h"]), ","), 256).alias("digest"))
+
+
+def feed_changes(feeds: DataFrame, stored: DataFrame) -> DataFrame:
+    """(source, outcome) of feeds(source, digest, rejected): no_change where the stored(source, digest) is the same and no
+    record was rejected, else process."""
+    j = feeds.join(stored.select("source", F.col("digest").alias("_old")), "source", "left")
+    return j.select("source", F.when((F.col("rejected") == 0) & F.col("_old").eqNullSafe(F.col("digest")), "no_change").otherwise("process").alias("outcome"))
+
+
+def write_changed(entries: DataFrame, changes: DataFrame, source: str, path: str) -> bool:
+    """Appends the entries of sources that have changed, and tells whether there were any; nothing is written otherwise."""
+    todo = changes.where("outcome = 'process'").select(F.col("source").alias("_source")).distinct()
+    if todo.isEmpty():
+        return False
+    entries.join(todo, F.col(source) == F.col("_source"), "left_semi").write.mode("append").parquet(path)
+    return True
+
+
+def schedule(ticks: DataFrame, at: str, place: str, step: int = 5, most: int = 300) -> DataFrame:
+    """ticks with `slot`, the trigger's time in UTC if it is one of the two-hourly slots and else null, and `delay`, the
+    seconds by which the source at a place of the list is put off."""
+    return ticks.withColumn("slot", F.when(slot_valid(F.col(at)), F.col(at))).withColumn("delay", F.least(F.col(place) * step, F.lit(most)))
+
+
 def retry_delay(attempt: int, transient: bool, most: int = 3, delays: tuple[int, ...] = (30, 60)) -> int | None:
     """Seconds until the next attempt; None if there is none."""
     return delays[min(attempt, len(delays)) - 1] if transient and attempt < most else None

@@ -81,3 +81,49 @@ def test_indicators_of_whole_texts(spark):
                 pass
         want |= {(r.doc_id, "file_hash", x) for x in set(re.findall(r'(?<=hash ")[0-9a-f]{40}(?=")', text))}
     assert want and {g for g in got if g[1] in ("ipv4", "file_hash")} == want
+
+
+def test_all_kinds_of_indicators_in_made_up_texts(spark):
+    """Every token is planted with what decides on it, so what must come out is known for each text, near words and all."""
+    import random
+
+    from sentrylake.functions import ioc
+
+    r = random.Random(4)
+    # (text, expected kind and value or None)
+    parts = [
+        ("see https://a{n}.co/x?b=1 now", ("url", "https://a{n}.co/x?b=1")),
+        ("see hxxps://a{n}[.]co/x]. now", ("url", "https://a{n}.co/x")),
+        ("see https://www.example.org/{n} now", None),
+        ("see http://10.0.0.{n}/ now", None),
+        ("address 9.9.8.{n} here", ("ipv4", "9.9.8.{n}")),
+        ("8[.]8[.]7[.]{n} here", ("ipv4", "8.8.7.{n}")),
+        ("version 4.3.2.{n} here", None),
+        ("plain 9.9.7.{n} here", None),
+        ("IP 192.168.0.{n} here", None),
+        ("host 2606:4700::{n} here", ("ipv6", "2606:4700::{n}")),
+        ("host fe80::{n} here", None),
+        ("md5 " + "ab12cd34" * 3 + "{n:08d} here", ("file_hash", "ab12cd34" * 3 + "{n:08d}")),
+        ("token " + "ab12cd34" * 3 + "{n:08d} here", None),
+        ("domain evil{n}.co here", ("domain", "evil{n}.co")),
+        ("evil{n}[.]org here", ("domain", "evil{n}.org")),
+        ("import evil{n}.co here", None),
+        ("domain tool{n}.exe here", None),
+        ("mail me@evil{n}.co here", None),
+        ("domain host{n}.local here", None),
+    ]
+    filler = "w" * 130  # longer than what counts as near
+    rows, want = [], set()
+    for i in range(120):
+        texts = {"title": [], "summary": []}
+        for part, expected in r.sample(parts, 6):
+            n = r.randint(11, 99)
+            texts[r.choice(["title", "summary"])].append(f"{filler} {part.format(n=n)} {filler}")
+            if expected:
+                want.add((i, expected[0], expected[1].format(n=n)))
+        rows.append((i, " ".join(texts["title"]), " ".join(texts["summary"])))
+    rows.append((0, "domain other.co", "the same id with another text"))
+    want.add((0, "domain", "other.co"))
+    rows.append((500, "domain control.co", "a" + chr(7)))
+    got = {(x.id, x.kind, x.value) for x in ioc.extract(spark.createDataFrame(rows, "id int, title string, summary string").repartition(3)).collect()}
+    assert got == want
