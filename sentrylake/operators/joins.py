@@ -7,13 +7,12 @@ from pyspark.sql import functions as F
 
 
 def pick_one(df: DataFrame, group: list[str], order: list[Column]) -> DataFrame:
-    """One row of each group, the first by `order`.
+    """One row of each group, the first by `order`, which must be total; nulls come first.
 
-    min_by over one struct aggregates on the map side, so a group of any size sends one row per task; the
-    order must hold only ascending keys (negate a number or a flag to turn it round) and be total."""
-    rest = [c for c in df.columns if c not in group]
-    picked = df.groupBy(*group).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("_row"))
-    return picked.select(*group, *(F.col("_row").getField(c).alias(c) for c in rest))
+    The planner limits each map task's groups to a row before the shuffle, so a group of any size sends one row per
+    task, and columns that nobody asks for are never read."""
+    first = F.row_number().over(Window.partitionBy(*group).orderBy(*order))
+    return df.withColumn("_first", first).where(F.col("_first") == 1).drop("_first")
 
 
 def primary_record(records: DataFrame) -> DataFrame:

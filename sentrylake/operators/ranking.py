@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,6 +16,17 @@ def first_in_group(df: DataFrame, group: list[str], order: list[Column | str], m
     return df.withColumn(rank, F.row_number().over(w)).where(F.col(rank) <= most)
 
 
+#: Fixed: how many children of each kind a detail view shows.
+DETAIL_CAPS = {"source_records": 25, "import_runs": 20, "indicators": 100, "tags": 16, "provenances": 50, "relationships": 100}
+
+
+def detail_lists(children: dict[str, DataFrame], caps: dict[str, int] = DETAIL_CAPS) -> DataFrame:
+    """(kind, parent, child, rank): of each parent's children(parent, child, at) of each kind the newest, at most the kind's
+    cap, ties by child. Each kind is limited on the map side."""
+    parts = [first_in_group(df.select("parent", "child", "at"), ["parent"], [F.desc("at"), "child"], caps[kind]).select(F.lit(kind).alias("kind"), "parent", "child", "rank") for kind, df in children.items()]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def latest(df: DataFrame, group: list[str], at: str, tie: str) -> DataFrame:
     """The newest row of each group; a map-side aggregate, so a group of any size is no burden."""
     rest = [c for c in df.columns if c not in group]

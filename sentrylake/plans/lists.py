@@ -57,15 +57,14 @@ def f07_literal_search(t):
     return t.items.where(C.contains_any("50%_O", "title")).select("id", "title")
 
 
-@query("SELECT id, name FROM people WHERE position('001' IN name) > 0 OR EXISTS (SELECT 1 FROM items WHERE owner = people.id AND position('50%_off' IN lower(title)) > 0)")
+@query("SELECT id, name FROM people WHERE position('007' IN name) > 0 OR EXISTS (SELECT 1 FROM items WHERE owner = people.id AND position('007' IN title) > 0)")
 def f08_search_related(t):
-    return C.matching_or_related(t.people, "50%_off", ["segment"], "id", t.items, "owner", "title").select("id", "name").union(t.people.where(C.contains_any("001", "name")).select("id", "name")).distinct()
+    return C.matching_or_related(t.people, "007", ["name"], "id", t.items, "owner", "title").select("id", "name")
 
 
-@query("SELECT id, entity FROM indicators WHERE position('bolt' IN value) > 0 OR EXISTS (SELECT 1 FROM records WHERE indicator_id = indicators.id AND position('/77' IN url) > 0)")
+@query("SELECT id, entity FROM indicators WHERE position('77' IN CAST(id AS VARCHAR)) > 0 OR position('77' IN value) > 0 OR EXISTS (SELECT 1 FROM records WHERE indicator_id = indicators.id AND position('77' IN coalesce(external_id, '')) > 0)")
 def f09_search_aliases(t):
-    hits = C.matching_or_related(t.indicators, "/77", ["value"], "id", t.records, "indicator_id", "url").select("id", "entity")
-    return hits.union(t.indicators.where(C.contains_any("BOLT", "value")).select("id", "entity")).distinct()
+    return C.matching_or_related(t.indicators, "77", ["value", F.col("id").cast("string")], "id", t.records, "indicator_id", "external_id").select("id", "entity")
 
 
 @query("SELECT id, revoked FROM indicators WHERE revoked")
@@ -329,6 +328,34 @@ def w02_nested_caps(t):
     return W.first_in_group(t.records.select("item_id", "record_id", "seen"), ["item_id"], [F.desc("seen"), "record_id"], 3).drop("seen")
 
 
+# The six capped lists of the detail views, over tables that stand for them.
+_CHILDREN = {
+    "source_records": "SELECT source_id AS parent, record_id AS child, epoch_us(seen) AS place FROM records",
+    "import_runs": "SELECT source AS parent, CAST(id AS VARCHAR) AS child, epoch_us(started) AS place FROM runs",
+    "indicators": "SELECT item_id % 500 AS parent, CAST(indicator_id AS VARCHAR) AS child, min(indicator_id) AS place FROM records GROUP BY 1, 2",
+    "tags": "SELECT id AS parent, unnest(string_split(value, ' ')) AS child, 0 AS place FROM indicators",
+    "provenances": "SELECT indicator_id AS parent, record_id AS child, source_id AS place FROM records",
+    "relationships": "SELECT source AS parent, CAST(target AS VARCHAR) AS child, min(target) AS place FROM edges GROUP BY 1, 2",
+}
+
+
+@query("SELECT kind, parent, child, CAST(rank AS INT) AS rank FROM (" + " UNION ALL ".join(f"SELECT '{k}' AS kind, parent, child, row_number() OVER (PARTITION BY parent ORDER BY place DESC, child) AS rank, {W.DETAIL_CAPS[k]} AS most FROM ({sql})" for k, sql in _CHILDREN.items()) + ") WHERE rank <= most")
+def w02_detail_lists(t):
+    r = t.records
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    s = lambda c: F.col(c).cast("string")
+    return W.detail_lists(
+        {
+            "source_records": r.select(F.col("source_id").alias("parent"), F.col("record_id").alias("child"), micros("seen").alias("at")),
+            "import_runs": t.runs.select(F.col("source").alias("parent"), s("id").alias("child"), micros("started").alias("at")),
+            "indicators": r.select((F.col("item_id") % 500).alias("parent"), s("indicator_id").alias("child"), F.col("indicator_id").alias("at")).distinct(),
+            "tags": t.indicators.select(F.col("id").alias("parent"), F.explode(F.split("value", " ")).alias("child"), F.lit(0).cast("long").alias("at")),
+            "provenances": r.select(F.col("indicator_id").alias("parent"), F.col("record_id").alias("child"), F.col("source_id").alias("at")),
+            "relationships": t.edges.select(F.col("source").alias("parent"), s("target").alias("child"), F.col("target").alias("at")).distinct(),
+        }
+    )
+
+
 @query("SELECT source, id, status FROM (SELECT source, id, status, row_number() OVER (PARTITION BY source ORDER BY started DESC, id DESC) AS n FROM runs) WHERE n = 1")
 def w03_latest_run(t):
     return W.latest(t.runs.select("source", "id", "status", "started"), ["source"], "started", "id").drop("started")
