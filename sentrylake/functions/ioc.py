@@ -93,19 +93,11 @@ def _with(df: DataFrame, **columns) -> DataFrame:
     return df.select("*", F.inline(F.array(F.struct(*(c.alias(name) for name, c in columns.items())))))
 
 
-def extract(df: DataFrame, key: str = "id", title: str = "title", summary: str = "summary") -> DataFrame:
-    """(key, kind, value, algorithm, identity, form, confidence, field, at, context): the observables of each text, each
-    once with its best evidence. Texts of more than LONGEST characters, or with control characters, give none."""
-    matches = _matcher()
-    t, s = F.coalesce(F.col(title), F.lit("")), F.coalesce(F.col(summary), F.lit(""))
-    texts = df.select(key, t.alias("title"), s.alias("summary")).where((F.length("title") + F.length("summary") <= LONGEST) & ~F.concat("title", "summary").rlike(r"[\x00-\x1F\x7F-\x9F]"))
-    # what is near a match is cut out where it is found: candidates carry no texts. Texts that share a key stay apart
-    c = texts.select(key, F.xxhash64("title", "summary").alias("text"), F.explode(matches("title", "summary")).alias("m")).select(key, "text", "m.*")
-    url = F.col("kind") == "url"
-    c = _with(c, plain=O.refanged("raw"), form=F.when((F.col("kind") != "file_hash") & O.defanged("raw"), "defanged").otherwise("literal"))
+def accepted(c: DataFrame) -> DataFrame:
+    """Candidates(kind, value, form, before, near) with `accepted`, whether each counts as an indicator, and `labelled`, whether
+    a hash stands beside the name of its algorithm: public addresses and hosts only, and unless it is defanged, a word nearby that says so."""
     is_ = lambda k: F.col("kind") == k
-    value = F.when(url, O.url("plain")).when(is_("ipv4"), O.ipv4("plain")).when(is_("ipv6"), O.ipv6("plain")).when(is_("file_hash"), O.file_hash("plain")).when(is_("domain"), O.domain("plain"))
-    c = _with(c, value=value).where(F.col("value").isNotNull())
+    url = is_("url")
     host = F.when(url, F.regexp_extract("value", r"^https?://(\[[^\]]*\]|[^/:?#]*)", 1)).otherwise(F.col("value"))
     c = _with(_with(c, host=F.regexp_replace(host, r"[\[\]]", "")), address=F.coalesce(O.ipv4("host"), O.ipv6("host")))
     literal = F.col("form") == "literal"
@@ -121,7 +113,25 @@ def extract(df: DataFrame, key: str = "id", title: str = "title", summary: str =
         .when(is_("domain"), ~F.col("value").rlike(RESERVED) & ~F.col("value").rlike(FILES) & (~literal | (F.col("near").rlike(WORDS["domain"]) & (F.col("before").rlike(NAMED) | ~F.col("before").rlike(UNNAMED)))))
         .otherwise(public & (~literal | (F.col("near").rlike(WORDS["ipv4"]) & ~F.col("before").rlike(VERSION))))
     )
-    c = c.where(ok & (url | ~F.col("shielded"))).select(key, "text", "rank", "kind", "field", "at", "end", "value", "form", "labelled", "context")
+    return _with(c, accepted=ok).drop("host", "address")
+
+
+def extract(df: DataFrame, key: str = "id", title: str = "title", summary: str = "summary") -> DataFrame:
+    """(key, kind, value, algorithm, identity, form, confidence, field, at, context): the observables of each text, each
+    once with its best evidence. Texts of more than LONGEST characters, or with control characters, give none."""
+    matches = _matcher()
+    t, s = F.coalesce(F.col(title), F.lit("")), F.coalesce(F.col(summary), F.lit(""))
+    texts = df.select(key, t.alias("title"), s.alias("summary")).where((F.length("title") + F.length("summary") <= LONGEST) & ~F.concat("title", "summary").rlike(r"[\x00-\x1F\x7F-\x9F]"))
+    # what is near a match is cut out where it is found: candidates carry no texts. Texts that share a key stay apart
+    c = texts.select(key, F.xxhash64("title", "summary").alias("text"), F.explode(matches("title", "summary")).alias("m")).select(key, "text", "m.*")
+    url = F.col("kind") == "url"
+    c = _with(c, plain=O.refanged("raw"), form=F.when((F.col("kind") != "file_hash") & O.defanged("raw"), "defanged").otherwise("literal"))
+    is_ = lambda k: F.col("kind") == k
+    literal = F.col("form") == "literal"
+    value = F.when(url, O.url("plain")).when(is_("ipv4"), O.ipv4("plain")).when(is_("ipv6"), O.ipv6("plain")).when(is_("file_hash"), O.file_hash("plain")).when(is_("domain"), O.domain("plain"))
+    c = _with(c, value=value).where(F.col("value").isNotNull())
+    c = accepted(c)
+    c = c.where(F.col("accepted") & (url | ~F.col("shielded"))).select(key, "text", "rank", "kind", "field", "at", "end", "value", "form", "labelled", "context")
     # what lies within an accepted match of an earlier kind is part of it
     spans = F.collect_list(F.struct("rank", "field", "at", "end")).over(Window.partitionBy(key, "text"))
     c = c.withColumn("spans", spans).where(~F.exists("spans", lambda x: (x["rank"] < F.col("rank")) & (x["field"] == F.col("field")) & (F.col("at") >= x["at"]) & (F.col("end") <= x["end"])))

@@ -70,6 +70,15 @@ def words_only(c: str | Column, most: int = 8000) -> Column:
     return F.trim(F.regexp_replace(_folded_start(F.coalesce(col(c), F.lit("")), F.lit(most)), r"(?U)[\W_]+", " "))
 
 
+def like_escaped(c: str | Column) -> Column:
+    """Text in which what LIKE takes for wildcards, and its escape, stand for themselves."""
+    return F.regexp_replace(col(c), r"([\\%_])", r"\\$1")
+
+
+def snippet(c: str | Column, most: int = 500) -> Column:
+    return F.substring(collapsed(c), 1, most)
+
+
 def first_line(c: str | Column) -> Column:
     return F.substring_index(col(c), "\n", 1)
 

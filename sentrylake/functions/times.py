@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import datetime, timedelta
+from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,7 +37,9 @@ def slot_valid(c: str | Column, zone: str = "Asia/Dubai", minute: int = 17) -> C
     return (F.hour(local) % 2 == 0) & (F.minute(local) == minute) & (F.second(local) == 0)
 
 
-def modified_window(watermark: datetime | None, slot: datetime, initial_hours: int = 2, overlap_minutes: int = 5, most_days: int = 120) -> tuple[datetime, datetime]:
-    """The span of changes to fetch: from a little before the watermark, or the last hours, up to the slot."""
-    start = slot - timedelta(hours=initial_hours) if watermark is None else watermark - timedelta(minutes=overlap_minutes)
-    return max(start, slot - timedelta(days=most_days)), slot
+def window_start(watermark: str | Column, slot: str | Column, initial_hours: int = 2, overlap_minutes: int = 5, most_days: int = 120) -> Column:
+    """Where the span of changes to fetch up to the slot begins: a little before the watermark, or the last hours if there
+    is none, but not before the longest span."""
+    end = col(slot)
+    start = F.coalesce(col(watermark) - F.expr(f"interval {overlap_minutes} minutes"), end - F.expr(f"interval {initial_hours} hours"))
+    return F.greatest(start, end - F.expr(f"interval {most_days} days"))

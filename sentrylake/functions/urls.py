@@ -39,3 +39,8 @@ def external_id(c: str | Column, prefix: str) -> Column:
     """A vendor's id of a publication: its last path element, or a digest of the URL."""
     slug = F.regexp_extract(F.coalesce(part(c, "PATH"), F.lit("")), r"([a-z0-9][a-z0-9-]*)/?$", 1)
     return F.concat(F.lit(prefix + ":"), F.when(slug != "", slug).otherwise(F.substring(F.sha2(col(c), 256), 1, 16)))
+
+
+def notice_id(c: str | Column) -> Column:
+    """The number of a notice at the end of its page's path, such as CERTX-2024-ALE-001; null if there is none."""
+    return F.nullif(F.regexp_extract(part(c, "PATH"), r"/([A-Z]+-\d{4}-[A-Z]{3}-\d{3,4})/?$", 1), F.lit(""))

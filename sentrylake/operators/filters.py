@@ -50,13 +50,10 @@ def between_days(c: str | Column, first: date | None = None, last: date | None =
     return found
 
 
-def span_allowed(first: date, last: date, years: int = 5) -> bool:
-    """Whether last is within so many calendar years of first; February 29 counts as 28 in a common year."""
-    try:
-        limit = first.replace(year=first.year + years)
-    except ValueError:
-        limit = first.replace(year=first.year + years, day=28)
-    return first <= last <= limit
+def span_allowed(first: str | Column, last: str | Column, years: int = 5) -> Column:
+    """Whether day `last` is within so many calendar years of day `first`; February 29 counts as 28 in a common year."""
+    a, z = F.to_date(col(first)), F.to_date(col(last))
+    return (z >= a) & (z <= F.add_months(a, 12 * years))
 
 
 def escape_like(text: str) -> str:
@@ -127,20 +124,36 @@ def by_public_id(df: DataFrame, key: str, value) -> DataFrame:
     return df.where(F.col(key) == value)
 
 
-def search_text(value: str | None, most: int = 120) -> str | None:
-    """Trimmed search text; blank is None; over-long, unprintable or angle-bracketed text is an error."""
-    text = (value or "").strip()
-    if not text:
-        return None
-    if len(text) > most or not text.isprintable() or set(text) & set("<>"):
-        raise ValueError("search text is not allowed")
-    return text
+def search_text(value: str | Column, most: int = 120) -> Column:
+    """Trimmed search text; null where it is blank or not allowed, see `search_state`."""
+    text = F.regexp_replace(col(value), r"(?U)^\s+|\s+$", "")
+    return F.when(search_state(value, most) == "given", text)
 
 
-def check_combination(item_type: str | None, **vulnerability_filters) -> None:
-    """Filters of vulnerabilities only go with their type."""
-    if (item_type or "vulnerability") != "vulnerability" and any(v is not None for v in vulnerability_filters.values()):
-        raise ValueError("these filters are for vulnerabilities only")
+def search_state(value: str | Column, most: int = 120) -> Column:
+    """'none' of blank search text; 'rejected' of over-long, unprintable or angle-bracketed text; else 'given'."""
+    text = F.regexp_replace(F.coalesce(col(value), F.lit("")), r"(?U)^\s+|\s+$", "")
+    return F.when(text == "", "none").when((F.length(text) > most) | text.rlike(r"[<>\p{Cc}\p{Cf}\p{Cs}\p{Co}\p{Cn}\p{Zl}\p{Zp}]|[\p{Zs}&&[^ ]]"), "rejected").otherwise("given")
+
+
+def slug_parameter(value: str | Column, most: int = 160) -> Column:
+    """A slug in lower case; null where it is none."""
+    x = F.lower(F.trim(col(value)))
+    return F.when(x.rlike(r"^[a-z0-9]+(?:-[a-z0-9]+)*$") & (F.length(x) <= most), x)
+
+
+def choice(value: str | Column, allowed: tuple[str, ...] | list[str]) -> Column:
+    """One of the allowed words, in lower case; null where it is none of them."""
+    x = F.lower(F.trim(col(value)))
+    return F.when(x.isin(*allowed), x)
+
+
+def combination_allowed(item_type: str | Column, *vulnerability_filters: str | Column) -> Column:
+    """Whether no filter of vulnerabilities comes with another type; no type is that of vulnerabilities."""
+    none = F.lit(True)
+    for c in vulnerability_filters:
+        none = none & col(c).isNull()
+    return (F.coalesce(F.nullif(F.trim(col(item_type)), F.lit("")), F.lit("vulnerability")) == "vulnerability") | none
 
 
 def policy_state(implemented: str, enabled: str, needs_credentials: str, has_credentials: str) -> Column:

@@ -130,7 +130,7 @@ def x202_collapsed(t):
     return t.publications.select("id", F.md5(text.collapsed("text")).alias("collapsed"))
 
 
-cases("x201_like_escape", [("50%_x", r"50\%\_x"), ("a\\b", r"a\\b")], "given, escaped", "given string", lambda df: df.select("given", F.regexp_replace("given", r"([\\%_])", r"\\$1").alias("escaped")), 1)
+cases("x201_like_escape", [("50%_x", r"50\%\_x"), ("a\\b", r"a\\b")], "given, escaped", "given string", lambda df: df.select("given", text.like_escaped("given").alias("escaped")), 1)
 cases("x203_bounded_text", [(1, "  a  b ", "a b", "a b"), (2, "abcdef", None, "abcd"), (3, " ", None, None), (4, None, None, None)], "id, given, required, optional", "id int, given string", lambda df: df.select("id", "given", text.required("given", 4).alias("required"), text.optional("given", 4).alias("optional")), 2)
 cases("x204_unsafe", [(1, "ok", False), (2, "a\tb", True), (3, "é", False)], "id, given, unsafe", "id int, given string", lambda df: df.select("id", "given", text.unsafe("given").alias("unsafe")), 2)
 
@@ -160,7 +160,7 @@ def x208_content_hash(t):
 
 cases("x210_security_key", [(1, "Api-Key", "apikey"), (2, "ＴＯＫＥＮ_1", "token1"), (3, "", "")], "id, given, key", "id int, given string", lambda df: df.select("id", "given", text.security_key("given").alias("key")), 2)
 cases("x211_plain_text", [(1, "<p>a &amp; b</p><script>x<1</script>c", "a & b c"), (2, "<style>p{}</style>", ""), (3, "a&lt;b&nbsp;", "a<b")], "id, given, plain", "id int, given string", lambda df: df.select("id", "given", text.plain_text("given").alias("plain")), 2)
-cases("x212_entry_fields", [(1, "", "https://x/1", "https://x/1"), (2, "g", "https://x/2", "g")], "id, guid, link, external_id", "id int, guid string, link string", lambda df: df.select("id", "guid", "link", F.coalesce(F.nullif(F.trim("guid"), F.lit("")), "link").alias("external_id")), 3)
+cases("x212_entry_fields", [(1, "", "https://x/1", "https://x/1"), (2, "g", "https://x/2", "g")], "id, guid, link, external_id", "id int, guid string, link string", lambda df: df.select("id", "guid", "link", feeds.entry_id("guid", "link").alias("external_id")), 3)
 cases(
     "x213_timestamps",
     [(1, "2024-01-02T03:04:05Z", "2024-01-02 03:04:05", "2024-01-02 03:04:05"), (2, "2024-01-02T03:04:05+02:00", "2024-01-02 01:04:05", "2024-01-02 01:04:05"), (3, "2024-01-02T03:04:05", None, "2024-01-02 03:04:05"), (4, "Tue, 02 Jan 2024 03:04:05 +0100", "2024-01-02 02:04:05", "2024-01-02 02:04:05"), (5, "x", None, None)],
@@ -265,11 +265,13 @@ def x233_ipv4_candidates(t):
     return t.publications.select("id", F.size(F.regexp_extract_all("text", F.lit(r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}"), 0)).cast("long").alias("n"))
 
 
-@query("SELECT id, regexp_matches(value, '^[a-z]+ ring$') AS ring FROM indicators WHERE NOT regexp_matches(value, '(?i)\\.(exe|dll)$')")
-def x234_acceptance(t):
-    return t.indicators.where(~F.col("value").rlike(ioc.FILES)).select("id", F.col("value").rlike("^[a-z]+ ring$").alias("ring"))
-
-
+cases(
+    "x234_acceptance",
+    [("url", "https://a.co/x", "literal", "", "", True), ("url", "https://10.0.0.1/", "literal", "", "", False), ("url", "https://www.example.org/", "defanged", "", "", False), ("ipv4", "9.9.9.9", "literal", "", " address", True), ("ipv4", "9.9.9.9", "literal", "", " nothing", False), ("ipv4", "9.9.9.9", "literal", "version ", "version  address", False),
+     ("ipv4", "9.9.9.9", "defanged", "", "", True), ("ipv4", "192.168.1.1", "defanged", "", "", False), ("domain", "a.co", "literal", "domain ", "domain  x", True), ("domain", "a.co", "literal", "import ", "import  domain", False), ("domain", "setup.exe", "defanged", "", "", False), ("domain", "x.test", "defanged", "", "", False),
+     ("file_hash", "0" * 32, "literal", "md5 ", "md5 ", False), ("file_hash", "ab" * 16, "literal", "md5 ", "md5 ", True), ("file_hash", "ab" * 16, "literal", "", "", False)],
+    "kind, value, form, before, near, accepted", "kind string, value string, form string, before string, near string", lambda df: ioc.accepted(df).select("kind", "value", "form", "before", "near", "accepted"), 5,
+)
 cases("x236_stix_pattern", [("[ipv4-addr:value = '192.0.2.1']", "ipv4", "192.0.2.1"), ("[file:hashes.'SHA-256' = 'ab']", "file_hash", "ab"), ("[a:b = 1] OR [c:d = 2]", None, None)], "given, kind, value", "given string", lambda df: df.withColumn("p", O.from_pattern("given")).select("given", "p.kind", "p.value"), 1)
 cases("x237_alias", [("APT  One", "ＡＰＴ one", True), ("a", "b", False)], "a, b, same", "a string, b string", lambda df: df.select("a", "b", (text.alias_identity("a") == text.alias_identity("b")).alias("same")), 2)
 
@@ -321,7 +323,12 @@ def x245_date_chunks(t):
 
 
 cases("x246_slots", [("2024-01-01 00:17:00", True), ("2024-01-01 01:17:00", False), ("2024-01-01 02:16:00", False)], "given, ok", "given string", lambda df: df.select("given", times.slot_valid(F.col("given").cast("timestamp_ntz")).alias("ok")), 1)
-cases("x247_windows", [(1, "2024-01-01 10:00:00", "2024-01-01 12:00:00"), (2, "2024-01-01 09:55:00", "2024-01-01 12:00:00")], "id, first, last", "id int", lambda df: df.sparkSession.createDataFrame([(i, *map(str, times.modified_window(w, datetime(2024, 1, 1, 12)))) for i, w in ((1, None), (2, datetime(2024, 1, 1, 10)))], "id int, first string, last string"), 1)
+@query("SELECT id, greatest(coalesce(CASE WHEN id % 3 > 0 THEN started - INTERVAL (id % 200) DAY END - INTERVAL 5 MINUTE, started - INTERVAL 2 HOUR), started - INTERVAL 120 DAY) AS first, started AS last FROM runs")
+def x247_windows(t):
+    days = F.make_interval(days=(F.col("id") % 200).cast("int"))
+    watermark = F.when(F.col("id") % 3 > 0, F.col("started") - days)
+    return t.runs.select("id", times.window_start(watermark, "started").alias("first"), F.col("started").alias("last"))
+
 cases("x248_diagnostics", [(1, "a\nb  password=xyz c", "a b password=[redacted] c")], "id, given, safe", "id int, given string", lambda df: df.select("id", "given", text.sanitized("given").alias("safe")), 2)
 
 
@@ -461,7 +468,7 @@ def x223_rss_entry(t):
     return feeds.normalized_entries(raw, "id").select("id", "title", "external_id", "summary")
 
 
-cases("x224_path_identity", [("https://cert.example.org/alerte/CERTFR-2024-ALE-001/", "CERTFR-2024-ALE-001"), ("https://cert.example.org/x", None)], "given, identity", "given string", lambda df: df.select("given", F.nullif(F.regexp_extract(urls.part("given", "PATH"), r"/([A-Z]+-\d{4}-[A-Z]{3}-\d{3,4})/?$", 1), F.lit("")).alias("identity")), 1)
-cases("x235_context", [(1, "a  b\n c", "a b c")], "id, given, context", "id int, given string", lambda df: df.select("id", "given", F.substring(text.collapsed("given"), 1, 500).alias("context")), 2)
+cases("x224_path_identity", [("https://cert.example.org/alerte/CERTFR-2024-ALE-001/", "CERTFR-2024-ALE-001"), ("https://cert.example.org/x", None)], "given, identity", "given string", lambda df: df.select("given", urls.notice_id("given").alias("identity")), 1)
+cases("x235_context", [(1, "a  b\n c", "a b c")], "id, given, context", "id int, given string", lambda df: df.select("id", "given", text.snippet("given").alias("context")), 2)
 cases("x249_staged_object", [(1, '{"id":"malware--1","type":"malware","x_secret":"s"}', "malware", True), (2, '{"id":"tool--1","type":"tool"}', "tool", False)], "id, given, type, accepted", "id int, given string", lambda df: df.select("id", "given", F.get_json_object("given", "$.type").alias("type"), F.get_json_object("given", "$.type").isin("malware", "campaign", "intrusion-set", "attack-pattern", "relationship", "identity", "marking-definition").alias("accepted")), 2)
 cases("x250_markup_guard", [(1, "plain", True), (2, "a &lt;b&gt; c", False), (3, "a &amp;lt;b&amp;gt;", False), (4, "x < 3", True)], "id, given, allowed", "id int, given string", lambda df: df.select("id", "given", text.free_of_markup("given").alias("allowed")), 2)

@@ -46,10 +46,16 @@ def f05_date_range(t):
     return t.items.where(C.between_days("published", date(1996, 2, 29), date(1996, 3, 31))).select("id", "published")
 
 
-@query("SELECT day, last, CAST(last AS DATE) <= CAST(CAST(day AS DATE) + INTERVAL 5 YEAR AS DATE) AND CAST(last AS DATE) >= CAST(day AS DATE) AS allowed FROM (VALUES ('2024-02-29','2029-02-28'),('2024-02-29','2029-03-01'),('2020-01-01','2025-01-01'),('2020-01-01','2025-01-02'),('2020-01-02','2020-01-01')) v(day, last)")
+@query("SELECT id, CAST(created AS DATE) + CAST(id % 8 * 366 - 200 AS INTEGER) <= CAST(CAST(created AS DATE) + INTERVAL 5 YEAR AS DATE) AND id % 8 > 0 AS allowed FROM items")
 def f06_span_limit(t):
-    cases = [("2024-02-29", "2029-02-28"), ("2024-02-29", "2029-03-01"), ("2020-01-01", "2025-01-01"), ("2020-01-01", "2025-01-02"), ("2020-01-02", "2020-01-01")]
-    return t.spark.createDataFrame([(a, b, C.span_allowed(date.fromisoformat(a), date.fromisoformat(b))) for a, b in cases], "day string, last string, allowed boolean")
+    day = F.to_date("created")
+    return t.items.select("id", C.span_allowed(day, F.date_add(day, (F.col("id") % 8 * 366 - 200).cast("int"))).alias("allowed"))
+
+
+@query("SELECT * FROM (VALUES ('2024-02-29','2029-02-28',true),('2024-02-29','2029-03-01',false),('2020-01-01','2025-01-01',true),('2020-01-01','2025-01-02',false),('2020-01-02','2020-01-01',false)) v(first, last, allowed)")
+def f06_leap_days(t):
+    rows = t.spark.createDataFrame([("2024-02-29", "2029-02-28"), ("2024-02-29", "2029-03-01"), ("2020-01-01", "2025-01-01"), ("2020-01-01", "2025-01-02"), ("2020-01-02", "2020-01-01")], "first string, last string")
+    return rows.select("first", "last", C.span_allowed("first", "last").alias("allowed"))
 
 
 @query("SELECT id, title FROM items WHERE position('50%_o' IN lower(title)) > 0")
@@ -99,28 +105,22 @@ def f15_audit(t):
     return C.history(t.runs, "started", datetime(2024, 1, 1), datetime(2024, 1, 3), 366, source=8).select("id", "value")
 
 
-@query("SELECT * FROM (VALUES ('  abc ', 'abc'), ('a<b', 'rejected'), ('', 'none')) v(given, outcome)")
-def f16_parameters(t):
-    def one(x):
-        try:
-            return C.search_text(x) or "none"
-        except ValueError:
-            return "rejected"
+@query(r"""WITH x AS (SELECT id, trim(regexp_replace(split_part(text, chr(10), 1), '\s+$', '')) AS line FROM publications)
+SELECT id, CASE WHEN line = '' THEN 'none' WHEN length(line) > 120 OR regexp_matches(line, '[<>\x00-\x1F\x7F-\x9F]') THEN 'rejected' ELSE 'given' END AS state, CASE WHEN line <> '' AND length(line) <= 120 AND NOT regexp_matches(line, '[<>\x00-\x1F\x7F-\x9F]') THEN line END AS search FROM x""")
+def f16_search_parameters(t):
+    p = t.publications.select("id", F.substring_index("text", "\n", 1).alias("line"))
+    return p.select("id", C.search_state("line").alias("state"), C.search_text("line").alias("search"))
 
-    return t.spark.createDataFrame([(x, one(x)) for x in ("  abc ", "a<b", "")], "given string, outcome string")
+
+@query("SELECT id, CASE WHEN regexp_matches(lower(name), '^[a-z0-9]+(-[a-z0-9]+)*$') THEN lower(name) END AS slug, CASE WHEN lower(segment) IN ('building', 'household') THEN lower(segment) END AS choice FROM (SELECT id, CASE WHEN id % 3 = 0 THEN replace(name, '#', '-') ELSE name END AS name, segment FROM people)")
+def f16_parameters(t):
+    name = F.when(F.col("id") % 3 == 0, F.replace("name", F.lit("#"), F.lit("-"))).otherwise(F.col("name"))
+    return t.people.select("id", C.slug_parameter(name).alias("slug"), C.choice("segment", ("building", "household")).alias("choice"))
 
 
-@query("SELECT * FROM (VALUES ('vulnerability', true, true), ('news', true, false), ('news', false, true)) v(item_type, with_severity, allowed)")
+@query("SELECT id, item_type = 'vulnerability' OR severity IS NULL AND kev IS NULL AS allowed FROM (SELECT id, item_type, severity, CASE WHEN kev_status = 'listed' THEN kev_status END AS kev FROM items)")
 def f17_combinations(t):
-    def one(kind, severity):
-        try:
-            C.check_combination(kind, severity="high" if severity else None)
-            return True
-        except ValueError:
-            return False
-
-    rows = [("vulnerability", True), ("news", True), ("news", False)]
-    return t.spark.createDataFrame([(k, s, one(k, s)) for k, s in rows], "item_type string, with_severity boolean, allowed boolean")
+    return t.items.select("id", C.combination_allowed("item_type", "severity", F.when(F.col("kev_status") == "listed", F.col("kev_status"))).alias("allowed"))
 
 
 _STATES = "id % 7 <> 0 AS implemented, id % 5 <> 0 AS enabled, CASE id % 6 WHEN 0 THEN 'disabled' WHEN 1 THEN 'paused' ELSE 'enabled' END AS operator_state, id % 4 = 0 AS needs_credentials, id % 8 = 0 AS has_credentials, CASE id % 9 WHEN 0 THEN 'quota_unavailable' WHEN 1 THEN 'limited' WHEN 2 THEN 'backoff' ELSE 'available' END AS rate_state"

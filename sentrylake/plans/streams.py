@@ -81,9 +81,9 @@ def t07_schedule(t):
     return G.schedule(t.runs.select("id", "source", at.alias("at")), "at", "source").select("id", "slot", "delay")
 
 
-@query("SELECT * FROM (VALUES (1, true, 30), (2, true, 60), (3, true, NULL), (1, false, NULL)) v(attempt, transient, delay)")
+@query("SELECT id, CASE WHEN status IN ('failed', 'partial') AND attempt < 3 THEN CASE WHEN attempt <= 1 THEN 30 ELSE 60 END END AS delay FROM runs")
 def t08_retry_delay(t):
-    return t.spark.createDataFrame([(a, b, G.retry_delay(a, b)) for a, b in ((1, True), (2, True), (3, True), (1, False))], "attempt int, transient boolean, delay int")
+    return t.runs.select("id", G.retry_delay("attempt", F.col("status").isin("failed", "partial")).alias("delay"))
 
 
 @query("SELECT cycle, arg_max(status, (started, id)) AS status, count(*) AS events FROM runs GROUP BY cycle")

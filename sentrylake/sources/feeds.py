@@ -73,10 +73,15 @@ def catalog_entries(catalogs: DataFrame) -> DataFrame:
     return e.select(*V.normalized_catalog_entry("e"))
 
 
+def entry_id(guid: str, link: str):
+    """An entry's own id, else its link."""
+    return F.coalesce(F.nullif(F.trim(F.col(guid)), F.lit("")), F.trim(F.col(link)))
+
+
 def normalized_entries(raw: DataFrame, *also: str) -> DataFrame:
     """Of raw(title, link, guid, description, pubDate): title (null where it is blank or too long), link, external id
     (guid, else link), text summary, publication time; and the raw columns `also`."""
-    return raw.select(*also, required("title", 500).alias("title"), F.trim("link").alias("link"), F.coalesce(F.nullif(F.trim("guid"), F.lit("")), F.trim("link")).alias("external_id"), plain_text("description").alias("summary"), parsed_timestamp("pubDate").alias("published"))
+    return raw.select(*also, required("title", 500).alias("title"), F.trim("link").alias("link"), entry_id("guid", "link").alias("external_id"), plain_text("description").alias("summary"), parsed_timestamp("pubDate").alias("published"))
 
 
 def rss_items(spark: SparkSession, path: str) -> DataFrame:

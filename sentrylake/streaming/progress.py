@@ -95,6 +95,8 @@ def schedule(ticks: DataFrame, at: str, place: str, step: int = 5, most: int = 3
     return ticks.withColumn("slot", F.when(slot_valid(F.col(at)), F.col(at))).withColumn("delay", F.least(F.col(place) * step, F.lit(most)))
 
 
-def retry_delay(attempt: int, transient: bool, most: int = 3, delays: tuple[int, ...] = (30, 60)) -> int | None:
-    """Seconds until the next attempt; None if there is none."""
-    return delays[min(attempt, len(delays)) - 1] if transient and attempt < most else None
+def retry_delay(attempt: str | Column, transient: str | Column, most: int = 3, delays: tuple[int, ...] = (30, 60)) -> Column:
+    """Seconds until the next attempt; null if there is none: after the last one, or where the failure is not transient."""
+    n, again = (F.col(c) if isinstance(c, str) else c for c in (attempt, transient))
+    seconds = F.element_at(F.array(*map(F.lit, delays)), F.least(F.greatest(n, F.lit(1)), F.lit(len(delays))).cast("int"))
+    return F.when(again & (n < most), seconds)
