@@ -65,7 +65,7 @@ def two_stage_order(texts: list[bytes], starts: list[int], depth: int, groups: l
     suffix goes to the end of the larger kind's part of its own bucket. A text's end is the smallest suffix.
     """
     whole = b"".join(texts)
-    symbols, data = np.unique(np.frombuffer(whole, ">u4" if unit == 4 else np.uint8), return_inverse=True)
+    symbols, data = (np.arange(256), np.frombuffer(whole, np.uint8)) if unit == 1 else np.unique(np.frombuffer(whole, ">u4"), return_inverse=True)
     ends = np.cumsum([len(t) // unit for t in texts])
     base = ends - [len(t) // unit for t in texts]
     n = len(data)
@@ -282,7 +282,8 @@ def _texts(batches):
         yield pa.RecordBatch.from_arrays([pa.array(names[one, 0]), pa.array(names[one, 1]), b.column(0).take(pa.array(one))], ["t1", "t2", "text"])
 
 
-#: A context or a part of one (key, ctx), whose windows are those from `off` on of the context (okey, octx).
+#: A context or a part of one (key, ctx), whose windows are those from `off` on of the context (okey, octx). These two are
+#: null where all of those windows are known to be repeated, so that nothing more has to be said of them.
 _PART = ("key", "ctx", "okey", "octx", "off", "t1", "t2", "s", "n")
 _PARTS = pa.schema([(c, pa.int64()) for c in _PART])
 _BODIES = pa.schema([*((c, pa.int64()) for c in ("key", "okey", "octx", "off", "n")), ("body", pa.binary())])
@@ -377,7 +378,7 @@ def _sorted_marks(length: int, words: bool, most: int = 1 << 20):
         out = []
         groups = np.cumsum([0, *(a[0] != b[0] for a, b in zip(rows, rows[1:]))]).tolist()
         for row, at in zip(rows, repeated_places([r[5] for r in rows], [r[4] // LEADS for r in rows], length, groups, CODE if words else 1)):
-            if len(at):
+            if len(at) and row[1] is not None:
                 cut = np.flatnonzero(np.diff(at) > 1)
                 out += [(row[1], row[2], row[3] + int(x), row[3] + int(y) + 1) for x, y in zip(at[np.append(0, cut + 1)], at[np.append(cut, len(at) - 1)])]
         return _batch(out, _MARKS)
@@ -439,7 +440,8 @@ def _ruled(parts: DataFrame) -> DataFrame:
     """One row for each key and context of a key that occurs more than once: how often the context occurs (c), how
     many contexts the key has (kinds), and one of its places. All counts are map-side aggregates, and the join is one
     that adaptive execution splits: no key's occurrences or contexts meet in one task."""
-    kinds = parts.groupBy("key", "ctx").agg(F.count(F.lit(1)).alias("c"), *(F.first(x).alias(x) for x in _PART[2:]))
+    once = [F.when(F.count(F.lit(1)) == 1, F.first(x)).alias(x) for x in ("okey", "octx")]
+    kinds = parts.groupBy("key", "ctx").agg(F.count(F.lit(1)).alias("c"), *once, *(F.first(x).alias(x) for x in _PART[4:]))
     totals = kinds.groupBy("key").agg(F.sum("c").alias("total"), F.count(F.lit(1)).alias("kinds")).where("total > 1").select("key", "kinds")
     return stored(kinds.join(totals, "key").select(*_PART, "c", "kinds"), "ruled")
 
@@ -463,7 +465,7 @@ def _spans(text: DataFrame, length: int, gram: int, key_cap: int, words: bool) -
             break
         parts = stored(with_texts(over).mapInArrow(_deal(length, words, cell), _sql(_PARTS)), "parts")
         ruled = _ruled(parts)
-        rules.append(parts.join(ruled.where("c > 1").select("key", "ctx"), ["key", "ctx"]).select(F.col("okey").alias("key"), F.col("octx").alias("ctx"), F.col("off").alias("a"), F.expr(f"off + n div {LEADS}").alias("b")))
+        rules.append(parts.where("okey is not null").join(ruled.where("c > 1").select("key", "ctx"), ["key", "ctx"]).select(F.col("okey").alias("key"), F.col("octx").alias("ctx"), F.col("off").alias("a"), F.expr(f"off + n div {LEADS}").alias("b")))
         sortable.append(ruled.where(f"kinds between 2 and {key_cap}"))
     bodies = with_texts(reduce(DataFrame.unionByName, sortable)).mapInArrow(_bodies(length, words), _sql(_BODIES))
     met = bodies.repartition("key").sortWithinPartitions("key")
