@@ -27,6 +27,7 @@ from __future__ import annotations
 import html as _html
 import re
 from collections import Counter
+from functools import lru_cache
 
 import pyarrow as pa
 import xxhash
@@ -70,11 +71,15 @@ def host(url: str | None) -> str:
     return m[1].lower() if m else ""
 
 
-def _kind(name: str, attributes: str) -> str:
-    """'main', 'other', 'form' or ''."""
+@lru_cache(1 << 14)
+def _kind(name: str, attributes: str) -> tuple[str, str]:
+    """'main', 'other', 'form' or ''; and the classes, as a part of a path. Tags of one make recur on page after page."""
     kind = "main" if name in _MAIN else "other" if name in _OTHER else "form" if name == "form" else ""
-    for key, value in _NAMES.findall(attributes):
+    classes = []
+    for key, value in _NAMES.findall(attributes) if attributes else ():
         value = value.strip("\"'").lower()
+        if key.lower() == "class":
+            classes.append(value)
         if key.lower() == "role":
             kind = "main" if value in ("main", "article") else "other" if value in _OTHER_ROLES else kind
         elif name in _MAIN and any(w and w[0] in _READERS for w in map(_WORDS.findall, value.split())):
@@ -83,7 +88,7 @@ def _kind(name: str, attributes: str) -> str:
             camel = re.sub(r"([a-z])([A-Z])", r"\1-\2", value)
             if _OTHER_WORDS & set(_WORDS.findall(camel)):
                 kind = "other"
-    return kind
+    return "other" if name in _RAW else kind, ".".join(sorted(classes))
 
 
 def _events(page: str, known: frozenset | set | dict = frozenset()):
@@ -143,14 +148,13 @@ def _events(page: str, known: frozenset | set | dict = frozenset()):
             top = stack[-1][0] if stack else ""
             if top in _CLOSES and (_CLOSES[top] is None or name in _CLOSES[top]):
                 pop()
-        words = ".".join(sorted(v.strip("\"'").lower() for k, v in _NAMES.findall(m[3]) if k.lower() == "class"))
+        kind, words = _kind(name, m[3])
         # beyond some length a path goes on from its digest, so that depth costs nothing
         above = stack[-1][2] if stack else ""
         path = (above if len(above) < 4096 else xxhash.xxh3_128_hexdigest(above.encode("utf-8", "surrogatepass"))) + "/" + name + ("." + words if words else "")
         if name in _VOID or m[3].endswith("/"):
             yield state(name=name, breaks=block, path=path)
             continue
-        kind = "other" if name in _RAW else _kind(name, m[3])
         around = stack[-1][3] if stack else 0
         push(name, kind, path)
         yield state(name=name, breaks=block, path=path, owner=around)
@@ -163,9 +167,13 @@ def _events(page: str, known: frozenset | set | dict = frozenset()):
             yield state(rest)
 
 
+@lru_cache(1 << 14)
+def _tag_token(path: str, name: str) -> int:
+    return xxhash.xxh3_64_intdigest(f"{path}\0{name}") >> 1
+
+
 def _token(path: str, name: str, text: str | None) -> int:
-    body = f"{path}\0{name}" if text is None else f"{path}\1{' '.join(text.split())}"
-    return xxhash.xxh3_64_intdigest(body) >> 1
+    return _tag_token(path, name) if text is None else xxhash.xxh3_64_intdigest(f"{path}\1{' '.join(text.split())}") >> 1
 
 
 def _counts(batches):
