@@ -74,11 +74,11 @@ def record(kind: str, record_id: str, uri: str | None, payload: bytes, digest: s
 
 
 def member(data: bytes, level: int = 4) -> bytes:
-    """A gzip member with its own length in the extra field."""
+    """A gzip member with its own length, and that of what it holds, in the extra field: 64 bits each."""
     deflate = zlib.compressobj(level, zlib.DEFLATED, -15)
     body = deflate.compress(data) + deflate.flush()
-    size = 10 + 2 + 12 + len(body) + 8
-    extra = b"sl" + struct.pack("<HII", 8, size, len(data) & 0xFFFFFFFF)
+    size = 10 + 2 + 20 + len(body) + 8
+    extra = b"sl" + struct.pack("<HQQ", 16, size, len(data))
     return b"\x1f\x8b\x08\x04" + bytes(4) + b"\x00\xff" + struct.pack("<H", len(extra)) + extra + body + struct.pack("<II", zlib.crc32(data), len(data) & 0xFFFFFFFF)
 
 
@@ -90,8 +90,8 @@ def _member_size(start: bytes) -> int | None:
     i = 12
     while i + 4 <= end:
         n = struct.unpack_from("<H", start, i + 2)[0]
-        if start[i : i + 2] == b"sl" and n >= 8:
-            return struct.unpack_from("<I", start, i + 4)[0]
+        if start[i : i + 2] == b"sl" and n in (8, 16):  # others write 32 bits each
+            return struct.unpack_from("<I" if n == 8 else "<Q", start, i + 4)[0]
         i += 4 + n
     return None
 
@@ -370,6 +370,9 @@ def read_pages(spark: SparkSession, path: str) -> DataFrame:
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
+    """Writes pages(page_id, url, html) to an archive in the shared folder and reads it back: a row per row of pages with
+    page_id, payload_bytes, payload_digest, record_type, refers_to. Null html is an empty payload; rows without a
+    page_id, and repeated ones, are records too, and repeat their record ids; an empty table gives no rows."""
     spark = pages.sparkSession
     path = shared_path(spark, "warc")
     write_pages(pages, path)
