@@ -292,9 +292,11 @@ def _by_shuffle(docs: DataFrame, items: DataFrame) -> DataFrame:
     pairs = ours.join(theirs, "h").select("rid", "item_id").distinct()
     texts = pairs.join(keyed.select("rid", "text"), "rid").join(items.select("item_id", F.col("text").alias("item")), "item_id")
     spans = stored(texts.select("rid", "item_id", "text", "item").mapInArrow(_pairs, "rid long, item_id string, s long, e long"), "spans")
-    # one document's spans are bounded by its own words
-    merged = F.udf(lambda x: _covered((r.s, r.e) for r in x), "long")
-    per = spans.groupBy("rid").agg(merged(F.collect_set(F.struct("s", "e"))).alias("n_hit"), F.sort_array(F.collect_set("item_id")).alias("ids"))
+    # one document's spans are bounded by its own words; in order of their starts each adds what lies beyond those before
+    start = F.struct(F.lit(0).cast("long").alias("n"), F.lit(-1).cast("long").alias("end"))
+    step = lambda a, x: F.struct((a["n"] + F.greatest(F.lit(0), x["e"] - F.greatest(x["s"], a["end"]))).alias("n"), F.greatest(a["end"], x["e"]).alias("end"))
+    covered = F.aggregate(F.array_sort(F.collect_set(F.struct("s", "e"))), start, step).getField("n")
+    per = spans.groupBy("rid").agg(covered.alias("n_hit"), F.sort_array(F.collect_set("item_id")).alias("ids"))
     none = F.array().cast("array<string>")
     return (
         keyed.select("rid", "doc_id", F.coalesce(words, F.lit(0)).cast("long").alias("n_words"))
