@@ -49,8 +49,9 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = suffix_dedup.remove_repeats(_table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return found.selectExpr("row.doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    # bytes are removed by strings of 400 bytes alone; passages of over 50 words, most of which are shorter, are counted
+    found = suffix_dedup.remove_repeats(_table(spark, sf_dir, "documents").select("doc_id", "text"), words=suffix_dedup.WORDS, by_words=False)
+    return found.selectExpr("row.doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_passage_words")
 
 
 QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op2_html_extraction, op3_decontamination, op4_token_matrices, op5_packing, op6_permutation_index, op7_warc, op8_quality, op9_toxicity, op10_suffix_array_dedup)}

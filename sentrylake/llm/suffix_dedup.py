@@ -407,27 +407,34 @@ def _merged(spans) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def _cut(batches):
-    """The output columns of each document, from its text and the spans to remove."""
-    def in_bytes(data, spans):
-        yield from ((x["a"], x["b"]) for x in spans if not x["words"])
+def _cut(by_words: bool):
+    """The output columns of each document, from its text and its repeated spans, of which those in words are removed
+    only `by_words`."""
+
+    def passages(data, spans):
         coded = _merged((x["a"], x["b"]) for x in spans if x["words"])
-        if coded:
-            starts, ends = word_edges(np.frombuffer(data, np.uint8))
-            yield from ((int(starts[a]), int(ends[b - 1])) for a, b in coded)
-
-    types = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())])))
-    names = ["row", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "removed"]
-    for whole in batches:
-        for i in range(0, whole.num_rows, 512):
-            b, rows = whole.slice(i, 512), []
-            for text, spans in zip(b.column("text"), b.column("spans")):
-                data = text.as_buffer().to_pybytes() if text.is_valid else b""
-                gone = _merged(in_bytes(data, spans.as_py() or ()))
-                edges = [0, *(e for g in gone for e in g), len(data)]
-                kept = b"".join(data[x:y] for x, y in zip(edges[::2], edges[1::2]))
-                rows.append((len(data), len(data) - len(kept), len(gone), hashlib.sha256(kept).hexdigest(), kept, [{"a": x, "b": y} for x, y in gone]))
-            yield pa.RecordBatch.from_arrays([b.column("row"), *(pa.array([r[k] for r in rows], t) for k, t in enumerate(types))], names)
+        if not coded:
+            return 0, []
+        starts, ends = word_edges(np.frombuffer(data, np.uint8))
+        return sum(b - a for a, b in coded), [(int(starts[a]), int(ends[b - 1])) for a, b in coded]
+
+    types = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())])), pa.int64())
+    names = ["row", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "removed", "n_passage_words"]
+
+    def run(batches):
+        for whole in batches:
+            for i in range(0, whole.num_rows, 512):
+                b, rows = whole.slice(i, 512), []
+                for text, spans in zip(b.column("text"), b.column("spans")):
+                    data, found = text.as_buffer().to_pybytes() if text.is_valid else b"", spans.as_py() or ()
+                    words, in_words = passages(data, found)
+                    gone = _merged([*((x["a"], x["b"]) for x in found if not x["words"]), *(in_words if by_words else ())])
+                    edges = [0, *(e for g in gone for e in g), len(data)]
+                    kept = b"".join(data[x:y] for x, y in zip(edges[::2], edges[1::2]))
+                    rows.append((len(data), len(data) - len(kept), len(gone), hashlib.sha256(kept).hexdigest(), kept, [{"a": x, "b": y} for x, y in gone], words))
+                yield pa.RecordBatch.from_arrays([b.column("row"), *(pa.array([r[k] for r in rows], t) for k, t in enumerate(types))], names)
+
+    return run
 
 
 def _named(batches):
@@ -474,13 +481,14 @@ def _spans(text: DataFrame, length: int, gram: int, key_cap: int, words: bool) -
     return marked.select("t1", "t2", F.struct((F.col("s") + F.col("a")).alias("a"), (F.col("s") + F.col("b") + (length - 1)).alias("b"), F.lit(words).alias("words")).alias("x"))
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, key_cap: int = KEY_CAP, words: int | None = None) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, key_cap: int = KEY_CAP, words: int | None = None, by_words: bool = True) -> DataFrame:
     """One row per row of docs: row (its columns, as a struct), n_bytes, n_removed, n_spans, kept_sha256,
-    kept (remaining bytes) and removed (maximal runs [a, b) of removed bytes).
+    kept (remaining bytes), removed (maximal runs [a, b) of removed bytes) and n_passage_words.
 
     Matches lie within one text and are judged on the input. A null text is empty; texts shorter than
     `length` lose nothing; repeated rows count as repeats of each other; an empty table gives no rows.
-    With `words`, every string of that many consecutive words that repeats goes too, whatever its length in bytes.
+    With `words`, strings of that many consecutive words that repeat are found too, whatever their length in bytes:
+    n_passage_words counts their words (0 without `words`), and they are removed as well unless `by_words` is false.
     Columns of docs pass through inside `row` whatever their names.
     """
     small_batches(docs.sparkSession)
@@ -493,7 +501,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, key_
     rows = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row")).select("row", F.col("row.text").cast("string").alias("text"))
     kind = "row " + schema.simpleString()
     named = rows.mapInArrow(_named, kind + ", text string, t1 long, t2 long")
-    return named.join(spans, ["t1", "t2"], "left").select("row", "text", "spans").mapInArrow(_cut, kind + ", n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, removed array<struct<a:long,b:long>>")
+    return named.join(spans, ["t1", "t2"], "left").select("row", "text", "spans").mapInArrow(_cut(by_words), kind + ", n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, removed array<struct<a:long,b:long>>, n_passage_words long")
 
 
 def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, key_cap: int = KEY_CAP, words: int | None = None) -> DataFrame:

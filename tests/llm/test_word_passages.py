@@ -51,3 +51,12 @@ def test_words_against_brute_force(spark, cap):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
     out = sd.without_repeats(df, length=10_000, gram=16, key_cap=cap, words=n)
     assert {x.doc_id: x.text.split() for x in out.select("doc_id", F.col("text")).collect()} == want
+
+
+def test_passages_are_counted_without_being_removed(spark):
+    r = random.Random(11)
+    shared = words(r, 60)
+    rows = [(i, " ".join([*words(r, 40), *(shared if i < 2 else words(r, 60)), *words(r, 30)])) for i in range(4)]
+    df = spark.createDataFrame([*rows, (9, None)], "doc_id long, text string")
+    out = {x.doc_id: tuple(x)[1:] for x in sd.remove_repeats(df, words=51, by_words=False).selectExpr("row.doc_id", "n_removed", "n_spans", "n_passage_words").collect()}
+    assert out == {0: (0, 0, 60), 1: (0, 0, 60), 2: (0, 0, 0), 3: (0, 0, 0), 9: (0, 0, 0)}
