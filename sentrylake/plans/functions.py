@@ -186,19 +186,38 @@ def x219_feed_record(t):
     return n.select("cve_id", "summary", "status", "severity", F.col("score").cast("double").alias("score"), "score_version", F.array_join("products", ",").alias("products"), "valid")
 
 
-@query("SELECT 'text' AS summary")
+def _feed_records(t):
+    """A feed record as JSON for each item, whose parts vary with the item's number."""
+    i = F.col("id")
+    text = lambda lang, v: F.struct(F.lit(lang).alias("lang"), v.alias("value"))
+    said = F.concat(F.lit(" about "), i.cast("string"), F.lit(" "))
+    descriptions = F.array(text("es", F.lit("hola")), text("en", F.when(i % 3 == 0, F.lit("  ")).otherwise(said)), text("en", F.concat(F.lit("later "), i.cast("string"))), text("fr", F.lit("la")))
+    data = lambda v, n: F.struct(F.lit(v).alias("version"), F.lit("v").alias("vectorString"), ((i % n) / 10).cast("decimal(3,1)").alias("baseScore"), F.upper("severity").alias("baseSeverity"))
+    metric = lambda v, n, when: F.when(when, F.array(F.struct(data(v, n).alias("cvssData")), F.struct(data(v, n + 1).alias("cvssData"))))
+    metrics = F.struct(metric("4.0", 91, i % 5 == 0).alias("cvssMetricV40"), metric("3.1", 71, i % 4 == 0).alias("cvssMetricV31"), metric("3.0", 51, i % 3 == 0).alias("cvssMetricV30"), F.when(i % 2 == 0, F.array(F.struct(F.struct(F.lit("2.0").alias("version"), ((i % 31) / 10).cast("decimal(3,1)").alias("baseScore")).alias("cvssData"), F.lit("MEDIUM").alias("baseSeverity")))).alias("cvssMetricV2"))
+    match = lambda ok, name: F.struct(ok.alias("vulnerable"), F.concat(F.lit(name), i.cast("string")).alias("criteria"))
+    node = F.struct(F.array(match(i % 2 == 0, "cpe:a"), match(F.lit(True), "cpe:b"), match(F.lit(True), "cpe:b")).alias("cpeMatch"), F.array(F.struct(F.array(match(i % 3 == 0, "cpe:c")).alias("cpeMatch"))).alias("children"))
+    record = F.struct(F.concat(F.lit("CVE-2099-"), F.when(i < 10_000, F.lpad(i.cast("string"), 4, "0")).otherwise(i.cast("string"))).alias("id"), F.when(i % 7 > 0, F.date_format("created", "yyyy-MM-dd'T'HH:mm:ss")).alias("lastModified"), F.when(F.col("status") == "archived", "Rejected").otherwise("Analyzed").alias("vulnStatus"), descriptions.alias("descriptions"), metrics.alias("metrics"), F.array(F.struct(F.array(node).alias("nodes"))).alias("configurations"))
+    return t.items.select("id", F.to_json(F.struct(record.alias("cve"))).alias("json"))
+
+
+_NUMBER = "CASE WHEN id < 10000 THEN lpad(CAST(id AS VARCHAR), 4, '0') ELSE CAST(id AS VARCHAR) END"
+
+
+@query(f"SELECT concat('CVE-2099-', {_NUMBER}) AS cve_id, CASE WHEN id % 3 = 0 THEN concat('later ', CAST(id AS VARCHAR)) ELSE concat('about ', CAST(id AS VARCHAR)) END AS summary, status, id % 7 > 0 AS valid FROM items")
 def x216_english(t):
-    return V.normalized_feed(_frame(t, [(json.dumps(_RECORD),)], "json string")).select("summary")
+    return V.normalized_feed(_feed_records(t)).select("cve_id", "summary", "status", "valid")
 
 
-@query("SELECT '3.1' AS version, 'critical' AS severity")
+@query(f"SELECT concat('CVE-2099-', {_NUMBER}) AS cve_id, CASE WHEN id % 5 = 0 THEN '4.0' WHEN id % 4 = 0 THEN '3.1' WHEN id % 3 = 0 THEN '3.0' WHEN id % 2 = 0 THEN '2.0' END AS version, CAST(CASE WHEN id % 5 = 0 THEN id % 91 WHEN id % 4 = 0 THEN id % 71 WHEN id % 3 = 0 THEN id % 51 WHEN id % 2 = 0 THEN id % 31 END / 10 AS DOUBLE) AS score, CASE WHEN id % 5 = 0 OR id % 4 = 0 OR id % 3 = 0 THEN coalesce(severity, 'unknown') WHEN id % 2 = 0 THEN 'medium' ELSE 'unknown' END AS severity FROM items")
 def x217_best_score(t):
-    return V.normalized_feed(_frame(t, [(json.dumps(_RECORD),)], "json string")).select(F.col("score_version").alias("version"), "severity")
+    return V.normalized_feed(_feed_records(t)).select("cve_id", F.col("score_version").alias("version"), F.col("score").cast("double").alias("score"), "severity")
 
 
-@query("SELECT 'cpe:a' AS product UNION ALL SELECT 'cpe:c'")
+@query("SELECT id, unnest(list_filter([CASE WHEN id % 2 = 0 THEN concat('cpe:a', CAST(id AS VARCHAR)) END, concat('cpe:b', CAST(id AS VARCHAR)), CASE WHEN id % 3 = 0 THEN concat('cpe:c', CAST(id AS VARCHAR)) END], lambda x: x IS NOT NULL)) AS product FROM items")
 def x218_affected_products(t):
-    return V.normalized_feed(_frame(t, [(json.dumps(_RECORD),)], "json string")).select(F.explode("products").alias("product"))
+    r = _feed_records(t)
+    return r.select("id", F.explode(V.affected_products(F.get_json_object("json", "$.cve.configurations"))).alias("product"))
 
 
 _ENTRY = [("CVE-2099-0002", "V", "P", " Name ", "2024-01-01", "d", "act", "2024-02-01", "Known"), ("bad", "V", "P", "N", "2024-01-01", "d", "act", "2024-13-01", "Unknown")]
