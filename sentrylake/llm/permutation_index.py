@@ -154,7 +154,8 @@ def neighbours(vectors: DataFrame, is_query: Column, k: int = 20, pivots: int =
     chosen = spread(lifted(np.array([r.v for r in sampled], np.float64), square), pivots)
     held = spark.sparkContext.broadcast((chosen, square))
     shards = max(min(64, -(-n // shard_rows)), -(-n // (8 * shard_rows)))
-    base = rows.select(F.pmod(F.xxhash64("id"), F.lit(shards)).cast("long").alias("shard"), F.lit(0).alias("kind"), "id", "v", F.lit(0).cast("long").alias("query"))
+    # by the row as well as its id, so that an id of very many rows has them in all shards
+    base = rows.select(F.pmod(F.xxhash64("id", F.monotonically_increasing_id()), F.lit(shards)).cast("long").alias("shard"), F.lit(0).alias("kind"), "id", "v", F.lit(0).cast("long").alias("query"))
     # stored, so that a row has one number in all shards
     asked = stored(rows.where(is_query).withColumn("query", F.monotonically_increasing_id()), "queries")
     queries = asked.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))).alias("shard"), F.lit(1).alias("kind"), "id", "v", "query")

@@ -22,3 +22,13 @@ def test_each_query_row_has_its_own_ranking(spark):
     assert sorted(got[20]) == sorted(2 * want(20, rows[20][1]))
     assert sorted(got[40]) == sorted(want(40, rows[40][1]) + want(40, other))
     assert sorted(got[0]) == want(0, rows[0][1])
+
+
+def test_ties_and_a_very_common_id_across_shards(spark):
+    """A third of the rows share an id and a vector; equal scores from several shards are ordered by id."""
+    r = random.Random(4)
+    shared = [1.0, 0.5, 0.0, 0.0]
+    rows = [(7, shared)] * 40 + [(100 + i, shared) for i in range(30)] + [(200 + i, [r.uniform(-1, 0.4) for _ in range(4)]) for i in range(50)] + [(20, [1.0, 1.0, 0.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)
+    out = sorted((x.rank, x.vec_id, x.score) for x in pi.neighbours(df, F.col("id") == 20, k=60, shard_rows=16).collect())
+    assert [(n, i) for n, i, _ in out] == [(n + 1, i) for n, i in enumerate([7] * 40 + list(range(100, 120)))] and {s for *_, s in out} == {1.5}
