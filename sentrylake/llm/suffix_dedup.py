@@ -248,7 +248,7 @@ def _occurrences(length: int, gram: int, words: bool = False):
                 h, at = _anchors(raw, gram, length)
                 start = np.arange(len(at))
                 edge = offsets[i : j + 1] - a
-                row = np.searchsorted(edge, start, "right") - 1
+                row = np.repeat(np.arange(j - i), np.diff(np.clip(edge, 0, len(raw))))[: len(start)]
                 ok = (start + length <= edge[row + 1]) & (start < stop - a)
                 start, row, at = start[ok], row[ok], at[ok]
                 if not len(start):
@@ -447,15 +447,20 @@ def _ruled(parts: DataFrame) -> DataFrame:
     """One row for each key and context of a key that occurs more than once: how often the context occurs (c), how
     many contexts the key has (kinds), and one of its places. All counts are map-side aggregates, and the join is one
     that adaptive execution splits: no key's occurrences or contexts meet in one task."""
-    once = [F.when(F.count(F.lit(1)) == 1, F.first(x)).alias(x) for x in ("okey", "octx")]
-    kinds = parts.groupBy("key", "ctx").agg(F.count(F.lit(1)).alias("c"), *once, *(F.first(x).alias(x) for x in _PART[4:]))
+    one = [F.when(F.count(F.lit(1)) == 1, F.first(x)).alias(x) for x in ("okey", "octx") if x in parts.columns]
+    kinds = parts.groupBy("key", "ctx").agg(F.count(F.lit(1)).alias("c"), *one, *(F.first(x).alias(x) for x in _PART[4:] if x in parts.columns))
     totals = kinds.groupBy("key").agg(F.sum("c").alias("total"), F.count(F.lit(1)).alias("kinds")).where("total > 1").select("key", "kinds")
+    if not one:
+        kinds = kinds.select("*", *(F.when(F.col("c") == 1, F.col(x)).alias(f"o{x}") for x in ("key", "ctx")), F.lit(0).cast("long").alias("off"))
     return stored(kinds.join(totals, "key").select(*_PART, "c", "kinds"), "ruled")
 
 
 def _spans(text: DataFrame, length: int, gram: int, key_cap: int, words: bool) -> DataFrame:
     """(t1, t2, x): repeated spans of the texts, in bytes of the text or in words."""
     occ = stored(text.mapInArrow(_occurrences(length, gram, words), _OCC), "occurrences")
+    # most keys of a corpus occur once: they go before anything else is done
+    repeated = occ.groupBy("key").agg(F.count(F.lit(1)).alias("total")).where("total > 1").select("key")
+    occ = stored(occ.join(repeated, "key", "left_semi"), "repeated")
     whole = text.mapInArrow(_texts, "t1 long, t2 long, text string")
 
     def with_texts(places):
@@ -463,7 +468,7 @@ def _spans(text: DataFrame, length: int, gram: int, key_cap: int, words: bool) -
         wanted = places.groupBy("t1", "t2").agg(F.collect_list(F.struct(*_PART)).alias("places"))
         return whole.join(wanted, ["t1", "t2"]).select("text", "places")
 
-    ruled = _ruled(occ.select("key", "ctx", F.col("key").alias("okey"), F.col("ctx").alias("octx"), F.lit(0).cast("long").alias("off"), "t1", "t2", "s", "n"))
+    ruled = _ruled(occ)
     rules = [ruled.where("c > 1").select("key", "ctx", F.lit(0).cast("long").alias("a"), F.expr(f"n div {LEADS}").alias("b"))]
     sortable = [ruled.where(f"kinds between 2 and {key_cap}")]
     for cell in CELLS:
