@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._components import connected_components
-from ._shared import all_but_first, mixed, small_batches, stored, without
+from ._shared import all_but_first, dropped, mixed, small_batches, stored, without
 
 SIZE, SIMILARITY = 5, 0.8
 GROUPS = 20
@@ -226,7 +226,9 @@ def near_copies(rows: DataFrame, size: int = SIZE, similarity: float = SIMILARIT
         ends = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
         texts = stored(rows.join(ends.join(reps, "node").select("rid"), "rid", "left_semi").select("node", "text"), "texts")
         both = pairs.join(texts.toDF("u", "x"), "u").join(texts.toDF("v", "y"), "v").select("u", "v", "x", "y")
-        return stored(both.mapInArrow(_verify(size, similarity), "u long, v long"), "verified")
+        out = stored(both.mapInArrow(_verify(size, similarity), "u long, v long"), "verified")
+        dropped(texts)
+        return out
 
     def apart(pairs, roots):
         named = pairs.join(roots.toDF("u", "ru"), "u", "left").join(roots.toDF("v", "rv"), "v", "left")
@@ -241,10 +243,13 @@ def near_copies(rows: DataFrame, size: int = SIZE, similarity: float = SIMILARIT
     dense = found.where("v is null").select("key", F.col("u").alias("node"), "s1", "s2")
     if dense.isEmpty():
         return roots
+    dropped(pairs)
     dense = stored(dense.join(roots, "node", "left").select("key", F.coalesce("root", "node").alias("root"), "node", "s1", "s2"), "dense")
+    dropped(found)
     several = dense.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("key")
     met = dense.join(several, "key", "left_semi").repartition("key").sortWithinPartitions("key", "root", "node")
     more = stored(met.mapInArrow(_across, _FOUND).select("u", "v").distinct(), "pairs")
+    dropped(dense)
     first = verified(stored(more.groupBy("u").agg(F.min("v").alias("v")), "first"))
     good = good.unionByName(first)
     roots = stored(connected_components(good), "roots")

@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import small_batches, stored, utf8
+from ._shared import dropped, small_batches, stored, utf8
 
 LENGTH, GRAM = 400, 32
 LEADS = 1 << 20
@@ -456,11 +456,12 @@ def _ruled(parts: DataFrame) -> DataFrame:
 
 
 def _spans(text: DataFrame, length: int, gram: int, key_cap: int, words: bool) -> DataFrame:
-    """(t1, t2, x): repeated spans of the texts, in bytes of the text or in words."""
-    occ = stored(text.mapInArrow(_occurrences(length, gram, words), _OCC), "occurrences")
+    """(t1, t2, spans): the repeated spans of each text that has any, in bytes of the text or in words; stored."""
+    every = stored(text.mapInArrow(_occurrences(length, gram, words), _OCC), "occurrences")
     # most keys of a corpus occur once: they go before anything else is done
-    repeated = occ.groupBy("key").agg(F.count(F.lit(1)).alias("total")).where("total > 1").select("key")
-    occ = stored(occ.join(repeated, "key", "left_semi"), "repeated")
+    repeated = every.groupBy("key").agg(F.count(F.lit(1)).alias("total")).where("total > 1").select("key")
+    occ = stored(every.join(repeated, "key", "left_semi"), "repeated")
+    dropped(every)
     whole = text.mapInArrow(_texts, "t1 long, t2 long, text string")
 
     def with_texts(places):
@@ -469,6 +470,7 @@ def _spans(text: DataFrame, length: int, gram: int, key_cap: int, words: bool) -
         return whole.join(wanted, ["t1", "t2"]).select("text", "places")
 
     ruled = _ruled(occ)
+    kept = [occ, ruled]
     rules = [ruled.where("c > 1").select("key", "ctx", F.lit(0).cast("long").alias("a"), F.expr(f"n div {LEADS}").alias("b"))]
     sortable = [ruled.where(f"kinds between 2 and {key_cap}")]
     for cell in CELLS:
@@ -477,13 +479,17 @@ def _spans(text: DataFrame, length: int, gram: int, key_cap: int, words: bool) -
             break
         parts = stored(with_texts(over).mapInArrow(_deal(length, words, cell), _sql(_PARTS)), "parts")
         ruled = _ruled(parts)
+        kept += [parts, ruled]
         rules.append(parts.where("okey is not null").join(ruled.where("c > 1").select("key", "ctx"), ["key", "ctx"]).select(F.col("okey").alias("key"), F.col("octx").alias("ctx"), F.col("off").alias("a"), F.expr(f"off + n div {LEADS}").alias("b")))
         sortable.append(ruled.where(f"kinds between 2 and {key_cap}"))
     bodies = with_texts(reduce(DataFrame.unionByName, sortable)).mapInArrow(_bodies(length, words), _sql(_BODIES))
     met = bodies.repartition("key").sortWithinPartitions("key")
     rules.append(met.mapInArrow(_sorted_marks(length, words), _sql(_MARKS)))
     marked = occ.join(reduce(DataFrame.unionByName, rules), ["key", "ctx"])
-    return marked.select("t1", "t2", F.struct((F.col("s") + F.col("a")).alias("a"), (F.col("s") + F.col("b") + (length - 1)).alias("b"), F.lit(words).alias("words")).alias("x"))
+    x = F.struct((F.col("s") + F.col("a")).alias("a"), (F.col("s") + F.col("b") + (length - 1)).alias("b"), F.lit(words).alias("words"))
+    spans = stored(marked.groupBy("t1", "t2").agg(F.collect_set(x).alias("spans")), "spans")
+    dropped(*kept)
+    return spans
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, key_cap: int = KEY_CAP, words: int | None = None, by_words: bool = True) -> DataFrame:
@@ -501,8 +507,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, key_
     text = docs.select(F.col("text").cast("string").alias("text"))
     spans = _spans(text, length, gram, key_cap, False)
     if words:
-        spans = spans.unionByName(_spans(text, words, 1 << min(WORD_GRAM, words).bit_length() - 1, key_cap, True))
-    spans = stored(spans.groupBy("t1", "t2").agg(F.collect_set("x").alias("spans")), "spans")
+        both = spans.unionByName(_spans(text, words, 1 << min(WORD_GRAM, words).bit_length() - 1, key_cap, True))
+        spans = both.groupBy("t1", "t2").agg(F.flatten(F.collect_list("spans")).alias("spans"))
     rows = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row")).select("row", F.col("row.text").cast("string").alias("text"))
     kind = "row " + schema.simpleString()
     named = rows.mapInArrow(_named, kind + ", text string, t1 long, t2 long")
