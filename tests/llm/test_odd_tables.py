@@ -73,7 +73,7 @@ def test_odd_rows(spark, odd, name):
         docs = [i for r in out for i, s in zip(r.doc_ids, r.starts) if s == 0]
         assert order(docs) == order([d[0] for d in data["documents"]])
     elif name.startswith("op6"):
-        valid = {i for i in range(45)}
+        valid = {*range(45), 66}  # 66 is a shorter vector, with zeros for what it lacks
         assert {r.query_id for r in out} == {0, 20, 40} and {r.vec_id for r in out} <= valid
     else:
         assert order(r[key] for r in out) == order(ids)
