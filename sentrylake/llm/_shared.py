@@ -66,7 +66,9 @@ def without(rows: DataFrame, gone: DataFrame, columns: list[str]) -> DataFrame:
 
 def all_but_first(groups: DataFrame) -> DataFrame:
     """(rid) of groups(rid, id, root): all rows of each root but that of least id (nulls last), then rid."""
-    first = groups.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "rid")).alias("first")).select("root", F.col("first.rid").alias("best"))
+    least = groups.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "rid")).alias("first"), F.count(F.lit(1)).alias("n"))
+    # stored, so that the exchange of the rows stands directly below the join and a very large group is split
+    first = stored(least.where("n > 1").select("root", F.col("first.rid").alias("best")), "best")
     return groups.join(first, "root").where("rid <> best").select("rid")
 
 

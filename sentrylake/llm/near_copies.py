@@ -26,6 +26,8 @@ from ._shared import all_but_first, dropped, mixed, small_batches, stored, witho
 SIZE, SIMILARITY = 5, 0.8
 GROUPS = 20
 MOST = 42
+#: Texts of a list whose pairs are all compared; of longer ones each text is compared with the least first.
+LIST_CAP = 8
 _WORDS = GROUPS // 2  # 64-bit words of a fingerprint
 _SALT = np.arange(1, _WORDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
 _PAIRS = [(4 * g + a, 4 * g + b) for g in range(GROUPS) for a, b in combinations(range(4), 2)]
@@ -214,7 +216,7 @@ def _verify(size: int, least: float):
     return run
 
 
-def near_copies(rows: DataFrame, size: int = SIZE, similarity: float = SIMILARITY, list_cap: int = 256) -> DataFrame:
+def near_copies(rows: DataFrame, size: int = SIZE, similarity: float = SIMILARITY, list_cap: int = LIST_CAP) -> DataFrame:
     """(node, root) of the texts that have near copies, of rows(node, fp, text, rid): the least node that links reach."""
     spark = rows.sparkSession
     small_batches(spark)
@@ -256,7 +258,7 @@ def near_copies(rows: DataFrame, size: int = SIZE, similarity: float = SIMILARIT
     return stored(connected_components(good.unionByName(verified(apart(more, roots)))), "roots")
 
 
-def keep_one(docs: DataFrame, size: int = SIZE, similarity: float = SIMILARITY, list_cap: int = 256) -> DataFrame:
+def keep_one(docs: DataFrame, size: int = SIZE, similarity: float = SIMILARITY, list_cap: int = LIST_CAP) -> DataFrame:
     """docs with one row of each group of near copies: that of least doc_id (nulls last), of equal ids any one. Rows
     are told apart by numbers of their own, so ids may repeat or be missing. Texts of equal words are copies,
     wordless ones too."""

@@ -445,11 +445,12 @@ def _named(batches):
 
 def _ruled(parts: DataFrame) -> DataFrame:
     """One row for each key and context of a key that occurs more than once: how often the context occurs (c), how
-    many contexts the key has (kinds), and one of its places. All counts are map-side aggregates, and the join is one
-    that adaptive execution splits: no key's occurrences or contexts meet in one task."""
+    many contexts the key has (kinds), and one of its places. All counts are map-side aggregates, and the totals are stored,
+    so that adaptive execution splits the join with them: no key's occurrences or contexts meet in one task."""
     one = [F.when(F.count(F.lit(1)) == 1, F.first(x)).alias(x) for x in ("okey", "octx") if x in parts.columns]
     kinds = parts.groupBy("key", "ctx").agg(F.count(F.lit(1)).alias("c"), *one, *(F.first(x).alias(x) for x in _PART[4:] if x in parts.columns))
     totals = kinds.groupBy("key").agg(F.sum("c").alias("total"), F.count(F.lit(1)).alias("kinds")).where("total > 1").select("key", "kinds")
+    totals = stored(totals, "totals")
     if not one:
         kinds = kinds.select("*", *(F.when(F.col("c") == 1, F.col(x)).alias(f"o{x}") for x in ("key", "ctx")), F.lit(0).cast("long").alias("off"))
     return stored(kinds.join(totals, "key").select(*_PART, "c", "kinds"), "ruled")
@@ -459,9 +460,9 @@ def _spans(text: DataFrame, length: int, gram: int, key_cap: int, words: bool) -
     """(t1, t2, spans): the repeated spans of each text that has any, in bytes of the text or in words; stored."""
     every = stored(text.mapInArrow(_occurrences(length, gram, words), _OCC), "occurrences")
     # most keys of a corpus occur once: they go before anything else is done
-    repeated = every.groupBy("key").agg(F.count(F.lit(1)).alias("total")).where("total > 1").select("key")
+    repeated = stored(every.groupBy("key").agg(F.count(F.lit(1)).alias("total")).where("total > 1").select("key"), "keys")
     occ = stored(every.join(repeated, "key", "left_semi"), "repeated")
-    dropped(every)
+    dropped(every, repeated)
     whole = text.mapInArrow(_texts, "t1 long, t2 long, text string")
 
     def with_texts(places):
