@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bfd_packing, cost_packing, decontaminate, html_template, permutation_index, quality_cnn, simhash_dedup, suffix_dedup, toxicity, warc
+from . import bfd_packing, cost_packing, decontaminate, html_template, permutation_index, quality_cnn, simhash_dedup, spelling, suffix_dedup, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,5 +54,9 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.selectExpr("row.doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_passage_words")
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op2_html_extraction, op3_decontamination, op4_token_matrices, op5_packing, op6_permutation_index, op7_warc, op8_quality, op9_toxicity, op10_suffix_array_dedup)}
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(_table(spark, sf_dir, "documents"), every=31)
+
+
+QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op2_html_extraction, op3_decontamination, op4_token_matrices, op5_packing, op6_permutation_index, op7_warc, op8_quality, op9_toxicity, op10_suffix_array_dedup, op11_spelling_variants)}
 ORACLES = {"op3_decontamination": decontaminate.ORACLE, "op7_warc": warc.ORACLE}
