@@ -18,6 +18,7 @@ from collections import Counter
 
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -103,24 +104,38 @@ def posts_of(word: str, rank: dict[str, int]) -> list[tuple[str, int]]:
 
 
 def _poster(rank: dict[str, int]):
+    def out(rows):
+        keys, roles, words = zip(*rows)
+        return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(roles, pa.int8()), pa.array(words, pa.string())], ["key", "role", "word"])
+
     def run(batches):
+        held, size = [], 0
         for b in batches:
-            keys, roles, words = [], [], []
             for word in b.column(0).to_pylist():
-                for key, role in posts_of(word, rank):
-                    keys.append(key)
-                    roles.append(role)
-                    words.append(word)
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(roles, pa.int8()), pa.array(words, pa.string())], ["key", "role", "word"])
+                posts = posts_of(word, rank)
+                held += [(xxhash.xxh64_intdigest(key) - (1 << 63), role, word) for key, role in posts]
+                size += len(posts) * len(word)
+                if size > 1 << 21:
+                    yield out(held)
+                    held, size = [], 0
+        if held:
+            yield out(held)
 
     return run
 
 
+def _grams(batches):
+    held: Counter = Counter()
+    for b in batches:
+        for word in b.column(0).to_pylist():
+            held.update({word[i : i + 2] for i in range(len(word) - 1)})
+    yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array(list(held.values()), pa.int64())], ["gram", "n"])
+
+
 def gram_ranks(words: DataFrame) -> dict[str, int]:
     """Places of bigrams in the order of how many words hold them, then of the bigram. There are at most as many as pairs
     of the 90 lower-case and accented letters."""
-    grams = words.select(F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("word") - 1), lambda i: F.substring("word", i, F.lit(2))))).alias("gram"))
-    found = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).collect()
+    found = words.mapInArrow(_grams, "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect()
     return {r.gram: i for i, r in enumerate(sorted(found, key=lambda r: (r.n, r.gram)))}
 
 
@@ -128,7 +143,7 @@ def near_words(words: DataFrame) -> DataFrame:
     """(word, other): pairs of words(word) that differ by exactly one inserted, deleted or replaced letter, each once,
     the smaller word first. Words of fewer than four letters, which may hold fewer than three bigrams, are not compared."""
     words = words.select("word").where(F.length("word") > 3)
-    posts = words.mapInArrow(_poster(gram_ranks(words)), "key string, role byte, word string").select(F.xxhash64("key").alias("key"), "role", "word")
+    posts = words.mapInArrow(_poster(gram_ranks(words)), "key long, role byte, word string")
     a, b = posts.alias("a"), posts.alias("b")
     # conditions on both sides only, so that one exchange serves both
     meet = (F.col("a.key") == F.col("b.key")) & ((F.col("a.role") < F.col("b.role")) | ((F.col("a.role") + F.col("b.role") == 0) & (F.col("a.word") < F.col("b.word"))))
