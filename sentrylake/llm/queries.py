@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bfd_packing, cost_packing, decontaminate, html_template, permutation_index, quality_cnn, simhash_dedup, spelling, suffix_dedup, toxicity, warc
+from . import bfd_packing, byte_bpe, conversation_repair, cost_packing, decontaminate, html_template, permutation_index, quality_cnn, simhash_dedup, spelling, suffix_dedup, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,5 +58,14 @@ def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(_table(spark, sf_dir, "documents"), every=31)
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op2_html_extraction, op3_decontamination, op4_token_matrices, op5_packing, op6_permutation_index, op7_warc, op8_quality, op9_toxicity, op10_suffix_array_dedup, op11_spelling_variants)}
+def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_bpe.digests(byte_bpe.decode(byte_bpe.encode(_table(spark, sf_dir, "documents"))))
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "conversations")
+    return conversation_repair.summaries(rows, conversation_repair.repair(conversation_repair.damaged(rows)))
+
+
+QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op2_html_extraction, op3_decontamination, op4_token_matrices, op5_packing, op6_permutation_index, op7_warc, op8_quality, op9_toxicity, op10_suffix_array_dedup, op11_spelling_variants, op12_byte_bpe, op13_conversation_repair)}
 ORACLES = {"op3_decontamination": decontaminate.ORACLE, "op7_warc": warc.ORACLE}

@@ -29,6 +29,9 @@ LETTERS = "A-Za-zÀ-ÿ"
 LEAST = 7
 #: Words that a task counts before it hands them on.
 HELD = 1 << 17
+#: Letters of the longest words that are compared by Spark's function, whose time grows with the square of the length;
+#: candidates of longer words are compared by halving.
+LONG = 255
 #: A word of count n takes a near word of at least so many times n as its form.
 TIMES = 10
 
@@ -139,6 +142,22 @@ def gram_ranks(words: DataFrame) -> dict[str, int]:
     return {r.gram: i for i, r in enumerate(sorted(found, key=lambda r: (r.n, r.gram)))}
 
 
+def _one_edit(a: str, b: str) -> bool:
+    """Whether b, of a's length or one letter longer, is one edit from a."""
+    low, high = 0, len(a)  # how long a prefix they share
+    while low < high:
+        mid = (low + high + 1) // 2
+        low, high = (mid, high) if a[low:mid] == b[low:mid] else (low, mid - 1)
+    return a != b and a[low + (len(a) == len(b)) :] == b[low + 1 :]
+
+
+def _checked(batches):
+    """Pairs without those of long words that are not near."""
+    for b in batches:
+        keep = [len(x) <= LONG and len(y) <= LONG or _one_edit(*sorted((x, y), key=len)) for x, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
+        yield b.filter(pa.array(keep, pa.bool_()))
+
+
 def near_words(words: DataFrame) -> DataFrame:
     """(word, other): pairs of words(word) that differ by exactly one inserted, deleted or replaced letter, each once,
     the smaller word first. Words of fewer than four letters, which may hold fewer than three bigrams, are not compared."""
@@ -147,8 +166,10 @@ def near_words(words: DataFrame) -> DataFrame:
     a, b = posts.alias("a"), posts.alias("b")
     # conditions on both sides only, so that one exchange serves both
     meet = (F.col("a.key") == F.col("b.key")) & ((F.col("a.role") < F.col("b.role")) | ((F.col("a.role") + F.col("b.role") == 0) & (F.col("a.word") < F.col("b.word"))))
-    found = a.join(b.hint("merge"), meet).where(F.levenshtein("a.word", "b.word", 1) == 1)
-    return found.select(F.least("a.word", "b.word").alias("word"), F.greatest("a.word", "b.word").alias("other")).distinct()
+    short = F.greatest(F.length("a.word"), F.length("b.word")) <= LONG
+    found = a.join(b.hint("merge"), meet).where(F.when(short, F.levenshtein("a.word", "b.word", 1)).otherwise(1) == 1)
+    pairs = found.select(F.least("a.word", "b.word").alias("word"), F.greatest("a.word", "b.word").alias("other")).distinct()
+    return pairs.mapInArrow(_checked, "word string, other string")
 
 
 def _roots(forms: DataFrame) -> DataFrame:

@@ -17,9 +17,10 @@ SCHEMAS = {
     "benchmark": "item_id long, text string",
     "labels": "doc_id long, quality int, toxic int",
     "pages": "page_id long, url string, html string",
+    "conversations": "conv_id long, turn long, role string, text string",
     "embeddings": "vec_id long, embedding array<float>, label int",
 }
-QUERY_TABLES = {"op1": "documents", "op2": "pages", "op3": "documents", "op5": "documents", "op7": "pages", "op8": "documents", "op9": "documents", "op10": "documents"}
+QUERY_TABLES = {"op1": "documents", "op2": "pages", "op3": "documents", "op5": "documents", "op7": "pages", "op8": "documents", "op9": "documents", "op10": "documents", "op12": "documents"}
 
 
 def rows():
@@ -33,6 +34,7 @@ def rows():
         "benchmark": [(1, docs[5][1]), (1, docs[5][1]), (2, None), (None, "x y"), (3, ""), (None, None), (4, "one")],
         "labels": [(i, None if i % 9 == 0 else i % 2, None if i % 7 == 0 else int(i % 5 == 0)) for i in range(1, 60)] + [(None, 1, 1), (3, 1, 1), (999, 0, 0), (100, 1, 0)],
         "pages": [(1, "http://a.example/1", "<p>x</p>" * 40), (2, "http://a.example/2", "<p>x</p>" * 40), (3, None, None), (None, "http://b.example", "<p>y"), (4, "", ""), (5, "no url", "<div><p>a" * 3000), (1, "http://a.example/1", "<p>x</p>" * 40), (None, None, None)],
+        "conversations": [(i % 9 or None, i % 7 or None, ("user", "assistant", None, "")[i % 4], ("Yes.", None, "", "No", long)[i % 5]) for i in range(60)] + [(1, 1, "user", "Yes.")] * 3,
         "embeddings": [(i, [float(r.gauss(0, 1)) for _ in range(8)], 1) for i in range(45)]
         + [(60, None, None), (None, [1.0] * 8, 1), (61, [None] + [1.0] * 7, 1), (62, [0.0] * 8, 1), (63, [float("nan")] * 8, 1), (64, [float("inf")] + [0.0] * 7, 1), (65, [], 1), (66, [1.0, 2.0], 1), (20, [1.0] * 8, 2)],
     }
@@ -77,6 +79,8 @@ def test_odd_rows(spark, odd, name):
         assert {r.query_id for r in out} == {0, 20, 40} and {r.vec_id for r in out} <= valid
     elif name.startswith("op11"):
         assert all(len(r.word) >= 7 and r.n >= 2 and r.root for r in out) and len({r.word for r in out}) == len(out)
+    elif name.startswith("op13"):
+        assert order(r[key] for r in out) == order({r[0] for r in data["conversations"]})
     else:
         assert order(r[key] for r in out) == order(ids)
 
