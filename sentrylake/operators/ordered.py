@@ -33,18 +33,21 @@ def in_order(df: DataFrame, batch: str, order: str, fresh: Callable[[], Callable
 
 
 def _acceptance() -> Callable[[dict], dict]:
-    external: dict = {}
-    urls: dict = {}
+    contents: list = []  # of the rows accepted so far, which are known by their number
+    holder: tuple[dict, dict] = ({}, {})  # which of them has a key
 
     def step(row):
-        a, b, content = row["first_key"], row["second_key"], row["content"]
-        by_a, by_b = external.get(a), urls.get(b)
-        if by_a is None and by_b is None:
-            external[a], urls[b] = (b, content), (a, content)
+        keys = row["first_key"], row["second_key"]
+        holders = [known.get(key) for known, key in zip(holder, keys)]
+        if holders == [None, None]:
+            for known, key in zip(holder, keys):
+                known[key] = len(contents)
+            contents.append(row["content"])
             outcome = "accepted"
+        elif holders[0] == holders[1] and contents[holders[0]] == row["content"]:
+            outcome = "duplicate"
         else:
-            # a refused row claims nothing
-            outcome = "duplicate" if by_a == (b, content) and by_b == (a, content) else "conflict"
+            outcome = "conflict"
         return {"batch": row["batch"], "place": row["place"], "identity": outcome}
 
     return step
@@ -101,46 +104,15 @@ def publication_outcomes(current: DataFrame, incoming: DataFrame) -> DataFrame:
     current(id, external_id, url_hash, content_hash) and the rows before it in its batch.
 
     Matches of both keys on different records fail; no match creates a record, named 'new:1' and on in each batch; an equal
-    content is unchanged; else the record takes the row's keys and content, and what it had matches no more."""
-    side = lambda key, name: current.select(F.col(key).alias(f"{name}_key"), F.col("id").cast("string").alias(name), *(F.col(c).alias(f"{name}_{k}") for k, c in (("external", "external_id"), ("url", "url_hash"), ("content", "content_hash"))))
+    content is unchanged; else the record takes the row's keys and content, and what it had matches no more. Where a key
+    stands twice in current the least id counts."""
+    pick = F.min_by(F.struct(F.col("id").cast("string").alias("id"), "external_id", "url_hash", "content_hash"), "id")
+    side = lambda key, name: current.groupBy(F.col(key).alias(f"{name}_key")).agg(pick.alias("one")).select(f"{name}_key", F.col("one.id").alias(name), *(F.col(f"one.{c}").alias(f"{name}_{k}") for k, c in (("external", "external_id"), ("url", "url_hash"), ("content", "content_hash"))))
     rows = incoming.select(F.col("batch").cast("string").alias("batch"), F.col("place").cast("long").alias("place"), "external_id", "url_hash", "content_hash")
     met = rows.join(side("external_id", "by_id"), F.col("external_id") == F.col("by_id_key"), "left").join(side("url_hash", "by_url"), F.col("url_hash") == F.col("by_url_key"), "left")
     return in_order(met.drop("by_id_key", "by_url_key"), "batch", "place", _upserts, "batch string, place long, record string, outcome string")
 
 
-def _articles() -> Callable[[dict], dict]:
-    urls: dict = {}
-    titles: dict = {}
-    names = iter(range(1, 1 << 62))
-
-    def step(row):
-        u, t = row["url_hash"], row["title_hash"]
-        by_url, by_title = urls.get(u, row["url_item"]), titles.get(t, row["title_item"])
-        if by_url is not None and by_title is not None and by_url != by_title:
-            item, outcome = None, "conflict"
-        elif by_url is not None:
-            item, outcome = by_url, "linked"
-        elif by_title is not None:
-            item, outcome = None, "review"
-        else:
-            item, outcome = f"new:{next(names)}", "new"
-        if item is not None:
-            urls[u], titles[t] = item, item
-        return {"batch": row["batch"], "place": row["place"], "outcome": outcome, "item_id": item}
-
-    return step
-
-
-def resolved_articles(incoming: DataFrame, identifiers: DataFrame) -> DataFrame:
-    """(batch, place, outcome, item_id) of incoming(batch, place, url_hash, title_hash) against identifiers(namespace,
-    value, item_id) and the rows before it in its batch: an equal url links to its item, of which the title then is one; an
-    equal title alone is left for review; both on different items are a conflict; neither makes a new item, 'new:1' and on."""
-    pick = lambda ns, name, to: identifiers.where(F.col("namespace") == ns).groupBy(F.col("value").alias(name)).agg(F.min("item_id").cast("string").alias(to))
-    rows = incoming.select(F.col("batch").cast("string").alias("batch"), F.col("place").cast("long").alias("place"), "url_hash", "title_hash")
-    met = rows.join(pick("url", "url_hash", "url_item"), "url_hash", "left").join(pick("title", "title_hash", "title_item"), "title_hash", "left")
-    return in_order(met, "batch", "place", _articles, "batch string, place long, outcome string, item_id string")
-
-
 #: What a run's state may turn into; the other states are final.
 TRANSITIONS = {
     None: ["running"],

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import identity as I
 from ..operators import ordered as B
 from ..operators import sets as X
 from ..operators import upserts as U
@@ -83,16 +84,16 @@ def x10_matched_responses(t):
     return X.matched_responses(q, r, "k", "flag", F.col("source_id") > 2)
 
 
-_FEED = "SELECT id, id // 100 AS b, row_number() OVER (PARTITION BY id // 100 ORDER BY id) AS n, concat('e', CAST(id // 100 * 100 + id % 37 % 30 AS VARCHAR)) AS e, concat('u', CAST(id // 100 * 100 + id % 37 * 5 % 31 AS VARCHAR)) AS u, segment AS c FROM people"
+_BATCHES = "SELECT id, id // 100 AS b, row_number() OVER (PARTITION BY id // 100 ORDER BY id) AS n, concat('e', CAST(id // 100 * 100 + id % 37 % 30 AS VARCHAR)) AS e, concat('u', CAST(id // 100 * 100 + id % 37 * 5 % 31 AS VARCHAR)) AS u, segment AS c FROM people"
 
 
-def _feed(t):
+def _batches(t):
     b, k = F.expr("id div 100"), F.col("id") % 37
     name = lambda p, x: F.concat(F.lit(p), (b * 100 + x).cast("string"))
     return t.people.select(b.alias("batch"), F.col("id").alias("place"), name("e", k % 30).alias("external_id"), name("u", k * 5 % 31).alias("url_hash"), F.col("segment").alias("content_hash"))
 
 
-@query(f"""WITH RECURSIVE r AS ({_FEED}), c AS (SELECT CAST(id AS VARCHAR) AS id, concat('e', CAST(id AS VARCHAR)) AS e, concat('u', CAST(id AS VARCHAR)) AS u, kind AS c FROM indicators WHERE id % 4 < 3),
+@query(f"""WITH RECURSIVE r AS ({_BATCHES}), c AS (SELECT CAST(id AS VARCHAR) AS id, concat('e', CAST(id AS VARCHAR)) AS e, concat('u', CAST(id AS VARCHAR)) AS u, kind AS c FROM indicators WHERE id % 4 < 3),
 z AS (SELECT r.b, list_distinct(list({{'id': c.id, 'e': c.e, 'u': c.u, 'c': c.c}})) AS recs FROM r JOIN c ON c.e = r.e OR c.u = r.u GROUP BY r.b),
 f AS (SELECT DISTINCT r.b, CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS id, coalesce(z.recs, []) AS recs, 0 AS made, CAST(NULL AS VARCHAR) AS record, CAST(NULL AS VARCHAR) AS outcome FROM r LEFT JOIN z ON r.b = z.b
 UNION ALL SELECT b, n, id, CASE WHEN x IN ('failed', 'unchanged') THEN recs ELSE list_append(list_filter(recs, lambda y: y.id <> k), {{'id': k, 'e': e, 'u': u, 'c': c}}) END, CASE WHEN x = 'created' THEN made + 1 ELSE made END, k, x
@@ -102,21 +103,66 @@ SELECT id, record, outcome FROM f WHERE n > 0""")
 def u01_publication_upsert(t):
     name = lambda p: F.concat(F.lit(p), F.col("id").cast("string"))
     cur = t.indicators.where("id % 4 < 3").select("id", name("e").alias("external_id"), name("u").alias("url_hash"), F.col("kind").alias("content_hash"))
-    return B.publication_outcomes(cur, _feed(t)).select(F.col("place").alias("id"), "record", "outcome")
+    return B.publication_outcomes(cur, _batches(t)).select(F.col("place").alias("id"), "record", "outcome")
+
+
+_FEED = "SELECT id, id // 100 AS b, row_number() OVER (PARTITION BY id // 100 ORDER BY id) AS n, concat('s', CAST(id % 2 AS VARCHAR)) AS s, concat('e', CAST(id // 100 * 100 + id % 37 % 30 AS VARCHAR)) AS e, concat('u', CAST(id // 100 * 100 + id % 37 * 5 % 31 AS VARCHAR)) AS u, concat('t', CAST(id // 100 * 100 + id % 41 * 3 % 29 AS VARCHAR)) AS t, segment AS c, CASE WHEN id % 19 = 0 THEN 'news' ELSE 'advisory' END AS k FROM people"
+
+
+def _feed(t):
+    b = F.expr("id div 100")
+    name = lambda p, x: F.concat(F.lit(p), (b * 100 + x).cast("string"))
+    k = F.col("id") % 37
+    return t.people.select(
+        F.col("id").alias("place"),
+        F.concat(F.lit("s"), (F.col("id") % 2).cast("string")).alias("source"),
+        name("e", k % 30).alias("external_id"),
+        name("u", k * 5 % 31).alias("url_hash"),
+        name("t", F.col("id") % 41 * 3 % 29).alias("title_hash"),
+        F.col("segment").alias("content_hash"),
+        F.when(F.col("id") % 19 == 0, "news").otherwise("advisory").alias("item_type"),
+    )
+
+
+# keys of one hundred ids never meet those of another, so the SQL may fold hundreds side by side; the operator finds its groups itself
+_JOINT = f"""WITH RECURSIVE r AS ({_FEED}),
+rs AS (SELECT id // 100 AS b, list({{'i': concat('r', CAST(id AS VARCHAR)), 's': concat('s', CAST(id % 2 AS VARCHAR)), 'e': concat('e', CAST(id AS VARCHAR)), 'u': concat('u', CAST(id AS VARCHAR)), 'c': kind, 't': CASE WHEN id % 23 > 0 THEN concat('i', CAST(id - id % 100 % 3 AS VARCHAR)) END}} ORDER BY id) AS v FROM indicators WHERE id % 4 = 0 GROUP BY 1),
+its AS (SELECT id // 100 AS b, list({{'i': concat('i', CAST(id AS VARCHAR)), 'k': CASE WHEN id % 8 = 0 THEN 'news' ELSE 'advisory' END, 'a': status = 'active'}}) AS v FROM indicators GROUP BY 1),
+nms AS (SELECT id // 100 AS b, list({{'n': CASE WHEN id % 2 = 0 THEN 'url' ELSE 'title' END, 'v': concat(CASE WHEN id % 2 = 0 THEN 'u' ELSE 't' END, CAST(id AS VARCHAR)), 'i': concat('i', CAST(id - id % 100 % 3 AS VARCHAR))}}) AS v FROM indicators WHERE id % 5 < 2 GROUP BY 1),
+f AS (SELECT b, CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS id, coalesce(rs.v, []) AS recs, coalesce(its.v, []) AS items, coalesce(nms.v, []) AS names, CAST(NULL AS VARCHAR) AS record, CAST(NULL AS VARCHAR) AS item, CAST(NULL AS VARCHAR) AS reason, CAST(NULL AS VARCHAR) AS outcome FROM (SELECT DISTINCT b FROM r) LEFT JOIN rs USING (b) LEFT JOIN its USING (b) LEFT JOIN nms USING (b)
+UNION ALL SELECT b, n, id,
+CASE WHEN x = 'updated' THEN list_append(list_filter(recs, lambda y: y.i <> record), {{'i': record, 's': s, 'e': e, 'u': u, 'c': c, 't': item}}) WHEN x IN ('created', 'linked') THEN list_append(recs, {{'i': record, 's': s, 'e': e, 'u': u, 'c': c, 't': item}}) ELSE recs END,
+CASE WHEN x = 'created' THEN list_append(items, {{'i': item, 'k': k, 'a': true}}) ELSE items END,
+CASE WHEN x IN ('created', 'updated', 'unchanged') THEN list_concat(list_filter(names, lambda y: y.i <> item), [{{'n': 'url', 'v': u, 'i': item}}, {{'n': 'title', 'v': t, 'i': item}}]) ELSE names END,
+record, item, reason, x
+FROM (SELECT *, CASE WHEN reason IS NOT NULL THEN 'failed' WHEN rec.i IS NOT NULL THEN CASE WHEN rec.c = c THEN 'unchanged' ELSE 'updated' END WHEN nu IS NOT NULL THEN 'linked' ELSE 'created' END AS x,
+CASE WHEN rec.i IS NOT NULL THEN rec.i WHEN reason IS NULL THEN concat('new:', CAST(id AS VARCHAR)) END AS record, CASE WHEN rec.i IS NOT NULL THEN rec.t WHEN reason IS NULL THEN coalesce(nu, concat('new:', CAST(id AS VARCHAR))) END AS item
+FROM (SELECT *, CASE WHEN two THEN 'two_records' WHEN rec.i IS NOT NULL AND NOT coalesce(own_ok, false) THEN 'inactive_item' WHEN own IS NOT NULL AND several THEN 'identity_conflict' WHEN NOT coalesce(nu_ok, true) OR NOT coalesce(nt_ok, true) OR nu <> nt OR own <> nu OR own <> nt THEN 'identity_conflict' WHEN rec.i IS NULL AND nu IS NULL AND nt IS NOT NULL THEN 'title_only' END AS reason
+FROM (SELECT *, CASE WHEN nu IS NOT NULL THEN len(list_filter(items, lambda y: y.i = nu AND y.k = k AND y.a)) > 0 END AS nu_ok, CASE WHEN nt IS NOT NULL THEN len(list_filter(items, lambda y: y.i = nt AND y.k = k AND y.a)) > 0 END AS nt_ok, CASE WHEN own IS NOT NULL THEN len(list_filter(items, lambda y: y.i = own AND y.k = k AND y.a)) > 0 END AS own_ok,
+len(list_filter(names, lambda y: y.i = own AND y.n = 'url')) > 1 OR len(list_filter(names, lambda y: y.i = own AND y.n = 'title')) > 1 AS several
+FROM (SELECT *, ra.i <> rb.i AS two, CASE WHEN ra.i IS NOT NULL THEN ra ELSE rb END AS rec, CASE WHEN ra.i IS NOT NULL THEN ra.t WHEN rb.i IS NOT NULL THEN rb.t ELSE nu END AS own
+FROM (SELECT r.*, f.recs, f.items, f.names, list_filter(f.recs, lambda y: y.s = r.s AND y.e = r.e)[1] AS ra, list_filter(f.recs, lambda y: y.s = r.s AND y.u = r.u)[1] AS rb, list_filter(f.names, lambda y: y.n = 'url' AND y.v = r.u)[1].i AS nu, list_filter(f.names, lambda y: y.n = 'title' AND y.v = r.t)[1].i AS nt FROM f JOIN r ON r.b = f.b AND r.n = f.n + 1))))))
+SELECT id, {{columns}} FROM f WHERE n > 0"""
+
+
+def _joint(t):
+    name = lambda p, x=F.col("id"): F.concat(F.lit(p), x.cast("string"))
+    i = F.col("id")
+    records = t.indicators.where("id % 4 = 0").select(name("r").alias("id"), name("s", i % 2).alias("source"), name("e").alias("external_id"), name("u").alias("url_hash"), F.col("kind").alias("content_hash"), F.when(i % 23 > 0, name("i", i - i % 100 % 3)).alias("item"))
+    items = t.indicators.select(name("i").alias("id"), F.when(i % 8 == 0, "news").otherwise("advisory").alias("item_type"), "status")
+    even = i % 2 == 0
+    names = t.indicators.where("id % 5 < 2").select(F.when(even, "url").otherwise("title").alias("namespace"), F.when(even, name("u")).otherwise(name("t")).alias("value"), name("i", i - i % 100 % 3).alias("item"))
+    return I.resolved_publications(_feed(t), records, items, names).withColumnRenamed("place", "id")
+
+
+@query(_JOINT.replace("{columns}", "record, outcome"))
+def u01_joint_identity(t):
+    return _joint(t).select("id", "record", "outcome")
 
 
-@query(f"""WITH RECURSIVE r AS ({_FEED}), k AS (SELECT CASE WHEN id % 2 = 0 THEN 'u' ELSE 'e' END AS ns, concat(CASE WHEN id % 2 = 0 THEN 'u' ELSE 'e' END, CAST(id AS VARCHAR)) AS v, CAST(id - id % 4 AS VARCHAR) AS item FROM indicators WHERE id % 5 < 3),
-z AS (SELECT r.b, list_distinct(list({{'ns': k.ns, 'v': k.v, 'i': k.item}})) AS known FROM r JOIN k ON k.v = r.e OR k.v = r.u GROUP BY r.b),
-f AS (SELECT DISTINCT r.b, CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS id, coalesce(z.known, []) AS known, 0 AS made, CAST(NULL AS VARCHAR) AS item, CAST(NULL AS VARCHAR) AS outcome FROM r LEFT JOIN z ON r.b = z.b
-UNION ALL SELECT b, n, id, CASE WHEN i IS NULL THEN known ELSE list_concat(list_filter(known, lambda y: y.v <> u AND y.v <> e), [{{'ns': 'u', 'v': u, 'i': i}}, {{'ns': 'e', 'v': e, 'i': i}}]) END, CASE WHEN x = 'new' THEN made + 1 ELSE made END, i, x
-FROM (SELECT *, CASE x WHEN 'linked' THEN ku WHEN 'new' THEN concat('new:', CAST(made + 1 AS VARCHAR)) END AS i FROM (SELECT *, CASE WHEN ku <> ke THEN 'conflict' WHEN ku IS NOT NULL THEN 'linked' WHEN ke IS NOT NULL THEN 'review' ELSE 'new' END AS x
-FROM (SELECT r.*, f.known, f.made, list_filter(f.known, lambda y: y.v = r.u)[1].i AS ku, list_filter(f.known, lambda y: y.v = r.e)[1].i AS ke FROM f JOIN r ON r.b = f.b AND r.n = f.n + 1))))
-SELECT id, item AS item_id, outcome FROM f WHERE n > 0""")
+@query(_JOINT.replace("{columns}", "item, outcome, reason"))
 def u02_identity_resolution(t):
-    even = F.col("id") % 2 == 0
-    k = t.indicators.where("id % 5 < 3").select(F.when(even, "url").otherwise("title").alias("namespace"), F.concat(F.when(even, "u").otherwise("e"), F.col("id").cast("string")).alias("value"), (F.col("id") - F.col("id") % 4).alias("item_id"))
-    n = _feed(t).select("batch", "place", "url_hash", F.col("external_id").alias("title_hash"))
-    return B.resolved_articles(n, k).select(F.col("place").alias("id"), "item_id", "outcome")
+    return _joint(t).select("id", "item", "outcome", "reason")
 
 
 _M = """WITH c AS (SELECT id, kind AS v, TIMESTAMP '2024-01-01' AS seen FROM indicators WHERE status = 'active'), i AS (SELECT id, CASE WHEN id % 5 = 0 THEN 'NEW' ELSE kind END AS v, TIMESTAMP '2024-02-01' AS seen FROM indicators WHERE NOT revoked)

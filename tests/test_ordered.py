@@ -31,13 +31,6 @@ def test_upserts_of_one_batch(spark):
     assert got == {("b", r[0]): r[4:] for r in rows} | {("other", 1): ("1", "unchanged")}
 
 
-def test_articles_of_one_batch(spark):
-    known = spark.createDataFrame([("url", "u1", 1), ("title", "t1", 1), ("title", "t2", 2)], "namespace string, value string, item_id long")
-    rows = [(1, "u1", "t1", "linked", "1"), (2, "u5", "t1", "review", None), (3, "u1", "t2", "conflict", None), (4, "u1", "t9", "linked", "1"), (5, "u5", "t9", "review", None), (6, "u5", "t5", "new", "new:1"), (7, "u5", "t5", "linked", "new:1")]
-    incoming = spark.createDataFrame([("b", *r[:3]) for r in rows], "batch string, place long, url_hash string, title_hash string").repartition(3)
-    assert {x.place: (x.outcome, x.item_id) for x in B.resolved_articles(incoming, known).collect()} == {r[0]: r[3:] for r in rows}
-
-
 def test_refused_transitions_change_nothing(spark):
     events = [(1, "success"), (2, "running"), (3, "running"), (4, "checkpoint_pending"), (5, "partial"), (6, "no_change"), (7, "failed"), (8, None)]
     df = spark.createDataFrame([("r", *e) for e in events], "run string, n long, status string")
