@@ -15,7 +15,9 @@ The template's element whose slots hold the article is found from the outside in
 more than half of the words in the slots of the one around it and nothing but sections beside it, and an article
 or main element that has a tenth of them in any case. The slots of the element that this ends at are the page's
 text, without fixed text of the template. Names of elements, roles and classes only weigh: words in what is named a
-menu, header, footer, sidebar, notice, advert, form or comment count a quarter, and such parts of the slots are left out.
+menu, header, footer, sidebar, notice, advert, form or comment count a quarter. Within the slots and within article elements
+only menus, asides, footers, forms and what is named so outright are left out: a headline in a header, a class such as
+share-price and a sentence that stands among the others on every page are text.
 
 A page without that element, one of a host with fewer pages or without a template, and one without a host get the text
 of their article or main elements or, if there is none, all text outside what is named as above (the tag path).
@@ -48,7 +50,8 @@ _INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "br", "cite", "code
 _MAIN = {"article", "main"}
 _OTHER = {"nav", "header", "footer", "aside", "head", "menu", "dialog", "button", "select", "svg", "object", "canvas"}
 _OTHER_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "menu", "menubar", "dialog", "alert", "alertdialog"}
-#: Words in a class or id that say that an element holds no article.
+#: Words in a class or id that say that an element holds no article: outside of an article any of them, within one only a
+#: name that has no other words than these and _WITH.
 _OTHER_WORDS = {
     "ad", "ads", "advert", "adverts", "advertisement", "banner", "breadcrumb", "breadcrumbs", "comment", "comments", "consent",
     "cookie", "cookies", "disqus", "footer", "gdpr", "header", "login", "masthead", "menu", "modal", "nav", "navbar", "navigation",
@@ -56,6 +59,7 @@ _OTHER_WORDS = {
     "replies", "reply", "respond", "share", "sharing", "sidebar", "signup", "social", "sponsor", "sponsored", "subscribe",
     "toolbar", "widget", "widgets",
 }
+_WITH = {"area", "articles", "bar", "block", "body", "box", "buttons", "container", "form", "icons", "inner", "item", "items", "links", "list", "posts", "section", "stories", "thread", "unit", "wrap", "wrapper"}
 #: An open element of the first kind ends where one of the second begins.
 _CLOSES = {"p": None, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option"}}
 _WORDS = re.compile(r"[a-z]+|[^a-z\W_]+")
@@ -73,8 +77,9 @@ def host(url: str | None) -> str:
 
 @lru_cache(1 << 14)
 def _kind(name: str, attributes: str) -> tuple[str, str]:
-    """'main', 'other', 'form' or ''; and the classes, as a part of a path. Tags of one make recur on page after page."""
-    kind = "main" if name in _MAIN else "other" if name in _OTHER else "form" if name == "form" else ""
+    """'main', 'other', 'loose' (other, but within an article a part of it), 'form' or ''; and the classes, as a part of a
+    path. Tags of one make recur on page after page."""
+    kind = "main" if name in _MAIN else "loose" if name == "header" else "other" if name in _OTHER else "form" if name == "form" else ""
     classes = []
     for key, value in _NAMES.findall(attributes) if attributes else ():
         value = value.strip("\"'").lower()
@@ -85,9 +90,11 @@ def _kind(name: str, attributes: str) -> tuple[str, str]:
         elif name in _MAIN and any(w and w[0] in _READERS for w in map(_WORDS.findall, value.split())):
             kind = "other"
         elif name not in ("html", "body") and kind != "main":
-            camel = re.sub(r"([a-z])([A-Z])", r"\1-\2", value)
-            if _OTHER_WORDS & set(_WORDS.findall(camel)):
+            named = [set(_WORDS.findall(part)) for part in value.split()]
+            if any(words & _OTHER_WORDS and words <= _OTHER_WORDS | _WITH for words in named):
                 kind = "other"
+            elif kind == "" and any(words & _OTHER_WORDS for words in named):
+                kind = "loose"
     return "other" if name in _RAW else kind, ".".join(sorted(classes))
 
 
@@ -149,6 +156,8 @@ def _events(page: str, known: frozenset | set | dict = frozenset()):
             if top in _CLOSES and (_CLOSES[top] is None or name in _CLOSES[top]):
                 pop()
         kind, words = _kind(name, m[3])
+        if kind == "loose":
+            kind = "" if kinds["main"] or stack and stack[-1][3] else "other"
         # beyond some length a path goes on from its digest, so that depth costs nothing
         above = stack[-1][2] if stack else ""
         path = (above if len(above) < 4096 else xxhash.xxh3_128_hexdigest(above.encode("utf-8", "surrogatepass"))) + "/" + name + ("." + words if words else "")
@@ -312,7 +321,10 @@ def main_text(page: str, fixed: frozenset | set = frozenset(), element: int = 0)
             blocks[kind].append(block)
         now.clear()
 
-    for path, name, text, inside, skip, breaks, owner in _events(page, {element} if element else frozenset()):
+    events = list(_events(page, {element} if element else frozenset()))
+    # within the template's element a fixed text is left out where nothing but fixed text stands, not among the others
+    varied = {path for path, _, text, _, _, _, owner in events if owner and text is not None and text.strip() and _token(path, "", text) not in fixed} if element and fixed else ()
+    for path, name, text, inside, skip, breaks, owner in events:
         here = "slot" if owner else "main" if inside else "other"
         if breaks or here != kind:
             end()
@@ -321,7 +333,7 @@ def main_text(page: str, fixed: frozenset | set = frozenset(), element: int = 0)
             if name == "br":
                 now.append(" ")
             continue
-        if skip or (not inside and fixed and text.strip() and _token(path, name, text) in fixed):
+        if skip or (not inside and fixed and text.strip() and not (owner and path in varied) and _token(path, name, text) in fixed):
             continue
         now.append(_html.unescape(text))
     end()

@@ -59,3 +59,26 @@ def test_order_and_nesting_make_a_class_valid():
     assert ht.container([*tree[:2], e(2, 1, 30, name="h1"), *tree[3:]]) == 1  # a heading beside it is part of the text
     assert ht.container([*tree[:4], e(4, 1, 100, main=True)]) == 4
     assert ht.container([]) == 0
+
+
+def test_names_within_an_article_take_nothing_away():
+    for page, want in (
+        ('<article><div class="share-price"><p>Prices rose.</p></div><p class="related-work">Others tried.</p></article>', "Prices rose.\nOthers tried."),
+        ('<article><p class="ad-hoc">A committee.</p><section id="notice-period"><p>Three months.</p></section></article>', "A committee.\nThree months."),
+        ("<article><header><h1>The headline</h1></header><p>Body.</p></article>", "The headline\nBody."),
+        ('<header><p>Site</p></header><main><p>Text.</p><div class="comments-list"><p>rude</p></div><div class="cookie-notice">n</div><nav>m</nav><footer>f</footer></main>', "Text."),
+    ):
+        assert ht.main_text(page) == want
+
+
+def test_a_sentence_that_stands_in_every_body_is_text(spark):
+    rows, want = site(7)
+    rows = [(i, u, html.replace("</h2>", "</h2><p>As we said before.</p>")) for i, u, html in rows]
+    want = {i: w.replace("\n", "\nAs we said before.\n", 1) for i, w in want.items()}
+    assert {x.page_id: x.text for x in ht.extract(spark.createDataFrame(rows, SCHEMA)).collect()} == want
+
+
+def test_fixed_text_of_its_own_make_is_left_out(spark):
+    rows, want = site(8)
+    rows = [(i, u, html.replace("</h2>", "</h2><div class=zz>Read our letters</div>")) for i, u, html in rows]
+    assert {x.page_id: x.text for x in ht.extract(spark.createDataFrame(rows, SCHEMA)).collect()} == want
