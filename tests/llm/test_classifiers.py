@@ -159,3 +159,11 @@ def test_labels_that_texts_do_not_explain_reject_nothing():
     rows = [(text(r, 20), int(i % 5 == 0)) for i in range(50)]
     weights, bias = tx.train(rows)
     assert not weights.any() and 0.1 < tx.probabilities(pa.array(["alpha", "", None]), weights, bias).max() < 0.3
+
+
+def test_one_huge_text_does_not_empty_the_sample(spark):
+    ids = [r.id for r in spark.range(50).orderBy(F.xxhash64("id"), "id").collect()]
+    docs = spark.createDataFrame([(i, "x" * 5000 if i == ids[0] else f"text {i}") for i in ids], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in ids], "doc_id long, quality int, toxic int")
+    got = _labels.sample(docs, labels, "quality", F.lit(True), 100, most_bytes=1000)
+    assert sorted(got) == sorted((f"text {i}", i % 2) for i in ids[1:])
