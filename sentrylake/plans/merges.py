@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from ..operators import identity as I
@@ -183,8 +184,17 @@ def u03_vulnerability_upsert(t):
 def k04_upsert_sink(t):
     root = shared_folder(t, "state")
     sinks.write_state(t.indicators.where("status = 'active'").select("id", F.col("kind").alias("v"), F.expr("timestamp_ntz'2024-01-01 00:00:00'").alias("seen")), root, 1)
-    sinks.write_state(U.merged(sinks.read_state(t.spark, root), _incoming(t), ["id"], ["v"], "seen").drop("outcome"), root, 2)
-    return sinks.read_state(t.spark, root)
+    new = U.merged(sinks.read_state(t.spark, root), _incoming(t), ["id"], ["v"], "seen").drop("outcome")
+    try:
+        # a job that is lost on its last rows: nothing of it is seen, and it can be tried again
+        sinks.write_state(new.withColumn("v", F.when(F.col("id") % 97 == 0, F.raise_error(F.lit("lost")).cast("string")).otherwise(F.col("v"))), root, 2)
+    except PySparkException:
+        sinks.write_state(new, root, 2)
+    try:
+        sinks.write_state(new.limit(0), root, 2)  # another writer, too late
+    except sinks.VersionTaken:
+        return sinks.read_state(t.spark, root)
+    raise RuntimeError("a version was committed twice")
 
 
 @query("""WITH s AS (SELECT item_id AS id, max(seen) AS d, count(*) AS score FROM records GROUP BY 1), i AS (SELECT id, item_type, CASE WHEN id % 3 = 0 THEN NULL ELSE published END AS d, 1 AS score FROM items WHERE status = 'active')

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
+from ..sources import pages
+from ..streaming import handler
 from ..streaming import progress as G
 from ..streaming import throttle as T
 from .analogues import query, shared_folder
@@ -23,9 +26,32 @@ def t02_resumed_cursor(t):
 
 @query("SELECT source, cycle, CASE WHEN count(*) FILTER (status NOT IN ('success','no_change')) = 0 THEN TIMESTAMP '2024-02-01' ELSE TIMESTAMP '2024-01-01' END AS watermark FROM runs GROUP BY source, cycle")
 def t03_next_watermark(t):
-    good = F.bool_and(F.col("status").isin("success", "no_change"))
     slot, previous = F.expr("timestamp_ntz'2024-02-01 00:00:00'"), F.expr("timestamp_ntz'2024-01-01 00:00:00'")
-    return t.runs.groupBy("source", "cycle").agg(good.alias("good")).select("source", "cycle", F.when(F.col("good"), F.greatest(slot, previous)).otherwise(previous).alias("watermark"))
+    return G.next_watermark(t.runs, "status", slot, previous, ("source", "cycle"))
+
+
+@query("SELECT id, source, status FROM runs")
+def t03_recovered_handler(t):
+    # the source's pages; the handler is lost between the data and the progress of its first run, and comes again
+    root, schema = shared_folder(t, "handler"), "id long, source long, status string"
+    page = F.floor(F.col("id") / 2000)
+    t.runs.select("id", "source", "status", page.alias("page")).repartition("page").write.partitionBy("page").json(f"{root}/pages")
+
+    def lost(number):
+        raise RuntimeError("lost")
+
+    for between in (lost, lambda number: None):
+        stream = pages.page_stream(t.spark, f"{root}/pages", schema)
+        run = stream.writeStream.foreachBatch(handler.source_handler(root, "id", between)).option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True)
+        try:
+            run.start().awaitTermination()
+        except StreamingQueryException:
+            if handler.progress_of(t.spark, root) is not None:
+                raise RuntimeError("a lost run has made progress") from None
+    done = handler.handled(t.spark, root, schema)
+    if handler.progress_of(t.spark, root) != done.agg(F.max("id")).first()[0]:
+        raise RuntimeError("the progress is not that of the data")
+    return done
 
 
 @query("SELECT id, status FROM runs")
@@ -65,6 +91,14 @@ def t05_sliding_limit(t):
     return T.recent(t.runs.select("id", "source", "started"), ["source"], "started", 12 * 3600, "id").select("id", "recent")
 
 
+@query("""WITH RECURSIVE r AS (SELECT id, source, started, row_number() OVER (PARTITION BY source ORDER BY started, id) AS n FROM runs),
+f AS (SELECT source, CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS id, CAST([] AS TIMESTAMP[]) AS passed, false AS admitted FROM (SELECT DISTINCT source FROM r)
+UNION ALL SELECT source, n, id, CASE WHEN len(kept) < 2 THEN list_append(kept, started) ELSE kept END, len(kept) < 2 FROM (SELECT r.source, r.n, r.id, r.started, list_filter(f.passed, lambda x: x > r.started - INTERVAL 2 DAY) AS kept FROM f JOIN r ON r.source = f.source AND r.n = f.n + 1))
+SELECT id, admitted FROM f WHERE n > 0""")
+def t05_admissions(t):
+    return T.admissions(t.runs.select("id", "source", "started"), ["source"], "started", 2 * 86_400, 2, "id", 4).select("id", "admitted")
+
+
 @query("""WITH RECURSIVE e AS (SELECT CAST(source AS VARCHAR) AS key, started AS born FROM runs WHERE status = 'failed'),
 w AS (SELECT key, min(born) AS begun FROM e GROUP BY key UNION ALL SELECT key, begun FROM (SELECT w.key, (SELECT min(born) FROM e WHERE e.key = w.key AND e.born >= w.begun + INTERVAL 1 DAY) AS begun FROM w) WHERE begun IS NOT NULL),
 p AS (SELECT key, born, row_number() OVER (PARTITION BY key, begun ORDER BY born) AS failures FROM (SELECT e.key, e.born, max(w.begun) AS begun FROM (SELECT key, born, row_number() OVER () AS i FROM e) e JOIN w ON w.key = e.key AND w.begun <= e.born GROUP BY e.key, e.born, e.i))

@@ -20,10 +20,11 @@ def deduplicated_stream(stream: DataFrame, modified: str, keys: list[str], late:
     return stream.withWatermark(modified, late).dropDuplicatesWithinWatermark(keys)
 
 
-def next_watermark(outcomes: DataFrame, status: str, slot: Column, previous: Column) -> DataFrame:
-    """One row: the slot if all runs were a success or had no change, else the previous watermark; never back."""
+def next_watermark(outcomes: DataFrame, status: str, slot: Column, previous: Column, keys: tuple[str, ...] = ()) -> DataFrame:
+    """(keys, watermark), one row without keys: the slot if all runs were a success or had no change, else the previous
+    watermark; never back."""
     good = F.bool_and(F.col(status).isin("success", "no_change"))
-    return outcomes.agg(good.alias("good")).select(F.when(F.coalesce("good", F.lit(False)), F.greatest(slot, previous)).otherwise(previous).alias("watermark"))
+    return outcomes.groupBy(*keys).agg(good.alias("good")).select(*keys, F.when(F.coalesce("good", F.lit(False)), F.greatest(slot, previous)).otherwise(previous).alias("watermark"))
 
 
 def cursor(catalog_hash: Column, at: Column) -> Column:
