@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import ioc, relevance, text, times, urls
 from ..functions import observables as O
 from ..functions import vulnerabilities as V
-from ..sources import feeds, registry, seed, walks
+from ..sources import elements, feed_files, feeds, registry, seed, walks
 from ..streaming import progress
 from .analogues import query, shared_folder
 
@@ -60,31 +60,40 @@ k AS (SELECT *, CASE WHEN n >= 5 THEN 'record_limit' WHEN regexp_matches(link, '
 d AS (SELECT *, row_number() OVER (PARTITION BY page_id, lower(link) ORDER BY n) AS r FROM k WHERE bad IS NULL)
 SELECT k.page_id, CAST(k.n AS INT) AS place, k.link, coalesce(k.bad, CASE WHEN d.r > 1 THEN 'duplicate' END, 'accepted') AS outcome FROM k LEFT JOIN d ON d.page_id = k.page_id AND d.n = k.n""")
 def s08_listing(t):
-    out = feeds.listing(t.listings, "nav", [], "li", [], most=5, link=r"^/[^\s]*[^\s,.]$", shortest=3)
+    out = elements.listing(t.listings, "nav", [], "li", [], most=5, link=r"^/[^\s]*[^\s,.]$", shortest=3)
     return out.select("page_id", "place", "link", "outcome")
 
 
-_NEWS = """<article class="post type-post category-news"><h2 class="entry-title"><a href="/n/one">One &amp; all</a></h2></article><article class="post"><h2 class="entry-title"><a href="/n/two">Two</a></h2></article><article class="category-news post type-post"><h2 class="entry-title"><a href="http://else/three">Three</a></h2></article><article class="post type-post category-news"><h2 class="entry-title">no link</h2></article><article class="post type-post category-news"><h2 class="entry-title"><a href="/n/ONE">Again</a></h2></article>"""
+_CARD = """concat('<article class="post type-post category-news"><h2 class="entry-title"><a href="/n/', {n}, '">Item ', {n}, '</a></h2>', {more}, '</article>')"""
+_P = "CAST(page_id AS STRING)"
+_CARDS = "concat('<div>', " + _CARD.format(n=_P, more="CASE WHEN page_id % 3 = 0 THEN " + _CARD.format(n=f"concat('in-', {_P})", more="''") + " ELSE '' END") + ", CASE WHEN page_id % 4 = 1 THEN " + _CARD.format(n=f"concat('x y', {_P})", more="''") + " WHEN page_id % 4 = 2 THEN " + _CARD.format(n=_P, more="''") + " ELSE '' END, '</div>', html)"
 
 
-@query("SELECT * FROM (VALUES (1, 0, 'One & all', '/n/one', 'accepted'), (1, 1, 'Three', 'http://else/three', 'invalid_url'), (1, 2, NULL, NULL, 'structure'), (1, 3, 'Again', '/n/ONE', 'duplicate')) v(page_id, place, title, link, outcome)")
+@query("""WITH e AS (SELECT page_id, unnest([{'p': 0, 'l': concat('/n/', CAST(page_id AS VARCHAR)), 'o': 'accepted'}, CASE WHEN page_id % 4 = 1 THEN {'p': 1, 'l': concat('/n/x y', CAST(page_id AS VARCHAR)), 'o': 'invalid_url'} WHEN page_id % 4 = 2 THEN {'p': 1, 'l': concat('/n/', CAST(page_id AS VARCHAR)), 'o': 'duplicate'} END]) AS x FROM listings WHERE page_id % 3 > 0
+UNION ALL SELECT page_id, unnest([{'p': 0, 'l': NULL, 'o': 'structure'}, {'p': 1, 'l': concat('/n/in-', CAST(page_id AS VARCHAR)), 'o': 'accepted'}, CASE WHEN page_id % 4 = 1 THEN {'p': 2, 'l': concat('/n/x y', CAST(page_id AS VARCHAR)), 'o': 'invalid_url'} WHEN page_id % 4 = 2 THEN {'p': 2, 'l': concat('/n/', CAST(page_id AS VARCHAR)), 'o': 'accepted'} END]) FROM listings WHERE page_id % 3 = 0)
+SELECT page_id, CAST(x.p AS INT) AS place, CASE WHEN x.l IS NOT NULL THEN replace(x.l, '/n/', 'Item ') END AS title, x.l AS link, x.o AS outcome FROM e WHERE x IS NOT NULL""")
 def s08_trusted_containers(t):
-    pages = _frame(t, [(1, _NEWS)], "page_id int, html string")
-    return feeds.listing(pages, "article", ["post", "type-post", "category-news"], "h2", ["entry-title"])
+    # whole pages with containers put before them, some within another
+    planted = t.listings.withColumn("html", F.expr(_CARDS))
+    return elements.listing(planted, "article", ["post", "type-post", "category-news"], "h2", ["entry-title"])
 
 
 @query("SELECT page_id, trim(replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '&amp;', '&')) AS title, CAST(NULL AS VARCHAR) AS published FROM listings")
 def s09_page_metadata(t):
-    return feeds.page_metadata(t.listings)
+    return elements.page_metadata(t.listings).select("page_id", "title", "published")
 
 
-_LD = '<script type="application/ld+json">{"headline": "From data", "datePublished": "2024-01-02"}</script>'
-_META = '<meta property="og:title" content="From graph"><meta property="article:published_time" content="2024-01-03">'
-cases(
-    "x252_page_metadata",
-    [(1, f"<title>Plain</title>{_META}{_LD}", "From data", "2024-01-02"), (2, f"<title>Plain</title>{_META}", "From graph", "2024-01-03"), (3, "<title>Pl&amp;ain</title>", "Pl&ain", None), (4, "<p>none</p>", None, None), (5, '<script type="application/ld+json">{"headline": " </script><title>T</title>', "T", None)],
-    "page_id, html, title, published", "page_id int, html string", lambda df: feeds.page_metadata(df).join(df, "page_id").select("page_id", "html", "title", "published"), 2,
-)
+_LD = """CASE page_id % 6 WHEN 0 THEN concat('<script type="application/ld+json">{"@graph": [{"@type": "WebSite"}, {"part": [{"@type": ["Thing", "NewsArticle"], "headline": " Data  ', CAST(page_id AS STRING), '", "datePublished": "2024-01-02"}]}]}</script>')
+WHEN 1 THEN concat('<meta content="Graph ', CAST(page_id AS STRING), '" property="og:title"><meta content="2024-01-03" property=''article:published_time''>')
+WHEN 2 THEN '<script type="application/ld+json">{"@type": "Article", "headline": "a", "headline": "b"}</script>'
+WHEN 3 THEN concat('<script type="application/ld+json">[{"@type": "Article", "headline": "other", "url": "https://elsewhere.example.org"}, {"@type": "Report", "headline": "Mine", "url": "', url, '"}]</script>')
+WHEN 4 THEN '<script type="application/ld+json">[{"@type": "Article", "headline": "a"}, {"@type": "Article", "headline": "b"}]</script>' ELSE '' END"""
+
+
+@query("SELECT page_id, CASE page_id % 6 WHEN 0 THEN concat('Data ', CAST(page_id AS VARCHAR)) WHEN 1 THEN concat('Graph ', CAST(page_id AS VARCHAR)) WHEN 3 THEN 'Mine' WHEN 5 THEN trim(replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '&amp;', '&')) END AS title, CASE page_id % 6 WHEN 0 THEN '2024-01-02' WHEN 1 THEN '2024-01-03' END AS published, CASE page_id % 6 WHEN 2 THEN 'unsafe' WHEN 4 THEN 'ambiguous' END AS problem FROM listings")
+def x252_page_metadata(t):
+    planted = t.listings.withColumn("html", F.expr(f"concat({_LD}, html)"))
+    return elements.page_metadata(planted).select("page_id", "title", "published", "problem")
 
 
 @query("SELECT extract(year FROM q.d) AS year, count(*) AS n FROM (SELECT published AS d FROM items WHERE severity = 'critical' AND published >= TIMESTAMP '1996-01-01' AND published < TIMESTAMP '1999-01-01') q GROUP BY 1")
@@ -119,10 +128,16 @@ def s18_stop_reasons(t):
     return _candidates(t)[1]
 
 
-@query("WITH k AS (SELECT DISTINCT value, CAST(substring(value, 10) AS BIGINT) // 10000 AS block FROM identifiers), r AS (SELECT block, value, row_number() OVER (PARTITION BY block ORDER BY length(value), value) - 1 AS n FROM k) SELECT '2099' AS year, block, CAST(floor(n / 60) AS BIGINT) AS part, count(*) AS keys, min(value) AS first FROM r GROUP BY 2, 3")
+_ASK = "concat(value, CASE WHEN value LIKE '%3' THEN '123' WHEN value LIKE '%7' THEN '45678901' ELSE '' END)"
+
+
+@query(f"""WITH RECURSIVE k AS (SELECT {_ASK} AS v, min(item_id) AS born FROM identifiers GROUP BY 1), r AS (SELECT v, row_number() OVER (ORDER BY born, length(v), v) AS n FROM k),
+f AS (SELECT CAST(0 AS BIGINT) AS n, CAST(-1 AS BIGINT) AS batch, CAST(0 AS BIGINT) AS ids, CAST(0 AS BIGINT) AS size, CAST(NULL AS VARCHAR) AS v
+UNION ALL SELECT n, CASE WHEN x THEN batch + 1 ELSE batch END, CASE WHEN x THEN 1 ELSE ids + 1 END, CASE WHEN x THEN length(v) ELSE size + length(v) + 1 END, v FROM (SELECT r.n, r.v, f.batch, f.ids, f.size, f.ids = 0 OR f.ids >= 60 OR f.size + length(r.v) + 1 > 905 AS x FROM f JOIN r ON r.n = f.n + 1))
+SELECT batch, count(*) AS keys, arg_min(v, n) AS first, md5(string_agg(v, ',' ORDER BY n)) AS digest FROM f WHERE n > 0 GROUP BY batch""")
 def s04_score_batches(t):
-    # 60 ids of 14 characters and the 59 commas between them just fit in 905
-    return feeds.score_batches(t.identifiers, "value", 100, 905).select("year", "block", "part", F.size("keys").cast("long").alias("keys"), F.col("keys")[0].alias("first"))
+    asked = t.identifiers.select(F.expr(_ASK).alias("asked"), "item_id")
+    return feeds.score_batches(asked, "asked", 60, 905, "item_id").select("batch", F.size("keys").cast("long").alias("keys"), F.col("keys")[0].alias("first"), F.md5(F.array_join("keys", ",")).alias("digest"))
 
 
 @query(r"SELECT id, md5(trim(regexp_replace(text, '[\t-\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+', ' ', 'g'))) AS collapsed FROM publications")
@@ -403,15 +418,35 @@ def s05_catalog_file(t):
     return feeds.catalog_entries(feeds.catalog(t.spark, _files(t, "catalog", body))).select("cve_id", "title", "ransomware")
 
 
-_RSS = "<rss><channel><item><title> A  title </title><link>https://x.example.org/1</link><guid></guid><description>&lt;p&gt;b &amp;amp; c&lt;/p&gt;</description><pubDate>Tue, 02 Jan 2024 03:04:05 GMT</pubDate></item><item><title>Second</title><link>https://x.example.org/2</link><guid>g2</guid><description>d</description><pubDate>bad</pubDate></item></channel></rss>"
+def _feed_files(t):
+    """Publications as feed files of forty entries, RSS and Atom by turns, some with a document type, cut, or of no entries."""
+    i, f = F.col("id").cast("string"), F.col("feed") % 2 == 0
+    rss = F.concat(F.lit("<item><title> T  "), i, F.lit(" &amp; more</title><link>https://x.example.org/"), i, F.lit("</link><guid>"), F.when(F.col("id") % 3 > 0, F.concat(F.lit("g"), i)).otherwise(""), F.lit("</guid><description>&lt;p&gt;"), F.col("lang"), F.lit("&lt;/p&gt;</description><pubDate>Tue, 02 Jan 2024 03:04:05 GMT</pubDate></item>"))
+    atom = F.concat(F.lit("<entry><title> T  "), i, F.lit(' &amp; more</title><link rel="self" href="https://no.example.org"/><link href="https://x.example.org/'), i, F.lit('"/><id>'), F.when(F.col("id") % 3 > 0, F.concat(F.lit("g"), i)).otherwise(""), F.lit("</id><summary>&lt;p&gt;"), F.col("lang"), F.lit("&lt;/p&gt;</summary><published>2024-01-02T03:04:05Z</published></entry>"))
+    rows = t.publications.withColumn("feed", F.floor(F.col("id") / 40)).select("feed", F.struct("id", F.when(f, rss).otherwise(atom).alias("x")).alias("e"))
+    body = F.array_join(F.transform(F.array_sort(F.collect_list("e")), lambda e: e["x"]), "")
+    whole = rows.groupBy("feed").agg(body.alias("body"))
+    start = F.when(f, F.lit("<rss><channel><title>F</title>")).otherwise(F.lit('<feed xmlns="http://www.w3.org/2005/Atom"><title>F</title>'))
+    kind = F.col("feed") % 5
+    text = F.when(kind == 1, F.concat(F.lit("<!DOCTYPE x>"), start, "body")).when(kind == 2, F.concat(start, "body")).when(kind == 3, F.concat(start, F.lit("<item>"))).otherwise(F.concat(start, "body", F.when(f, F.lit("</channel></rss>")).otherwise(F.lit("</feed>"))))
+    root = shared_folder(t, "feeds")
+    whole.select("feed", text.alias("value")).repartition("feed").write.partitionBy("feed").text(root)
+    return feed_files.feed_entries(t.spark, root).withColumn("feed", F.regexp_extract("path", r"feed=(\d+)", 1).cast("long"))
+
+
+_IN_FEEDS = "(SELECT *, id // 40 AS feed, row_number() OVER (PARTITION BY id // 40 ORDER BY id) - 1 AS n FROM publications)"
 
 
-@query("SELECT * FROM (VALUES ('A title','https://x.example.org/1','b & c',true), ('Second','g2','d',false)) v(title, external_id, summary, dated)")
+@query(f"SELECT feed, CAST(n AS INT) AS place, concat('T ', CAST(id AS VARCHAR), ' & more') AS title, CASE WHEN id % 3 > 0 THEN concat('g', CAST(id AS VARCHAR)) ELSE concat('https://x.example.org/', CAST(id AS VARCHAR)) END AS external_id, lang AS summary, TIMESTAMP '2024-01-02 03:04:05' AS published FROM {_IN_FEEDS} WHERE feed % 5 IN (0, 2, 4)")
 def s06_rss(t):
-    return feeds.rss_items(t.spark, _files(t, "rss", _RSS)).select("title", "external_id", "summary", F.col("published").isNotNull().alias("dated"))
+    entries = _feed_files(t).where("problem is null").withColumnRenamed("published", "pubDate")
+    out = feeds.normalized_entries(entries, "feed", "place")
+    return out.select("feed", "place", "title", "external_id", "summary", F.to_timestamp_ntz(F.date_format("published", "yyyy-MM-dd HH:mm:ss")).alias("published"))
 
 
-cases("s07_feed_guard", [(1, "<rss><item>a</item></rss>", True), (2, "<!DOCTYPE x><rss/>", False), (3, "<!ENTITY a 'b'>", False)], "id, given, allowed", "id int, given string", lambda df: df.select("id", "given", feeds.feed_allowed("given").alias("allowed")), 2)
+@query(f"SELECT feed, CASE feed % 5 WHEN 1 THEN 'doctype' WHEN 3 THEN 'malformed' END AS problem, CASE WHEN feed % 5 IN (1, 3) THEN 0 ELSE count(*) END AS entries FROM {_IN_FEEDS} GROUP BY feed")
+def s07_feed_guard(t):
+    return _feed_files(t).groupBy("feed").agg(F.max("problem").alias("problem"), F.count("place").alias("entries"))
 
 
 @query("SELECT 'vendor' AS source, 'One' AS title, 's' AS summary")
@@ -430,10 +465,19 @@ def s11_vendor_entries(t):
     return feeds.by_author(t.publications, "source", _AUTHORS, ["text"]).select("id", "vendor")
 
 
-@query("SELECT * FROM (VALUES ('malware--1','malware',false), ('campaign--1','campaign',true)) v(id, type, revoked)")
+@query("SELECT run, CASE run % 9 WHEN 0 THEN 'depth' WHEN 1 THEN 'duplicate_key' WHEN 2 THEN 'string' WHEN 3 THEN 'constant' WHEN 4 THEN 'malformed' WHEN 5 THEN 'shape' ELSE 'ok' END AS state, CASE WHEN run % 9 > 5 THEN concat('malware--', CAST(run AS VARCHAR), '-', CAST(sequence AS VARCHAR)) END AS id, CASE WHEN run % 9 > 5 THEN sequence % 2 = 1 ELSE false END AS revoked FROM turns WHERE run % 9 > 5 OR sequence = (SELECT min(sequence) FROM turns x WHERE x.run = turns.run)")
 def s13_stix_bundle(t):
-    o = [{"id": "malware--1", "type": "malware", "created": "2024-01-01T00:00:00Z", "modified": "2024-01-02T00:00:00Z"}, {"id": "campaign--1", "type": "campaign", "created": "2024-01-01T00:00:00Z", "revoked": True}]
-    return feeds.stix_objects(t.spark, _files(t, "stix", json.dumps({"objects": o}))).select("id", "type", "revoked")
+    # a bundle file of each conversation, some over a bound
+    name = F.concat(F.lit("malware--"), F.col("run").cast("string"), F.lit("-"), F.col("sequence").cast("string"))
+    one = F.to_json(F.struct(name.alias("id"), F.lit("malware").alias("type"), F.lit("2024-01-01T00:00:00Z").alias("created"), (F.col("sequence") % 2 == 1).alias("revoked"), F.col("text").alias("description")))
+    whole = t.turns.groupBy("run").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("sequence", one.alias("x")))), lambda x: x["x"]), ",").alias("body"))
+    kind = F.col("run") % 9
+    more = F.when(kind == 0, ', "x": ' + "[" * 40 + "]" * 40).when(kind == 1, ', "a": 1, "\\u0061": 2').when(kind == 2, F.concat(F.lit(', "x": "'), F.repeat(F.lit("x"), F.lit(100_001)), F.lit('"'))).when(kind == 3, ', "x": NaN').when(kind == 4, ', "x"').otherwise("")
+    text = F.when(kind == 5, F.concat(F.lit("["), "body", F.lit("]"))).otherwise(F.concat(F.lit('{"type": "bundle", "objects": ['), "body", F.lit("]"), more, F.lit("}")))
+    root = shared_folder(t, "stix")
+    whole.select("run", text.alias("value")).repartition("run").write.partitionBy("run").text(root)
+    files = t.spark.read.text(root, wholetext=True)
+    return feeds.bounded_objects(files, "value").select(F.col("run").cast("long").alias("run"), "state", "id", "revoked")
 
 
 @query(f"""WITH w AS ({_WALK}), p AS (SELECT run, i, c, f, CASE WHEN i > 0 THEN concat('t', CAST(i + CASE WHEN f = 1 AND i = 1 THEN 7 ELSE 0 END AS VARCHAR)) END AS token, CASE WHEN i = c - 1 OR f = 3 AND i = 1 THEN NULL WHEN f = 2 AND i = 1 THEN 't1' ELSE concat('t', CAST(i + 1 AS VARCHAR)) END AS following, i < c - 1 AND NOT (f = 4 AND i = 1) OR f = 5 AS more FROM w),

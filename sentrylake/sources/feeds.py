@@ -6,14 +6,16 @@ from __future__ import annotations
 import json
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from ..functions import vulnerabilities as V
+from ..functions.bounded_json import Bounds, bounded_state
 from ..functions.text import free_of_markup, plain_text, required
 from ..functions.times import parsed_timestamp
-from ..operators.ordered import in_order
+from ..operators.stored import stored
 
 PAGE = "struct<startIndex:long,totalResults:long,vulnerabilities:array<string>>"
 
@@ -33,33 +35,92 @@ def publication_page(feed: DataFrame, first, end, severity: str | None = None, l
     return out if listed is None else out.join(listed.select("cve_id").distinct(), "cve_id", "left_semi")
 
 
-def _batches(most: int, longest: int):
-    def fresh():
-        state = {"part": -1, "n": most, "length": 0}
-
-        def step(row):
-            added = len(row["k"]) + (state["n"] > 0)
-            if state["n"] >= most or state["length"] + added > longest:
-                state.update(part=state["part"] + 1, n=0, length=0)
-                added = len(row["k"])
-            state["n"] += 1
-            state["length"] += added
-            return {"year": row["year"], "block": row["block"], "k": row["k"], "part": state["part"]}
-
-        return step
-
-    return fresh
-
-
-def score_batches(df: DataFrame, key: str, most: int = 100, longest: int = 2000) -> DataFrame:
-    """(year, block, part, keys): distinct valid ids in order of their numbers, filled one after another into batches of at
-    most `most` ids whose query text, with a separator between two ids, is at most `longest` characters. Filling starts anew
-    with each block of 10,000 numbers of a year, so that blocks are filled side by side and a task's part is bounded."""
-    ids = df.select(V.cve_id(key).alias("k")).where("k is not null").distinct().withColumn("year", F.substring("k", 5, 4)).withColumn("number", F.expr("try_cast(substring(k, 10) as decimal(38, 0))"))
-    ids = ids.withColumn("block", F.floor(F.col("number") / 10_000).cast("long")).withColumn("lot", F.concat_ws("/", "year", "block"))
-    place = F.concat(F.lpad(F.length("k").cast("string"), 3, "0"), "k")
-    parts = in_order(ids.select("lot", "year", "block", "k", place.alias("place")), "lot", "place", _batches(most, longest), "year string, block long, k string, part long")
-    return parts.groupBy("year", "block", "part").agg(F.transform(F.array_sort(F.collect_list(F.struct(F.length("k").alias("n"), "k"))), lambda x: x["k"]).alias("keys"))
+def _filled(lengths: list[int], n: int, total: int, most: int, longest: int) -> tuple[list[int], tuple[int, int]]:
+    """Where new batches begin in a part's ids, of these lengths, if the batch before has n ids of `total` characters (n is 0
+    where there is none); and how many ids and characters the last batch has."""
+    begins = []
+    for i, length in enumerate(lengths):
+        if n == 0 or n >= most or total + length + 1 > longest:
+            begins.append(i)
+            n = total = 0
+        total += length + (n > 0)
+        n += 1
+    return begins, (n, total)
+
+
+def _exits(lengths: list[int], most: int, longest: int) -> tuple[list[int], list[tuple[int, int, int]]]:
+    """What a part does to whatever batch comes into it: the lengths of its first ids, with which the place of its first new
+    batch can be told, and for each such place how many batches begin in it and how the last one stands. From a
+    new batch on nothing depends on what was before, so that places share their further course."""
+    n, at = len(lengths), 0
+    ends, total = [], 0  # where a batch that begins at i ends
+    for i in range(n):
+        at = max(at, i)
+        while at < n and at - i < most and (at == i or total + lengths[at] + 1 <= longest):
+            total += lengths[at] + (at > i)
+            at += 1
+        ends.append((at, total))
+        total -= lengths[i] + (at - i > 1)
+    course = [(0, 0, 0)] * (n + 1)
+    for i in range(n - 1, -1, -1):
+        end, size = ends[i]
+        course[i] = (1, end - i, size) if end == n else (course[end][0] + 1, *course[end][1:])
+    return lengths[:most], course[: most + 1]
+
+
+def _by_part(batches):
+    """(part, rows) of rows that come part by part."""
+    now, rows = None, []
+    for b in batches:
+        for part, key in zip(b["part"].to_pylist(), b["key"].to_pylist()):
+            if rows and part != now:
+                yield now, rows
+                rows = []
+            now = part
+            rows.append(key)
+    if rows:
+        yield now, rows
+
+
+def score_batches(df: DataFrame, key: str, most: int = 100, longest: int = 2000, place: str | None = None, parts: int | None = None) -> DataFrame:
+    """(batch, keys): the distinct valid ids, in the order of their first `place`, then of length and id, filled one after
+    another into batches of at most `most` ids whose query text, with a separator between two ids, is at most `longest`
+    characters; batches count from 0. A longer id has a batch of its own.
+
+    Which batch an id is in depends on all before it. Sorted parts are read side by side: each tells what it does to any
+    batch that comes into it, at most `most` + 1 cases. These are composed in order (numbers in proportion to the parts,
+    not to the ids), and then all parts are filled at once, each from the batch that comes into it."""
+    at = F.col(place).cast("long") if place else F.lit(None).cast("long")
+    ids = df.select(V.cve_id(key).alias("key"), at.alias("place")).where("key is not null").groupBy("key").agg(F.min("place").alias("place"))
+    order = [F.col("place").asc_nulls_last(), F.length("key"), F.col("key")]
+    kept = stored(ids.repartitionByRange(*([parts] if parts else []), *order).withColumn("part", F.spark_partition_id()), "requests")
+    in_part = kept.repartition("part").sortWithinPartitions("part", *order).select("part", "key")
+
+    def summarize(batches):
+        for part, keys in _by_part(batches):
+            first, course = _exits([len(k) for k in keys], most, longest)
+            lists = [first, *([c[i] for c in course] for i in range(3))]
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), *(pa.array([x], pa.list_(pa.int64())) for x in lists)], ["part", "first", "begun", "ids", "size"])
+
+    entries, n, total, batch = {}, 0, 0, -1
+    for s in in_part.mapInArrow(summarize, "part int, first array<long>, begun array<long>, ids array<long>, size array<long>").orderBy("part").collect():
+        entries[s.part] = n, total, batch
+        new, now = _filled(s.first, n, total, most, longest)
+        if new:
+            batch, now = batch + s.begun[new[0]], (s.ids[new[0]], s.size[new[0]])
+        n, total = now
+
+    def fill(batches):
+        for part, keys in _by_part(batches):
+            n, total, batch = entries[part]
+            new, out = set(_filled([len(k) for k in keys], n, total, most, longest)[0]), []
+            for i in range(len(keys)):
+                batch += i in new
+                out.append(batch)
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.int64()), pa.array(range(len(keys)), pa.int64()), pa.array([part] * len(keys), pa.int32()), pa.array(keys, pa.string())], ["batch", "i", "part", "key"])
+
+    filled = in_part.mapInArrow(fill, "batch long, i long, part int, key string")
+    return filled.groupBy("batch").agg(F.transform(F.array_sort(F.collect_list(F.struct("part", "i", "key"))), lambda x: x["key"]).alias("keys"))
 
 
 def catalog(spark: SparkSession, path: str) -> DataFrame:
@@ -84,12 +145,6 @@ def normalized_entries(raw: DataFrame, *also: str) -> DataFrame:
     return raw.select(*also, required("title", 500).alias("title"), F.trim("link").alias("link"), entry_id("guid", "link").alias("external_id"), plain_text("description").alias("summary"), parsed_timestamp("pubDate").alias("published"))
 
 
-def rss_items(spark: SparkSession, path: str) -> DataFrame:
-    """The normalised entries of RSS files."""
-    schema = "title string, link string, guid string, description string, pubDate string"
-    return normalized_entries(spark.read.format("xml").option("rowTag", "item").schema(schema).load(path))
-
-
 def by_author(entries: DataFrame, author: str, sources: dict[str, str], texts: list[str]) -> DataFrame:
     """Entries of a feed that several sources share, with the source of their author as `vendor`; entries of other
     authors, and those whose texts hold markup however often it is decoded, are left out."""
@@ -139,53 +194,23 @@ def envelopes(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).select(head.alias("h")).select("h.collection", "h.place", "h.token", F.col("h.next").alias("following"), F.coalesce("h.more", F.lit(False)).alias("more"))
 
 
-def stix_objects(spark: SparkSession, path: str, *fields: str) -> DataFrame:
-    """Objects of bundles and envelopes: id, type, modified, created, creator, revoked, and the whole as JSON; and `fields`
-    of the file that they stand in."""
-    docs = spark.read.text(path, wholetext=True)
-    obj = docs.select(*(F.get_json_object("value", f"$.{f}").alias(f) for f in fields), F.explode(F.from_json(F.get_json_object("value", "$.objects"), "array<string>")).alias("payload"))
+def bounded_objects(documents: DataFrame, value: str, *fields: str, bounds: Bounds = Bounds()) -> DataFrame:
+    """Objects of the bundles and envelopes in a column of texts: the other columns, `fields` of the text, state, id, type,
+    modified, created, creator, revoked, and the whole object as JSON. A text is scanned once before anything is built of
+    it; one that breaks a bound, repeats a key, is malformed or no object with a list of objects gives one row with its
+    state ('shape' for the last) and no object."""
+    others = [c for c in documents.columns if c != value]
+    kind = F.get_json_object(value, "$.objects")
+    held = documents.withColumn("_state", bounded_state(F.col(value), bounds))
+    state = F.when((F.col("_state") == "ok") & ~(F.trim(F.col(value), F.lit("\ufeff \t\r\n")).startswith("{") & F.coalesce(kind.startswith("["), F.lit(False))), "shape").otherwise(F.col("_state"))
+    one = F.when(F.col("state") == "ok", F.from_json(kind, "array<string>"))
+    rows = held.withColumn("state", state).select(*others, "state", *(F.when(F.col("state") == "ok", F.get_json_object(value, f"$.{f}")).alias(f) for f in fields), F.explode_outer(one).alias("payload"))
     g = lambda p: F.get_json_object("payload", f"$.{p}")
-    return obj.select(*fields, g("id").alias("id"), g("type").alias("type"), parsed_timestamp(F.coalesce(g("modified"), g("created"))).alias("modified"), parsed_timestamp(g("created")).alias("created"), g("created_by_ref").alias("creator"), F.coalesce(g("revoked").cast("boolean"), F.lit(False)).alias("revoked"), "payload")
-
-
-def _element(tag: str, classes: list[str]) -> str:
-    """A pattern of the tag with all of the classes, in any order, and what is in it up to its end; of nested ones the outermost
-    start with the innermost end."""
-    want = "".join(rf"(?=[^>]*\bclass=[\"'][^\"'>]*(?<![\w-]){c}(?![\w-]))" for c in classes)
-    return rf"(?is)<{tag}\b{want}[^>]*>(.*?)</{tag}>"
-
-
-def listing(pages: DataFrame, container: str, classes: list[str], heading: str, heading_classes: list[str], most: int = 50, link: str = r"^/[^\s]+$", shortest: int = 1) -> DataFrame:
-    """(page_id, place, title, link, outcome) of the entries in a listing page's trusted containers: elements with all of the
-    classes. Each holds one heading with one link; a container without is itself what the headings of are listed.
-
-    accepted; structure (no heading, or not one link in it); invalid_url (the link is not of the site's form);
-    invalid_title; duplicate (of an accepted link of the page, in any case); record_limit (beyond the first `most`)."""
-    blocks = F.regexp_extract_all("html", F.lit(_element(container, classes)), 1)
-    if not classes:  # one container with all headings
-        blocks = F.flatten(F.transform(blocks, lambda b: F.regexp_extract_all(b, F.lit(_element(heading, heading_classes)), 0)))
-    rows = pages.select("page_id", F.posexplode(blocks).alias("place", "block"))
-    headings = F.regexp_extract_all("block", F.lit(_element(heading, heading_classes)), 1)
-    rows = rows.withColumn("headings", headings).withColumn("head", F.when(F.size("headings") == 1, F.get("headings", F.lit(0))))
-    anchors = F.regexp_extract_all("head", F.lit(r"(?is)<a\b[^>]*>.*?</a>"), 0)
-    rows = rows.withColumn("anchor", F.when(F.size(anchors) == 1, F.get(anchors, F.lit(0))))
-    rows = rows.select("page_id", "place", F.when(F.col("anchor").isNotNull(), plain_text("anchor")).alias("title"), F.when(F.col("anchor").isNotNull(), F.regexp_extract("anchor", r"(?i)<a\b[^>]*\bhref=[\"']([^\"']*)", 1)).alias("link"))
-    bad = (
-        F.when(F.col("place") >= most, "record_limit")
-        .when(F.col("link").isNull(), "structure")
-        .when(~F.col("link").rlike(link), "invalid_url")
-        .when((F.length("title") < shortest) | (F.length("title") > 500), "invalid_title")
-    )
-    rows = rows.withColumn("bad", bad)
-    # a page lists a bounded number of entries
-    first = F.min(F.when(F.col("bad").isNull(), F.col("place"))).over(Window.partitionBy("page_id", F.lower("link")))
-    return rows.select("page_id", "place", "title", "link", F.coalesce("bad", F.when(first < F.col("place"), "duplicate"), F.lit("accepted")).alias("outcome"))
-
-
-def page_metadata(pages: DataFrame) -> DataFrame:
-    """(page_id, title, published): from JSON-LD, else Open Graph and meta tags, else the title element."""
-    ld = F.regexp_extract("html", r"(?is)<script[^>]*application/ld\+json[^>]*>(.*?)</script>", 1)
-    meta = lambda name: F.nullif(F.regexp_extract("html", rf"(?is)<meta[^>]*(?:property|name)=[\"']{name}[\"'][^>]*content=[\"']([^\"']*)", 1), F.lit(""))
-    title = F.nullif(F.regexp_extract("html", r"(?is)<title[^>]*>(.*?)</title>", 1), F.lit(""))
-    title = F.coalesce(F.get_json_object(ld, "$.headline"), meta("og:title"), title)
-    return pages.select("page_id", plain_text(title).alias("title"), F.coalesce(F.get_json_object(ld, "$.datePublished"), meta("article:published_time")).alias("published"))
+    return rows.select(*others, "state", *fields, g("id").alias("id"), g("type").alias("type"), parsed_timestamp(F.coalesce(g("modified"), g("created"))).alias("modified"), parsed_timestamp(g("created")).alias("created"), g("created_by_ref").alias("creator"), F.coalesce(g("revoked").cast("boolean"), F.lit(False)).alias("revoked"), "payload")
+
+
+def stix_objects(spark: SparkSession, path: str, *fields: str) -> DataFrame:
+    """Objects of bundle and envelope files within the bounds: `fields` of the file, id, type, modified, created, creator,
+    revoked, and the whole as JSON. Files over 5 MiB are not read."""
+    small = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).where(F.col("length") <= Bounds().size)
+    return bounded_objects(small.select(F.decode("content", "UTF-8").alias("value")), "value", *fields).where("payload is not null").drop("state")
