@@ -116,9 +116,24 @@ def accepted(c: DataFrame) -> DataFrame:
     return _with(c, accepted=ok).drop("host", "address")
 
 
-def extract(df: DataFrame, key: str = "id", title: str = "title", summary: str = "summary") -> DataFrame:
+def _host(c: str) -> Column:
+    return F.regexp_replace(F.regexp_extract(c, r"^https?://(\[[^\]]*\]|[^/:?#]*)", 1), r"[\[\]]", "")
+
+
+def excluded(exclusions: DataFrame, key: str) -> DataFrame:
+    """(key, token) of exclusions(key, url, host): the normal forms of the urls, of their hosts, and of the hosts. What has no
+    normal form excludes nothing."""
+    named = exclusions.select(key, O.url("url").alias("u"), F.coalesce(O.domain("host"), O.ipv4("host"), O.ipv6("host")).alias("h"))
+    whole = named.select(key, "u", "h", F.nullif(_host("u"), F.lit("")).alias("of_url"))
+    return whole.select(key, F.explode(F.array_distinct(F.array_compact(F.array("u", "h", "of_url")))).alias("token")).distinct()
+
+
+def extract(df: DataFrame, key: str = "id", title: str = "title", summary: str = "summary", exclusions: DataFrame | None = None) -> DataFrame:
     """(key, kind, value, algorithm, identity, form, confidence, field, at, context): the observables of each text, each
-    once with its best evidence. Texts of more than LONGEST characters, or with control characters, give none."""
+    once with its best evidence. Texts of more than LONGEST characters, or with control characters, give none.
+
+    exclusions(key, url, host): what is no indicator of a text, such as its own page: these urls, all urls of these hosts and
+    of the urls' hosts, and the hosts themselves, in normal form; other texts are not concerned."""
     matches = _matcher()
     t, s = F.coalesce(F.col(title), F.lit("")), F.coalesce(F.col(summary), F.lit(""))
     texts = df.select(key, t.alias("title"), s.alias("summary")).where((F.length("title") + F.length("summary") <= LONGEST) & ~F.concat("title", "summary").rlike(r"[\x00-\x1F\x7F-\x9F]"))
@@ -131,6 +146,10 @@ def extract(df: DataFrame, key: str = "id", title: str = "title", summary: str =
     value = F.when(url, O.url("plain")).when(is_("ipv4"), O.ipv4("plain")).when(is_("ipv6"), O.ipv6("plain")).when(is_("file_hash"), O.file_hash("plain")).when(is_("domain"), O.domain("plain"))
     c = _with(c, value=value).where(F.col("value").isNotNull())
     c = accepted(c)
+    if exclusions is not None:
+        hers = excluded(exclusions, key).withColumnRenamed(key, "_key")
+        c = _with(c, host=F.when(url, _host("value")))
+        c = c.join(hers, (F.col(key) == F.col("_key")) & ((F.col("value") == F.col("token")) | (F.col("host") == F.col("token"))), "left_anti").drop("host")
     c = c.where(F.col("accepted") & (url | ~F.col("shielded"))).select(key, "text", "rank", "kind", "field", "at", "end", "value", "form", "labelled", "context")
     # what lies within an accepted match of an earlier kind is part of it
     spans = F.collect_list(F.struct("rank", "field", "at", "end")).over(Window.partitionBy(key, "text"))

@@ -81,6 +81,9 @@ TABLES: dict[str, tuple[str, list[str]]] = {
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
+#: Cases made by hand, which the tests run; they read no table and are no queries.
+FIXTURES: dict = {}
+FIXTURE_ORACLES: dict[str, str] = {}
 
 
 class Tables:
@@ -127,3 +130,14 @@ def query(sql: str | None = None):
         return f
 
     return made
+
+
+def fixture(sql: str):
+    """Keeps a function of made rows for the tests, with what must come out."""
+
+    def made(f):
+        FIXTURES[f.__name__] = lambda spark, folder: f(Tables(spark, folder))
+        FIXTURE_ORACLES[f.__name__] = _with(sql)
+        return f
+
+    return made

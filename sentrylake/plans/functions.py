@@ -13,7 +13,7 @@ from ..functions import observables as O
 from ..functions import vulnerabilities as V
 from ..sources import elements, feed_files, feeds, registry, seed, walks
 from ..streaming import progress
-from .analogues import query, shared_folder
+from .analogues import fixture, query, shared_folder
 
 
 def _frame(t, rows, schema):
@@ -30,21 +30,21 @@ def _values(rows) -> str:
 
 
 def cases(name: str, expected: list[tuple], columns: str, schema: str, f, given: int):
-    """A query that applies f to fixture rows; the oracle lists what must come out."""
+    """A fixture that applies f to made rows; the oracle lists what must come out."""
 
     def run(t):
         return f(_frame(t, [r[:given] for r in expected], schema))
 
     run.__name__ = name
-    query(f"SELECT * FROM (VALUES {_values(expected)}) v({columns})")(run)
+    fixture(f"SELECT * FROM (VALUES {_values(expected)}) v({columns})")(run)
 
 
-@query("SELECT slug, vendor FROM (VALUES ('vulnerability-feed','public'),('score-feed','public'),('exploited-catalog','public'),('advisories','cert'),('knowledge','public')) v(slug, vendor)")
+@fixture("SELECT slug, vendor FROM (VALUES ('vulnerability-feed','public'),('score-feed','public'),('exploited-catalog','public'),('advisories','cert'),('knowledge','public')) v(slug, vendor)")
 def s14_usable_sources(t):
     return registry.usable(registry.registry(t.spark)).select("slug", "vendor")
 
 
-@query("SELECT * FROM (VALUES ('advisories','insert'),('alerts','insert'),('exploited-catalog','insert'),('knowledge','insert'),('research','insert'),('score-feed','conflict'),('vulnerability-feed','move'),('old','unregistered')) v(slug, outcome)")
+@fixture("SELECT * FROM (VALUES ('advisories','insert'),('alerts','insert'),('exploited-catalog','insert'),('knowledge','insert'),('research','insert'),('score-feed','conflict'),('vulnerability-feed','move'),('old','unregistered')) v(slug, outcome)")
 def s17_catalog_bootstrap(t):
     stored = _frame(t, [("vulnerability-feed", "https://old"), ("score-feed", "https://else"), ("old", "x")], "slug string, base_url string")
     return registry.bootstrap(registry.registry(t.spark), stored, {"vulnerability-feed": "https://old"})
@@ -131,7 +131,7 @@ def s18_stop_reasons(t):
 _ASK = "concat(value, CASE WHEN value LIKE '%3' THEN '123' WHEN value LIKE '%7' THEN '45678901' ELSE '' END)"
 
 
-@query(f"""WITH RECURSIVE k AS (SELECT {_ASK} AS v, min(item_id) AS born FROM identifiers GROUP BY 1), r AS (SELECT v, row_number() OVER (ORDER BY born, length(v), v) AS n FROM k),
+@query(f"""WITH RECURSIVE k AS MATERIALIZED (SELECT {_ASK} AS v, min(item_id) AS born FROM identifiers GROUP BY 1), r AS MATERIALIZED (SELECT v, row_number() OVER (ORDER BY born, length(v), v) AS n FROM k),
 f AS (SELECT CAST(0 AS BIGINT) AS n, CAST(-1 AS BIGINT) AS batch, CAST(0 AS BIGINT) AS ids, CAST(0 AS BIGINT) AS size, CAST(NULL AS VARCHAR) AS v
 UNION ALL SELECT n, CASE WHEN x THEN batch + 1 ELSE batch END, CASE WHEN x THEN 1 ELSE ids + 1 END, CASE WHEN x THEN length(v) ELSE size + length(v) + 1 END, v FROM (SELECT r.n, r.v, f.batch, f.ids, f.size, f.ids = 0 OR f.ids >= 60 OR f.size + length(r.v) + 1 > 905 AS x FROM f JOIN r ON r.n = f.n + 1))
 SELECT batch, count(*) AS keys, arg_min(v, n) AS first, md5(string_agg(v, ',' ORDER BY n)) AS digest FROM f WHERE n > 0 GROUP BY batch""")
@@ -195,7 +195,7 @@ _RECORD = {
 }
 
 
-@query("SELECT 'CVE-2099-0001' AS cve_id, 'text' AS summary, 'archived' AS status, 'critical' AS severity, CAST(9.8 AS DOUBLE) AS score, '3.1' AS score_version, 'cpe:a,cpe:c' AS products, true AS valid")
+@fixture("SELECT 'CVE-2099-0001' AS cve_id, 'text' AS summary, 'archived' AS status, 'critical' AS severity, CAST(9.8 AS DOUBLE) AS score, '3.1' AS score_version, 'cpe:a,cpe:c' AS products, true AS valid")
 def x219_feed_record(t):
     n = V.normalized_feed(_frame(t, [(json.dumps(_RECORD),)], "json string"))
     return n.select("cve_id", "summary", "status", "severity", F.col("score").cast("double").alias("score"), "score_version", F.array_join("products", ",").alias("products"), "valid")
@@ -239,7 +239,7 @@ _ENTRY = [("CVE-2099-0002", "V", "P", " Name ", "2024-01-01", "d", "act", "2024-
 _FIELDS = ["cveID", "vendorProject", "product", "vulnerabilityName", "dateAdded", "shortDescription", "requiredAction", "dueDate", "knownRansomwareCampaignUse"]
 
 
-@query("SELECT * FROM (VALUES ('CVE-2099-0002','Name','2024-01-01','2024-02-01',true), (NULL,'N','2024-01-01',NULL,false)) v(cve_id, title, added, due, ransomware)")
+@fixture("SELECT * FROM (VALUES ('CVE-2099-0002','Name','2024-01-01','2024-02-01',true), (NULL,'N','2024-01-01',NULL,false)) v(cve_id, title, added, due, ransomware)")
 def x220_catalog_entries(t):
     df = _frame(t, _ENTRY, ", ".join(f"{f} string" for f in _FIELDS)).select(F.struct(*_FIELDS).alias("e"))
     return df.select(*V.normalized_catalog_entry("e")).select("cve_id", "title", F.col("date_added").cast("string").alias("added"), F.col("due_date").cast("string").alias("due"), "ransomware")
@@ -248,7 +248,7 @@ def x220_catalog_entries(t):
 cases("x221_probability", [("0.1234565", 0.123457), ("1.0", 1.0), ("1.1", None), ("x", None), ("-0.1", None)], "given, p", "given string", lambda df: df.select("given", V.probability("given").cast("double").alias("p")), 1)
 
 
-@query("SELECT * FROM (VALUES (1, true), (2, false), (3, false)) v(id, complete)")
+@fixture("SELECT * FROM (VALUES (1, true), (2, false), (3, false)) v(id, complete)")
 def x222_catalog_complete(t):
     e = {f: v for f, v in zip(_FIELDS, _ENTRY[0])}
     bad = {f: v for f, v in zip(_FIELDS, _ENTRY[1])}
@@ -281,7 +281,7 @@ cases("x232_refang", [("hxxp://evil[.]co/a", "http://evil.co/a"), ("hxxps[:]//a(
 _TEXTS = [(1, "C2 at hxxp://evil[.]co/a and malicious domain bad-site.co", "see 8.8.8.8 address; version 1.2.3.4; IOC 9.9.9.9, host"), (2, "hash d41d8cd98f00b204e9800998ecf8427e md5", "user@mail.evil.co domain evil.example.com"), (3, "x 10.0.0.1 ip", "file setup.exe domain: foo.co import os.path"), (4, "https://User.Co:443/%7ea?b#c ok", "address 2606:4700::1111 malicious")]
 
 
-@query("SELECT id, kind, value, form, CAST(confidence AS DOUBLE) AS confidence FROM (VALUES (1,'url','http://evil.co/a','defanged',0.95),(1,'domain','bad-site.co','literal',0.78),(1,'ipv4','8.8.8.8','literal',0.82),(1,'ipv4','9.9.9.9','literal',0.82),(2,'file_hash','d41d8cd98f00b204e9800998ecf8427e','literal',0.9),(3,'domain','foo.co','literal',0.78),(4,'url','https://user.co/%7Ea?b','literal',0.9),(4,'ipv6','2606:4700::1111','literal',0.82)) v(id, kind, value, form, confidence)")
+@fixture("SELECT id, kind, value, form, CAST(confidence AS DOUBLE) AS confidence FROM (VALUES (1,'url','http://evil.co/a','defanged',0.95),(1,'domain','bad-site.co','literal',0.78),(1,'ipv4','8.8.8.8','literal',0.82),(1,'ipv4','9.9.9.9','literal',0.82),(2,'file_hash','d41d8cd98f00b204e9800998ecf8427e','literal',0.9),(3,'domain','foo.co','literal',0.78),(4,'url','https://user.co/%7Ea?b','literal',0.9),(4,'ipv6','2606:4700::1111','literal',0.82)) v(id, kind, value, form, confidence)")
 def x233_ioc_fixture(t):
     return ioc.extract(_frame(t, _TEXTS, "id int, title string, summary string")).select("id", "kind", "value", "form", F.col("confidence").cast("double").alias("confidence"))
 
@@ -310,7 +310,7 @@ cases("x236_stix_pattern", [("[ipv4-addr:value = '192.0.2.1']", "ipv4", "192.0.2
 cases("x237_alias", [("APT  One", "ＡＰＴ one", True), ("a", "b", False)], "a, b, same", "a string, b string", lambda df: df.select("a", "b", (text.alias_identity("a") == text.alias_identity("b")).alias("same")), 2)
 
 
-@query("SELECT * FROM (VALUES (1, 'T1059.001'), (2, NULL), (3, NULL)) v(id, attack_id)")
+@fixture("SELECT * FROM (VALUES (1, 'T1059.001'), (2, NULL), (3, NULL)) v(id, attack_id)")
 def x238_attack_id(t):
     ref = "array<struct<source_name:string,external_id:string>>"
     rows = [(1, [("mitre-attack", "T1059.001"), ("x", "y")]), (2, [("mitre-attack", "T1"), ("x", "y")]), (3, [("mitre-attack", "T1059"), ("mitre-attack", "T1060")])]
@@ -351,7 +351,7 @@ cases("x243_evidence_tags", [(1, "Dubai bank airport", "desc-news", "uae-authori
 cases("x244_csv_cell", [("=1+1", "'=1+1"), (" @x", "' @x"), ("a", "a"), (None, "")], "given, cell", "given string", lambda df: df.select("given", text.neutral_cell("given").alias("cell")), 1)
 
 
-@query("SELECT CAST(i AS INT) AS chunk, TIMESTAMP '2023-01-01' + INTERVAL (i * 100) DAY AS first, least(TIMESTAMP '2023-01-01' + INTERVAL (i * 100 + 100) DAY, TIMESTAMP '2024-01-01') - INTERVAL 1 MILLISECOND AS last FROM range(0, 4) r(i)")
+@fixture("SELECT CAST(i AS INT) AS chunk, TIMESTAMP '2023-01-01' + INTERVAL (i * 100) DAY AS first, least(TIMESTAMP '2023-01-01' + INTERVAL (i * 100 + 100) DAY, TIMESTAMP '2024-01-01') - INTERVAL 1 MILLISECOND AS last FROM range(0, 4) r(i)")
 def x245_date_chunks(t):
     return times.date_chunks(t.spark, datetime(2023, 1, 1), datetime(2024, 1, 1), 100)
 
@@ -385,7 +385,7 @@ def s01_scan(t):
     return t.indicators.select("id", "value")
 
 
-@query("SELECT * FROM (VALUES ('a', 2, 3, 'complete'), ('b', 1, 2, 'incomplete')) v(walk, pages, records, outcome)")
+@fixture("SELECT * FROM (VALUES ('a', 2, 3, 'complete'), ('b', 1, 2, 'incomplete')) v(walk, pages, records, outcome)")
 def s02_paged_feed(t):
     page = lambda start, ids, total: json.dumps({"startIndex": start, "totalResults": total, "vulnerabilities": [json.dumps({"cve": {"id": i}}) for i in ids]})
     read = lambda name, *bodies: feeds.vulnerability_pages(t.spark, _files(t, name, *bodies)).select(F.lit(name).alias("walk"), "start", "total", "n").distinct()
@@ -411,7 +411,7 @@ def s02_indexed_walks(t):
     return walks.indexed_walks(p, ["run"], "i", "start", "total", "n", 4).select("run", "pages", "outcome")
 
 
-@query("SELECT 'CVE-2099-0002' AS cve_id, 'Name' AS title, true AS ransomware")
+@fixture("SELECT 'CVE-2099-0002' AS cve_id, 'Name' AS title, true AS ransomware")
 def s05_catalog_file(t):
     entry = dict(zip(_FIELDS, _ENTRY[0]))
     body = json.dumps({"catalogVersion": "1", "dateReleased": "2024-01-01T00:00:00Z", "count": 1, "vulnerabilities": [entry]})
@@ -449,7 +449,7 @@ def s07_feed_guard(t):
     return _feed_files(t).groupBy("feed").agg(F.max("problem").alias("problem"), F.count("place").alias("entries"))
 
 
-@query("SELECT 'vendor' AS source, 'One' AS title, 's' AS summary")
+@fixture("SELECT 'vendor' AS source, 'One' AS title, 's' AS summary")
 def s10_publication_files(t):
     good = json.dumps({"schema_version": 1, "source_slug": "vendor", "publications": [{"title": " One ", "url": "https://v.example.com/1", "summary": "s", "published_at": "2024-01-01T00:00:00Z"}]})
     twice = good.replace('"schema_version": 1,', '"schema_version": 1, "schema_version": 1,')
@@ -495,7 +495,7 @@ def s12_token_walks(t):
     return walks.token_walks(p, ["run"], "i", "token", "following", "more", 5)
 
 
-@query("SELECT * FROM (VALUES ('malware--1', 'complete'), ('malware--2', 'complete'), ('malware--3', 'incomplete')) v(id, outcome)")
+@fixture("SELECT * FROM (VALUES ('malware--1', 'complete'), ('malware--2', 'complete'), ('malware--3', 'incomplete')) v(id, outcome)")
 def s12_taxii_pages(t):
     page = lambda c, place, i, more, token, following: json.dumps({"collection": c, "place": place, "token": token, "next": following, "more": more, "objects": [{"id": i, "type": "malware", "created": "2024-01-01T00:00:00Z"}]})
     path = _files(t, "taxii", page("a", 0, "malware--1", True, None, "x"), page("a", 1, "malware--2", False, "x", None), page("b", 0, "malware--3", True, None, "y"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import counts, functions, lists, merges, relations, streams  # noqa: F401
+from . import counts, functions, lists, merges, normalizers, relations, streams  # noqa: F401
 from .analogues import ORACLES, QUERIES
 
 __all__ = ["QUERIES", "ORACLES"]

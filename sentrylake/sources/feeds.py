@@ -214,3 +214,13 @@ def stix_objects(spark: SparkSession, path: str, *fields: str) -> DataFrame:
     revoked, and the whole as JSON. Files over 5 MiB are not read."""
     small = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).where(F.col("length") <= Bounds().size)
     return bounded_objects(small.select(F.decode("content", "UTF-8").alias("value")), "value", *fields).where("payload is not null").drop("state")
+
+
+#: The kinds of object that are imported.
+STAGED = ("malware", "campaign", "intrusion-set", "attack-pattern", "relationship", "identity", "marking-definition")
+
+
+def staged(objects: DataFrame, payload: str) -> DataFrame:
+    """objects with their `type` and whether it is one that is imported."""
+    kind = F.get_json_object(payload, "$.type")
+    return objects.select("*", kind.alias("type"), F.coalesce(kind.isin(*STAGED), F.lit(False)).alias("accepted"))

@@ -7,6 +7,7 @@ import pandas as pd
 import pytest
 
 from sentrylake.plans import registry
+from sentrylake.plans.analogues import FIXTURE_ORACLES, FIXTURES
 
 FOLDER = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -36,14 +37,22 @@ def rows(df):
     return sorted(tuple(map(cell, r)) for r in df[cols].itertuples(index=False))
 
 
+@pytest.mark.parametrize("name", sorted(FIXTURES))
+def test_fixture(spark, duck, name):
+    compare(duck, FIXTURES[name](spark, FOLDER), FIXTURE_ORACLES[name])
+
+
 @pytest.mark.parametrize("name", sorted(registry.QUERIES))
 def test_query(spark, duck, name):
     df = registry.QUERIES[name](spark, FOLDER)
-    got = df.toPandas()
     if name not in registry.ORACLES:
-        assert len(got.columns)
+        assert len(df.toPandas().columns)
         return
-    sql = registry.ORACLES[name]
+    compare(duck, df, registry.ORACLES[name])
+
+
+def compare(duck, df, sql):
+    got = df.toPandas()
     want = duck.execute(sql).df()
     assert sorted(got.columns) == sorted(want.columns)
     kinds = {r[0]: r[1] for r in duck.execute(f"DESCRIBE {sql}").fetchall()}
