@@ -321,9 +321,16 @@ def register(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path with its store: one without a scheme is of Hadoop's default file system, as everywhere in Spark, and not of
+    each executor's own disk."""
+    plain = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return plain.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(plain).toString()
+
+
 def read_warc(spark: SparkSession, path: str, payload: bool = True) -> DataFrame:
     register(spark)
-    return spark.read.format("warc").option("payload", str(payload).lower()).load(path)
+    return spark.read.format("warc").option("payload", str(payload).lower()).load(qualified(spark, path))
 
 
 _ID = "urn:sentrylake:page:"
@@ -351,7 +358,7 @@ def write_pages(pages: DataFrame, path: str, least: int = 100) -> None:
         F.col("digest").alias("payload_digest"),
         F.when(again, F.concat(F.lit(_ID), F.col("first").cast("string"))).alias("refers_to"),
         "payload",
-    ).write.format("warc").mode("append").save(path)
+    ).write.format("warc").mode("append").save(qualified(pages.sparkSession, path))
 
 
 def read_pages(spark: SparkSession, path: str) -> DataFrame:

@@ -82,3 +82,15 @@ def test_filters_are_pushed_down(spark, tmp_path):
     assert len(reader.filters) == 1 and sum(len(p.files) for p in reader.partitions()) >= 1
     heads = warc.read_warc(spark, path, payload=False).where("record_type = 'response'")
     assert {r.payload for r in heads.collect()} == {None}
+
+
+def test_paths_are_of_the_default_store(spark, tmp_path):
+    assert warc.qualified(spark, "/a/b") == warc.qualified(spark, "file:///a/b") == "file:/a/b"
+    conf = spark._jsc.hadoopConfiguration()
+    before = conf.get("fs.defaultFS")
+    conf.set("fs.defaultFS", "viewfs://other/")
+    conf.set("fs.viewfs.mounttable.other.link./x", f"file://{tmp_path}")
+    try:
+        assert warc.qualified(spark, "/x/y") == "viewfs://other/x/y"
+    finally:
+        conf.set("fs.defaultFS", before)
