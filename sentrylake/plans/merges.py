@@ -327,18 +327,20 @@ def u14_folded_state(t):
     return U.folded(t.turns, "run", "state", "sequence")
 
 
-_CYCLE = "concat('k', CAST({id} % 900 AS VARCHAR)) AS key, CASE WHEN {id} % 900 % 2 = 0 THEN 'scheduled' ELSE 'manual' END AS trigger, {n} AS expected"
+_CYCLE = "concat('k', CAST({k} AS VARCHAR)) AS key, CASE WHEN {k} % 2 = 0 THEN 'scheduled' ELSE 'manual' END AS trigger, {n} AS expected"
 
 
-@query(f"""WITH e AS (SELECT {_CYCLE.format(id="id", n="id % 900 % 3")}, CASE WHEN id = 301 THEN 'running' ELSE 'success' END AS status FROM people WHERE id BETWEEN 200 AND 400), i AS (SELECT id, {_CYCLE.format(id="id", n="CASE WHEN id % 7 = 0 THEN 9 ELSE id % 900 % 3 END")} FROM runs),
+@query(f"""WITH e AS (SELECT {_CYCLE.format(k="id * 2", n="id % 3")}, CASE WHEN id % 4 = 1 THEN 'failed' ELSE 'success' END AS status FROM people UNION ALL SELECT {_CYCLE.format(k="id * 4 + 1", n="id % 3")}, 'running' FROM people), i AS (SELECT id, {_CYCLE.format(k="id // 3", n="CASE WHEN id % 7 = 0 THEN 9 ELSE id // 3 // 2 % 3 END")} FROM runs),
 f AS (SELECT key, min(id) AS born, arg_min(expected, id) AS n FROM i GROUP BY key), w AS (SELECT min(born) AS born FROM f JOIN (SELECT DISTINCT key, trigger FROM i) g USING (key) WHERE trigger = 'scheduled' AND key NOT IN (SELECT key FROM e))
 SELECT i.id, CASE WHEN e.key IS NULL AND i.trigger = 'scheduled' AND (f.born <> w.born OR (SELECT count(*) FROM e WHERE trigger = 'scheduled' AND status = 'running') > 0) THEN 'overlap' WHEN e.key IS NULL AND i.id = f.born THEN 'acquired' WHEN coalesce(e.expected, f.n) = i.expected THEN 'reused' ELSE 'conflict' END AS outcome
 FROM i JOIN f USING (key) CROSS JOIN w LEFT JOIN e ON e.key = i.key""")
 def u15_cycle_acquire(t):
-    k = F.col("id") % 900
-    cycle = [F.concat(F.lit("k"), k.cast("string")).alias("key"), F.when(k % 2 == 0, "scheduled").otherwise("manual").alias("trigger")]
-    e = t.people.where("id between 200 and 400").select(*cycle, (k % 3).alias("expected"), F.when(F.col("id") == 301, "running").otherwise("success").alias("status"))
-    i = t.runs.select("id", *cycle, F.when(F.col("id") % 7 == 0, 9).otherwise(k % 3).alias("expected"))
+    # all people stand for stored cycles, two each: finished scheduled ones, and manual ones that run
+    cycle = lambda k: [F.concat(F.lit("k"), k.cast("string")).alias("key"), F.when(k % 2 == 0, "scheduled").otherwise("manual").alias("trigger")]
+    done = t.people.select(*cycle(F.col("id") * 2), (F.col("id") % 3).alias("expected"), F.when(F.col("id") % 4 == 1, "failed").otherwise("success").alias("status"))
+    e = done.unionByName(t.people.select(*cycle(F.col("id") * 4 + 1), (F.col("id") % 3).alias("expected"), F.lit("running").alias("status")))
+    k = F.expr("id div 3")
+    i = t.runs.select("id", *cycle(k), F.when(F.col("id") % 7 == 0, 9).otherwise(F.expr("id div 3 div 2 % 3")).alias("expected"))
     return U.acquired_cycles(e, i, "key", ["trigger", "expected"], "id").select("id", "outcome")
 
 

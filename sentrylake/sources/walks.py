@@ -87,9 +87,11 @@ def collected_candidates(records: DataFrame, chunk_days: int, page_rows: int, mo
     asked = grid.join(sizes, ["year", "chunk", "place"], "left").withColumn("n", F.coalesce("n", F.lit(0))).withColumn("asked", F.least(pages, F.lit(most_pages))).withColumn("cut", pages > most_pages)
     before = Window.orderBy("year", "chunk", "place").rowsBetween(Window.unboundedPreceding, -1)
     asked = asked.withColumn("before", F.coalesce(F.sum("asked").over(before), F.lit(0))).withColumn("given", F.greatest(F.lit(0), F.least(F.col("asked"), most_requests - F.col("before"))))
-    ranked = met.join(asked.select("year", "chunk", "place", "given", "before"), ["year", "chunk", "place"])
     at = F.row_number().over(Window.partitionBy("year", "chunk", "place").orderBy("published", "id"))
-    kept = ranked.withColumn("at", at).where(F.col("at") <= F.col("given") * page_rows)
+    # no query gives more than this, so that each task passes on so many rows of a query at most
+    first = met.withColumn("at", at).where(F.col("at") <= most_pages * page_rows)
+    ranked = first.join(asked.select("year", "chunk", "place", "given", "before"), ["year", "chunk", "place"])
+    kept = ranked.where(F.col("at") <= F.col("given") * page_rows)
     candidates = kept.groupBy("id", "year").agg(F.min("before").alias("place"), F.count(F.lit(1)).alias("queries"))
     reasons = asked.groupBy("year").agg(F.sum("given").alias("requests"), F.when(F.max(F.col("given") < F.col("asked")), "request_limit").when(F.max("cut"), "page_limit").otherwise("complete").alias("reason"))
     return candidates, reasons
