@@ -504,7 +504,7 @@ def s12_taxii_pages(t):
     return o.join(ends, "collection").select("id", "outcome")
 
 
-@query("SELECT * FROM (VALUES ('advisory', 2), ('guide', 1), ('news', 1), ('official_alert', 1), ('report', 1), ('vulnerability', 4)) v(item_type, items)")
+@fixture("SELECT * FROM (VALUES ('advisory', 2), ('guide', 1), ('news', 1), ('official_alert', 1), ('report', 1), ('vulnerability', 4)) v(item_type, items)")
 def s15_seed(t):
     sources, items = seed.dataset(t.spark)
     if not seed.problems(sources, items).isEmpty():

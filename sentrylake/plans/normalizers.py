@@ -4,6 +4,7 @@ read, normalises them, and is held against SQL over the same rows; their odd cas
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import timedelta
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -183,3 +184,12 @@ d AS (SELECT source, k // 1000 AS k, sha256(string_agg(h, ',' ORDER BY k, h)) AS
 def x251_document_tree(t):
     v = t.items.select("owner", "id", F.sha2(F.col("id").cast("string"), 256).alias("h"))
     return progress.feed_digests(v, "owner", "id", "h").select(F.col("source").alias("id"), F.col("digest").alias("document_hash"))
+
+
+@query("WITH b AS (SELECT min(created) AS a FROM items) SELECT id, CAST(date_diff('day', a, created) // 100 AS INT) AS chunk FROM items, b")
+def x245_date_chunks(t):
+    # the chunks of the items' whole span: each item is in one
+    first, last = t.items.agg(F.min("created"), F.max("created")).first()
+    chunks = times.date_chunks(t.spark, first, last + timedelta(days=1), 100).withColumnsRenamed({"first": "begins", "last": "ends"})
+    inside = (F.col("created") >= F.col("begins")) & (F.col("created") <= F.col("ends"))
+    return t.items.join(F.broadcast(chunks), inside).select("id", F.col("chunk").cast("int").alias("chunk"))  # some four rows a year

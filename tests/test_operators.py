@@ -105,7 +105,7 @@ def test_versioned_state(spark, tmp_path):
     sinks.write_state(spark.createDataFrame([(1, "a")], "id int, v string"), root, 9)
     sinks.write_state(spark.createDataFrame([(1, "b"), (2, None)], "id int, v string"), root, 10)
     assert sorted(map(tuple, sinks.read_state(spark, root).collect())) == [(1, "b"), (2, None)]
-    with pytest.raises(Exception, match="PATH_ALREADY_EXISTS"):
+    with pytest.raises(sinks.VersionTaken):
         sinks.write_state(spark.createDataFrame([(3, "c")], "id int, v string"), root, 10)
 
 
