@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
+from .stored import stored
 
 _OUT = {"place": pa.int64(), "outcome": pa.string(), "reason": pa.string(), "record": pa.string(), "item": pa.string()}
 _ROW = "component long, kind int, place long, id string, source string, external_id string, url_hash string, title_hash string, content_hash string, item string, item_type string, status string"
@@ -149,10 +150,10 @@ def resolved_publications(incoming: DataFrame, records: DataFrame, items: DataFr
     asked = rows.select(F.explode(F.array(external(), of_url(), _node("n", "url", F.col("url_hash")), _node("n", "title", F.col("title_hash")))).alias("asked")).distinct()
     recs = text(records, "id", "source", "external_id", "url_hash", "content_hash", "item").withColumns({"a": external(), "b": of_url()})
     hit = recs.select("id", F.explode(F.array("a", "b")).alias("asked")).join(asked, "asked", "left_semi").select("id").distinct()
-    recs = recs.join(hit, "id", "left_semi")
+    recs = stored(recs.join(hit, "id", "left_semi"), "reached")  # read for the links and again for the state
     named = text(identifiers, "namespace", "value", "item").withColumn("a", _node("n", F.col("namespace"), F.col("value")))
     reached = named.join(asked.withColumnRenamed("asked", "a"), "a", "left_semi").select("item").unionByName(recs.select("item")).where("item is not null").distinct()
-    named = named.join(reached, "item", "left_semi")
+    named = stored(named.join(reached, "item", "left_semi"), "named")
     found = text(items, "id", "item_type", "status").join(reached.withColumnRenamed("item", "id"), "id", "left_semi")
     own = lambda c: _node("i", F.col(c))
     first = of_url()
