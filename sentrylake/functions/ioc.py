@@ -116,6 +116,12 @@ def accepted(c: DataFrame) -> DataFrame:
     return _with(c, accepted=ok).drop("host", "address")
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """df over as many tasks as a shuffle has, by keys. Rows that are small but take long would else be read, and worked on,
+    in the one or two tasks that their bytes are worth."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def _host(c: str) -> Column:
     return F.regexp_replace(F.regexp_extract(c, r"^https?://(\[[^\]]*\]|[^/:?#]*)", 1), r"[\[\]]", "")
 

@@ -157,12 +157,34 @@ def x233_own_source(t):
     return ioc.extract(texts, exclusions=exclusions).select("id", "kind", "value", "form", F.col("confidence").cast("double").alias("confidence"))
 
 
-@query("SELECT id, id % 3 = 0 AND id % 250 + 1 NOT IN (10, 127) AS accepted FROM people")
+#: Candidates of each person: kind, value, form, what stands before, what is near, and by SQL whether it counts. Addresses run
+#: over all first bytes; those of networks that are not public, and from 224 on, do not count.
+_NUMBER = "CAST(id % 250 + 1 AS STRING)"
+_OUTER = "id % 250 + 1 NOT IN (10, 127) AND id % 250 + 1 < 224"
+_CANDIDATES = [
+    ("url", f"concat('https://a', {_ID}, '.co/x')", "literal", "", "", "true"),
+    ("url", f"concat('https://', {_NUMBER}, '.9.9.9/', {_ID})", "literal", "", "", _OUTER),
+    ("url", f"concat('https://a', {_ID}, '.example.org/')", "defanged", "", "", "false"),
+    ("ipv4", f"concat({_NUMBER}, '.9.9.9')", "literal", "", " address", _OUTER),
+    ("ipv4", f"concat({_NUMBER}, '.9.9.9')", "literal", "", " nothing", "false"),
+    ("ipv4", f"concat({_NUMBER}, '.9.9.9')", "literal", "version ", "version  address", "false"),
+    ("ipv4", f"concat({_NUMBER}, '.9.9.9')", "defanged", "", "", _OUTER),
+    ("ipv4", f"concat('192.168.1.', {_NUMBER})", "defanged", "", "", "false"),
+    ("domain", f"concat('a', {_ID}, '.co')", "literal", "domain ", "domain  x", "true"),
+    ("domain", f"concat('a', {_ID}, '.co')", "literal", "import ", "import  domain", "false"),
+    ("domain", f"concat('setup', {_ID}, '.exe')", "defanged", "", "", "false"),
+    ("domain", f"concat('a', {_ID}, '.test')", "defanged", "", "", "false"),
+    ("file_hash", "repeat(CAST(id % 10 AS STRING), 32)", "literal", "md5 ", "md5 ", "false"),
+    ("file_hash", f"md5({_ID})", "literal", "md5 ", "md5 ", "true"),
+    ("file_hash", f"md5({_ID})", "literal", "", "", "false"),
+]
+
+
+@query("SELECT id, unnest(x, recursive := true) FROM (SELECT id, unnest([" + ", ".join(f"{{'kind': '{k}', 'value': {v}, 'form': '{f}', 'before': '{b}', 'near': '{n}', 'accepted': {ok}}}" for k, v, f, b, n, ok in _CANDIDATES) + "]) AS x FROM people)")
 def x234_acceptance(t):
-    near = F.when(F.col("id") % 3 == 0, " address").when(F.col("id") % 3 == 1, " nothing").otherwise("version  address")
-    rows = t.people.select("id", F.lit("ipv4").alias("kind"), F.concat((F.col("id") % 250 + 1).cast("string"), F.lit(".9.9.9")).alias("value"), F.lit("literal").alias("form"), F.when(F.col("id") % 3 == 2, "version ").otherwise("").alias("before"), near.alias("near"))
-    rows = rows.where("id % 250 + 1 < 224")
-    return ioc.accepted(rows).select("id", "accepted").unionByName(t.people.where("id % 250 + 1 >= 224").select("id", (F.col("id") % 3 == 0).alias("accepted")))
+    each = ", ".join(f"struct('{k}' AS kind, {v} AS value, '{f}' AS form, '{b}' AS before, '{n}' AS near)" for k, v, f, b, n, _ in _CANDIDATES)
+    rows = ioc.spread(t.people.select("id"), "id").selectExpr("id", f"inline(array({each}))")
+    return ioc.accepted(rows).select("id", "kind", "value", "form", "before", "near", "accepted")
 
 
 @query("SELECT id, array_to_string(list_filter(['uae-authority-desc', CASE WHEN id % 2 = 0 THEN 'uae-emirate-dubai' END, 'language-english', CASE WHEN id % 3 = 0 THEN 'uae-sector-aviation-transport' END, CASE WHEN id % 5 = 0 THEN 'uae-sector-financial-services' END], lambda x: x IS NOT NULL), ',') AS tags FROM people")
