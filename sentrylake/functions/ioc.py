@@ -143,8 +143,9 @@ def extract(df: DataFrame, key: str = "id", title: str = "title", summary: str =
     matches = _matcher()
     t, s = F.coalesce(F.col(title), F.lit("")), F.coalesce(F.col(summary), F.lit(""))
     texts = df.select(key, t.alias("title"), s.alias("summary")).where((F.length("title") + F.length("summary") <= LONGEST) & ~F.concat("title", "summary").rlike(r"[\x00-\x1F\x7F-\x9F]"))
+    texts = spread(texts.withColumn("text", F.xxhash64("title", "summary")), key, "text")
     # what is near a match is cut out where it is found: candidates carry no texts. Texts that share a key stay apart
-    c = texts.select(key, F.xxhash64("title", "summary").alias("text"), F.explode(matches("title", "summary")).alias("m")).select(key, "text", "m.*")
+    c = texts.select(key, "text", F.explode(matches("title", "summary")).alias("m")).select(key, "text", "m.*")
     url = F.col("kind") == "url"
     c = _with(c, plain=O.refanged("raw"), form=F.when((F.col("kind") != "file_hash") & O.defanged("raw"), "defanged").otherwise("literal"))
     is_ = lambda k: F.col("kind") == k
@@ -153,7 +154,7 @@ def extract(df: DataFrame, key: str = "id", title: str = "title", summary: str =
     c = _with(c, value=value).where(F.col("value").isNotNull())
     c = accepted(c)
     if exclusions is not None:
-        hers = excluded(exclusions, key).withColumnRenamed(key, "_key")
+        hers = excluded(spread(exclusions, key), key).withColumnRenamed(key, "_key")
         c = _with(c, host=F.when(url, _host("value")))
         c = c.join(hers, (F.col(key) == F.col("_key")) & ((F.col("value") == F.col("token")) | (F.col("host") == F.col("token"))), "left_anti").drop("host")
     c = c.where(F.col("accepted") & (url | ~F.col("shielded"))).select(key, "text", "rank", "kind", "field", "at", "end", "value", "form", "labelled", "context")

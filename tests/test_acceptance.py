@@ -15,3 +15,22 @@ def test_every_person_is_judged_in_every_kind(spark, tmp_path):
     # multicast and reserved addresses are no indicators, however they are written
     assert not out["accepted"][first.index[first >= 224]].any()
     assert out["accepted"][first.index[first < 224]].any()
+
+
+def test_texts_of_one_small_file_are_searched_in_many_tasks(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from sentrylake.functions import ioc
+
+    rows = spark.read.parquet(people(spark, tmp_path, 400) + "/customer.parquet")
+    assert rows.rdd.getNumPartitions() == 1
+    texts = rows.select(F.col("c_custkey").alias("id"), F.lit("Report").alias("title"), F.concat(F.lit("domain bad"), "c_custkey", F.lit(".co")).alias("summary"))
+    tasks = []
+    matches = ioc._matcher
+    try:
+        # the task in which each text is searched, told by a column beside the matches
+        ioc._matcher = lambda: (lambda t, s: matches()(t, F.concat(s, F.lit(" host p"), F.spark_partition_id().cast("string"), F.lit(".net"))))
+        tasks = [x.value for x in ioc.extract(texts).select("value").where("value LIKE 'p%.net'").distinct().collect()]
+    finally:
+        ioc._matcher = matches
+    assert len(tasks) == int(spark.conf.get("spark.sql.shuffle.partitions"))
