@@ -6,6 +6,7 @@ import json
 from html.parser import HTMLParser
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +15,9 @@ from ..functions import bounded_json
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 _UNSEEN = {"script", "style", "template", "noscript"}
 ELEMENT = "struct<node:int,last:int,tag:string,classes:array<string>,attributes:map<string,string>,text:string>"
+_ARROW = pa.list_(pa.struct([("node", pa.int32()), ("last", pa.int32()), ("tag", pa.string()), ("classes", pa.list_(pa.string())), ("attributes", pa.map_(pa.string(), pa.string())), ("text", pa.string())]))
+#: Pages whose elements a Python worker holds as objects at a time.
+PAGES = 64
 
 
 class _Tree(HTMLParser):
@@ -78,9 +82,11 @@ def elements(html: str | Column, *tags: str) -> Column:
     """`read_elements` of a column of pages."""
     wanted = frozenset(tags)
 
-    @F.pandas_udf(f"array<{ELEMENT}>")
-    def read(pages: pd.Series) -> pd.Series:
-        return pages.map(lambda p: read_elements(p, wanted))
+    @F.arrow_udf(f"array<{ELEMENT}>")
+    def read(pages: pa.Array) -> pa.Array:
+        # some pages at a time: their elements as Python objects take many times the room of the pages
+        parts = [pa.array([read_elements(p, wanted) for p in pages[i : i + PAGES].to_pylist()], _ARROW) for i in range(0, len(pages), PAGES)]
+        return pa.concat_arrays(parts) if parts else pa.array([], _ARROW)
 
     return read(F.col(html) if isinstance(html, str) else html)
 
