@@ -115,8 +115,9 @@ def s10_publication_files(t):
     head = F.when(k == 1, '{"schema_version": 2, "source_slug": "').when(k == 2, '{"schema_version": 1, "schema_version": 1, "source_slug": "').otherwise('{"schema_version": 1, "source_slug": "')
     body = F.concat(head, F.col("file").cast("string"), F.lit('", "publications": ['), "body", F.when(k == 3, "").otherwise("]}"))
     root = shared_folder(t, "publications")
-    whole.select("file", body.alias("value")).repartition("file").write.partitionBy("file").text(root)
-    return feeds.publications(t.spark, root).select(F.col("source").cast("long").alias("file"), "title", "summary")
+    # some to a stored file, as files of their own would grow with the publications
+    whole.select(body.alias("value")).write.parquet(root)
+    return feeds.publications_of(t.spark.read.schema("value string").parquet(root)).select(F.col("source").cast("long").alias("file"), "title", "summary")
 
 
 def _registry(t):

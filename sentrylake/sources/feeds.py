@@ -181,8 +181,13 @@ def json_state(s: pd.Series) -> pd.Series:
 
 
 def publications(spark: SparkSession, path: str, most_bytes: int = 1 << 20, most: int = 100) -> DataFrame:
-    """Records of publication files of schema version 1; files that are too large, malformed or too long give none."""
-    files = spark.read.text(path, wholetext=True).where((F.octet_length("value") <= most_bytes) & (json_state("value") == "ok"))
+    """Records of publication files, as `publications_of` has them."""
+    return publications_of(spark.read.text(path, wholetext=True), most_bytes, most)
+
+
+def publications_of(texts: DataFrame, most_bytes: int = 1 << 20, most: int = 100) -> DataFrame:
+    """Records of texts(value) of schema version 1; those that are too large, malformed or too long give none."""
+    files = texts.where((F.octet_length("value") <= most_bytes) & (json_state("value") == "ok"))
     body = F.from_json("value", "schema_version int, source_slug string, publications array<struct<title:string,url:string,summary:string,published_at:string>>")
     rows = files.select(body.alias("b")).where((F.col("b.schema_version") == 1) & (F.size("b.publications") <= most))
     return rows.select(F.col("b.source_slug").alias("source"), F.explode("b.publications").alias("p")).select("source", required("p.title", 500).alias("title"), F.col("p.url").alias("url"), F.trim("p.summary").alias("summary"), parsed_timestamp("p.published_at").alias("published"))
